@@ -24,7 +24,7 @@ SELECT doc_id, size, source_size, round(target, 3) AS target,
 
 JACCARD_JOIN = rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS ws FROM documents),
-g AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), i -> concat_ws(' ', ws[i], ws[i + 1], ws[i + 2]))
+g AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: concat_ws(' ', ws[i], ws[i + 1], ws[i + 2]))
     WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS grams FROM w),
 n AS (SELECT doc_id, coalesce(len(grams), 0)::BIGINT AS n_shingles FROM g),
 x AS (SELECT doc_id, unnest(grams) AS gram FROM g),
