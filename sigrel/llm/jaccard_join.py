@@ -20,7 +20,9 @@ _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: What one list entry costs against one enumerated subset: lists need a second stage and a verification.
 LIST_COST = 4
 #: Pairs between groups that may be formed at once, for each list entry left; beyond it another round of hubs runs.
-PAIRS_PER_ENTRY = 4
+PAIRS_PER_ENTRY = 16
+#: Members of a list that are compared with all others in a round.
+HUBS = 6
 
 
 class Threshold:
@@ -179,11 +181,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _heavy_links(docs: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
     """Links of larger sets that connect all that links connect, from inverted lists over each set's rarest shingles.
 
-    Shingles are ordered by rarity (among the candidates, any order is right). Two linked sets of s and t elements
-    share one of the first missing(s) + 1, and where they first meet, at places i and j, the i + j elements before
-    are in one set only, so i + j is at most apart(...) of the pair. Members of a list that cannot meet this bound
-    with any other are dropped. Then, round by round, the member with the fewest rare shingles (the most central
-    one) is compared with every other and leaves the list, as its links are known; lists whose members are all
+    Shingles are ordered by rarity (among the candidates; any order is right). Linked sets of s and t elements share
+    c = ceil(percent * (s + t) / (100 + percent)) at least, so where they first meet, at places i and j of their
+    orders, i <= s - c and j <= t - c. Members of a list that meet this bound with no size in it are dropped. Then, round by round, a few members with the fewest rare shingles (the most
+    central of each lot) are compared with all others and leave the list, as their links are known; lists whose members are all
     connected already are done. When few pairs between groups are left, they are compared outright.
     """
     text = docs.join(reps.select(F.col("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi")
@@ -197,35 +198,40 @@ def _heavy_links(docs: DataFrame, reps: DataFrame, n: int, percent: int) -> Data
     e = known.withColumn("i", F.col("s") - F.count("*").over(shared) + F.row_number().over(w) - 1).where(F.col("i") <= allowed)
     entries = cut(e.select("token", "doc_id", "s", F.col("i").cast("long")))
     labels, links, turn = None, None, 0
-    # symmetric difference of a linked pair: at most this share of s + t
-    bound = lambda s, t: F.floor((s + t) * (100 - percent) / (100 + percent))
+    # a linked pair has this many elements in common at least, so each set has no more than the rest before they first meet
+    common = lambda s, t: F.ceil((s + t) * percent / (100 + percent))
+    # the smallest partner that the list offers, or that any set of s elements can have, leaves the most room
+    room = F.col("s") - common(F.col("s"), F.greatest(F.col("least"), F.ceil(F.col("s") * percent / 100)))
     while True:
-        e = entries if labels is None else entries.join(labels.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         if labels is None:
-            e = e.withColumn("component", F.col("doc_id"))
-        low = F.struct(F.col("i"), F.col("doc_id"), F.col("s"))
-        lists = e.groupBy("token").agg(F.min(low).alias("hub"), F.max("s").alias("most"), F.count("*").alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("n > 1 and c0 < c1")
-        m = e.join(lists, "token")
-        # nobody in the list is within reach: the hub has the fewest places before, and the largest set the loosest bound
-        m = m.where((F.col("doc_id") == F.col("hub.doc_id")) | (F.col("i") + F.col("hub.i") <= bound(F.col("s"), F.col("most"))))
-        m = cut(m.select("token", "doc_id", "s", "i", "component", F.col("hub.doc_id").alias("hub"), F.col("hub.s").alias("hub_s"), F.col("hub.i").alias("hub_i")))
+            e = entries.withColumn("component", F.col("doc_id"))
+        else:
+            e = entries.join(labels.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        e = e.withColumn("lot", F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.lit(HUBS)).cast("int"))
+        lots = e.groupBy("token", "lot").agg(F.min(F.struct("i", "doc_id", "s", "component")).alias("hub"), F.min("s").alias("least"), F.count("*").alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1"))
+        lists = lots.groupBy("token").agg(F.sort_array(F.collect_list("hub")).alias("hubs"), F.min("least").alias("least"), F.sum("n").alias("n"), F.min("c0").alias("c0"), F.max("c1").alias("c1")).where("n > 1 and c0 < c1")
+        m = e.join(lists, "token").where(F.col("i") <= room)
+        m = cut(m.select("token", "doc_id", "s", "i", "component", "hubs"))
         sizes = m.groupBy("token", "component").agg(F.count("*").alias("k")).groupBy("token").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("same"))
         left = sizes.agg(F.sum("n").alias("entries"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs")).first()
-        if not left["entries"] or not left["pairs"]:
+        if not left["pairs"]:
             break
-        last = turn > 0 and left["pairs"] <= PAIRS_PER_ENTRY * left["entries"]
+        last = left["pairs"] <= PAIRS_PER_ENTRY * left["entries"]
         if last:
-            y = m.select("token", F.col("doc_id").alias("b"), F.col("s").alias("t"), F.col("i").alias("j"), F.col("component").alias("other"))
-            p = m.withColumnRenamed("doc_id", "a").join(y, "token").where((F.col("component") < F.col("other")) & (F.col("i") + F.col("j") <= bound(F.col("s"), F.col("t"))) & (F.least("s", "t") * 100 >= F.greatest("s", "t") * percent))
+            y = m.select("token", F.struct("i", "doc_id", "s", "component").alias("hub"))
+            p = m.drop("hubs").join(y, "token").where(F.col("component") < F.col("hub.component"))
         else:
-            ok = (F.col("doc_id") != F.col("hub")) & (F.col("i") + F.col("hub_i") <= bound(F.col("s"), F.col("hub_s"))) & (F.least("s", "hub_s") * 100 >= F.greatest("s", "hub_s") * percent)
-            p = m.where(ok).select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))
-        found = cut(_verified(p.select("a", "b").distinct(), sets, percent))
+            p = m.withColumn("hub", F.explode("hubs")).where(F.col("component") != F.col("hub.component"))
+        meet = common(F.col("s"), F.col("hub.s"))
+        p = p.where((F.col("i") <= F.col("s") - meet) & (F.col("hub.i") <= F.col("hub.s") - meet) & (F.least("s", "hub.s") * 100 >= F.greatest("s", "hub.s") * percent))
+        p = p.select(F.least("doc_id", "hub.doc_id").alias("a"), F.greatest("doc_id", "hub.doc_id").alias("b")).distinct()
+        found = cut(_verified(p, sets, percent))
         links = found if links is None else links.union(found)
         if last:
             break
         labels = connected_components(links)
-        entries = m.where(F.col("doc_id") != F.col("hub")).select("token", "doc_id", "s", "i")
+        links = labels.select(F.col("id").alias("a"), F.col("component").alias("b"))  # connects the same
+        entries = m.where(~F.array_contains(F.transform("hubs", lambda h: h["doc_id"]), F.col("doc_id"))).select("token", "doc_id", "s", "i")
         turn += 1
     return links
 
