@@ -40,32 +40,22 @@ def hadamard(x, y, n: int) -> Column:
 
 
 def power(x, k: int, n: int) -> Column:
-    """k-th power by squaring, each product cut to n bits."""
+    """k-th power by squaring, each product cut to n bits: one fold over the binary digits of k, lowest first."""
     if k == 0:
         return F.lit(one(n)).cast("long")
     if k == 1:
         return _c(x)
-    base, rest = _c(x), F.lit(one(n)).cast("long")
-    while k > 1:
-        if k % 2:
-            rest = hadamard(base, rest, n)
-        base, k = hadamard(base, base, n), k // 2
-    return hadamard(base, rest, n)
+    start = F.struct(_c(x).cast("long").alias("base"), F.lit(one(n)).cast("long").alias("rest"))
 
+    def step(s: Column, bit: Column) -> Column:
+        rest = F.when(bit == 1, hadamard(s["base"], s["rest"], n)).otherwise(s["rest"])
+        return F.struct(hadamard(s["base"], s["base"], n).cast("long").alias("base"), rest.cast("long").alias("rest"))
 
-def ratio(num, den, n: int) -> Column:
-    """num / den bit by bit, with the divisor's cut-off halves, for 0 <= num <= den."""
-    a, d = F.abs(_c(num)).cast("long"), F.abs(_c(den)).cast("long")
-    bits, rest = F.lit(0).cast("long"), a
-    for i in range(1, n + 1):
-        takes = (rest >= 0) & (rest * (1 << i) >= d)
-        bits = bits + F.when(takes, F.lit(1 << (n - i))).otherwise(F.lit(0))
-        rest = F.when(takes, rest - F.shiftright(d, i)).otherwise(rest)
-    return F.when(a == 0, F.lit(0)).when(a == d, F.lit(one(n))).otherwise(bits - 1).cast("long")
+    return F.aggregate(F.array(*[F.lit(int(b)) for b in reversed(bin(k)[2:])]), start, step)["rest"]
 
 
-def ratio_loop(num, den, n: int) -> Column:
-    """:func:`ratio` as one fold, whose expression does not grow with n."""
+def ratio(num, den, n: int) -> Column:
+    """num / den bit by bit, with the divisor's cut-off halves, for 0 <= num <= den: one fold over the bits."""
     a, d = F.abs(_c(num)).cast("long"), F.abs(_c(den)).cast("long")
     start = F.struct(F.lit(0).cast("long").alias("bits"), a.alias("rest"))
 
@@ -93,13 +83,13 @@ def expectation(w, x, n: int) -> Column:
 
 def conditional(w, x, y, n: int) -> Column:
     """E[X|Y]."""
-    return ratio_loop(expectation(w, hadamard(x, y, n), n) + 1, expectation(w, y, n) + 1, n)
+    return ratio(expectation(w, hadamard(x, y, n), n) + 1, expectation(w, y, n) + 1, n)
 
 
 def dependence(w, x, y, n: int) -> Column:
     ex, ey, exy = expectation(w, x, n), expectation(w, y, n), expectation(w, hadamard(x, y, n), n)
     both = hadamard(ex, ey, n)
-    return F.when((ex == 0) | (ey == 0) | (exy < both), F.lit(0).cast("long")).otherwise(reflect(ratio_loop(both + 1, exy + 1, n), n))
+    return F.when((ex == 0) | (ey == 0) | (exy < both), F.lit(0).cast("long")).otherwise(reflect(ratio(both + 1, exy + 1, n), n))
 
 
 def covariance(w, x, y, n: int) -> Column:
