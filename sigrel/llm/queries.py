@@ -79,4 +79,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from . import sql
 
-    return {"op2_source_mix": sql.SOURCE_MIX, "op4_jaccard_join": sql.JACCARD_JOIN}
+    return {"op2_source_mix": sql.SOURCE_MIX, "op3_chat_format": sql.CHAT_FORMAT, "op4_jaccard_join": sql.JACCARD_JOIN, "op8_quality_rules": sql.QUALITY_RULES}

@@ -39,3 +39,31 @@ reach AS (SELECT a AS doc_id, a AS other FROM u UNION SELECT reach.doc_id, u.b F
 SELECT n.doc_id, n.n_shingles, least(n.doc_id, coalesce(min(reach.other), n.doc_id))::BIGINT AS component_id
 FROM n LEFT JOIN reach ON reach.doc_id = n.doc_id GROUP BY n.doc_id, n.n_shingles
 """
+
+CHAT_FORMAT = r"""
+WITH c AS (SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(4 + length(role) + 1 + length(text) + 8 + len(regexp_extract_all(text, '</turn>|### |\\')))::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+QUALITY_RULES = rf"""
+WITH w AS (SELECT doc_id, source, coalesce(text, '') AS text, coalesce(regexp_extract_all(text, '{_WORD}'), []) AS ws FROM documents),
+b AS (SELECT doc_id, source, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols FROM w),
+l AS (SELECT doc_id, source, line, regexp_extract_all(line, '{_WORD}') AS ws FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM w)),
+k AS (SELECT doc_id, source, line, len(ws) AS n, translate(array_to_string(ws, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM l WHERE len(ws) > 0),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM k GROUP BY doc_id),
+h AS (SELECT source, count(DISTINCT doc_id) AS docs FROM documents GROUP BY source),
+s AS (SELECT k.source, norm FROM k JOIN h ON h.source IS NOT DISTINCT FROM k.source GROUP BY k.source, norm, h.docs HAVING count(DISTINCT doc_id) > 5 AND count(DISTINCT doc_id) > 0.02 * h.docs),
+rm AS (SELECT doc_id, sum(n) AS removed FROM k JOIN s ON s.source IS NOT DISTINCT FROM k.source AND s.norm = k.norm GROUP BY doc_id),
+x AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+g AS (SELECT doc_id, i, word, lead(word) OVER p AS w2, lead(word, 2) OVER p AS w3 FROM x WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+t AS (SELECT doc_id, i FROM g WHERE w3 IS NOT NULL QUALIFY count(*) OVER (PARTITION BY doc_id, word, w2, w3) > 1),
+r AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM t) GROUP BY doc_id),
+f AS (SELECT doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, (n_words - coalesce(removed, 0))::BIGINT AS words_left,
+  n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words AS base_failed FROM b LEFT JOIN dup USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN rm USING (doc_id))
+SELECT *, NOT base_failed AND words_left >= 0.5 * n_words AS kept FROM f
+"""
