@@ -41,8 +41,8 @@ def _word_means(values: np.ndarray, buckets: np.ndarray, starts: np.ndarray) ->
     return s / (n[:, None] if values.ndim > 1 else n)
 
 
-def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, dim: int = 6, buckets: int = 1 << 17, sizes: tuple[int, ...] = (3, 4, 5), steps: int = 80, rate: float = 0.4, least_docs: int = 8, decay: float = 1e-4, seed: int = 7) -> ToxicityModel:
-    """Weighted cross entropy by full-batch Adam over embeddings, softmax and bias together."""
+def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, dim: int = 6, buckets: int = 1 << 17, sizes: tuple[int, ...] = (3, 4, 5), steps: int = 100, rate: float = 0.3, errors: float = 4.0, decay: float = 1e-5, seed: int = 7) -> ToxicityModel:
+    """Weighted cross entropy over embeddings, softmax and bias together, by full-batch Adam."""
     vocabulary: dict[bytes, int] = {}
     rows, cols = [], []
     for i, text in enumerate(texts):
@@ -62,10 +62,16 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, dim: int =
     pair, count = np.unique(np.array(rows) * len(vocabulary) + np.array(cols), return_counts=True)
     doc, word = pair // len(vocabulary), pair % len(vocabulary)
     share = (count / np.bincount(rows, minlength=len(texts))[doc]).astype(np.float32)
-    # n-grams of few documents would be learned by heart: they stay at 0
-    often = np.bincount(grams, np.bincount(word, minlength=len(vocabulary))[word_of], buckets) >= least_docs
-    e[~often] = 0
-    kept = often[grams]
+    # each n-gram's shrunk log odds over the sample's texts is its start; those within ``errors`` standard errors of
+    # chance, which would be learned by heart, stay at 0 for good
+    seen = [np.bincount(grams, np.bincount(word[labels[doc] == k], minlength=len(vocabulary))[word_of], buckets) for k in (0, 1)]
+    n0, n1 = (np.bincount(doc[labels[doc] == k], minlength=1).astype(bool).sum() + 1.0 for k in (0, 1))
+    odds = np.log((seen[1] + 0.5) / n1) - np.log((seen[0] + 0.5) / n0)
+    error = np.sqrt(1 / (seen[1] + 0.5) + 1 / (seen[0] + 0.5))
+    start = np.sign(odds) * np.maximum(0, np.abs(odds) - errors * error)
+    e[:, 0], w[0] = start, (-1, 1)
+    e[start == 0] = 0
+    kept = start[grams] != 0
     grams, word_of = grams[kept], word_of[kept]
     y = np.eye(2, dtype=np.float32)[labels]
     wt = (weights / weights.sum()).astype(np.float32)
@@ -79,20 +85,14 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, dim: int =
         gz = (p - y) * wt[:, None]
         gd = gz @ w.T
         gwords = np.stack([np.bincount(word, share * gd[doc, k], len(vocabulary)) for k in range(dim)], 1) / per_word[:, None]
-        ge = np.stack([np.bincount(grams, gwords[word_of, k], buckets) for k in range(dim)], 1).astype(np.float32) + decay * 1e-3 * e
-        grads = [ge, docs.T @ gz + decay * w, gz.sum(0)]
-        for x, g, a, v in zip(params, grams_grads(grads), m1, m2):
-            a += 0.1 * (g - a)
+        ge = np.stack([np.bincount(grams, gwords[word_of, k], buckets) for k in range(dim)], 1).astype(np.float32)
+        for x, g, m, v, r in zip(params, (ge, docs.T @ gz + decay * w, gz.sum(0)), m1, m2, (rate, 1.0, 0.1)):
+            m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
-            x -= rate * min(1, 2 - 2 * t / steps) * (a / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+            x -= r * min(1, 2 - 2 * t / steps) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
     return ToxicityModel(e, w, b, sizes)
 
 
-def grams_grads(grads: list[np.ndarray]) -> list[np.ndarray]:
-    """Gradients scaled to a common length, as averaged embeddings get tiny ones."""
-    return [g / (np.abs(g).max() + 1e-12) if g.ndim == 2 and g.shape[0] > 2 else g for g in grads]
-
-
 def fit(docs: DataFrame, labels: DataFrame, learn=None, sample_rows: int = SAMPLE_ROWS, sample_words: int = SAMPLE_WORDS) -> ToxicityModel:
     """Learn from a bounded sample of labelled rows: for each label the ``sample_rows`` rows of least hash.
 
