@@ -97,12 +97,14 @@ def relation_edges(samples: DataFrame, deltas: Sequence[int], size: int, a: str
 def all_pairs(samples: DataFrame, n: int, keys: tuple[str, ...] = ("system",)) -> DataFrame:
     """Every upper-triangle pair (x < y by idx) of every system over all n ticks: six symmetric metrics.
 
-    ``samples`` (keys, idx, t, v) holds non-zero rows; ``n`` is the number of ticks of each system.
+    ``samples`` (keys, idx, t, v) holds non-zero rows; ``n`` is the number of ticks of each system. One key at least.
     """
+    if not keys:
+        raise ValueError("pairs are formed within a system")
     total = F.lit(float(n))
     one = samples.groupBy(*keys, "idx").agg((F.sum("v") / total).alias("e"), (F.sum(F.col("v") * F.col("v")) / total).alias("e2"))
     x, y = (one.select(*keys, F.col("idx").alias(k), F.col("e").alias(f"e{k}"), F.col("e2").alias(f"e{k}{k}")) for k in "xy")
-    grid = x.join(y, list(keys)).where("x < y") if keys else x.crossJoin(y).where("x < y")
+    grid = x.join(y, list(keys)).where("x < y")
     sx, sy = (samples.select(*keys, F.col("idx").alias(k), "t", F.col("v").alias(f"v{k}")) for k in "xy")
     joint = sx.join(sy, [*keys, "t"]).where("x < y").groupBy(*keys, "x", "y").agg((F.sum(F.col("vx") * F.col("vy")) / total).alias("exy"), (F.sum(F.least("vx", "vy")) / total).alias("emin"))
     m = grid.join(joint, [*keys, "x", "y"], "left").na.fill(0.0, ["exy", "emin"])
