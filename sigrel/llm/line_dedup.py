@@ -9,40 +9,41 @@ from .common import cut
 
 #: A line ends at a new line, or at a sentence's end inside one: passages are often put into the middle of lines.
 LINE_END = r"(?<=\n)|(?<=[.!?] )"
+#: Stands for a line's end while a text is split; a text that has it itself is split by the pattern, more slowly.
+_CUT = "\ue000"
 _BLANK = " \n\t\r"
+_FAR = (1 << 63) - 1
 
 
 def _lines(text: Column) -> Column:
-    return F.filter(F.split(text, LINE_END), lambda x: x != "")
-
-
-def _hash(line: Column) -> Column:
-    return F.xxhash64(F.lower(F.btrim(line, F.lit(_BLANK))))
+    marked = text
+    for end in ("\n", ". ", "! ", "? "):
+        marked = F.replace(marked, F.lit(end), F.lit(end + _CUT))
+    return F.filter(F.when(F.contains(text, F.lit(_CUT)), F.split(text, LINE_END)).otherwise(F.split(marked, _CUT)), lambda x: x != "")
 
 
 def _words(line: Column) -> Column:
-    inner = F.btrim(line, F.lit(_BLANK))
-    return F.when(inner == "", 0).otherwise(F.length(inner) - F.length(F.replace(inner, F.lit(" "), F.lit(""))) + 1)
+    """Words of a line that has no outer blanks, counted by the blanks between them."""
+    return F.when(line == "", 0).otherwise(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
 
 
 def _order() -> list[Column]:
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64("text").alias("row")]
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(_FAR)).alias("doc"), F.xxhash64("text").alias("row")]
 
 
-def fingerprints(docs: DataFrame, window: int, long_words: int) -> DataFrame:
-    """Lines that stand for their surroundings: (doc, row, pos, key, around).
+def line_table(docs: DataFrame, window: int, long_words: int) -> DataFrame:
+    """Each distinct text's lines: (doc, row, h, n, at), hashes with window - 1 fillers on either side, words, and places
+    of the lines that stand for their surroundings.
 
-    A line is selected if it has the least hash of some ``window`` lines in a row (the first of equals), or at least
-    ``long_words`` words. ``around`` has the hashes of the window - 1 lines before and after it, null beyond the ends.
+    A line is selected if it has the least hash of some ``window`` lines in a row (beyond the ends there are none), or
+    at least ``long_words`` words.
     """
-    d = docs.where("text is not null").select(*_order(), _lines(F.col("text")).alias("u"))
-    d = d.select("doc", "row", F.transform("u", _hash).alias("h"), F.transform("u", _words).alias("n")).where(F.size("h") > 0)
-    d = d.withColumn("last", F.size("h") - 1)
-    minimum = f"transform(sequence(0, greatest(last - {window - 1}, 0)), i -> array_min(transform(sequence(i, least(i + {window - 1}, last)), j -> struct(h[j] as h, j as j))).j)"
-    longer = f"filter(sequence(0, last), i -> n[i] >= {long_words})"
-    d = d.withColumn("pos", F.explode(F.expr(f"array_union({minimum}, {longer})"))).where(F.expr("n[pos] > 0"))
-    around = F.array(*[F.expr(f"if(pos + {o} between 0 and last, h[pos + {o}], null)") for o in range(1 - window, window)])
-    return d.select("doc", "row", "pos", F.expr("h[pos]").alias("key"), around.alias("around"))
+    d = docs.where("text is not null").select(*_order(), F.transform(_lines(F.col("text")), lambda x: F.btrim(x, F.lit(_BLANK))).alias("u"))
+    fill = F.array(*[F.lit(_FAR)] * (window - 1))
+    d = d.select("doc", "row", F.concat(fill, F.transform("u", lambda x: F.xxhash64(x)), fill).alias("h"), F.transform("u", _words).alias("n")).where(F.size("n") > 0)
+    here = f"h[i + {window - 1}]"
+    least = " or ".join("(" + " and ".join(f"{here} <= h[i + {window - 1 + o}]" for o in range(first, first + window) if o) + ")" for first in range(1 - window, 1))
+    return d.withColumn("at", F.expr(f"filter(sequence(0, size(n) - 1), i -> n[i] > 0 and (n[i] >= {long_words} or {least}))"))
 
 
 def _reach(window: int, sign: int) -> Column:
@@ -50,29 +51,31 @@ def _reach(window: int, sign: int) -> Column:
     out = F.lit(0)
     for o in range(window - 1, 0, -1):
         i = window - 1 + sign * o
-        agree = F.coalesce(F.col("around")[i] == F.col("first.around")[i], F.lit(False))
+        agree = (F.col("around")[i] == F.col("first.around")[i]) & (F.col("around")[i] != _FAR)
         out = F.when(agree, F.lit(1) + out).otherwise(F.lit(0))
     return out
 
 
-def repeated_runs(docs: DataFrame, window: int = 4, min_words: int = 30) -> DataFrame:
-    """Runs of lines that occurred before: (doc, row, runs: array of (start, end) line places, inclusive)."""
-    f = fingerprints(docs, window, -(-min_words // (window - 1)))
+def repeated_runs(lines: DataFrame, window: int = 4, min_words: int = 30) -> DataFrame:
+    """Runs of lines that occurred before: (doc, row, runs: array of (start, end), removed_lines, removed_words)."""
+    at = lines.select("doc", "row", "h", F.explode("at").alias("pos"))
+    f = at.select("doc", "row", "pos", F.expr(f"h[pos + {window - 1}]").alias("key"), F.expr(f"slice(h, pos + 1, {2 * window - 1})").alias("around"))
     repeated = f.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("first_doc")).where("n > 1").select("key", "first_doc")
     j = cut(f.join(repeated.hint("shuffle_hash"), "key"))
     first = j.where("doc = first_doc").groupBy("key").agg(F.min(F.struct("doc", "row", "pos", "around")).alias("first"))
     m = j.join(first, "key").where(F.struct("doc", "row", "pos") > F.struct("first.doc", "first.row", "first.pos"))
     m = m.select("doc", "row", F.explode(F.sequence(F.col("pos") - _reach(window, -1), F.col("pos") + _reach(window, 1))).alias("pos")).distinct()
+    m = m.join(lines.select("doc", "row", "n").dropDuplicates(["doc", "row"]), ["doc", "row"]).select("doc", "row", "pos", F.expr("n[pos]").alias("words"))
     w = Window.partitionBy("doc", "row").orderBy("pos")
-    runs = m.withColumn("run", F.col("pos") - F.row_number().over(w)).groupBy("doc", "row", "run").agg(F.min("pos").alias("start"), F.max("pos").alias("end"))
-    return runs.groupBy("doc", "row").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
+    runs = m.withColumn("run", F.col("pos") - F.row_number().over(w)).groupBy("doc", "row", "run").agg(F.min("pos").alias("start"), F.max("pos").alias("end"), F.sum("words").alias("words"))
+    runs = runs.where(F.col("words") >= min_words)
+    return runs.groupBy("doc", "row").agg(F.collect_list(F.struct("start", "end")).alias("runs"), F.sum(F.col("end") - F.col("start") + 1).alias("removed_lines"), F.sum("words").alias("removed_words"))
 
 
 def dedup_lines(docs: DataFrame, window: int = 4, min_words: int = 30) -> DataFrame:
     """The columns of ``docs`` with text cut down, and n_lines, removed_lines and removed_words.
 
-    A line ends at a new line or after a sentence mark and a blank; lines are compared without outer blanks and in
-    lower case. Of every ``window`` lines in a row the one with the least hash is a fingerprint, and so is every line
+    A line ends at a new line or after a sentence mark and a blank; lines are compared without outer blanks. Of every ``window`` lines in a row the one with the least hash is a fingerprint, and so is every line
     of min_words / (window - 1) words or more: a repeated run of whole lines with at least ``min_words`` words has
     one in any place it occurs. Each fingerprint is compared with the first place of the same line in the order of
     (doc_id, hash of the text, position), and the match is extended both ways while the lines around agree, up to
@@ -83,23 +86,15 @@ def dedup_lines(docs: DataFrame, window: int = 4, min_words: int = 30) -> DataFr
     doc_id and text are one occurrence and are treated alike; an empty table gives an empty one; extra columns pass
     through, with n_lines, removed_lines and removed_words replaced if they exist.
     """
-    runs = repeated_runs(docs, window, min_words)
+    lines = cut(line_table(docs, window, -(-min_words // (window - 1))))
+    found = repeated_runs(lines, window, min_words)
+    one = lines.select(F.col("doc").alias("_doc"), F.col("row").alias("_row"), F.size("n").cast("long").alias("_lines")).dropDuplicates(["_doc", "_row"])
+    found = one.join(found.select(F.col("doc").alias("_doc"), F.col("row").alias("_row"), F.col("runs").alias("_runs"), F.col("removed_lines").alias("_rl"), F.col("removed_words").alias("_rw")), ["_doc", "_row"], "left")
     keyed = docs.drop("n_lines", "removed_lines", "removed_words").withColumns({"_doc": _order()[0], "_row": _order()[1]})
-    j = keyed.join(runs.select(F.col("doc").alias("_doc"), F.col("row").alias("_row"), F.col("runs").alias("_runs")).hint("shuffle_hash"), ["_doc", "_row"], "left")
-    j = j.withColumn("_u", F.when(F.col("_runs").isNotNull(), _lines(F.col("text"))))
-    j = j.withColumn("_n", F.transform("_u", _words))
-    words = lambda r: F.aggregate(F.slice("_n", r["start"] + 1, r["end"] - r["start"] + 1), F.lit(0), lambda a, x: a + x)
-    j = j.withColumn("_runs", F.filter(F.transform("_runs", lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), words(r).alias("words"))), lambda r: r["words"] >= min_words))
-    hit = F.coalesce(F.size("_runs") > 0, F.lit(False))
-    kept = F.array_join(F.filter("_u", lambda x, i: ~F.exists("_runs", lambda r: (i >= r["start"]) & (i <= r["end"]))), "")
-    j = j.withColumn("_text", F.when(hit, kept).otherwise(F.col("text")))
-    total = lambda field: F.when(hit, F.aggregate("_runs", F.lit(0), lambda a, r: a + field(r))).otherwise(F.lit(0)).cast("long")
-    new = {
-        "n_lines": F.coalesce(F.regexp_count("text", F.lit(r"[.!?] (?!$)|\n(?!$)")) + F.when(F.length("text") > 0, 1).otherwise(0), F.lit(0)).cast("long"),
-        "removed_lines": total(lambda r: r["end"] - r["start"] + 1),
-        "removed_words": total(lambda r: r["words"]),
-    }
-    out = j.withColumns(new).withColumn("text", F.col("_text"))
+    j = keyed.join(found.hint("shuffle_hash"), ["_doc", "_row"], "left")
+    kept = F.array_join(F.filter(_lines(F.col("text")), lambda x, i: ~F.exists("_runs", lambda r: (i >= r["start"]) & (i <= r["end"]))), "")
+    out = j.withColumn("text", F.when(F.col("_runs").isNotNull(), kept).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("removed_lines") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*[c for c in docs.columns if c not in new], *new)
+        out = out.withColumn("n_chars", F.when(F.col("_runs").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    new = {"n_lines": "_lines", "removed_lines": "_rl", "removed_words": "_rw"}
+    return out.select(*[c for c in docs.columns if c not in new], *[F.coalesce(c, F.lit(0)).cast("long").alias(n) for n, c in new.items()])
