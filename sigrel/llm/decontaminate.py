@@ -21,6 +21,8 @@ PASSAGES = {2: 16, 3: 32, 4: 48, 5: 64, 6: 80}
 #: A candidate passage has this share of its item in the latent space, whatever else it says.
 HELD = 0.45
 PIECE = 80
+#: So many of a piece's rarest words stay in the space, however common they are.
+RAREST = 8
 #: White space and marks part words; A-Z are folded to lower case.
 _MARKS = b"\"'`.,;:!?()[]{}<>#*$%&|"
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c in _MARKS else c for c in range(256))
@@ -70,21 +72,52 @@ def _token_blocks(texts, words: dict[bytes, int], gap: int = 0) -> tuple[np.ndar
     return np.concatenate(ids), np.concatenate(block), np.array(first)
 
 
+def item_pairs(pieces: list[tuple[int, list[bytes], list[bytes]]], words: dict[bytes, int]) -> np.ndarray:
+    """Codes of all pairs of words that stand one or two places apart in a piece, sorted."""
+    n = len(words) + 1
+    codes = {((words[a] + 1) * n + words[b] + 1) * 2 + d - 1 for _, w, _ in pieces for d in (1, 2) for a, b in zip(w, w[d:])}
+    return np.array(sorted(codes), np.int64)
+
+
+def _own_blocks(texts, words: dict[bytes, int], pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Vocabulary words of all texts but those that stand in a pair of an item, their blocks, and the number of blocks.
+
+    Words of a leak tell how often it was copied, not how common they are: neither copies of a document that holds an
+    item nor an item put into many documents make its words common.
+    """
+    parts, blocks, total = [], [], 0
+    for text in texts:
+        w = item_words(text)
+        parts += [np.fromiter(map(words.get, w, repeat(-1)), np.int64, len(w)), np.full(2, -1)]
+        blocks += [np.arange(len(w)) // BLOCK + total, np.full(2, -1)]
+        total -= -len(w) // BLOCK
+    x, block = np.concatenate(parts), np.concatenate(blocks)
+    own = x >= 0
+    for d in (1, 2):
+        at = np.flatnonzero((x[:-d] >= 0) & (x[d:] >= 0))
+        code = ((x[at] + 1) * (len(words) + 1) + x[at + d] + 1) * 2 + d - 1
+        place = np.searchsorted(pairs, code)
+        at = at[pairs[np.minimum(place, len(pairs) - 1)] == code] if len(pairs) else at[:0]
+        own[at] = own[at + d] = False
+    return x[own], block[own], total
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
 
 
-def document_frequencies(docs: DataFrame, words: dict[bytes, int]) -> tuple[np.ndarray, int]:
-    """In how many blocks of all texts each vocabulary word occurs, and the number of blocks."""
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+def document_frequencies(docs: DataFrame, words: dict[bytes, int], pairs: np.ndarray) -> tuple[np.ndarray, int]:
+    """In how many blocks of all texts each vocabulary word occurs outside items' pairs, and the number of blocks."""
+    shared = docs.sparkSession.sparkContext.broadcast((words, pairs))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, total = np.zeros(len(shared.value) + 1, np.int64), 0
+        words, pairs = shared.value
+        n, total = np.zeros(len(words) + 1, np.int64), 0
         for b in batches:
-            ids, block, first = _token_blocks(b["text"].array, shared.value)
+            ids, block, blocks = _own_blocks(b["text"].array, words, pairs)
             pair = np.unique(block * (len(n) - 1) + ids)
             n[:-1] += np.bincount(pair % (len(n) - 1), minlength=len(n) - 1)
-            total += int(first[-1])
+            total += blocks
         n[-1] = total
         at = np.flatnonzero(n)
         yield pd.DataFrame({"word": at, "n": n[at]})
@@ -100,16 +133,23 @@ def _omega(n: int, k: int) -> np.ndarray:
     return np.random.default_rng(11).normal(size=(n, k)).astype(np.float32)
 
 
-def sketch(docs: DataFrame, words: dict[bytes, int], idf: np.ndarray, k: int) -> np.ndarray:
-    """(A'A) Omega for the TF-IDF matrix A of all blocks and a random Omega: each task adds up its own, Spark sums them."""
-    shared = docs.sparkSession.sparkContext.broadcast((words, idf.astype(np.float32)))
+def sketch(docs: DataFrame, words: dict[bytes, int], pairs: np.ndarray, kept: np.ndarray, idf: np.ndarray, k: int) -> np.ndarray:
+    """(A'A) Omega for the TF-IDF matrix A of all blocks and a random Omega: each task adds up its own, Spark sums them.
+
+    The columns of A are the words numbered ``kept``; words in items' pairs are not in A.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((words, pairs, kept, idf.astype(np.float32)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, idf = shared.value
-        omega = _omega(len(words), k)
-        g = np.zeros((len(words), k))
+        words, pairs, kept, idf = shared.value
+        omega = _omega(len(kept), k)
+        g = np.zeros((len(kept), k))
+        column = np.full(len(words), -1)
+        column[kept] = np.arange(len(kept))
         for b in batches:
-            ids, block, _ = _token_blocks(b["text"].array, words)
+            ids, block, _ = _own_blocks(b["text"].array, words, pairs)
+            ids = column[ids]
+            ids, block = ids[ids >= 0], block[ids >= 0]
             if not len(ids):
                 continue
             weight = idf[ids]
@@ -126,12 +166,26 @@ def sketch(docs: DataFrame, words: dict[bytes, int], idf: np.ndarray, k: int) ->
 
     made = _texts(docs).mapInPandas(run, "word long, g array<double>")
     total = made.groupBy("word").agg(*[F.sum(F.col("g")[i]).alias(f"g{i}") for i in range(k)]).collect()
-    out = np.zeros((len(words), k))
+    out = np.zeros((len(kept), k))
     for r in total:
         out[r["word"]] = r[1:]
     return out
 
 
+def add_pieces(g: np.ndarray, pieces: list[list[int]], idf: np.ndarray, omega: np.ndarray) -> np.ndarray:
+    """G with each piece (its columns) as a row of A too, weighted so that pieces and texts have equal parts in A'A.
+
+    Words that no text has outside items' pairs would have no place in the space without them.
+    """
+    more, size = np.zeros_like(g), 0.0
+    for x in map(np.array, pieces):
+        if len(x):
+            np.add.at(more, x, idf[x, None] * (omega[x] * idf[x, None]).sum(0))
+            size += float((np.bincount(x)[np.unique(x)] ** 2 * idf[np.unique(x)] ** 2).sum())
+    texts = float((omega * g).sum()) / omega.shape[1]  # the trace of A'A, estimated
+    return g + max(1.0, texts / max(size, 1e-9)) * more
+
+
 def right_singular(g: np.ndarray, omega: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Right singular vectors and values of A from G = (A'A) Omega by the Nystroem formula: no second pass is needed."""
     shift = max(1e-9, 1e-9 * np.linalg.norm(g))
@@ -146,8 +200,10 @@ def right_singular(g: np.ndarray, omega: np.ndarray) -> tuple[np.ndarray, np.nda
 def build_index(docs: DataFrame, benchmark: DataFrame, k: int = 64, common: float = 0.001) -> Index | None:
     """Collect the benchmark (its size is the operator's bound), count its words over all texts and find the space.
 
-    Words found in more than ``common`` of all blocks tell nothing and are left out of the space. Each remaining
-    latent dimension is divided by its singular value, so that no topic that all texts share outweighs the others.
+    Words found in more than ``common`` of all blocks tell nothing and are left out of the space, but each piece's
+    ``RAREST`` rarest words stay. Occurrences in an item's pairs are not counted. The space is fitted on texts and
+    pieces alike. Each remaining latent dimension is divided by its singular value, so that no topic that all texts
+    share outweighs the others.
     """
     rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null").distinct().orderBy("item_id", "text").collect()
     pieces = []
@@ -159,13 +215,18 @@ def build_index(docs: DataFrame, benchmark: DataFrame, k: int = 64, common: floa
     words = {x: i for i, x in enumerate(sorted({x for _, w, _ in pieces for x in w}))}
     if not words:
         return None
-    df, blocks = document_frequencies(docs, words)
-    rare = [w for w, n in zip(words, df) if n <= max(common * blocks, 1)] or list(words)
-    df = np.array([df[words[w]] for w in rare])
-    words = {w: i for i, w in enumerate(rare)}
+    pairs = item_pairs(pieces, words)
+    df, blocks = document_frequencies(docs, words, pairs)
+    rarest = {i for _, w, _ in pieces for i in sorted({words[x] for x in w}, key=lambda i: (df[i], i))[:RAREST]}
+    rare = df <= max(common * blocks, 1)
+    columns = np.array([i for i in range(len(words)) if rare[i] or i in rarest or not rare.any()])
+    df = df[columns]
     idf = np.log((1 + blocks) / (1 + df)).astype(np.float64) + 1e-3
-    k = min(k, len(words))
-    u, s = right_singular(sketch(docs, words, idf, k), _omega(len(words), k).astype(np.float64))
+    k = min(k, len(columns))
+    g, omega = sketch(docs, words, pairs, columns, idf, k), _omega(len(columns), k).astype(np.float64)
+    names = list(words)
+    words = {names[i]: c for c, i in enumerate(columns)}
+    u, s = right_singular(add_pieces(g, [[words[x] for x in w if x in words] for _, w, _ in pieces], idf, omega), omega)
     kept = s > 1e-6 * s.max(initial=0) if s.any() else np.ones(len(s), bool)
     basis = (u[:, kept] / np.maximum(s[kept], 1e-12)) * (np.median(s[kept]) if s.any() else 1)
     index = Index(words, idf.astype(np.float32), (basis * idf[:, None]).astype(np.float32), s[kept], pieces)

@@ -304,6 +304,20 @@ def test_leaks(spark):
     assert [r["leaked_items"] for r in decontaminate.find_leaks(docs(spark, ["a b"]), bench.where("item_id > 90")).collect()] == [[]]
 
 
+def test_leaks_in_a_third_of_the_rows(spark):
+    rng = random.Random(12)
+    words = [a + b + c for a in ("ka", "lo", "mi", "ru", "te") for b in ("rn", "st", "lm", "pk") for c in ("ax", "ey", "oz", "iq", "ub")]
+    make = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [make(40) for _ in range(20)] + [" ".join(f"only{i}" for i in range(30))]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    clean = [make(160) for _ in range(200)]
+    leak = make(70) + " " + items[3] + " " + make(55)
+    for more in ([leak] * 100, [make(20 + i % 60) + " " + items[3] + " " + make(80) for i in range(100)]):
+        texts = clean + more + [make(50) + " " + items[20] + " " + make(50)]
+        got = [r["leaked_items"] for r in decontaminate.find_leaks(docs(spark, texts), bench).orderBy("doc_id").collect()]
+        assert got == [[]] * 200 + [[3]] * 100 + [[20]]
+
+
 def test_singular_vectors():
     rng = np.random.default_rng(0)
     a = rng.normal(size=(300, 4)) @ rng.normal(size=(4, 40)) + 1e-4 * rng.normal(size=(300, 40))
