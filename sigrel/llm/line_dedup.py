@@ -1,4 +1,4 @@
-"""Line dedup by winnowing over line hashes (DataFrame functions only)."""
+"""Line dedup by hashes of runs of lines (DataFrame functions only)."""
 
 from __future__ import annotations
 
@@ -31,63 +31,75 @@ def _order() -> list[Column]:
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(_FAR)).alias("doc"), F.xxhash64("text").alias("row")]
 
 
-def line_table(docs: DataFrame, window: int, long_words: int) -> DataFrame:
-    """Each distinct text's lines: (doc, row, h, n, at), hashes with window - 1 fillers on either side, words, and places
-    of the lines that stand for their surroundings.
-
-    A line is selected if it has the least hash of some ``window`` lines in a row (beyond the ends there are none), or
-    at least ``long_words`` words.
-    """
+def line_table(docs: DataFrame) -> DataFrame:
+    """Each distinct text's lines: (doc, row, h, n), hashes and words."""
     d = docs.where("text is not null").select(*_order(), F.transform(_lines(F.col("text")), lambda x: F.btrim(x, F.lit(_BLANK))).alias("u"))
-    fill = F.array(*[F.lit(_FAR)] * (window - 1))
-    d = d.select("doc", "row", F.concat(fill, F.transform("u", lambda x: F.xxhash64(x)), fill).alias("h"), F.transform("u", _words).alias("n")).where(F.size("n") > 0)
-    here = f"h[i + {window - 1}]"
-    least = " or ".join("(" + " and ".join(f"{here} <= h[i + {window - 1 + o}]" for o in range(first, first + window) if o) + ")" for first in range(1 - window, 1))
-    return d.withColumn("at", F.expr(f"filter(sequence(0, size(n) - 1), i -> n[i] > 0 and (n[i] >= {long_words} or {least}))"))
-
+    d = d.select("doc", "row", F.transform("u", lambda x: F.xxhash64(x)).alias("h"), F.transform("u", _words).alias("n"))
+    return d.where(F.size("n") > 0)
 
-def _reach(window: int, sign: int) -> Column:
-    """How many lines in a row agree, from the selected one towards one side."""
-    out = F.lit(0)
-    for o in range(window - 1, 0, -1):
-        i = window - 1 + sign * o
-        agree = (F.col("around")[i] == F.col("first.around")[i]) & (F.col("around")[i] != _FAR)
-        out = F.when(agree, F.lit(1) + out).otherwise(F.lit(0))
-    return out
 
+def _least_runs(lines: DataFrame, min_words: int) -> DataFrame:
+    """The shortest run of ``min_words`` words from each line on and up to each line: (doc, row, start, end, key).
 
-def repeated_runs(lines: DataFrame, window: int = 4, min_words: int = 30) -> DataFrame:
+    A run of ``min_words`` words or more is the union of those inside it. Steps of 2**k lines are taken while the
+    words stay below ``min_words``, largest first; sums that reach beyond the text are null and never taken.
+    """
+    levels = (min_words - 1).bit_length()
+    d = lines.withColumn("s0", F.col("n"))
+    for k in range(1, levels):
+        before = F.col(f"s{k - 1}")
+        d = d.withColumn(f"s{k}", F.zip_with(before, F.slice(before, (1 << k - 1) + 1, F.size("n")), lambda a, b: a + b))
+    d = d.select("*", F.explode(F.sequence(F.lit(0), F.size("n") - 1)).alias("i"))
+    d = d.withColumns({"e": F.col("i"), "b": F.col("i"), "ew": F.lit(0), "bw": F.lit(0)})
+    for k in range(levels - 1, -1, -1):
+        ahead = F.col("ew") + F.get(f"s{k}", F.col("e"))
+        back = F.col("bw") + F.get(f"s{k}", F.col("b") - ((1 << k) - 1))
+        d = d.withColumns({"_a": F.when(ahead < min_words, ahead), "_b": F.when(back < min_words, back)})
+        d = d.withColumns({"e": F.when(F.col("_a").isNotNull(), F.col("e") + (1 << k)).otherwise(F.col("e")), "ew": F.coalesce("_a", "ew"), "b": F.when(F.col("_b").isNotNull(), F.col("b") - (1 << k)).otherwise(F.col("b")), "bw": F.coalesce("_b", "bw")})
+    on = F.when(F.get("n", F.col("e")).isNotNull(), F.struct(F.col("i").alias("start"), F.col("e").alias("end")))
+    # the same run as that from its own first line on, unless it holds enough words without its last line
+    other = F.col("bw") + F.get("n", F.col("b")) - F.get("n", F.col("i")) >= min_words
+    up = F.when(other, F.struct(F.col("b").alias("start"), F.col("i").alias("end")))
+    d = d.select("doc", "row", "h", F.explode(F.array(on, up)).alias("r")).where("r is not null")
+    return d.select("doc", "row", F.col("r.start").alias("start"), F.col("r.end").alias("end"), F.expr("xxhash64(slice(h, r.start + 1, r.end - r.start + 1))").alias("key"))
+
+
+def repeated_runs(lines: DataFrame, min_words: int = 30) -> DataFrame:
     """Runs of lines that occurred before: (doc, row, runs: array of (start, end), removed_lines, removed_words)."""
-    at = lines.select("doc", "row", "h", F.explode("at").alias("pos"))
-    f = at.select("doc", "row", "pos", F.expr(f"h[pos + {window - 1}]").alias("key"), F.expr(f"slice(h, pos + 1, {2 * window - 1})").alias("around"))
+    f = _least_runs(lines, min_words)
     repeated = f.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("first_doc")).where("n > 1").select("key", "first_doc")
     j = cut(f.join(repeated.hint("shuffle_hash"), "key"))
-    first = j.where("doc = first_doc").groupBy("key").agg(F.min(F.struct("doc", "row", "pos", "around")).alias("first"))
-    m = j.join(first, "key").where(F.struct("doc", "row", "pos") > F.struct("first.doc", "first.row", "first.pos"))
-    m = m.select("doc", "row", F.explode(F.sequence(F.col("pos") - _reach(window, -1), F.col("pos") + _reach(window, 1))).alias("pos")).distinct()
-    m = m.join(lines.select("doc", "row", "n").dropDuplicates(["doc", "row"]), ["doc", "row"]).select("doc", "row", "pos", F.expr("n[pos]").alias("words"))
-    w = Window.partitionBy("doc", "row").orderBy("pos")
-    runs = m.withColumn("run", F.col("pos") - F.row_number().over(w)).groupBy("doc", "row", "run").agg(F.min("pos").alias("start"), F.max("pos").alias("end"), F.sum("words").alias("words"))
-    runs = runs.where(F.col("words") >= min_words)
-    return runs.groupBy("doc", "row").agg(F.collect_list(F.struct("start", "end")).alias("runs"), F.sum(F.col("end") - F.col("start") + 1).alias("removed_lines"), F.sum("words").alias("removed_words"))
-
-
-def dedup_lines(docs: DataFrame, window: int = 4, min_words: int = 30) -> DataFrame:
+    same = j.where("doc = first_doc")
+    first = same.groupBy("key").agg(F.min(F.struct("row", "start")).alias("first"))
+    again = same.join(first, "key").where(F.struct("row", "start") > F.col("first"))
+    m = j.where("doc > first_doc").select("doc", "row", "start", "end").unionByName(again.select("doc", "row", "start", "end"))
+    m = m.groupBy("doc", "row", "start").agg(F.max("end").alias("end"))
+    w = Window.partitionBy("doc", "row").orderBy("start")
+    m = m.withColumn("new", F.coalesce(F.col("start") > F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)) + 1, F.lit(True)))
+    m = m.withColumn("run", F.count_if("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = m.groupBy("doc", "row", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    runs = runs.groupBy("doc", "row").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
+    words = F.aggregate("runs", F.lit(0).cast("long"), lambda t, r: t + F.aggregate(F.slice("n", r["start"] + 1, r["end"] - r["start"] + 1), F.lit(0).cast("long"), lambda a, x: a + x))
+    count = F.aggregate("runs", F.lit(0).cast("long"), lambda t, r: t + r["end"] - r["start"] + 1)
+    one = lines.select("doc", "row", "n").dropDuplicates(["doc", "row"])
+    return runs.join(one, ["doc", "row"]).select("doc", "row", "runs", count.alias("removed_lines"), words.alias("removed_words"))
+
+
+def dedup_lines(docs: DataFrame, min_words: int = 30) -> DataFrame:
     """The columns of ``docs`` with text cut down, and n_lines, removed_lines and removed_words.
 
-    A line ends at a new line or after a sentence mark and a blank; lines are compared without outer blanks. Of every ``window`` lines in a row the one with the least hash is a fingerprint, and so is every line
-    of min_words / (window - 1) words or more: a repeated run of whole lines with at least ``min_words`` words has
-    one in any place it occurs. Each fingerprint is compared with the first place of the same line in the order of
-    (doc_id, hash of the text, position), and the match is extended both ways while the lines around agree, up to
-    the next fingerprints. Lines that are reached so form runs; runs of ``min_words`` words or more are deleted, and
-    the first occurrence stays. n_chars, where there is one, is set to the new length.
+    A line ends at a new line or after a sentence mark and a blank; lines are compared without outer blanks. The
+    shortest runs of ``min_words`` words from each line on and up to each line are the fingerprints: every repeated
+    run of whole lines with at least ``min_words`` words is the union of those inside it, whatever stands around it.
+    Each fingerprint is compared with the first place of the same run in the order of (doc_id, hash of the text,
+    position); all others are deleted, and the first occurrence stays. n_chars, where there is one, is set to the new length.
 
     Null texts stay null and empty ones empty (n_lines 0); a null doc_id comes last in order; rows that are equal in
     doc_id and text are one occurrence and are treated alike; an empty table gives an empty one; extra columns pass
     through, with n_lines, removed_lines and removed_words replaced if they exist.
     """
-    lines = cut(line_table(docs, window, -(-min_words // (window - 1))))
-    found = repeated_runs(lines, window, min_words)
+    lines = cut(line_table(docs))
+    found = repeated_runs(lines, min_words)
     one = lines.select(F.col("doc").alias("_doc"), F.col("row").alias("_row"), F.size("n").cast("long").alias("_lines")).dropDuplicates(["_doc", "_row"])
     found = one.join(found.select(F.col("doc").alias("_doc"), F.col("row").alias("_row"), F.col("runs").alias("_runs"), F.col("removed_lines").alias("_rl"), F.col("removed_words").alias("_rw")), ["_doc", "_row"], "left")
     keyed = docs.drop("n_lines", "removed_lines", "removed_words").withColumns({"_doc": _order()[0], "_row": _order()[1]})

@@ -275,6 +275,19 @@ def test_line_dedup_against_brute_force(spark):
     assert [got[i] for i in range(25)] == brute_runs(texts, 30)
 
 
+def test_line_dedup_with_common_lines(spark):
+    rng = random.Random(14)
+    common = [text(rng, n) + "." for n in (2, 3, 4, 5, 6, 7)]
+    parts = [[rng.choice(common) if rng.random() < 0.6 else text(rng, rng.randrange(1, 34)) + "." for _ in range(rng.randrange(6, 16))] for _ in range(8)]
+    texts = []
+    for i in range(40):
+        own = [text(rng, rng.randrange(3, 9)) + f" {i}." if rng.random() < 0.5 else rng.choice(common) for _ in range(8)]
+        at = rng.randrange(9)
+        texts.append("\n".join(own[:at] + (rng.choice(parts) if rng.random() < 0.7 else []) + own[at:]))
+    got = {r["doc_id"]: r["removed_lines"] for r in line_dedup.dedup_lines(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(40)] == brute_runs(texts, 30)
+
+
 # decontamination
 
 
