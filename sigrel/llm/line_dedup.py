@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import WORD, cut
 
 #: A line ends at a new line, or at a sentence's end inside one: passages are often put into the middle of lines.
 LINE_END = r"(?<=\n)|(?<=[.!?] )"
 #: Stands for a line's end while a text is split; a text that has it itself is split by the pattern, more slowly.
 _CUT = "\ue000"
-_BLANK = " \n\t\r"
+_BLANK = " \n\t\r\x0b\x0c"
 _FAR = (1 << 63) - 1
 
 
@@ -23,8 +23,10 @@ def _lines(text: Column) -> Column:
 
 
 def _words(line: Column) -> Column:
-    """Words of a line that has no outer blanks, counted by the blanks between them."""
-    return F.when(line == "", 0).otherwise(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
+    """Words of a line that has no outer blanks. Where single blanks part them, counting blanks is enough, and cheaper."""
+    spaces = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
+    plain = ~F.contains(line, F.lit("  ")) & (F.translate(line, "\t\n\x0b\x0c\r", "") == line)
+    return F.when(line == "", 0).when(plain, spaces + 1).otherwise(F.regexp_count(line, F.lit(WORD)))
 
 
 def _order() -> list[Column]:
@@ -32,10 +34,14 @@ def _order() -> list[Column]:
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """Each distinct text's lines: (doc, row, h, n), hashes and words."""
+    """Each distinct text's lines: (doc, row, n_lines, at, h, n), all lines' number, and the places, hashes and words of
+    those that aren't blank."""
     d = docs.where("text is not null").select(*_order(), F.transform(_lines(F.col("text")), lambda x: F.btrim(x, F.lit(_BLANK))).alias("u"))
-    d = d.select("doc", "row", F.transform("u", lambda x: F.xxhash64(x)).alias("h"), F.transform("u", _words).alias("n"))
-    return d.where(F.size("n") > 0)
+    d = d.withColumn("n_lines", F.size("u")).where("n_lines > 0")
+    # null where there is no blank line
+    d = d.withColumn("at", F.when(F.array_contains("u", F.lit("")), F.expr("filter(sequence(0, n_lines - 1), i -> u[i] != '')")))
+    d = d.withColumn("u", F.when(F.col("at").isNotNull(), F.array_remove("u", F.lit(""))).otherwise(F.col("u")))
+    return d.select("doc", "row", "n_lines", "at", F.transform("u", lambda x: F.xxhash64(x)).alias("h"), F.transform("u", _words).alias("n"))
 
 
 def _least_runs(lines: DataFrame, min_words: int) -> DataFrame:
@@ -45,7 +51,7 @@ def _least_runs(lines: DataFrame, min_words: int) -> DataFrame:
     words stay below ``min_words``, largest first; sums that reach beyond the text are null and never taken.
     """
     levels = (min_words - 1).bit_length()
-    d = lines.withColumn("s0", F.col("n"))
+    d = lines.where(F.size("n") > 0).withColumn("s0", F.col("n"))
     for k in range(1, levels):
         before = F.col(f"s{k - 1}")
         d = d.withColumn(f"s{k}", F.zip_with(before, F.slice(before, (1 << k - 1) + 1, F.size("n")), lambda a, b: a + b))
@@ -81,15 +87,18 @@ def repeated_runs(lines: DataFrame, min_words: int = 30) -> DataFrame:
     runs = runs.groupBy("doc", "row").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
     words = F.aggregate("runs", F.lit(0).cast("long"), lambda t, r: t + F.aggregate(F.slice("n", r["start"] + 1, r["end"] - r["start"] + 1), F.lit(0).cast("long"), lambda a, x: a + x))
     count = F.aggregate("runs", F.lit(0).cast("long"), lambda t, r: t + r["end"] - r["start"] + 1)
-    one = lines.select("doc", "row", "n").dropDuplicates(["doc", "row"])
-    return runs.join(one, ["doc", "row"]).select("doc", "row", "runs", count.alias("removed_lines"), words.alias("removed_words"))
+    place = lambda i: F.coalesce(F.get("at", i), i)
+    placed = F.transform("runs", lambda r: F.struct(place(r["start"]).alias("start"), place(r["end"]).alias("end")))
+    one = lines.select("doc", "row", "n", "at").dropDuplicates(["doc", "row"])
+    found = runs.join(one, ["doc", "row"]).select("doc", "row", words.alias("removed_words"), placed.alias("runs"))
+    return found.select("doc", "row", "runs", count.alias("removed_lines"), "removed_words")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 30) -> DataFrame:
     """The columns of ``docs`` with text cut down, and n_lines, removed_lines and removed_words.
 
-    A line ends at a new line or after a sentence mark and a blank; lines are compared without outer blanks. The
-    shortest runs of ``min_words`` words from each line on and up to each line are the fingerprints: every repeated
+    A line ends at a new line or after a sentence mark and a blank; lines are compared without outer blanks,
+    and blank ones are passed over (those inside a deleted run go with it). The shortest runs of ``min_words`` words from each line on and up to each line are the fingerprints: every repeated
     run of whole lines with at least ``min_words`` words is the union of those inside it, whatever stands around it.
     Each fingerprint is compared with the first place of the same run in the order of (doc_id, hash of the text,
     position); all others are deleted, and the first occurrence stays. n_chars, where there is one, is set to the new length.
@@ -100,7 +109,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 30) -> DataFrame:
     """
     lines = cut(line_table(docs))
     found = repeated_runs(lines, min_words)
-    one = lines.select(F.col("doc").alias("_doc"), F.col("row").alias("_row"), F.size("n").cast("long").alias("_lines")).dropDuplicates(["_doc", "_row"])
+    one = lines.select(F.col("doc").alias("_doc"), F.col("row").alias("_row"), F.col("n_lines").cast("long").alias("_lines")).dropDuplicates(["_doc", "_row"])
     found = one.join(found.select(F.col("doc").alias("_doc"), F.col("row").alias("_row"), F.col("runs").alias("_runs"), F.col("removed_lines").alias("_rl"), F.col("removed_words").alias("_rw")), ["_doc", "_row"], "left")
     keyed = docs.drop("n_lines", "removed_lines", "removed_words").withColumns({"_doc": _order()[0], "_row": _order()[1]})
     j = keyed.join(found.hint("shuffle_hash"), ["_doc", "_row"], "left")

@@ -288,6 +288,26 @@ def test_line_dedup_with_common_lines(spark):
     assert [got[i] for i in range(40)] == brute_runs(texts, 30)
 
 
+def test_line_dedup_over_blanks(spark):
+    rng = random.Random(15)
+    own = lambda n=8: [text(rng, rng.randrange(3, 9)) for _ in range(n)]
+    parts = [own() for _ in range(30)]
+    texts, want = [], []
+    for p in parts:
+        for gap in ("\n\n", "\n \t\n\n"):
+            texts.append(gap.join(own() + p + own()))
+            want.append(0 if gap == "\n\n" else sum(len(x.split()) for x in p))
+    rows = ["a\tb\tc\td  e", "f\t\tg\x0bh"] * 2 + ["i j"]  # 18 words, by single blanks 11
+    texts += ["\n".join([*rows, "k"]), "\n".join([*rows, "l"]), "\n".join([*rows, *["m\tn o\tp"] * 3, "q"]), "\n".join([*rows, *["m\tn o\tp"] * 3, "r"])]
+    want += [0, 0, 0, 30]
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs(spark, texts)).collect()}
+    assert [got[i]["removed_words"] for i in range(len(texts))] == want
+    for i, x in enumerate(texts):
+        assert got[i]["n_lines"] == len([u for u in re.split(line_dedup.LINE_END, x) if u])
+        kept = [u for u in got[i]["text"].split("\n") if u.strip()]
+        assert kept == ([u for u in x.split("\n") if u.strip()] if not want[i] else [u for u in x.split("\n") if u.strip()][: 8 if i < 60 else 0] + ([u for u in x.split("\n") if u.strip()][-8 if i < 60 else -1 :]))
+
+
 # decontamination
 
 
