@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,11 +44,19 @@ def _order(text: str = "text", doc_id: str = "doc_id") -> list[Column]:
 def line_table(docs: DataFrame) -> DataFrame:
     """Each row's lines: (doc, row, n_lines, at, h, n), all lines' number, and the places, hashes and words of those
     that aren't blank. ``at`` is null where no line is blank."""
+    t = F.col("t")
+    has = lambda *parts: reduce(or_, (F.contains(t, F.lit(x)) for x in parts))
     d = docs.where("text is not null and text <> ''").select(*_order(), F.col("text").alias("t"))
-    # where blanks are single spaces, a word more than there are blanks; so for nearly all texts, and cheaper
-    d = d.withColumn("plain", (F.translate("t", "\t\x0b\x0c\r", "") == F.col("t")) & ~F.contains("t", F.lit("  ")))
-    d = d.select("doc", "row", "plain", F.when(F.col("plain"), F.transform(_lines(F.col("t")), lambda x: F.btrim(F.rtrim(x, F.lit(" \n"))))).otherwise(F.transform(_lines(F.col("t")), lambda x: F.btrim(x, F.lit(_BLANK)))).alias("u"))
-    d = d.withColumn("n_lines", F.size("u")).where("n_lines > 0")
+    # where blanks are single spaces, a line has a word more than it has blanks; so in nearly all texts, and cheaper
+    d = d.withColumn("plain", ~has("\t", "\x0b", "\x0c", "\r", "  ", _CUT))
+    bare = t
+    for end in ("\n", ". ", "! ", "? "):
+        bare = F.replace(bare, F.lit(end), F.lit(end[:-1] + _CUT))
+    # the ends are split off here, which leaves an empty piece behind the last one
+    d = d.withColumn("bare", F.when(F.col("plain"), bare))
+    d = d.withColumn("pieces", F.when(F.col("plain"), F.transform(F.split("bare", _CUT), lambda x: F.btrim(x))).otherwise(F.transform(_lines(t), lambda x: F.btrim(x, F.lit(_BLANK)))))
+    d = d.withColumn("u", F.when(F.endswith("bare", F.lit(_CUT)), F.slice("pieces", 1, F.size("pieces") - 1)).otherwise(F.col("pieces")))
+    d = d.select("doc", "row", "plain", "u").withColumn("n_lines", F.size("u")).where("n_lines > 0")
     d = d.withColumn("at", F.when(F.array_contains("u", F.lit("")), F.expr("filter(sequence(0, n_lines - 1), i -> u[i] != '')")))
     d = d.withColumn("u", F.when(F.col("at").isNotNull(), F.array_remove("u", F.lit(""))).otherwise(F.col("u")))
     spaces = F.transform("u", lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1)
@@ -99,22 +110,23 @@ def repeated_runs(lines: DataFrame, tables: Tables, min_words: int = 30) -> Data
 
     ``lines`` has one row a text: that of its first document.
     """
-    f = fingerprints(lines, min_words)
+    f = tables.put(fingerprints(lines, min_words))
     # lines chosen in two places or more: only around these can a run be repeated
     repeated = tables.put(f.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key"))
     hits = f.join(repeated.hint("shuffle_hash"), "key").groupBy("doc", "row").agg(F.collect_set("chosen").alias("chosen_ones"))
-    hits = tables.put(hits)
     near = tables.put(lines.join(hits, ["doc", "row"]))
+    tables.drop(f, repeated)
     d = _steps(_least_runs(near, min_words).withColumn("b", F.col("i")), "b", -1, min_words)
     # the shortest run up to i is also that from its own first line on, unless it holds enough words without line i
     d = d.withColumn("b", F.when(F.col("b_words") + F.get("n", F.col("b")) - F.get("n", F.col("i")) >= min_words, F.col("b")))
     on = F.when(F.array_contains("chosen_ones", F.col("chosen")), F.struct(F.col("i").alias("start"), F.col("e").alias("end")))
     up = F.when(F.col("b").isNotNull(), F.struct(F.col("b").alias("start"), F.col("i").alias("end")))
     runs = d.select("doc", "row", "h", F.explode(F.array(on, up)).alias("r")).where("r is not null")
-    runs = runs.select("doc", "row", F.col("r.start").alias("start"), F.col("r.end").alias("end"), F.expr("xxhash64(slice(h, r.start + 1, r.end - r.start + 1))").alias("key"))
+    runs = tables.put(runs.select("doc", "row", F.col("r.start").alias("start"), F.col("r.end").alias("end"), F.expr("xxhash64(slice(h, r.start + 1, r.end - r.start + 1))").alias("key")))
     first = tables.put(runs.groupBy("key").agg(F.count("*").alias("times"), F.min(F.struct("doc", "row", "start")).alias("first")).where("times > 1").select("key", "first"))
     m = runs.join(first.hint("shuffle_hash"), "key").where(F.struct("doc", "row", "start") > F.col("first"))
     m = tables.put(m.groupBy("doc", "row", "start").agg(F.max("end").alias("end")))
+    tables.drop(runs, first)
     w = Window.partitionBy("doc", "row").orderBy("start")
     m = m.withColumn("new", F.coalesce(F.col("start") > F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)) + 1, F.lit(True)))
     m = m.withColumn("run", F.count_if("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -161,16 +173,16 @@ def dedup_lines(docs: DataFrame, min_words: int = 30) -> DataFrame:
     gone = nonblank.select("doc", "row", F.array(F.struct(F.lit(0).alias("start"), (F.col("n_all") - 1).alias("end"))).alias("runs"), "removed_lines", F.col("words").alias("removed_words"))
     found = tables.put(repeated_runs(lines, tables, min_words).unionByName(gone))
 
-    new = {"n_lines": F.col("n_lines"), "removed_lines": F.coalesce("removed_lines", F.lit(0)).cast("long"), "removed_words": F.coalesce("removed_words", F.lit(0)).cast("long")}
+    new = ("n_lines", "removed_lines", "removed_words")
     given = [c for c in docs.columns if c not in new]
-    keyed = docs.select(F.struct(*given).alias("it"), F.col("text").alias("text"), *_order()).withColumn("n_lines", _n_lines(F.col("text")))
+    keyed = docs.select(F.struct(*given).alias("it"), F.col("text").alias("text"), *_order())
     keyed = sifted(keyed, F.xxhash64("doc", "row"), sieve(found.select(F.xxhash64("doc", "row").alias("place")), "place"))
-    touched = keyed.where("_may").join(found.hint("shuffle_hash"), ["doc", "row"], "left")
-    kept = F.array_join(F.filter(_lines(F.col("text")), lambda x, i: ~F.exists("runs", lambda r: (i >= r["start"]) & (i <= r["end"]))), "")
-    touched = touched.withColumn("text", F.when(F.col("runs").isNotNull(), kept).otherwise(F.col("text")))
-    same = keyed.where("not _may").withColumns({"runs": F.lit(None).cast(found.schema["runs"].dataType), "removed_lines": F.lit(0).cast("long"), "removed_words": F.lit(0).cast("long")})
-    out = touched.select("it", "text", "runs", *new).unionByName(same.select("it", "text", "runs", *new))
+    same = keyed.where("not _may").select("it", "text", F.lit(None).cast(found.schema["runs"].dataType).alias("runs"), _n_lines(F.col("text")).alias("n_lines"), *[F.lit(0).cast("long").alias(c) for c in new[1:]])
+    touched = keyed.where("_may").select("it", "text", "doc", "row").join(found.hint("shuffle_hash"), ["doc", "row"], "left")
+    touched = touched.withColumn("lines", _lines(F.col("text")))
+    kept = F.array_join(F.filter("lines", lambda x, i: ~F.exists("runs", lambda r: (i >= r["start"]) & (i <= r["end"]))), "")
+    touched = touched.select("it", F.when(F.col("runs").isNotNull(), kept).otherwise(F.col("text")).alias("text"), "runs", F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in new[1:]])
     cols = {c: F.col("it").getField(c) for c in given} | {"text": F.col("text")}
     if "n_chars" in given:
         cols["n_chars"] = F.when(F.col("runs").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("it.n_chars"))
-    return out.select(*[v.alias(c) for c, v in (cols | new).items()])
+    return touched.unionByName(same).select(*[v.alias(c) for c, v in cols.items()], *new)
