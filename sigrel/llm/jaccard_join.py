@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, encoded, mix
+from .common import Tables, WordHashes, encoded, mix, sieve, sifted
 from .components import connected_components
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -23,6 +23,8 @@ LIST_COST = 4
 PAIRS_PER_ENTRY = 16
 #: Members of a list that are compared with all others in a round.
 HUBS = 6
+#: Rarest shingles of a set that tell whether a pair has met in an earlier list already.
+EARLY = 48
 
 
 class Threshold:
@@ -122,7 +124,8 @@ def _signatures(tokens: np.ndarray, t: Threshold, boundary: int) -> tuple[list,
 
 
 def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, set_hash, parts (a list of keys for each size class), need, subs, sub_sizes; no row is lost."""
+    """doc_id, text_key (a hash of the text), n_shingles, set_hash, parts (a list of keys for each size class), need, subs,
+    sub_sizes; no row is lost."""
     t = Threshold(percent)
     boundary = t.boundary()
 
@@ -130,12 +133,12 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
         words = WordHashes()
         for b in batches:
             rows = []
-            for doc_id, text in zip(b["doc_id"].array, b["text"].array):
+            for doc_id, text, key in zip(b["doc_id"].array, b["text"].array, b["text_key"].array):
                 tokens = shingle_hashes(text, n, words)
-                rows.append((doc_id, len(tokens), xxhash.xxh3_128_digest(tokens.tobytes()) if len(tokens) else None, *_signatures(tokens, t, boundary)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_hash", "parts", "need", "subs", "sub_sizes"]).astype({"doc_id": "Int64"})
+                rows.append((doc_id, key, len(tokens), xxhash.xxh3_128_digest(tokens.tobytes()) if len(tokens) else None, *_signatures(tokens, t, boundary)))
+            yield pd.DataFrame(rows, columns=["doc_id", "text_key", "n_shingles", "set_hash", "parts", "need", "subs", "sub_sizes"]).astype({"doc_id": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, n_shingles long, set_hash binary, parts array<array<long>>, need array<int>, subs array<long>, sub_sizes array<int>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInPandas(run, "doc_id long, text_key long, n_shingles long, set_hash binary, parts array<array<long>>, need array<int>, subs array<long>, sub_sizes array<int>")
 
 
 def sets_of(docs: DataFrame, n: int) -> DataFrame:
@@ -163,12 +166,14 @@ def _light_links(sigs: DataFrame, percent: int) -> DataFrame:
     return j.select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b"))
 
 
-def _candidates(sigs: DataFrame) -> DataFrame:
+def _candidates(sigs: DataFrame, tables: Tables) -> DataFrame:
     """doc_ids of larger sets that agree with others in as many parts as a linked pair must, counted over all others."""
-    p = sigs.select("doc_id", F.posexplode(F.arrays_zip("parts", "need"))).select("doc_id", F.col("pos").alias("class"), F.col("col.need").alias("need"), F.explode("col.parts").alias("key"))
-    met = p.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    p = sigs.select("doc_id", F.posexplode(F.arrays_zip("parts", "need"))).select("doc_id", F.col("pos").cast("byte").alias("class"), F.col("col.need").alias("need"), F.explode("col.parts").alias("key"))
+    met = tables.put(p.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     hits = p.join(met.hint("shuffle_hash"), "key").groupBy("doc_id", "class").agg(F.count("*").alias("hits"), F.min("need").alias("need"))
-    return hits.where("hits >= need").select("doc_id").distinct()
+    found = tables.put(hits.where("hits >= need").select("doc_id").distinct())
+    tables.drop(met)
+    return found
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -178,25 +183,31 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return x.where(100 * both >= percent * (F.size("ta") + F.size("tb") - both)).select("a", "b")
 
 
-def _heavy_links(docs: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
+def _entries(sets: DataFrame, percent: int) -> DataFrame:
+    """Inverted lists over the rarest shingles of each set: (token, doc_id, s, i), i being the place in its order."""
+    one = sets.select("doc_id", F.size("tokens").alias("s"), F.explode("tokens").alias("token"))
+    df = one.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    known = one.join(df.hint("shuffle_hash"), "token")
+    w = Window.partitionBy("doc_id").orderBy("df", "token")
+    shared = Window.partitionBy("doc_id")
+    e = known.withColumn("i", F.col("s") - F.count("*").over(shared) + F.row_number().over(w) - 1).where(F.col("i") <= F.floor(F.col("s") * (100 - percent) / 100))
+    return e.select("token", "doc_id", F.col("s").cast("long"), F.col("i").cast("long"))
+
+
+def _heavy_links(docs: DataFrame, candidates: DataFrame, n: int, percent: int, tables: Tables) -> DataFrame:
     """Links of larger sets that connect all that links connect, from inverted lists over each set's rarest shingles.
 
     Shingles are ordered by rarity (among the candidates; any order is right). Linked sets of s and t elements share
     c = ceil(percent * (s + t) / (100 + percent)) at least, so where they first meet, at places i and j of their
-    orders, i <= s - c and j <= t - c. Members of a list that meet this bound with no size in it are dropped. Then, round by round, a few members with the fewest rare shingles (the most
-    central of each lot) are compared with all others and leave the list, as their links are known; lists whose members are all
-    connected already are done. When few pairs between groups are left, they are compared outright.
+    orders, i <= s - c and j <= t - c. Members of a list that meet this bound with no size in it are dropped. Then,
+    round by round, a few members with the fewest rare shingles (the most central of each lot) are compared with all
+    others and leave the list, as their links are known; lists whose members are all connected already are done. When
+    few pairs between groups are left, they are compared outright, each in the first list in which it meets.
     """
-    text = docs.join(reps.select(F.col("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi")
-    sets = cut(sets_of(text, n).where(F.size("tokens") > 0).dropDuplicates(["doc_id"]))
-    one = sets.select("doc_id", F.size("tokens").cast("long").alias("s"), F.explode("tokens").alias("token"))
-    df = one.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    known = one.join(df.hint("shuffle_hash"), "token")
-    w = Window.partitionBy("doc_id").orderBy("df", "token")
-    shared = Window.partitionBy("doc_id")
-    allowed = F.floor(F.col("s") * (100 - percent) / 100)
-    e = known.withColumn("i", F.col("s") - F.count("*").over(shared) + F.row_number().over(w) - 1).where(F.col("i") <= allowed)
-    entries = cut(e.select("token", "doc_id", "s", F.col("i").cast("long")))
+    maybe = sifted(docs, F.col("doc_id"), sieve(candidates, "doc_id")).where("_may").drop("_may")
+    text = maybe.join(candidates.hint("shuffle_hash"), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
+    sets = tables.put(sets_of(text, n).where(F.size("tokens") > 0))
+    entries = tables.put(_entries(sets, percent))
     labels, links, turn = None, None, 0
     # a linked pair has this many elements in common at least, so each set has no more than the rest before they first meet
     common = lambda s, t: F.ceil((s + t) * percent / (100 + percent))
@@ -210,34 +221,39 @@ def _heavy_links(docs: DataFrame, reps: DataFrame, n: int, percent: int) -> Data
         e = e.withColumn("lot", F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.lit(HUBS)).cast("int"))
         lots = e.groupBy("token", "lot").agg(F.min(F.struct("i", "doc_id", "s", "component")).alias("hub"), F.min("s").alias("least"), F.count("*").alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1"))
         lists = lots.groupBy("token").agg(F.sort_array(F.collect_list("hub")).alias("hubs"), F.min("least").alias("least"), F.sum("n").alias("n"), F.min("c0").alias("c0"), F.max("c1").alias("c1")).where("n > 1 and c0 < c1")
-        m = e.join(lists, "token").where(F.col("i") <= room)
-        m = cut(m.select("token", "doc_id", "s", "i", "component", "hubs"))
+        m = tables.put(e.join(lists, "token").where(F.col("i") <= room).select("token", "doc_id", "s", "i", "component", "hubs"))
+        tables.drop(entries)
         sizes = m.groupBy("token", "component").agg(F.count("*").alias("k")).groupBy("token").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("same"))
         left = sizes.agg(F.sum("n").alias("entries"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs")).first()
         if not left["pairs"]:
             break
         last = left["pairs"] <= PAIRS_PER_ENTRY * left["entries"]
         if last:
-            y = m.select("token", F.struct("i", "doc_id", "s", "component").alias("hub"))
-            p = m.drop("hubs").join(y, "token").where(F.col("component") < F.col("hub.component"))
+            early = m.groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("i", "token"))), 1, EARLY).alias("early"))
+            x = tables.put(m.drop("hubs").join(early.select("doc_id", F.col("early.token").alias("early")), "doc_id"))
+            y = x.select("token", "early", F.struct("i", "doc_id", "s", "component").alias("hub"))
+            p = x.alias("x").join(y.alias("y"), "token").where(F.col("component") < F.col("hub.component"))
+            # a pair that meets in an earlier list is formed there
+            p = p.where(F.coalesce(F.get(F.array_intersect("x.early", "y.early"), F.lit(0)), F.col("token")) == F.col("token"))
         else:
             p = m.withColumn("hub", F.explode("hubs")).where(F.col("component") != F.col("hub.component"))
         meet = common(F.col("s"), F.col("hub.s"))
         p = p.where((F.col("i") <= F.col("s") - meet) & (F.col("hub.i") <= F.col("hub.s") - meet) & (F.least("s", "hub.s") * 100 >= F.greatest("s", "hub.s") * percent))
         p = p.select(F.least("doc_id", "hub.doc_id").alias("a"), F.greatest("doc_id", "hub.doc_id").alias("b")).distinct()
-        found = cut(_verified(p, sets, percent))
+        found = tables.put(_verified(p, sets, percent))
         links = found if links is None else links.union(found)
         if last:
             break
         labels = connected_components(links)
         links = labels.select(F.col("id").alias("a"), F.col("component").alias("b"))  # connects the same
-        entries = m.where(~F.array_contains(F.transform("hubs", lambda h: h["doc_id"]), F.col("doc_id"))).select("token", "doc_id", "s", "i")
+        entries = tables.put(m.where(~F.array_contains(F.transform("hubs", lambda h: h["doc_id"]), F.col("doc_id"))).select("token", "doc_id", "s", "i"))
+        tables.drop(m)
         turn += 1
     return links
 
 
 def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """Every row of ``docs`` with the size of its shingle set and its group: doc_id, n_shingles, component_id.
+    """Every row of ``docs`` with the size of its shingle set and its group: doc_id, text_key, n_shingles, component_id.
 
     Two documents link when 100 * |A and B| >= percent * |A or B| over their sets of distinct n-word shingles; a
     group is what links connect, named by its smallest doc_id. Equal sets are one class, joined by its smallest
@@ -248,18 +264,26 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     Null or empty texts have no shingles and are groups of their own; a text with fewer than n words is one
     shingle; rows with a null doc_id keep a null component_id unless their class has a doc_id; rows that repeat a
-    doc_id are handled each by its own text; an empty table gives an empty one; other columns are ignored.
+    doc_id have each the size and the class of their own text (of two long texts under one doc_id, the greater one's
+    links count); long texts are sets like others; an empty table gives an empty one; other columns are ignored.
+    text_key is Spark's hash of the text, to tell rows of one doc_id apart.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sigs = cut(signatures(docs, n, percent))
-    classes = sigs.where("set_hash is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
-    reps = classes.where("rep is not null").select(F.col("rep").alias("doc_id"))
-    firsts = sigs.where("set_hash is not null").select("doc_id", "n_shingles", "subs", "sub_sizes").where(F.size("subs") > 0).join(reps, "doc_id", "left_semi")
-    light = _light_links(firsts, percent)
-    candidates = cut(_candidates(sigs.where("set_hash is not null and doc_id is not null")).join(reps, "doc_id", "left_semi"))
-    heavy = _heavy_links(docs, candidates, n, percent)
+    tables = Tables(docs.sparkSession)
+    sigs = tables.put(signatures(docs, n, percent))
+    some = sigs.where("set_hash is not null")
+    classes = tables.put(some.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
+    # one row a class; the row of a class of its own needs no shuffle to be found
+    copied = tables.put(classes.where("n > 1 and rep is not null").select("set_hash", F.col("rep").alias("doc_id")))
+    apart = sifted(some.where("doc_id is not null"), F.col("set_hash"), sieve(copied, "set_hash"))
+    maybe = apart.where("_may").join(copied.select("set_hash", F.col("doc_id").alias("rep")).hint("shuffle_hash"), "set_hash", "left")
+    firsts = maybe.where("rep is null or rep = doc_id").drop("rep").dropDuplicates(["set_hash"])
+    reps = apart.where("not _may").unionByName(firsts).drop("_may")
+    light = _light_links(reps, percent)
+    candidates = _candidates(reps, tables)
+    heavy = _heavy_links(docs, candidates, n, percent, tables)
     links = light if heavy is None else light.union(heavy)
     groups = connected_components(links)
     named = classes.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component_id"))
-    out = sigs.select("doc_id", "n_shingles", "set_hash").join(named, "set_hash", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = sigs.select("doc_id", "text_key", "n_shingles", "set_hash").join(named, "set_hash", "left")
+    return out.select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
