@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,12 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words
-
-#: Bounds of the training sample: rows of a language, languages, and words of a text that may be in it.
-SAMPLE_ROWS, SAMPLE_LANGS, SAMPLE_WORDS = 400, 200, 4000
+#: Bounds of the training sample: rows of a language, and rows in all, shared evenly by however many languages.
+SAMPLE_ROWS, SAMPLE_TOTAL = 400, 8000
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass
@@ -59,11 +55,12 @@ def _vectors(texts, idf: np.ndarray, sizes: tuple[int, ...]) -> np.ndarray:
     return _unit(np.log1p(x) * idf)
 
 
-def train(texts: list[str], langs: list[str], clusters: int = 3, buckets: int = 1 << 12, sizes: tuple[int, ...] = (1, 2, 3), room: float = 0.7, seed: int = 3) -> LanguageModel:
-    """idf over the sample, then spherical k-means with ``clusters`` centroids in each language."""
-    names = sorted(set(langs))
-    counts = _counts(texts, sizes, buckets)
-    idf = np.log((1 + len(texts)) / (1 + (counts > 0).sum(0))).astype(np.float32) + 1
+def train(counts: np.ndarray, langs: list[str], clusters: int = 3, sizes: tuple[int, ...] = (1, 2, 3), room: float = 0.7, seed: int = 3) -> LanguageModel:
+    """idf over the sample's n-gram counts, then spherical k-means with ``clusters`` centroids in each language.
+
+    Without a row the model has no language."""
+    names, buckets = sorted(set(langs)), counts.shape[1]
+    idf = np.log((1 + len(langs)) / (1 + (counts > 0).sum(0))).astype(np.float32) + 1
     x = _unit(np.log1p(counts) * idf)
     which = np.array([names.index(v) for v in langs], np.int64)
     rng = np.random.default_rng(seed)
@@ -83,25 +80,41 @@ def train(texts: list[str], langs: list[str], clusters: int = 3, buckets: int =
     return LanguageModel(names, idf, np.array(centroids, np.float32).reshape(-1, buckets), np.array(owner, np.int64), np.array(reach), sizes)
 
 
-def fit(docs: DataFrame, learn=None, sample_rows: int = SAMPLE_ROWS, sample_langs: int = SAMPLE_LANGS, sample_words: int = SAMPLE_WORDS) -> LanguageModel:
-    """Learn from text and lang of a bounded sample: of each language the ``sample_rows`` rows of least hash.
+def _has_letter(text) -> bool:
+    return isinstance(text, str) and any(c.isalpha() for c in text)
+
+
+def fit(docs: DataFrame, learn=None, sample_rows: int = SAMPLE_ROWS, sample_total: int = SAMPLE_TOTAL, buckets: int = 1 << 12, sizes: tuple[int, ...] = (1, 2, 3)) -> LanguageModel:
+    """Learn from text and lang of a bounded sample: of each language the ``sample_rows`` rows of least hash, or fewer
+    if that makes more than ``sample_total`` rows in all (one a language at least).
 
-    Of the ``sample_langs`` most frequent languages; rows with a null lang or id, with texts of more than
-    ``sample_words`` words or without a letter are not learned from. ``learn`` is a condition on doc_id.
+    Rows with a null lang or id or without a letter are not learned from; ``learn`` is a condition on doc_id. Of rows
+    that repeat a lang and doc_id one is in the sample, that of least hash of the text. The n-grams of whole texts
+    are counted by Spark, so a sampled row is a vector of ``buckets`` numbers on the driver, whatever its length.
+    A table without such rows gives a model that knows no language.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     d = d.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}"))
     if learn is not None:
         d = d.where(learn)
-    langs = [r["lang"] for r in d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample_langs).collect()]
-    # the least hashes of each language, found before any text is moved
-    ids = d.where(F.col("lang").isin(langs)).where(n_words(F.col("text")) <= sample_words).select("doc_id", "lang")
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = ids.withColumn("place", F.row_number().over(w)).where(F.col("place") <= sample_rows).select("doc_id", "lang")
-    got = d.join(F.broadcast(ids), ["doc_id", "lang"]).select("doc_id", "text", "lang").dropDuplicates(["doc_id"]).toPandas().sort_values(["doc_id", "lang"])
-    if got.empty:
-        raise ValueError("no row with a language and a letter to learn from")
-    return train(list(got["text"]), list(got["lang"]))
+    # the least hashes of each language, found before any text is moved: first of each of its lots, then of the rest
+    d = d.withColumn("text_key", F.xxhash64("text"))
+    ids = d.groupBy("lang", "doc_id").agg(F.min("text_key").alias("text_key")).withColumn("at", F.xxhash64("doc_id"))
+    order = [F.col("at"), F.col("doc_id")]
+    ids = ids.withColumn("place", F.row_number().over(Window.partitionBy("lang", F.pmod("at", F.lit(64))).orderBy(*order))).where(F.col("place") <= sample_rows)
+    ids = ids.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("place") <= sample_rows)
+    ids = ids.orderBy("place", "lang").limit(sample_total).select("lang", "doc_id", "text_key")
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x = _counts(list(b["text"].array), sizes, buckets)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "lang": b["lang"], "counts": list(x)})
+
+    some = d.join(F.broadcast(ids), ["lang", "doc_id", "text_key"]).select("doc_id", "lang", "text")
+    got = some.mapInPandas(count, "doc_id long, lang string, counts array<float>").toPandas()
+    got = got.sort_values(["lang", "doc_id"], kind="stable").drop_duplicates(["lang", "doc_id"])  # equal rows
+    x = np.stack(got["counts"].to_list()).astype(np.float32) if len(got) else np.zeros((0, buckets), np.float32)
+    return train(x, got["lang"].to_list(), sizes=sizes)
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -110,7 +123,8 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     ``nearest`` is the language of the centroid with the largest cosine (the first in order if equal) and score that
     cosine, held to 0 to 1; ``rejected`` says that the text is further from the centroid than its own texts are, and
     ``lang`` is the nearest language unless rejected, else "und". A null text or one without a letter has nearest
-    and lang "und" and score 0. Whole texts are used. Extra columns pass through; an empty table gives an empty one.
+    and lang "und" and score 0, as has any text if the model knows no language. Whole texts are used, of any length;
+    equal rows get equal results. Extra columns pass through; an empty table gives an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -118,7 +132,10 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
         m = shared.value
         for texts in batches:
             t = list(texts.array)
-            known = np.array([isinstance(x, str) and bool(_LETTER.search(x)) for x in t], bool)
+            known = np.array([_has_letter(x) for x in t], bool)
+            if not m.langs:
+                yield pd.DataFrame({"nearest": UNKNOWN, "score": 0.0, "rejected": True, "lang": UNKNOWN}, index=range(len(t)))
+                continue
             cos = np.concatenate([_vectors(t[i : i + 250], m.idf, m.sizes) @ m.centroids.T for i in range(0, len(t), 250)]) if t else np.empty((0, len(m.owner)))
             best = cos.argmax(1)
             score = np.clip(cos[np.arange(len(t)), best], 0, 1).astype(np.float64)
