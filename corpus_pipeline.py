@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigrel.llm import decontaminate, line_dedup, toxicity
-from sigrel.llm.common import held_out, n_words, prepare, table
+from sigrel.llm.common import Tables, held_out, n_words, prepare, sieve, sifted, table
 from sigrel.llm.jaccard_join import jaccard_groups
 from sigrel.llm.mixing import mix_sources
 
@@ -32,16 +32,20 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of five-word shingles at 0.8 connect, the one with the smallest doc_id stays, once.
+    """Of documents that links of five-word shingles at 0.8 connect, the one with the smallest doc_id stays.
 
-    Documents without words are in no group and stay, as do those without a doc_id.
+    Rows that repeat both doc_id and text stay once (any of them, if other columns differ); different texts under one
+    doc_id are judged apart. Documents without words are in no group and stay, as do those without a doc_id.
     """
-    prepare(spark)
-    groups = jaccard_groups(docs, n=5, percent=80)
-    kept = groups.where((F.col("doc_id") == F.col("component_id")) | (F.col("n_shingles") == 0)).groupBy("doc_id").agg(F.count("*").alias("_rows")).where("doc_id is not null")
-    stay = docs.join(kept.hint("shuffle_hash"), "doc_id")
-    once = stay.where("_rows > 1").dropDuplicates(["doc_id"])
-    return stay.where("_rows = 1").unionByName(once).select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    groups = jaccard_groups(docs, n=5, percent=80).where("doc_id is not null")
+    stays = F.bool_or((F.col("doc_id") == F.col("component_id")) | (F.col("n_shingles") == 0))
+    # what goes or is there twice; all other rows are let through without a shuffle of their texts
+    odd = Tables(spark).put(groups.groupBy("doc_id", "text_key").agg(stays.alias("stays"), F.count("*").alias("times")).where("not stays or times > 1").select("doc_id", "text_key", "stays"))
+    keyed = docs.select(F.struct("*").alias("it"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"))
+    keyed = sifted(keyed, F.xxhash64("doc_id", "text_key"), sieve(odd.select(F.xxhash64("doc_id", "text_key").alias("place")), "place"))
+    maybe = keyed.where("_may").join(odd.hint("shuffle_hash"), ["doc_id", "text_key"], "left")
+    once = maybe.where("stays").dropDuplicates(["doc_id", "text_key"])
+    return keyed.where("not _may").select("it.*").unionByName(maybe.where("stays is null").select("it.*")).unionByName(once.select("it.*"))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
