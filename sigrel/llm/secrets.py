@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import random
 import re
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,61 +13,77 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .vocabulary import Vocabulary
+
 # The base patterns and the order of kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "model")
 _KEYS = (b"passw", b"secret", b"token", b"api")
-_KEY_END = re.compile(rb"(?:password|passwd|secret|token|api_?key|credential|auth|private_?key|access_?key)[\"']?$")
-_KEY_OPEN = re.compile(rb"(?:password|passwd|secret|token|api_?key|credential|auth|private_?key|access_?key)[\"']?[:=]+[\"']?$")
-_KEY_VALUE = re.compile(rb"(?:password|passwd|secret|token|api_?key|credential|auth|private_?key|access_?key)[\"']?[:=]+[\"']?.")
+# Words that announce a secret.
+_NAMES = rb"(?:password|passwd|passphrase|pwd|secret|token|bearer|api_?key|credential|auth|authorization|private_?key|access_?key|secret_?key)s?"
+_KEY_END = re.compile(_NAMES + rb"[\"']?$")
+_KEY_OPEN = re.compile(_NAMES + rb"[\"']?[:=]+[\"']?$")
+_KEY_VALUE = re.compile(_NAMES + rb"[\"']?[:=]+[\"']?.")
+_PREFIXED = re.compile(rb"[A-Za-z]{1,8}[_-](?:[A-Za-z]{2,8}[_-])?[A-Za-z0-9+/_-]{16,}")
 _CORE = re.compile(rb"[A-Za-z0-9+/_.=-]+")
 _STRIP = b"\"'`.,;:!?()[]{}<>"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
-#: Bounds of the training sample: documents, stretches of words, and words on each side of a secret.
-SAMPLE_DOCS, SAMPLE_PARTS, SIDE = 6000, 4000, 8
+#: Bounds of the training sample: documents, stretches of words, planted stretches; words on each side of a secret.
+SAMPLE_DOCS, SAMPLE_PARTS, PLANTED, SIDE = 6000, 3000, 2500, 8
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 #: Bits of a word's shape, from the lowest.
-BITS = ("key", "key and operator", "key and value", "operator", "AKIA", "plain", "8+", "16+", "32+", "hex", "digit", "mixed case", "quoted", "many changes", "upper and digits")
+BITS = ("key", "key and operator", "key and value", "operator", "AKIA", "plain", "8+", "16+", "32+", "hex", "digit", "mixed case", "quoted", "many changes", "upper and digits", "prefixed", "letters and digits")
+#: Bits that are no features: the word holds a key of the fixed patterns, or could hold a long hex run.
+_HAS_KEY, _LONG = 1 << len(BITS), 2 << len(BITS)
+_ALL = (1 << len(BITS)) - 1
+#: What a mask takes away from a planted secret's surroundings and its own start: announcing words and fixed prefixes.
+_MASK = ~(1 | 2 | 4 | 16 | 1 << 15)
+
 
+def base_spans(text: str | None, key: bool = True, long: bool = True) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of the fixed patterns, leftmost and not overlapping within a kind, in code points.
 
-def base_spans(text: str | None) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of the fixed patterns, leftmost and not overlapping within a kind, in code points."""
+    ``key`` and ``long`` say whether a word can hold a key name, or a run of 32 characters.
+    """
     if not text:
         return []
     out = []
-    low = text.encode("utf-8", "surrogatepass").lower()
-    if any(k in low for k in _KEYS):
+    if key:
         out += [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
     if "AKIA" in text:
         out += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text)]
-    out += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
+    if long:
+        out += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
-class Shapes(dict):
-    """word bytes -> bits of its shape; kept for words seen, up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        core = word.strip(_STRIP)
-        low = word.lower()
-        s = bool(_KEY_END.search(low)) | bool(_KEY_OPEN.search(low)) << 1 | bool(_KEY_VALUE.search(low)) << 2 | (word in (b"=", b":", b":=", b"=>", b"==")) << 3
-        s |= core.startswith(b"AKIA") << 4 | bool(_CORE.fullmatch(core)) << 5
-        n = len(core)
-        s |= (n >= 8) << 6 | (n >= 16) << 7 | (n >= 32) << 8
-        if not core.isalpha():
-            kinds = bytes(1 if 48 <= c <= 57 else 0 for c in core)
-            digit = 1 in kinds
-            s |= bool(n >= 8 and digit and not core.translate(None, b"0123456789abcdefABCDEF")) << 9 | digit << 10
-            s |= (sum(a != b for a, b in zip(kinds, kinds[1:])) >= 4) << 13
-            s |= (digit and core.isupper()) << 14
-        s |= (core != core.lower() and core[1:] != core[1:].upper() and core[1:] != core[1:].lower()) << 11
-        s |= (word[:1] in (b'"', b"'", b"`")) << 12
-        if len(self) < 400_000:
-            self[word] = s
-        return s
+def shape(word: bytes) -> int:
+    """Bits of a word's shape."""
+    core = word.strip(_STRIP)
+    low = word.lower()
+    s = bool(_KEY_END.search(low)) | bool(_KEY_OPEN.search(low)) << 1 | bool(_KEY_VALUE.search(low)) << 2 | (word in (b"=", b":", b":=", b"=>", b"==")) << 3
+    s |= core.startswith(b"AKIA") << 4 | bool(_CORE.fullmatch(core)) << 5
+    value = core.rpartition(b"=")[2].rpartition(b":")[2].strip(_STRIP) if s & 4 else core
+    n = len(value)
+    s |= (n >= 8) << 6 | (n >= 16) << 7 | (n >= 32) << 8
+    if not value.isalpha():
+        kinds = bytes(1 if 48 <= c <= 57 else 0 for c in value)
+        digit = 1 in kinds
+        s |= bool(n >= 8 and digit and not value.translate(None, b"0123456789abcdefABCDEF")) << 9 | digit << 10
+        s |= (sum(a != b for a, b in zip(kinds, kinds[1:])) >= 4) << 13
+        s |= (digit and value.isupper()) << 14
+        s |= bool(_PREFIXED.fullmatch(value)) << 15
+        s |= (digit and n >= 8 and sum(kinds) * 5 < 4 * n and value.isalnum()) << 16
+    s |= (value != value.lower() and value[1:] != value[1:].upper() and value[1:] != value[1:].lower()) << 11
+    s |= (word[:1] in (b'"', b"'", b"`")) << 12
+    return s | any(k in low for k in _KEYS) * _HAS_KEY | (len(word) >= 32) * _LONG
+
+
+def shapes_of(words: list[bytes]) -> np.ndarray:
+    return np.array([shape(w) for w in words], np.int64)
 
 
 @dataclass
@@ -86,9 +104,9 @@ class Crf:
         return t
 
 
-def file_features(low: bytes, shapes: np.ndarray) -> np.ndarray:
+def file_features(shapes: np.ndarray) -> np.ndarray:
     """What holds for a whole file: a key word occurs; many words are no plain ones."""
-    return np.array([any(k in low for k in _KEYS), len(shapes) > 0 and (shapes & 32 == 0).mean() > 0.3], np.float64)
+    return np.array([bool((shapes & _HAS_KEY).any()), len(shapes) > 0 and (shapes & 32 == 0).mean() > 0.3], np.float64)
 
 
 def _bits(shapes: np.ndarray) -> np.ndarray:
@@ -98,7 +116,7 @@ def _bits(shapes: np.ndarray) -> np.ndarray:
     return np.stack([(np.where(pad[o : o + len(shapes)] < 0, 0, pad[o : o + len(shapes)])[:, None] >> np.arange(n) & 1) for o in (2, 1, 0, 3)], 1)
 
 
-def train(parts: list[tuple[list[int], list[int], list[float]]], steps: int = 150, rate: float = 0.2, decay: float = 1e-3) -> Crf:
+def train(parts: list[tuple[list[int], list[int], list[float]]], steps: int = 120, rate: float = 0.2, decay: float = 1e-3) -> Crf:
     """Penalised conditional likelihood of labelled stretches by Adam; forward-backward runs over all at once."""
     n, most = len(BITS), max((len(s) for s, _, _ in parts), default=1)
     k = max(1, len(parts))
@@ -184,83 +202,144 @@ def decode(shapes: np.ndarray, f: np.ndarray, tables: np.ndarray, crf: Crf) -> l
     return runs
 
 
-def _labelled(text: str, shapes: Shapes, order: int) -> list[tuple]:
-    """Stretches around the fixed patterns' secrets, and one stretch elsewhere, with their labels."""
+def _token(rng: random.Random, n: int, letters: str = string.ascii_letters + string.digits) -> str:
+    return "".join(rng.choice(letters) for _ in range(n))
+
+
+def planted(rng: random.Random) -> tuple[list[str], list[int]]:
+    """A made-up secret as words, and their labels: what people write around a random string, if anything."""
+    hard, lower, base64 = string.ascii_letters + string.digits, string.ascii_lowercase + string.digits, string.ascii_letters + string.digits + "+/"
+    value = _token(rng, rng.choice((10, 12, 16, 20, 24, 32, 36, 40, 64)), rng.choice((hard, hard, lower, base64, string.ascii_uppercase + string.digits, "0123456789abcdef")))
+    if rng.random() < 0.3:
+        value = rng.choice(("sk", "pk", "key", "xoxb", "tok", "app", "svc", "rk")) + rng.choice("_-") + rng.choice(("", "", "test_", "prod-")) + value
+    if rng.random() < 0.2:
+        value = ".".join((value, _token(rng, 24), _token(rng, 20)))
+    name = rng.choice(("pwd", "password", "Bearer", "auth", "credential", "passphrase", "private_key", "token", "secret"))
+    quote = rng.choice(("", "", "", '"', "'", "`"))
+    value = quote + value + quote
+    form = rng.randrange(7)
+    if form == 0:
+        return [name + ":", value], [OUTSIDE, BEGIN]
+    if form == 1:
+        return [name, rng.choice(("is", "=", "was", ":", "=>")), value], [OUTSIDE, OUTSIDE, BEGIN]
+    if form == 2:
+        return [f"{name}={value}"], [BEGIN]
+    if form == 3:
+        return ["Authorization:", name, value], [OUTSIDE, OUTSIDE, BEGIN]
+    return [value + rng.choice(("", "", ",", "."))], [BEGIN]
+
+
+def harmless(rng: random.Random) -> list[str]:
+    """Words that look odd and are no secret: numbers, dates, addresses, names of things, versions."""
+    n = lambda k: _token(rng, k, string.digits)
+    w = lambda k=7: _token(rng, rng.randrange(3, k), string.ascii_lowercase)
+    return rng.choice(([n(rng.randrange(3, 18))], [f"20{n(2)}-0{n(1)[:1]}-1{n(1)}"], [f"+{n(2)}-{n(3)}-{n(4)}"], [f"{w()}.{w()}{n(2)}@{w()}.com"], [f"https://{w()}.{w()}.org/{w()}/{w()}?id={n(5)}"], [f"v{n(1)}.{n(2)}.{n(1)}"], [f"{w(12)}_{w(12)}_{w(12)}"], [w(12).capitalize() + w(12).capitalize() + w(9).capitalize()], [w(9) + "-" + w(9) + "-" + w(9)], [w(14) + rng.choice(("***", "###", "$$$", "%%%"))], ["the", "token", "is", "missing"], ["password", "is", "required"], [f"{n(4)} {n(4)} {n(4)} {n(4)}"], [f"{n(3)}.{n(2)}.{n(1)}.{n(3)}"], [w(8).upper() + n(2)], ["see", f"{w()}/{w()}/{w()}.{w(4)}"], [f"{w(20)}{w(20)}{w(20)}"]))
+
+
+def _labelled(text: str, order: int) -> list[tuple]:
+    """Stretches of a text, with their labels: around what the fixed patterns hold secret (half of them with the
+    announcing words and prefixes masked), around its oddest other word, and elsewhere; and such a stretch with a
+    made-up secret or a harmless odd word put in."""
     words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
     if not words:
         return []
-    code = np.array([shapes[text[a:b].encode("utf-8", "surrogatepass")] for a, b in words])
-    f = file_features(text.encode("utf-8", "surrogatepass").lower(), code).tolist()
+    rng = random.Random(order)
+    code = shapes_of([text[a:b].encode("utf-8", "surrogatepass") for a, b in words])
+    f = file_features(code).tolist()
+    code &= _ALL
     tags = np.zeros(len(words), int)
     starts = np.array([a for a, _ in words])
-    for a, b, _ in base_spans(text):
+    for a, b, kind in base_spans(text):
+        if kind == "assign":
+            a = ASSIGN.match(text, a).start(2)
         i, j = np.searchsorted(starts, a, "right") - 1, np.searchsorted(starts, b, "left")
         if not tags[i:j].any():
             tags[i:j] = INSIDE
             tags[i] = BEGIN
-    middles = np.flatnonzero(tags == BEGIN)[:4].tolist() + [order % len(words)]
+    odd = np.where(tags == OUTSIDE, [bin(c & ~64).count("1") for c in code.tolist()], -1)
     out = []
-    for m in middles:
+    elsewhere = rng.randrange(len(words))
+    for m in [*np.flatnonzero(tags == BEGIN)[:4].tolist(), int(odd.argmax()), elsewhere]:
         lo, hi = max(0, m - SIDE), min(len(words), m + SIDE + 1)
-        out.append((order, code[lo:hi].tolist(), tags[lo:hi].tolist(), f))
+        c = code[lo:hi].copy()
+        if tags[m] == BEGIN and rng.random() < 0.5:
+            c &= _MASK
+        out.append((order, c.tolist(), tags[lo:hi].tolist(), f))
+    lo, hi = max(0, elsewhere - SIDE), min(len(words), elsewhere + SIDE)
+    if not tags[lo:hi].any():
+        more, labels = planted(rng) if rng.random() < 0.5 else (harmless(rng), None)
+        new = shapes_of([w.encode() for w in " ".join(more).split()])
+        known = [float(bool((new & _HAS_KEY).any()) or f[0]), f[1]]
+        out.append((-1 - order, [*code[lo:elsewhere].tolist(), *(new & _ALL).tolist(), *code[elsewhere:hi].tolist()], [0] * (elsewhere - lo) + (labels or [0] * len(new)) + [0] * (hi - elsewhere), known))
     return out
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_parts: int = SAMPLE_PARTS) -> Crf:
-    """Learn from what the fixed patterns find in the ``sample_docs`` documents of least hash (a bounded sample)."""
+def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_parts: int = SAMPLE_PARTS, sample_planted: int = PLANTED) -> Crf:
+    """Learn from the ``sample_docs`` documents of least hash (a bounded sample): from what the fixed patterns find there,
+    with announcing words and prefixes masked in half of it, and from made-up secrets and harmless words put in."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").where("text is not null")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shapes = Shapes()
         for b in batches:
-            got = [x for i, t in zip(b["doc_id"], b["text"]) for x in _labelled(t, shapes, int(i) * 2654435761 % (1 << 31))]
+            got = [x for i, t in zip(b["doc_id"], b["text"]) for x in _labelled(t, int(i) * 2654435761 % (1 << 31))]
             yield pd.DataFrame(got, columns=["at", "shapes", "tags", "file"])
 
-    parts = rows.mapInPandas(run, "at long, shapes array<int>, tags array<int>, file array<double>").orderBy("at", "shapes", "tags").limit(sample_parts).collect()
-    return train([(p["shapes"], p["tags"], p["file"]) for p in parts])
+    parts = rows.mapInPandas(run, "at long, shapes array<int>, tags array<int>, file array<double>")
+    given = parts.where("at >= 0").orderBy("at", "shapes", "tags").limit(sample_parts)
+    made = parts.where("at < 0").orderBy("at", "shapes", "tags").limit(sample_planted)
+    return train([(p["shapes"], p["tags"], p["file"]) for p in given.unionByName(made).collect()])
 
 
 def find_secrets(docs: DataFrame, crf: Crf | None = None) -> DataFrame:
     """doc_id and spans: array of (start, end, kind) of every row of ``docs``, over whole texts.
 
     Spans of the fixed patterns all stay; the field adds spans of kind "model" that overlap none of them: from the
-    first word's to the last word's character that is no quote or punctuation mark, with a word of 8 or more
-    characters that has a digit. Code points, end exclusive, sorted by start, then kind. Null and empty texts have
-    no spans; each row is handled by itself, so repeated rows get equal results; other columns are ignored.
+    first word's to the last word's character that is no quote or punctuation mark. Code points, end exclusive,
+    sorted by start, then kind. Null and empty texts have no spans; each row is handled by itself, so repeated rows
+    get equal results; texts may have any length; other columns are ignored; an empty table gives an empty one.
     """
     crf = crf or fit(docs)
-    shared = docs.sparkSession.sparkContext.broadcast((crf, crf.tables()))
+    shared = docs.sparkSession.sparkContext.broadcast((crf, crf.tables().astype(np.float32)))
 
-    def model_spans(text: str, b: bytes, shapes: Shapes) -> list[tuple[int, int]]:
-        field, tables = shared.value
-        code = np.fromiter(map(shapes.__getitem__, b.split()), np.int64)
-        runs = decode(code, file_features(b.lower(), code), tables, field)
-        if not runs:
-            return []
+    def model_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
         at, out = [m.span() for m in _WORD.finditer(text)], []
         for i, j in runs:
             a, z = at[i][0], at[j - 1][1]
             s = text[a:z]
             left = len(s) - len(s.lstrip(_STRIP.decode()))
             s = s.strip(_STRIP.decode())
-            if any(len(w) >= 8 and any(c.isdigit() for c in w) for w in s.split()):
+            if s:
                 out.append((a + left, a + left + len(s)))
         return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shapes = Shapes()
+        field, tables = shared.value
+        vocabulary = Vocabulary(shapes_of)
+        # a word whose own and neighbours' scores can't lead to a secret, whatever stands around it, needs no decoding
+        least = np.zeros(4)
+        for k in (1, 2, 3):
+            least[k] = max(0.0, (tables[k][:, 1:].max(1) - tables[k][:, OUTSIDE]).max())
+        room = 2 * (np.ptp(field.moves) + np.ptp(field.first)) + least.sum() + np.abs(field.file).sum() * 2
+        lead = tables[0][:, OUTSIDE] - tables[0][:, 1:].max(1)
         for batch in batches:
+            texts = list(batch["text"].array)
+            code, starts = vocabulary.batch(texts)
             out = []
-            for text in batch["text"].array:
+            open_ = np.concatenate([[0], np.cumsum(lead[code & _ALL] <= room)])
+            key, long = (np.concatenate([[0], np.cumsum(code & bit > 0)]) for bit in (_HAS_KEY, _LONG))
+            for text, a, z in zip(texts, starts[:-1], starts[1:]):
                 spans = []
                 if text:
-                    b = text.encode("utf-8", "surrogatepass")
-                    spans = base_spans(text)
-                    base = list(spans)
-                    spans += [(a, z, "model") for a, z in model_spans(text, b, shapes) if not any(a < e and s < z for s, e, _ in base)]
-                    spans.sort(key=lambda x: (x[0], KINDS.index(x[2])))
-                out.append([{"start": a, "end": z, "kind": k} for a, z, k in spans])
+                    spans = base_spans(text, key[z] > key[a], long[z] > long[a])
+                    if open_[z] > open_[a]:
+                        own = code[a:z]
+                        runs = decode(own & _ALL, file_features(own), tables, field)
+                        if runs:
+                            base = list(spans)
+                            spans += [(x, y, "model") for x, y in model_spans(text, runs) if not any(x < e and s < y for s, e, _ in base)]
+                            spans.sort(key=lambda x: (x[0], KINDS.index(x[2])))
+                out.append([{"start": x, "end": y, "kind": k} for x, y, k in spans])
             yield pd.DataFrame({"doc_id": batch["doc_id"], "spans": out})
 
     d = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))

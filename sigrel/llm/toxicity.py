@@ -10,11 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_words
 from .vocabulary import Vocabulary, ngram_buckets, sums
 
-#: Bounds of the training sample: rows of each label, and words of a text that may be in it.
-SAMPLE_ROWS, SAMPLE_WORDS = 1500, 4000
+#: Bound of the training sample: rows of each label.
+SAMPLE_ROWS = 1500
 
 
 @dataclass
@@ -41,8 +40,13 @@ def _word_means(values: np.ndarray, buckets: np.ndarray, starts: np.ndarray) ->
     return s / (n[:, None] if values.ndim > 1 else n)
 
 
-def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, dim: int = 6, buckets: int = 1 << 17, sizes: tuple[int, ...] = (3, 4, 5), steps: int = 100, rate: float = 0.3, errors: float = 4.0, decay: float = 1e-5, seed: int = 7) -> ToxicityModel:
-    """Weighted cross entropy over embeddings, softmax and bias together, by full-batch Adam."""
+def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, dim: int = 2, buckets: int = 1 << 17, sizes: tuple[int, ...] = (3, 4, 5), steps: int = 100, sure: float = 6.0, decay: float = 3e-5, seed: int = 7) -> ToxicityModel:
+    """Weighted cross entropy over embeddings, softmax and bias together, by accelerated gradient steps.
+
+    Every n-gram of the sample is trained. Its vector is learned in a scale of its own: that of its spread over texts,
+    less the nearer its log odds are to chance (``sure`` standard errors count in full), so that the penalty on the
+    vectors holds back n-grams that would be learned by heart.
+    """
     vocabulary: dict[bytes, int] = {}
     rows, cols = [], []
     for i, text in enumerate(texts):
@@ -50,54 +54,68 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, dim: int =
             rows.append(i)
             cols.append(vocabulary.setdefault(w, len(vocabulary)))
     rng = np.random.default_rng(seed)
-    e = rng.normal(0, 0.1, (buckets, dim)).astype(np.float32)
-    w = rng.normal(0, 0.5, (dim, 2)).astype(np.float32)
-    b = np.zeros(2, np.float32)
+    w = rng.normal(0, 1, (dim, 2))
+    w /= np.linalg.norm(w[:, 1] - w[:, 0])
+    b = np.zeros(2)
     if not rows or len(set(labels.tolist())) < 2:
         b[1] = np.log((weights[labels == 1].sum() + 0.5) / (weights[labels == 0].sum() + 0.5))
-        return ToxicityModel(e * 0, w, b, sizes)
+        return ToxicityModel(np.zeros((buckets, dim), np.float32), w, b, sizes)
     grams, gstarts = ngram_buckets(list(vocabulary), sizes, buckets)
     per_word = np.diff(gstarts)
     word_of = np.repeat(np.arange(len(vocabulary)), per_word)
     pair, count = np.unique(np.array(rows) * len(vocabulary) + np.array(cols), return_counts=True)
     doc, word = pair // len(vocabulary), pair % len(vocabulary)
-    share = (count / np.bincount(rows, minlength=len(texts))[doc]).astype(np.float32)
-    # each n-gram's shrunk log odds over the sample's texts is its start; those within ``errors`` standard errors of
-    # chance, which would be learned by heart, stay at 0 for good
+    share = count / np.bincount(rows, minlength=len(texts))[doc]
+    wt = weights / weights.sum()
+
+    def of_texts(e: np.ndarray) -> np.ndarray:
+        words = np.bincount(word_of, e[grams], len(vocabulary)) / per_word
+        return np.bincount(doc, share * words[word], len(texts))
+
+    def of_grams(r: np.ndarray) -> np.ndarray:
+        words = np.bincount(word, share * r[doc], len(vocabulary)) / per_word
+        return np.bincount(grams, words[word_of], buckets)
+
     seen = [np.bincount(grams, np.bincount(word[labels[doc] == k], minlength=len(vocabulary))[word_of], buckets) for k in (0, 1)]
-    n0, n1 = (np.bincount(doc[labels[doc] == k], minlength=1).astype(bool).sum() + 1.0 for k in (0, 1))
+    n0, n1 = ((labels == k).sum() + 1.0 for k in (0, 1))
     odds = np.log((seen[1] + 0.5) / n1) - np.log((seen[0] + 0.5) / n0)
-    error = np.sqrt(1 / (seen[1] + 0.5) + 1 / (seen[0] + 0.5))
-    start = np.sign(odds) * np.maximum(0, np.abs(odds) - errors * error)
-    e[:, 0], w[0] = start, (-1, 1)
-    e[start == 0] = 0
-    kept = start[grams] != 0
-    grams, word_of = grams[kept], word_of[kept]
-    y = np.eye(2, dtype=np.float32)[labels]
-    wt = (weights / weights.sum()).astype(np.float32)
-    params, m1, m2 = [e, w, b], [np.zeros_like(x) for x in (e, w, b)], [np.zeros_like(x) for x in (e, w, b)]
-    for t in range(1, steps + 1):
-        words = np.stack([np.bincount(word_of, e[grams, k], len(vocabulary)) for k in range(dim)], 1) / per_word[:, None]
-        docs = np.stack([np.bincount(doc, share * words[word, k], len(texts)) for k in range(dim)], 1).astype(np.float32)
-        z = docs @ w + b
+    trust = np.minimum(1, np.abs(odds) / np.sqrt(1 / (seen[1] + 0.5) + 1 / (seen[0] + 0.5)) / sure) ** 4
+    spread = np.sqrt(np.bincount(grams, np.bincount(word, share * share, len(vocabulary))[word_of], buckets) / len(texts))
+    scale = trust / np.maximum(spread, 1e-4)
+    mean = of_grams(wt) * scale  # texts are taken as differences from their mean, which goes into the bias at the end
+    out = lambda v: np.stack([of_texts(v[:, k] * scale) - mean @ v[:, k] for k in range(dim)], 1)
+    back = lambda g: np.stack([of_grams(g[:, k]) * scale - mean * g[:, k].sum() for k in range(dim)], 1)
+    x = rng.normal(size=buckets)
+    for _ in range(12):  # the largest curvature, by power iteration
+        x = of_grams(wt * (of_texts(x * scale) - mean @ x)) * scale
+        curve = np.linalg.norm(x)
+        x /= max(curve, 1e-30)
+    curve = max(curve, 1e-30) / 4 * 1.1
+    y = np.eye(2)[labels]
+    b[1] = np.log(wt[labels == 1].sum() / wt[labels == 0].sum())
+    v, ahead, at_b, t = np.zeros((buckets, dim)), np.zeros((buckets, dim)), b.copy(), 1.0
+    for _ in range(steps):
+        docs = out(ahead)
+        z = docs @ w + at_b
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         gz = (p - y) * wt[:, None]
-        gd = gz @ w.T
-        gwords = np.stack([np.bincount(word, share * gd[doc, k], len(vocabulary)) for k in range(dim)], 1) / per_word[:, None]
-        ge = np.stack([np.bincount(grams, gwords[word_of, k], buckets) for k in range(dim)], 1).astype(np.float32)
-        for x, g, m, v, r in zip(params, (ge, docs.T @ gz + decay * w, gz.sum(0)), m1, m2, (rate, 1.0, 0.1)):
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            x -= r * min(1, 2 - 2 * t / steps) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
-    return ToxicityModel(e, w, b, sizes)
+        rate = 1 / (curve * max(1.0, ((w[:, 1] - w[:, 0]) ** 2).sum()))
+        v_next, b_next = ahead - rate * (back(gz @ w.T) + decay * curve * ahead), at_b - gz.sum(0)
+        w = w - 0.01 * (docs.T @ gz)
+        t_next = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        ahead, at_b = v_next + (t - 1) / t_next * (v_next - v), b_next + (t - 1) / t_next * (b_next - b)
+        v, b, t = v_next, b_next, t_next
+    return ToxicityModel((v * scale[:, None]).astype(np.float32), w, b - (mean @ v) @ w, sizes)
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn=None, sample_rows: int = SAMPLE_ROWS, sample_words: int = SAMPLE_WORDS) -> ToxicityModel:
-    """Learn from a bounded sample of labelled rows: for each label the ``sample_rows`` rows of least hash.
+def fit(docs: DataFrame, labels: DataFrame, learn=None, sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
+    """Learn from a bounded sample of labelled rows: for each label the ``sample_rows`` rows of least hash, whole texts.
 
     ``learn`` is a condition on doc_id that says which rows may be learned from. Classes weigh as often as they
-    occur among all labelled rows. Texts of more than ``sample_words`` words are left out of the sample.
+    occur among all labelled rows. A doc_id labelled twice has the greater label; of several texts under one doc_id
+    the greatest is in the sample. Null and empty texts are left out; without rows of both labels all texts get one
+    score.
     """
     known = labels.where("toxic in (0, 1) and doc_id is not null")
     if learn is not None:
@@ -109,8 +127,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn=None, sample_rows: int = SAMPL
         part = known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
         picked = part if picked is None else picked.union(part)
     # at most 2 * sample_rows ids: a bounded side
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").where((F.length("text") > 0) & (n_words(F.col("text")) <= sample_words))
-    got = rows.select("doc_id", "text", "toxic").toPandas().sort_values(["doc_id", "text"])
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").where(F.length("text") > 0)
+    got = rows.groupBy("doc_id", "toxic").agg(F.max("text").alias("text")).toPandas().sort_values("doc_id")
     y = got["toxic"].to_numpy(np.int64)
     seen = np.bincount(y, minlength=2)
     weights = np.array([there.get(k, 0) / max(1, seen[k]) for k in (0, 1)])[y] if len(y) else np.empty(0)
@@ -120,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn=None, sample_rows: int = SAMPL
 def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
     """The columns of ``docs`` with score (0 to 1) and predicted (1 where score >= threshold), over whole texts.
 
-    Null and empty texts get the score of the bias alone. Rows that are equal get equal scores; extra columns pass
+    Null and empty texts get the score of the bias alone. Rows that are equal get equal scores, texts of any length count as a whole; extra columns pass
     through (a column named score or predicted is replaced); an empty table gives an empty one.
     """
     spark = docs.sparkSession
