@@ -12,6 +12,8 @@ from .common import WORD, Tables, sieve, sifted
 
 #: A line ends at a new line, or at a sentence's end inside one: passages are often put into the middle of lines.
 LINE_END = r"(?<=\n)|(?<=[.!?] )"
+#: The same ends with what is left out when lines are only compared, and what ends a text without a line behind it.
+_GAP, _END = r" (?<=[.!?] )|\n", r"\n|[.!?] "
 #: Stands for a line's end while a text is split; a text that has it itself is split by the pattern, more slowly.
 _CUT = "\ue000"
 _BLANK = " \n\t\r\x0b\x0c"
@@ -30,11 +32,13 @@ def _lines(text: Column) -> Column:
     return F.filter(F.when(F.contains(text, F.lit(_CUT)), F.split(text, LINE_END)).otherwise(F.split(_marked(text), _CUT)), lambda x: x != "")
 
 
+def _ended(text: Column) -> Column:
+    return reduce(or_, (F.endswith(text, F.lit(x)) for x in ("\n", ". ", "! ", "? ")))
+
+
 def _n_lines(text: Column) -> Column:
-    """Number of lines, without making them where the text has no mark of its own."""
-    marked = _marked(text)
-    plain = F.length(marked) - F.length(text) + F.when(F.endswith(marked, F.lit(_CUT)) | (text == ""), 0).otherwise(1)
-    return F.coalesce(F.when(F.contains(text, F.lit(_CUT)), F.size(_lines(text))).otherwise(plain), F.lit(0)).cast("long")
+    """Number of lines, counted by their ends."""
+    return F.coalesce(F.regexp_count(text, F.lit(_END)) + F.when(_ended(text) | (text == ""), 0).otherwise(1), F.lit(0)).cast("long")
 
 
 def _order(text: str = "text", doc_id: str = "doc_id") -> list[Column]:
@@ -48,18 +52,14 @@ def line_table(docs: DataFrame) -> DataFrame:
     has = lambda *parts: reduce(or_, (F.contains(t, F.lit(x)) for x in parts))
     d = docs.where("text is not null and text <> ''").select(*_order(), F.col("text").alias("t"))
     # where blanks are single spaces, a line has a word more than it has blanks; so in nearly all texts, and cheaper
-    d = d.withColumn("plain", ~has("\t", "\x0b", "\x0c", "\r", "  ", _CUT))
-    bare = t
-    for end in ("\n", ". ", "! ", "? "):
-        bare = F.replace(bare, F.lit(end), F.lit(end[:-1] + _CUT))
+    d = d.withColumn("plain", ~has("\t", "\x0b", "\x0c", "\r", "  "))
     # the ends are split off here, which leaves an empty piece behind the last one
-    d = d.withColumn("bare", F.when(F.col("plain"), bare))
-    d = d.withColumn("pieces", F.when(F.col("plain"), F.transform(F.split("bare", _CUT), lambda x: F.btrim(x))).otherwise(F.transform(_lines(t), lambda x: F.btrim(x, F.lit(_BLANK)))))
-    d = d.withColumn("u", F.when(F.endswith("bare", F.lit(_CUT)), F.slice("pieces", 1, F.size("pieces") - 1)).otherwise(F.col("pieces")))
+    d = d.withColumn("pieces", F.when(F.col("plain"), F.transform(F.split("t", _GAP), lambda x: F.btrim(x))).otherwise(F.transform(_lines(t), lambda x: F.btrim(x, F.lit(_BLANK)))))
+    d = d.withColumn("u", F.when(F.col("plain") & _ended(t), F.slice("pieces", 1, F.size("pieces") - 1)).otherwise(F.col("pieces")))
     d = d.select("doc", "row", "plain", "u").withColumn("n_lines", F.size("u")).where("n_lines > 0")
     d = d.withColumn("at", F.when(F.array_contains("u", F.lit("")), F.expr("filter(sequence(0, n_lines - 1), i -> u[i] != '')")))
     d = d.withColumn("u", F.when(F.col("at").isNotNull(), F.array_remove("u", F.lit(""))).otherwise(F.col("u")))
-    spaces = F.transform("u", lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1)
+    spaces = F.transform("u", lambda x: F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) + 1)
     counted = F.transform("u", lambda x: F.regexp_count(x, F.lit(WORD)))
     return d.select("doc", "row", "n_lines", "at", F.transform("u", lambda x: F.xxhash64(x)).alias("h"), F.when(F.col("plain"), spaces).otherwise(counted).alias("n"))
 
