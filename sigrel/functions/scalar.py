@@ -102,8 +102,8 @@ def is_comment(s, mark: str = "#") -> Column:
 
 
 def detype(path) -> Column:
-    """Drop ``kind:`` prefixes and ``[..]`` suffixes of the parts of a dotted path."""
-    return F.regexp_replace(F.regexp_replace(_c(path), r"\[[^\]]*\]", ""), r"(^|\.)[^.:]*:", "$1")
+    """A dotted path without what follows its first ``[``, and of each part what follows its last ``:``."""
+    return F.regexp_replace(F.regexp_replace(_c(path), r"(?s)\[.*$", ""), r"[^.]*:", "")
 
 
 # durations

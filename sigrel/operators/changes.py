@@ -40,7 +40,7 @@ def describe_chunks(changes: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame
 
 
 # Words for states in wide tables.
-ONES, ZEROS = ("1", "yes", "y", "true", "t", "on"), ("0", "no", "n", "false", "f", "off")
+ONES, ZEROS = ("1", "yes", "y", "true", "t"), ("0", "no", "n", "false", "f")
 UNKNOWN, HIGH_Z = ("x", "2", "unknown", "neither"), ("z", "3", "highz", "both")
 
 
@@ -53,14 +53,33 @@ def _lookup(types: dict[str, tuple[str, int]], i: int) -> Column:
 
 def _state(cell: Column) -> Column:
     c = F.lower(F.trim(cell))
-    return F.when(c.isin(*ONES), "1").when(c.isin(*ZEROS), "0").when(c.isin(*UNKNOWN), "x").when(c.isin(*HIGH_Z), "z")
+    known = F.when(c.isin(*ONES), "1").when(c.isin(*ZEROS), "0").when(c.isin(*UNKNOWN), "x").when(c.isin(*HIGH_Z), "z")
+    return known.when(c.isNotNull(), F.raise_error(F.concat(F.lit("no word for a state: "), c)).cast("string"))
+
+
+def _bare(digits: Column) -> Column:
+    return F.regexp_replace(digits, "^0+(?=.)", "")
+
+
+def _binary(c: Column) -> Column:
+    """Binary digits of 0x or 0b text of any width, or of decimal text of up to 38 digits (longer ones are an error)."""
+    hexed = F.transform(F.split(F.substring(c, 3, 1 << 20), ""), lambda d: F.lpad(F.conv(d, 16, 2), 4, "0"))
+    part, whole = F.lit(1 << 42).cast("decimal(14,0)"), F.expr("try_cast(_number as decimal(38,0))")
+    low = whole % part
+    mid = F.floor((whole - low) / part).cast("decimal(26,0)")
+    high = F.floor((mid - mid % part) / part)
+    bits = lambda x: F.lpad(F.conv(x.cast("long").cast("string"), 10, 2), 42, "0")
+    long = F.concat(bits(high), bits(mid % part), bits(low))
+    decimal = F.when(F.length(c) <= 18, F.conv(c, 10, 2)).when(whole.isNotNull(), _bare(long)).otherwise(F.raise_error(F.concat(F.lit("no number of up to 38 digits: "), c)).cast("string"))
+    return F.when(c.startswith("0x"), _bare(F.array_join(hexed, ""))).when(c.startswith("0b"), F.substring(c, 3, 1 << 20)).otherwise(decimal)
 
 
 def wide_to_changes(df: DataFrame, types: dict[str, tuple[str, int]], time_col: str | None = None, time_mul: float = 1.0, keys: tuple[str, ...] = ()) -> DataFrame:
     """A wide table -> (keys, t, var_id, raw) of cells that change; ``types`` gives (kind, width) of each column.
 
     A cell of ``-`` or nothing is no value. Events are ``*``; they are emitted whenever they occur. One-bit cells are
-    words for states, real ones r<number>, wider ones b<digits> from decimal, 0x or 0b text. Without a time column
+    words for states (another word is an error), real ones r<number>, strings s<text>, integers, parameters and wider
+    ones b<digits> from decimal, 0x or 0b text of any width. Without a time column
     rows are numbered by ``_row`` (a column the caller gives, as rows of a table have no order of their own).
     """
     t = F.floor(F.col(time_col).cast("double") * float(time_mul)).cast("long") if time_col else F.col("_row").cast("long")
@@ -68,8 +87,9 @@ def wide_to_changes(df: DataFrame, types: dict[str, tuple[str, int]], time_col:
     long = long.withColumn("cell", F.when(~F.trim("cell").isin("-", ""), F.trim("cell")))
     of = lambda i: _lookup(types, i)
     kind, width, c = of(0), of(1), F.lower("cell")
-    digits = F.when(c.startswith("0x"), F.conv(F.substring(c, 3, 64), 16, 2)).when(c.startswith("0b"), F.substring(c, 3, 1 << 20)).otherwise(F.conv(c, 10, 2))
-    raw = F.when(kind == "event", F.when(F.col("cell") == "*", "1")).when(kind == "real", F.concat(F.lit("r"), c.cast("double").cast("string"))).when(width == 1, _state(F.col("cell"))).otherwise(F.concat(F.lit("b"), digits))
+    long = long.withColumn("_number", F.when(~kind.isin("real", "string", "event") & ~c.rlike("^0[xb]"), c))
+    one_bit = (width == 1) & ~kind.isin("integer", "parameter")
+    raw = F.when(kind == "event", F.when(F.col("cell") == "*", "1")).when(kind == "real", F.concat(F.lit("r"), c.cast("double").cast("string"))).when(kind == "string", F.concat(F.lit("s"), "cell")).when(one_bit, _state(F.col("cell"))).otherwise(F.concat(F.lit("b"), _binary(c)))
     long = long.withColumn("raw", raw).withColumn("_event", kind == "event").where("raw is not null")
     w = Window.partitionBy(*keys, "var_id").orderBy("t")
     return long.withColumn("_before", F.lag("raw").over(w)).where(F.col("_event") | ~F.col("raw").eqNullSafe(F.col("_before"))).select(*keys, "t", "var_id", "raw")
@@ -92,7 +112,7 @@ def changes_to_wide(changes: DataFrame, variables: dict[str, tuple[str, int]], k
     of = lambda i: _lookup(variables, i)
     kind, width, raw = of(0), of(1), F.col("raw")
     digits = F.regexp_replace(F.lower(raw), "^b", "")
-    cell = F.when(kind == "event", "*").when(kind == "real", F.format_string("%.6f", F.regexp_replace(raw, "^[rR]", "").cast("double"))).when(width == 1, digits).when(digits.rlike("[xz]"), F.concat(F.lit("0b"), digits)).otherwise(_hex(digits, width))
+    cell = F.when(kind == "event", "*").when(kind == "string", F.substring(raw, 2, 1 << 20)).when(kind == "real", F.format_string("%.6f", F.regexp_replace(raw, "^[rR]", "").cast("double"))).when(width == 1, digits).when(digits.rlike("[xz]"), F.concat(F.lit("0b"), digits)).otherwise(_hex(digits, width))
     wide = changes.where(F.col("var_id").isin(list(variables))).select(*keys, "t", "var_id", cell.alias("cell")).groupBy(*keys, "t").pivot("var_id", list(variables)).agg(F.max("cell"))
     w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     held = {c: F.coalesce(F.col(f"`{c}`") if k[0] == "event" else F.last(F.col(f"`{c}`"), ignorenulls=True).over(w), F.lit("-")) for c, k in variables.items()}

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .metrics import with_metrics
+
 SCORES = ("tpr", "tnr", "ppv", "npv", "acc", "bacc", "mcc", "bmi")
 
 
@@ -86,16 +88,23 @@ ACTIVATIONS = {
     "tanh": F.tanh,
 }
 
+# What each named set of inputs holds.
 FEATURE_SETS = {
+    "fullAssist": ("ex", "ey", "exy", "ediff", "cex_xy", "cex_yx", "cls", "cos", "cov", "dep", "tmt"),
     "perfCntrs": ("ex", "ey"),
+    "withIsectSymdiff": ("ex", "ey", "exy", "ediff"),
     "withIsect": ("ex", "ey", "exy"),
     "withSymdiff": ("ex", "ey", "ediff"),
-    "withIsectSymdiff": ("ex", "ey", "exy", "ediff"),
-    "withAssist": ("ex", "ey", "exy", "ediff", "cex_xy", "cex_yx"),
-    "fullAssist": ("ham", "tmt", "cls", "cos", "cov", "dep"),
+    "withAssist": ("ex", "ey", "exy", "ediff", "cov", "dep", "tmt"),
 }
 
 
+def with_features(moments: DataFrame) -> DataFrame:
+    """The moment table with all that a pair can be judged by: ediff = E|X-Y|, cex_xy = E[X|Y], cex_yx = E[Y|X], metrics."""
+    m = with_metrics(moments)
+    return m.withColumns({"ediff": 1 - F.col("ham"), "cex_xy": F.col("cex"), "cex_yx": F.when(F.col("ex") != 0, F.col("exy") / F.col("ex"))})
+
+
 def score_model(pairs: DataFrame, inputs: Sequence[str], weights: Sequence, biases: Sequence, activations: Sequence[str], name: str = "score") -> DataFrame:
     """A feed-forward net as one column: weights[l][i][j] from input i to unit j of layer l. Undefined inputs are 0."""
     layer = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in inputs]

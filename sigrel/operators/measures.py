@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.scalar import clip_norm
 from .samples import hold
 
-#: Siblings of each type of measure.
-SIBLINGS = {"event": ("orig",), "bstate": ("orig", "refl", "rise", "fall"), "threshold": ("orig", "refl", "rise", "fall"), "normal": ("orig", "refl", "rise", "fall")}
+# The siblings of each type of measure, those that only lead to a normal one, and the keys of a measure.
+SIBLINGS = {"event": ("orig",), "bstate": ("orig", "refl", "rise", "fall"), "threshold": ("orig", "refl", "rise", "fall"), "normal": ("orig",)}
+INTERMEDIATE = {"normal": ("raw", "smooth")}
+MEASURE_KEYS = ("type", "name", "hook", "subs", "geq", "leq")
 
 
 def sample_filter(changes: DataFrame, start: int = 0, stop: int = 0, step: int = 1) -> DataFrame:
@@ -38,8 +40,11 @@ def decode_number(raw: Column) -> Column:
     return F.when(real != "", real.cast("double")).otherwise(F.conv(digits, 2, 10).cast("double"))
 
 
-def measure_event(changes: DataFrame, keys: tuple[str, ...] = ("signal",)) -> DataFrame:
-    """Occurrences as intervals of one tick: (keys, t0, t1, v = 1)."""
+def measure_event(changes: DataFrame, keys: tuple[str, ...] = ("signal",), level: bool = False, end: int | None = None) -> DataFrame:
+    """Occurrences as intervals of one tick: (keys, t0, t1, v = 1). With ``level`` the signal is a state of one bit
+    (keys, t, v in 0/1), whose ones last until it changes, or until ``end``."""
+    if level:
+        return hold(changes, end, keys).where("v = 1").withColumn("v", F.lit(1.0))
     return changes.select(*keys, "t").distinct().select(*keys, F.col("t").alias("t0"), (F.col("t") + 1).alias("t1"), F.lit(1.0).alias("v"))
 
 
@@ -129,6 +134,13 @@ def split_measure_name(name: Column) -> Column:
     return F.when(F.size(parts) >= 3, F.struct(parts[0].alias("mtype"), parts[1].alias("sibling"), F.array_join(F.slice(parts, F.lit(3), F.greatest(F.lit(0), F.size(parts) - 2)), ".").alias("base")))
 
 
+def unit_interval_names(names: DataFrame, name: str = "name") -> DataFrame:
+    """The rows whose measure has values in [0, 1]: known types and siblings, but for raw and smooth ones."""
+    p = split_measure_name(F.col(name))
+    ok = [(p["mtype"] == k) & p["sibling"].isin(*v) for k, v in SIBLINGS.items()]
+    return names.where(F.coalesce(F.array_max(F.array(*ok)), F.lit(False)))
+
+
 def sibling_names(names: DataFrame) -> DataFrame:
     """Every sibling measure of each measure in ``names`` (mtype, base): adds sibling and name."""
     table = F.create_map(*[x for k, v in SIBLINGS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
@@ -137,13 +149,16 @@ def sibling_names(names: DataFrame) -> DataFrame:
 
 
 def check_measures(measures: DataFrame, strict: bool = False) -> DataFrame:
-    """Violations (name, rule) of measures (name, hook, mtype, geq, leq): rows that a job can't use."""
+    """Violations (name, rule) of measures (name, hook, mtype, geq, leq): rows that a job can't use.
+
+    A column ``keys``, where there is one, lists the keys that a measure was written with; unknown ones count too."""
     m = F.col("mtype")
     rules = {
         "unknown type": ~F.coalesce(m.isin(*SIBLINGS), F.lit(False)),
         "no hook": F.coalesce(F.trim("hook"), F.lit("")) == "",
         "no name": F.coalesce(F.trim("name"), F.lit("")) == "",
         "threshold without bound": (m == "threshold") & F.col("geq").isNull() & F.col("leq").isNull(),
+        "unknown key": F.size(F.array_except("keys", F.array(*map(F.lit, MEASURE_KEYS)))) > 0 if "keys" in measures.columns else F.lit(False),
         "empty range": (m == "normal") & (F.coalesce("geq", F.lit(0.0)) >= F.coalesce("leq", F.lit(1.0))),
     }
     found = F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()]), lambda x: x.isNotNull())

@@ -44,13 +44,13 @@ def expand_templates(templates: DataFrame, lists: int, group: str = "mtype", ord
 def param_grid(templates: DataFrame, lists: int, seed: int = 0, pre: str = "", post: str = "") -> DataFrame:
     """``$`` templates: each ``$`` takes the next list's value, in product; the last list gives each name one value.
 
-    The value is drawn by a seeded hash of the name: (name, value, text), text being pre + name = value + post.
+    The value is drawn by the md5 of seed and name: (name, value, text), text being pre + name = value + post.
     """
     out = templates.withColumn("_names", F.slice("lists", F.lit(1), F.greatest(F.lit(0), F.size("lists") - 1))).withColumn("_values", list_values(F.element_at("lists", -1)))
     for i in range(lists):
         values = F.coalesce(list_values(F.try_element_at("_names", F.lit(i + 1))), F.array(F.lit("")))
         out = out.withColumn(f"_v{i}", F.explode(values))
         out = out.withColumn("name", F.when(F.size("_names") > i, F.regexp_replace("name", r"^([^$]*)\$", F.concat(F.lit("$1"), F.regexp_replace(f"_v{i}", r"([\\$])", r"\\$1")))).otherwise(F.col("name")))
-    pick = F.pmod(F.xxhash64("name", F.lit(seed)), F.size("_values")) + 1
+    pick = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "name")), 1, 8), 16, 10).cast("long") % F.size("_values") + 1
     out = out.select("name", F.element_at("_values", pick.cast("int")).alias("value"))
     return out.withColumn("text", F.concat(F.lit(pre), F.col("name"), F.lit(" = "), F.col("value"), F.lit(post)))

@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 from .metrics import METRICS, metric, with_metrics
 from .samples import pairs, weight_sum, window_assign, window_weight
 
-#: Lots over which the windows are dealt when each meets all signals.
-LOTS = 16
-
-
 def _weighted(df: DataFrame, size: int, alpha: float) -> DataFrame:
     return df.withColumn("w", window_weight(F.col("t") - F.col("u"), size, alpha))
 
@@ -47,8 +43,12 @@ def pair_moments(samples: DataFrame, deltas: Sequence[int], size: int, overlap:
         xs, ys, joint = (d.where(F.col("u").isin([int(u) for u in only])) for d in (xs, ys, joint))
     if frame:
         windows = xs.select("u").union(ys.select("u")).distinct()
-        x_all = _every(s, windows, "x").join(xs.drop("base_x"), ["x", "u"], "left")
-        y_all = _every_shift(s, windows, deltas).join(ys.drop("base_y"), ["y", "delta", "u"], "left")
+        # two numbers, where the windows begin and end
+        first, last = windows.agg(F.min("u"), F.max("u")).first()
+        frame_of = lambda name: _every(s, windows, name, first or 0, last or 0, size - overlap)
+        x_all = frame_of("x").join(xs.drop("base_x"), ["x", "u"], "left")
+        shifts = F.explode(F.array(*[F.lit(d).cast("long") for d in deltas]))
+        y_all = frame_of("y").withColumn("delta", shifts).join(ys.drop("base_y"), ["y", "delta", "u"], "left")
         grid = x_all.join(y_all, "u").where("base_x <> base_y and u + delta >= 0")
     else:
         grid = joint.select("x", "y", "delta", "u").join(xs.drop("base_x"), ["x", "u"]).join(ys.drop("base_y"), ["y", "delta", "u"]).where("u + delta >= 0")
@@ -56,15 +56,10 @@ def pair_moments(samples: DataFrame, deltas: Sequence[int], size: int, overlap:
     return out.select("x", "y", "delta", "u", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("ex", "ey", "exy", "exx", "eyy", "emin")])
 
 
-def _every(s: DataFrame, windows: DataFrame, name: str) -> DataFrame:
-    """Each signal in each window: an equi-join on the lot of a window, with one row of a signal for each lot."""
+def _every(s: DataFrame, windows: DataFrame, name: str, first: int, last: int, stride: int) -> DataFrame:
+    """Each signal in each window that has a sample: a signal's windows are listed from the first to the last."""
     signals = s.select(F.col("signal").alias(name), F.col("base").alias(f"base_{name}")).distinct()
-    signals = signals.withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(LOTS - 1))))
-    return windows.withColumn("lot", F.pmod(F.xxhash64("u"), F.lit(LOTS)).cast("int")).join(signals, "lot").drop("lot")
-
-
-def _every_shift(s: DataFrame, windows: DataFrame, deltas: Sequence[int]) -> DataFrame:
-    return _every(s, windows, "y").withColumn("delta", F.explode(F.array(*[F.lit(d).cast("long") for d in deltas])))
+    return signals.withColumn("u", F.explode(F.sequence(F.lit(first), F.lit(last), F.lit(stride)))).join(windows, "u", "left_semi")
 
 
 def relation_table(samples: DataFrame, deltas: Sequence[int], size: int, a: str = "dep", b: str | None = None, overlap: int = 0, alpha: float = 0.0, u: int | None = None, x: str | None = None, y: str | None = None, base: str = "signal", wide: bool = False) -> DataFrame:

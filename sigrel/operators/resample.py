@@ -6,20 +6,28 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def subsample(df: DataFrame, factor: int, algorithm: str = "xor", seed: int = 0, keys: tuple[str, ...] = ("signal",), t: str = "t") -> DataFrame:
-    """One row of each block of ``factor`` ticks, at an offset from a seeded hash; t becomes the block's number.
+def _drawn(seed: int, *parts) -> Column:
+    """A number below 2**32 from the md5 of a seed and other columns: the same in every engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts])), 1, 8), 16, 10).cast("long")
+
+
+def subsample(df: DataFrame, factor: int, algorithm: str = "xor", seed: int = 0, keys: tuple[str, ...] = ("signal",), t: str = "t", v: str = "v", padding: str | None = None) -> DataFrame:
+    """One row of each block of ``factor`` ticks, at an offset drawn by a seeded hash; t becomes the block's number.
 
     "uniform" draws the offset of each block anew; "xor" takes (block & (factor - 1)) ^ r with one r a key (factor
-    has to be a power of 2). A block without the drawn tick has no row; an aligned input gets no extra block.
+    has to be a power of 2). With ``padding``, a mode of :func:`pad_tail`, rows are (keys, t, v) with t = 0..n-1 and
+    the last block is filled up first, so that every block has a row; without it a block that lacks the drawn tick
+    has none. An aligned input gets no extra block.
     """
+    if padding:
+        df = pad_tail(df, factor, padding, keys, t, v)
     block = F.floor(F.col(t) / factor).cast("long")
     if algorithm == "xor":
         if factor & (factor - 1):
             raise ValueError("xor needs a factor that is a power of 2")
-        r = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(factor))
-        offset = block.bitwiseAND(F.lit(factor - 1)).bitwiseXOR(r)
+        offset = block.bitwiseAND(F.lit(factor - 1)).bitwiseXOR(_drawn(seed, *keys) % factor)
     elif algorithm == "uniform":
-        offset = F.pmod(F.xxhash64(*keys, block, F.lit(seed)), F.lit(factor))
+        offset = _drawn(seed, *keys, block) % factor
     else:
         raise ValueError("algorithm is xor or uniform")
     return df.where(F.pmod(F.col(t), F.lit(factor)) == offset).withColumn(t, block)

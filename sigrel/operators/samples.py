@@ -74,11 +74,19 @@ def pairs(samples: DataFrame, deltas: list[int], base: str = "signal", keys: tup
 def interval_overlap(x: DataFrame, y: DataFrame, size: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """Overlapping spans of two tables of intervals (signal, t0, t1, v), by an equi-join on buckets of ``size`` ticks.
 
-    A span is found once: in the bucket where it starts.
+    A span is found once: in the bucket where it starts. An interval without t1 is open; a span of two open ones is
+    open too. Open intervals lie in all buckets up to the last start of any interval.
     """
-    cut = lambda d, s: d.select(*keys, F.col("signal").alias(s), F.col("t0").alias(f"{s}0"), F.col("t1").alias(f"{s}1"), F.col("v").alias(f"v{s}")).withColumn("bucket", F.explode(F.sequence(F.floor(F.col(f"{s}0") / size), F.floor((F.col(f"{s}1") - 1) / size))))
-    j = cut(x.where("t1 > t0"), "x").join(cut(y.where("t1 > t0"), "y"), [*keys, "bucket"])
-    j = j.withColumn("t0", F.greatest("x0", "y0")).withColumn("t1", F.least("x1", "y1")).where("t0 < t1")
+    # one number: where the last interval starts, as no span starts later
+    last = x.select("t0").union(y.select("t0")).agg(F.max("t0")).first()[0] or 0
+
+    def cut(d: DataFrame, s: str) -> DataFrame:
+        d = d.where("t1 is null or t1 > t0").select(*keys, F.col("signal").alias(s), F.col("t0").alias(f"{s}0"), F.col("t1").alias(f"{s}1"), F.col("v").alias(f"v{s}"))
+        stop = F.least(F.coalesce(F.col(f"{s}1") - 1, F.lit(last)), F.lit(last))
+        return d.withColumn("bucket", F.explode(F.sequence(F.floor(F.col(f"{s}0") / size), F.floor(stop / size))))
+
+    j = cut(x, "x").join(cut(y, "y"), [*keys, "bucket"])
+    j = j.withColumn("t0", F.greatest("x0", "y0")).withColumn("t1", F.least("x1", "y1")).where("t1 is null or t0 < t1")
     return j.where(F.col("bucket") == F.floor(F.col("t0") / size)).select(*keys, "x", "y", "t0", "t1", "vx", "vy")
 
 

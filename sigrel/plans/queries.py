@@ -141,10 +141,10 @@ def relation_table_wide(spark, d):
     return w.select("x", "y", "u", *[r9(F.col(f"`{x}`"), f"dep_{'m' if x < 0 else 'p'}{abs(x)}") for x in DELTAS])
 
 
-@query(f"WITH {_MOMENTS} SELECT x, y, delta::BIGINT AS delta, u, round(ex, 9) AS ex, round(ey, 9) AS ey, {_SHOW} FROM k WHERE dep > 0.05 AND cov > 0.02 AND exy > 0")
+@query(f"WITH {_MOMENTS} SELECT x, y, delta::BIGINT AS delta, u, round(ex, 9) AS ex, round(ey, 9) AS ey, {_SHOW} FROM k WHERE dep > 0.05 AND cov > 0.02")
 def relation_edges(spark, d):
     e = re_.relation_edges(occurrences_of(spark, d), DELTAS, SIZE, mt.dependence, 0.05, "cov", 0.02)
-    return e.where("exy > 0").select("x", "y", "delta", "u", r9("ex"), r9("ey"), *map(r9, mt.METRICS))
+    return e.select("x", "y", "delta", "u", r9("ex"), r9("ey"), *map(r9, mt.METRICS))
 
 
 @query(f"WITH {_MOMENTS} SELECT x, y, delta::BIGINT AS delta, u, round(dep, 9) AS dep FROM k WHERE dep > 0.1")
@@ -164,11 +164,11 @@ def _vectors(spark, d):
     return e.select("system", "idx", "t", sc.clip_norm("x", -1, 1).alias("v"))
 
 
-@query(f"WITH {_AP} SELECT system, x, y, round(1 - (ex + ey - 2 * emin), 6) AS ham, round(exy / (ex + ey - exy), 6) AS tmt, round(least(1, exy / (sqrt(exx) * sqrt(eyy))), 6) AS cos, round(4 * abs(exy - ex * ey), 6) AS cov FROM m")
+@query(f"WITH {_AP} SELECT system, x, y, round(1 - (ex + ey - 2 * emin), 6) AS ham, round(exy / (ex + ey - exy), 6) AS tmt, round(1 - sqrt(greatest(0, exx + eyy - 2 * exy)), 6) AS cls, round(least(1, exy / (sqrt(exx) * sqrt(eyy))), 6) AS cos, round(4 * abs(exy - ex * ey), 6) AS cov, round(CASE WHEN exy / ey > ex THEN (exy / ey - ex) / (exy / ey) ELSE 0 END, 6) AS dep FROM m")
 def all_pairs_vectors(spark, d):
     v = _vectors(spark, d)
     n = v.agg(F.max("t")).first()[0] + 1
-    return re_.all_pairs(v, n).select("system", "x", "y", *[F.round(c, 6).alias(c) for c in ("ham", "tmt", "cos", "cov")])
+    return re_.all_pairs(v, n).select("system", "x", "y", *[F.round(c, 6).alias(c) for c in ("ham", "tmt", "cls", "cos", "cov", "dep")])
 
 
 # measures
@@ -218,10 +218,10 @@ def decode_state(spark, d):
     return e.select("event_id", me.decode_state(F.col("raw")).alias("any_set"), me.decode_state(F.col("raw"), 3).alias("bit3"))
 
 
-@query("""WITH n AS (SELECT DISTINCT event_type AS base, unnest(['event', 'bstate']) AS mtype FROM events), x AS (SELECT base, mtype, unnest(CASE WHEN mtype = 'event' THEN ['orig'] ELSE ['orig', 'refl', 'rise', 'fall'] END) AS sibling FROM n)
+@query("""WITH n AS (SELECT DISTINCT event_type AS base, unnest(['event', 'bstate', 'threshold', 'normal']) AS mtype FROM events), x AS (SELECT base, mtype, unnest(CASE WHEN mtype IN ('event', 'normal') THEN ['orig'] ELSE ['orig', 'refl', 'rise', 'fall'] END) AS sibling FROM n)
 SELECT mtype, sibling, base, mtype || '.' || sibling || '.' || base AS name FROM x""")
 def sibling_names(spark, d):
-    n = table(spark, d, "events").select(F.col("event_type").alias("base")).distinct().withColumn("mtype", F.explode(F.array(F.lit("event"), F.lit("bstate"))))
+    n = table(spark, d, "events").select(F.col("event_type").alias("base")).distinct().withColumn("mtype", F.explode(F.array(*map(F.lit, ("event", "bstate", "threshold", "normal")))))
     named = me.sibling_names(n).select("name").withColumn("p", me.split_measure_name(F.col("name")))
     return named.select("p.mtype", "p.sibling", "p.base", "name")
 
@@ -245,6 +245,12 @@ def node_stats(spark, d):
     return out.select("base", "u", *map(r9, ("e_orig", "e_refl", "e_rise", "cex_rise_orig", "cex_fall_refl", "cov_orig")))
 
 
+@query(f"WITH {_TH % 'v >= 50'} SELECT signal, t AS t0, coalesce(nx, -1) AS t1, 1.0::DOUBLE AS v FROM g WHERE v = 1")
+def event_levels(spark, d):
+    levels = user_values(spark, d).withColumn("v", me.threshold(F.col("v"), geq=50.0))
+    return me.measure_event(levels, level=True).na.fill(-1, ["t1"])
+
+
 # evaluation
 
 _SC = """round(tp / nullif(tp + fn, 0), 9) AS tpr, round(tn / nullif(tn + fp, 0), 9) AS tnr, round(tp / nullif(tp + fp, 0), 9) AS ppv, round(tn / nullif(tn + fn, 0), 9) AS npv, round((tp + tn) / nullif(tp + fp + fn + tn, 0), 9) AS acc,
@@ -265,12 +271,12 @@ def confusion_cube(spark, d):
 
 
 _KNOWN = """uu AS (SELECT DISTINCT event_type AS e, user_id FROM events), kn AS (SELECT a.e AS x, b.e AS y FROM uu a JOIN uu b ON a.user_id = b.user_id AND a.e < b.e GROUP BY ALL HAVING count(*) > 60),
-lb AS (SELECT k.u AS system, k.x, k.y, tmt, cos, dep, (kn.x IS NOT NULL)::INT AS known FROM k LEFT JOIN kn ON kn.x = k.x AND kn.y = k.y WHERE k.x < k.y AND k.delta = 0)"""
+lb AS (SELECT k.u AS system, k.x, k.y, ex, ey, exy, 1 - ham AS ediff, cex AS cex_xy, CASE WHEN ex <> 0 THEN exy / ex END AS cex_yx, ham, tmt, cls, cos, cov, dep, (kn.x IS NOT NULL)::INT AS known FROM k LEFT JOIN kn ON kn.x = k.x AND kn.y = k.y WHERE k.x < k.y AND k.delta = 0)"""
 
 
 def labelled(spark, d):
     """Pairs of event types in each window, known where more than 60 users have both; a window is a system."""
-    m = mt.with_metrics(re_.pair_moments(occurrences_of(spark, d), [0], SIZE)).where("x < y")
+    m = ev.with_features(re_.pair_moments(occurrences_of(spark, d), [0], SIZE)).where("x < y")
     uu = table(spark, d, "events").select(F.col("event_type").alias("e"), "user_id").distinct()
     known = uu.select(F.col("e").alias("x"), "user_id").join(uu.select(F.col("e").alias("y"), "user_id"), "user_id").where("x < y").groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 60")
     return ev.label_pairs(m, known).withColumnRenamed("u", "system")
@@ -307,9 +313,18 @@ def score_density(spark, d):
     return ev.score_density(s, 10, ("acc",))
 
 
-@query(f"WITH {_MOMENTS}, {_KNOWN} SELECT system, x, y, known, printf('%.6f', round(tmt, 6)) AS tmt FROM lb")
+_EXPORTED = ("ex", "ey", "cex_xy", "cex_yx", "exy", "ediff", "ham", "tmt", "cls", "cos", "cov", "dep")
+
+
+@query(f"WITH {_MOMENTS}, {_KNOWN} SELECT system, x, y, known, " + ", ".join(f"printf('%.6f', coalesce(round(round({c}, 9), 6), 0)) AS {c}" for c in _EXPORTED) + " FROM lb")
 def export_pairs(spark, d):
-    return ev.export_pairs(labelled(spark, d).select("system", "x", "y", "known", F.round("tmt", 6).alias("tmt")))
+    return ev.export_pairs(labelled(spark, d).select("system", "x", "y", "known", *[F.round(F.round(c, 9), 6).alias(c) for c in _EXPORTED]))
+
+
+@query("SELECT o_custkey AS system, least(l_suppkey, 1000 + l_partkey) AS x, greatest(l_suppkey, 1000 + l_partkey) AS y FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL")
+def known_pairs(spark, d):
+    j = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return ev.known_pairs(j.select(F.col("o_custkey").alias("system"), F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")), 1000)
 
 
 @query(f"WITH {_MOMENTS}, {_KNOWN}, h AS (SELECT system, x, y, least(1, greatest(0, (2 * tmt - cos + 0.1) / 4 + 0.5)) AS a, greatest(0, 0.5 * tmt + cos - 0.2) AS b FROM lb) SELECT system, x, y, round(1 / (1 + exp(-(1.5 * a - 0.5 * b + 0.05))), 9) AS score FROM h")
@@ -351,11 +366,11 @@ def asof_next(spark, d):
     return _asof(spark, d, "next")
 
 
-@query(f"""WITH {_S}, iv AS (SELECT signal, t AS t0, lead(t) OVER (PARTITION BY signal ORDER BY t) AS t1 FROM s), i AS (SELECT signal, t0, least(t1, t0 + 5) AS t1 FROM iv WHERE t1 IS NOT NULL)
-SELECT a.signal AS x, b.signal AS y, greatest(a.t0, b.t0) AS t0, least(a.t1, b.t1) AS t1 FROM i a JOIN i b ON a.signal < b.signal AND a.t0 < b.t1 AND b.t0 < a.t1""")
+@query(f"""WITH {_S}, i AS (SELECT signal, t AS t0, lead(t) OVER (PARTITION BY signal ORDER BY t) AS t1 FROM s)
+SELECT a.signal AS x, b.signal AS y, greatest(a.t0, b.t0) AS t0, coalesce(least(a.t1, b.t1), -1) AS t1 FROM i a JOIN i b ON a.signal < b.signal AND a.t0 < coalesce(b.t1, a.t0 + 1) AND b.t0 < coalesce(a.t1, b.t0 + 1)""")
 def interval_overlap(spark, d):
-    i = sa.hold(occurrences_of(spark, d)).where("t1 is not null").withColumn("t1", F.least("t1", F.col("t0") + 5))
-    return sa.interval_overlap(i, i, 8).where("x < y").select("x", "y", "t0", "t1")
+    i = sa.hold(occurrences_of(spark, d))
+    return sa.interval_overlap(i, i, 8).where("x < y").select("x", "y", "t0", "t1").na.fill(-1, ["t1"])
 
 
 def _two(spark, d):
@@ -381,15 +396,17 @@ def occur_symdiff(spark, d):
     return sa.occur_symdiff(*_two(spark, d))
 
 
-@query(f"""WITH {_S}, n AS (SELECT signal, row_number() OVER (ORDER BY signal) AS r FROM (SELECT DISTINCT signal FROM s)), p AS (SELECT t, max((r = 1)::INT) AS a, max((r = 2)::INT) AS b, max((r = 3)::INT) AS c FROM s JOIN n USING (signal) GROUP BY t)
-SELECT 'and_or' AS signal, t, greatest(least(a, b), c) AS v FROM p WHERE greatest(least(a, b), c) = 1 UNION ALL SELECT 'xor', t, (a + b + c) % 2 FROM p WHERE (a + b + c) % 2 = 1""")
+@query(f"""WITH {_S}, n AS (SELECT signal, row_number() OVER (ORDER BY signal) AS r FROM (SELECT DISTINCT signal FROM s)), p AS (SELECT t, max((r = 1)::INT) AS a, max((r = 2)::INT) AS b, max((r = 3)::INT) AS c, count(*) AS every, count(*) FILTER (r > 3) AS later FROM s JOIN n USING (signal) GROUP BY t),
+q AS (SELECT t, (greatest(least(a, b), c) + later) % 2 AS m, every % 2 AS x, CASE WHEN every > 0 THEN 1 ELSE 0 END AS o FROM p)
+SELECT 'mixed' AS signal, t, m AS v FROM q WHERE m = 1 UNION ALL SELECT 'xor', t, x FROM q WHERE x = 1 UNION ALL SELECT 'or', t, o FROM q""")
 def derive_signals(spark, d):
     from pyspark.sql import Window
 
     s = occurrences_of(spark, d)
-    n = s.select("signal").distinct().withColumn("r", F.row_number().over(Window.orderBy("signal"))).where("r <= 3")
-    ops = F.array(*[F.struct(F.lit(x).alias("dst"), F.lit(a).alias("a"), F.lit(b).alias("b")) for x, a, b in (("and_or", "and", "or"), ("xor", "xor", "xor"))])
-    con = n.withColumn("o", F.explode(ops)).select(F.col("o.dst").alias("dst"), F.col("r").alias("ord"), F.col("signal").alias("src"), F.when(F.col("r") == 3, F.col("o.b")).otherwise(F.col("o.a")).alias("op"))
+    n = s.select("signal").distinct().withColumn("r", F.row_number().over(Window.orderBy("signal")))
+    mixed = F.when(F.col("r") <= 2, "and").when(F.col("r") == 3, "or").otherwise("xor")
+    con = n.withColumn("dst", F.explode(F.array(*map(F.lit, ("mixed", "xor", "or")))))
+    con = con.select("dst", F.col("r").alias("ord"), F.col("signal").alias("src"), F.when(F.col("dst") == "mixed", mixed).otherwise(F.col("dst")).alias("op"))
     return sa.derive_signals(s, con)
 
 
@@ -462,16 +479,6 @@ for _keep_, _row, _place in (("first", "ASC", "min"), ("last", "DESC", "min"), (
 # resampling and series
 
 
-@query()
-def subsample_xor(spark, d):
-    return rs.subsample(daily(spark, d), 8, "xor", 5)
-
-
-@query()
-def subsample_uniform(spark, d):
-    return rs.subsample(daily(spark, d), 8, "uniform", 5)
-
-
 for _m, _f in (("mean", "avg"), ("median", "median"), ("min", "min"), ("max", "max")):
     query(f"WITH {_DAILY} SELECT signal, t // 7 AS t, round({_f}(v)::DOUBLE, 9) AS v FROM dy GROUP BY signal, t // 7", f"downsample_{_m}")(lambda spark, d, m=_m: rs.downsample(daily(spark, d), 7, m).select("signal", "t", r9("v")))
 
@@ -484,6 +491,27 @@ def _numbered(spark, d):
     return daily(spark, d).withColumn("t", F.row_number().over(Window.partitionBy("signal").orderBy("t")) - 1)
 
 
+_DRAWN = "('0x' || substr(md5({}), 1, 8))::BIGINT"
+# rows with the last block filled up by mirrored ones, blocks, and the drawn place in each
+_SUB = f"""{_DAILY}, nb AS (SELECT signal, row_number() OVER (PARTITION BY signal ORDER BY t) - 1 AS t, v FROM dy), ct AS (SELECT signal, count(*) AS n, (8 - count(*) % 8) % 8 AS miss FROM nb GROUP BY signal),
+pd AS (SELECT * FROM nb UNION ALL SELECT signal, 2 * (n - 1) - t, v FROM nb JOIN ct USING (signal) WHERE 2 * (n - 1) - t BETWEEN n AND n + miss - 1)"""
+
+
+@query(f"WITH {_SUB} SELECT signal, t // 8 AS t, v FROM pd WHERE t % 8 = xor((t // 8) & 7, {_DRAWN.format("'5|' || signal")} % 8)")
+def subsample_xor(spark, d):
+    return rs.subsample(_numbered(spark, d), 8, "xor", 5, padding="reflect")
+
+
+@query(f"WITH {_SUB} SELECT signal, t // 8 AS t, v FROM pd WHERE t % 8 = {_DRAWN.format("'5|' || signal || '|' || (t // 8)")} % 8")
+def subsample_uniform(spark, d):
+    return rs.subsample(_numbered(spark, d), 8, "uniform", 5, padding="reflect")
+
+
+@query(f"WITH {_DAILY} SELECT signal, t // 8 AS t, v FROM dy WHERE t % 8 = {_DRAWN.format("'5|' || signal || '|' || (t // 8)")} % 8")
+def subsample_sparse(spark, d):
+    return rs.subsample(daily(spark, d), 8, "uniform", 5)
+
+
 @query(f"WITH {_NUM} SELECT signal, t, v FROM nb UNION ALL SELECT signal, 2 * (n - 1) - t, v FROM nb JOIN ct USING (signal) WHERE 2 * (n - 1) - t BETWEEN n AND n + miss - 1")
 def pad_reflect(spark, d):
     return rs.pad_tail(_numbered(spark, d), 7, "reflect")
@@ -494,6 +522,15 @@ def pad_mean(spark, d):
     return rs.pad_tail(_numbered(spark, d), 7, "mean").select("signal", "t", r9("v"))
 
 
+for _m in ("minimum", "maximum", "median"):
+    query(f"WITH {_NUM}, one AS (SELECT signal, {_m.replace('imum', '')}(v)::DOUBLE AS x FROM nb GROUP BY signal) SELECT signal, t, round(v, 9) AS v FROM nb UNION ALL SELECT signal, unnest(range(n, n + miss)), round(x, 9) FROM ct JOIN one USING (signal)", f"pad_{_m}")(lambda spark, d, m=_m: rs.pad_tail(_numbered(spark, d), 7, m).select("signal", "t", r9("v")))
+
+
+@query(f"WITH {_NUM} SELECT signal, t, v FROM nb UNION ALL SELECT signal, t + n, v FROM nb JOIN ct USING (signal) WHERE t < miss")
+def pad_wrap(spark, d):
+    return rs.pad_tail(_numbered(spark, d), 7, "wrap")
+
+
 @query("SELECT o_custkey, o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING), 4) AS total FROM orders")
 def running_total(spark, d):
     o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
@@ -555,10 +592,11 @@ def expand_templates(spark, d):
     return pa.expand_templates(t, 2).select("mtype", "name", "hook", "idx")
 
 
-@query("SELECT r_name || '.' || a || '.' || b AS name FROM region, (SELECT unnest(['x', 'y']) AS a), range(3) r(b)")
+@query(f"""WITH g AS (SELECT r_name || '.' || a || '.' || b AS name FROM region, (SELECT unnest(['x', 'y']) AS a), range(3) r(b)), v AS (SELECT name, CASE WHEN {_DRAWN.format("'1|' || name")} % 2 = 0 THEN 'low' ELSE 'high' END AS value FROM g)
+SELECT name, value, '(' || name || ' = ' || value || ')' AS text FROM v""")
 def param_grid(spark, d):
     t = table(spark, d, "region").select(F.concat("r_name", F.lit(".$.$")).alias("name"), F.array(F.array(F.lit("x"), F.lit("y")), F.array(F.lit("0..3")), F.array(F.lit("low"), F.lit("high"))).alias("lists"))
-    return pa.param_grid(t, 2, 1).where("value in ('low', 'high')").select("name")
+    return pa.param_grid(t, 2, 1, "(", ")").select("name", "value", "text")
 
 
 # column functions and reports
@@ -586,6 +624,11 @@ def durations(spark, d):
     return table(spark, d, "events").select("event_id", sc.duration_text(F.col("event_id") * 977 + F.lit(0.5)).alias("text"))
 
 
+@query("SELECT page_id, regexp_replace(regexp_replace('module:' || url || '.wire:a:b[7:0].c', '\\[.*$', '', 's'), '[^.]*:', '', 'g') AS path FROM pages")
+def detype(spark, d):
+    return table(spark, d, "pages").select("page_id", sc.detype(F.concat(F.lit("module:"), "url", F.lit(".wire:a:b[7:0].c"))).alias("path"))
+
+
 @query("""SELECT p_partkey, CASE WHEN p_name LIKE '%e' THEN p_name[:-2] ELSE p_name END AS stripped, p_name || '.csv' AS appended, regexp_replace(p_type, ' +', ' ', 'g') AS spaced,
 lower(p_brand[1]) || regexp_replace(p_brand[2:], '\\W+', '_', 'g') AS camel, coalesce(nullif(list_position(string_split(p_name, ' '), 'red'), 0) - 1, -1)::BIGINT AS place FROM part""")
 def strings(spark, d):
@@ -648,6 +691,8 @@ def _streamed(spark: SparkSession, d: str, name: str, build) -> DataFrame:
     sc_ = spark.sparkContext
     base = sc_.getCheckpointDir() or sc_.getConf().get("spark.checkpoint.dir", None)
     if base is None:
+        if not (sc_.master == "local" or sc_.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         base = tempfile.mkdtemp(prefix="sigrel-stream-")
@@ -672,6 +717,32 @@ def stream_expectation(spark, d):
     return _streamed(spark, d, "expectation", build)
 
 
+@query("""WITH e AS (SELECT DISTINCT event_type AS s, time_bucket(INTERVAL 1 MINUTE, ts) AS ts FROM events WHERE event_type IN ('click', 'purchase')), m AS (SELECT max(time_bucket(INTERVAL 1 MINUTE, ts)) - INTERVAL 10 MINUTE AS w FROM events WHERE event_type IN ('click', 'purchase')),
+p AS (SELECT ts, max((s = 'click')::INT) AS x, max((s = 'purchase')::INT) AS y FROM e GROUP BY ts), b AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS h, sum(x)::BIGINT AS count_x, sum(y)::BIGINT AS count_y, sum(x * y)::BIGINT AS count_isect, sum(abs(x - y))::BIGINT AS count_symdiff FROM p GROUP BY h)
+SELECT (epoch_us(h) // 1000000)::BIGINT AS u, count_x, count_y, count_isect, count_symdiff FROM b, m WHERE h + INTERVAL 1 HOUR <= w""")
+def stream_counters(spark, d):
+    from ..streaming.streams import stream_counters as f
+
+    def build(src):
+        minute = F.expr("timestamp_seconds(timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts) div 60 * 60)").alias("ts")
+        x, y = (src.where(F.col("event_type") == k).select(minute) for k in ("click", "purchase"))
+        return f(x, y, "1 hour").select(F.unix_timestamp(F.col("window.start")).alias("u"), "count_x", "count_y", "count_isect", "count_symdiff")
+
+    return _streamed(spark, d, "counters", build)
+
+
+@query("""WITH e AS (SELECT event_type AS signal, time_bucket(INTERVAL 1 MINUTE, ts) AS ts, event_id, user_id FROM events), m AS (SELECT max(ts) - INTERVAL 10 MINUTE AS w FROM e)
+SELECT signal, (epoch_us(ts) // 1000000)::BIGINT AS t, max_by(user_id, event_id) AS raw FROM e, m WHERE ts <= w GROUP BY ALL""")
+def stream_last(spark, d):
+    from ..streaming.streams import stream_last as f
+
+    def build(src):
+        e = src.select(F.col("event_type").alias("signal"), F.expr("timestamp_seconds(timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts) div 60 * 60)").alias("ts"), F.col("event_id").alias("seq"), F.col("user_id").alias("raw"))
+        return f(e).select("signal", F.unix_timestamp("ts").alias("t"), "raw")
+
+    return _streamed(spark, d, "last", build)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

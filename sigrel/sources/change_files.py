@@ -90,17 +90,20 @@ _FIRST, _RANGE = 33, 94
 
 
 def variable_id(rank) -> F.Column:
-    """Short printable id of a rank: digits of base 94 from '!' on."""
-    r = F.col(rank) if isinstance(rank, str) else rank
-    digit = lambda x: F.char((x % _RANGE + _FIRST).cast("int"))
-    return F.when(r < _RANGE, digit(r)).when(r < _RANGE + _RANGE**2, F.concat(digit(r - _RANGE), digit(F.floor((r - _RANGE) / _RANGE)))).otherwise(F.concat(digit(r - _RANGE - _RANGE**2), digit(F.floor((r - _RANGE - _RANGE**2) / _RANGE)), digit(F.floor((r - _RANGE - _RANGE**2) / _RANGE**2))))
+    """Short printable id of a rank: its digits of base 94, from '!' on, as many as it takes."""
+    r = (F.col(rank) if isinstance(rank, str) else rank).cast("long")
+    powers = F.array(*[F.lit(_RANGE**k) for k in range(9, -1, -1)])  # 94**10 is beyond a long
+    digits = F.transform(powers, lambda p: F.char((F.floor(r / p) % _RANGE + _FIRST).cast("int")))
+    exact = F.transform(powers, lambda p: F.char((F.floor((r - r % p).cast("decimal(20,0)") / p) % _RANGE + _FIRST).cast("int")))
+    return F.regexp_replace(F.array_join(F.when(r < 1 << 53, digits).otherwise(exact), ""), "^!+(?=.)", "")
 
 
-def write_changes(variables: DataFrame, changes: DataFrame, path: str, timescale: str = "1 ns", comment: str = "", date: str = "", version: str = "") -> None:
+def write_changes(variables: DataFrame, changes: DataFrame, path: str, timescale: str = "1 ns", comment: str = "", date: str = "", version: str = "", separate: bool = False) -> None:
     """One VCD text (as part files in order) of one source's variables and changes.
 
     Ids are given by rank of the variables, names of one variable share its id; reals have six decimals; vectors are
-    filled up to their width; times are in order and have no empty chunks; the scope tree is sorted by name.
+    filled up to their width; times are in order and have no empty chunks; the scope tree is sorted by name. With
+    ``separate`` a blank line stands before each time, which readers pass over.
     """
     spark = changes.sparkSession
     firsts = variables.groupBy("var_id").agg(F.min("name").alias("root"), F.max("width").alias("width"), F.min("kind").alias("kind"))
@@ -130,7 +133,7 @@ def write_changes(variables: DataFrame, changes: DataFrame, path: str, timescale
     wide = F.concat(F.lit("b"), F.repeat(fill, F.greatest(F.lit(0), F.col("width") - F.length(digits))), digits, F.lit(" "), F.col("new_id"))
     text = F.when(F.col("kind") == "real", F.concat(F.format_string("r%.6f", F.regexp_replace("raw", "^[rR]", "").cast("double")), F.lit(" "), F.col("new_id"))).when(F.col("width") <= 1, F.concat(digits, F.col("new_id"))).otherwise(wide)
     rows = c.select("t", F.lit(2).alias("part"), "seq", text.alias("value"))
-    times = changes.select("t").distinct().select("t", F.lit(1).alias("part"), F.lit(0).cast("long").alias("seq"), F.concat(F.lit("#"), F.col("t").cast("string")).alias("value"))
+    times = changes.select("t").distinct().select("t", F.lit(1).alias("part"), F.lit(0).cast("long").alias("seq"), F.concat(F.lit("\n#" if separate else "#"), F.col("t").cast("string")).alias("value"))
     n = max(1, changes.rdd.getNumPartitions())
     head.unionByName(times).unionByName(rows).repartitionByRange(n, "t").sortWithinPartitions("t", "part", "seq").select("value").write.mode("overwrite").text(path)
 

@@ -59,13 +59,19 @@ def stream_expectation(occurrences: DataFrame, size: str, slide: str | None = No
 def stream_counters(x: DataFrame, y: DataFrame, size: str, late: str = "10 minutes") -> DataFrame:
     """Per window: occurrences of X, of Y, of both at one time, and of just one of them. x, y: (ts) with one row a time.
 
-    Both streams are one with a flag for each side; times are pre-grouped, so no stream-stream join is needed.
+    Both streams are one with a flag for each side. Times are grouped first, which keeps the one event time that the
+    windows of the second grouping go by; no stream-stream join is needed.
     """
     both = x.select("ts", F.lit(1).alias("x"), F.lit(0).alias("y")).unionByName(y.select("ts", F.lit(0).alias("x"), F.lit(1).alias("y"))).withWatermark("ts", late)
-    at = both.groupBy(F.window("ts", size).alias("window"), F.col("ts").alias("at")).agg(F.max("x").alias("x"), F.max("y").alias("y"))
-    return at.groupBy("window").agg(F.sum("x").alias("count_x"), F.sum("y").alias("count_y"), F.sum(F.col("x") * F.col("y")).alias("count_isect"), F.sum(F.abs(F.col("x") - F.col("y"))).alias("count_symdiff"))
+    at = both.groupBy("ts").agg(F.max("x").alias("x"), F.max("y").alias("y"))
+    return at.groupBy(F.window("ts", size).alias("window")).agg(F.sum("x").alias("count_x"), F.sum("y").alias("count_y"), F.sum(F.col("x") * F.col("y")).alias("count_isect"), F.sum(F.abs(F.col("x") - F.col("y"))).alias("count_symdiff"))
 
 
 def stream_clean(changes: DataFrame, late: str = "10 minutes", keys: tuple[str, ...] = ("signal", "ts", "raw")) -> DataFrame:
     """Changes without late rows and without those repeated within the watermark."""
     return changes.withWatermark("ts", late).dropDuplicatesWithinWatermark(list(keys))
+
+
+def stream_last(changes: DataFrame, late: str = "10 minutes", keys: tuple[str, ...] = ("signal",), seq: str = "seq", value: str = "raw") -> DataFrame:
+    """Of the changes of one signal at one time the last by ``seq``, once the watermark has passed that time; late rows go."""
+    return changes.withWatermark("ts", late).groupBy(*keys, "ts").agg(F.max_by(value, seq).alias(value))
