@@ -71,8 +71,9 @@ def quality_rules(docs: DataFrame, host: str = "source", min_words: int = 50, ma
     ``max_repeat`` of its words in 3-word windows found twice or more.
 
     Null and empty texts have figures of 0 and fail; a null host is a host of its own; rows that repeat a doc_id
-    count once among a line's documents and get a verdict each (by their number of removed words if equal);
-    an empty table gives an empty one; other columns are ignored.
+    count once among a line's documents and get a verdict each (by their number of removed words if equal); rows
+    without a doc_id count for no line's documents, but lose its lines too; texts of any length count as a whole; an
+    empty table gives an empty one; other columns are ignored.
     """
     f = text_figures(docs, host).withColumn("row", F.monotonically_increasing_id())
     f = cut(f)

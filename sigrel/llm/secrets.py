@@ -256,17 +256,21 @@ def _labelled(text: str, order: int) -> list[tuple]:
         if not tags[i:j].any():
             tags[i:j] = INSIDE
             tags[i] = BEGIN
-    odd = np.where(tags == OUTSIDE, [bin(c & ~64).count("1") for c in code.tolist()], -1)
+    # long words of letters and digits mixed that no pattern names may be secrets: they are no examples of either kind
+    unsure = (tags == OUTSIDE) & (code & (32 | 128 | 1 << 10) == (32 | 128 | 1 << 10)) & (code & (1 << 11 | 1 << 14 | 1 << 15 | 1 << 16) > 0)
+    odd = np.where((tags == OUTSIDE) & ~unsure, [bin(c & ~64).count("1") for c in code.tolist()], -1)
     out = []
     elsewhere = rng.randrange(len(words))
     for m in [*np.flatnonzero(tags == BEGIN)[:4].tolist(), int(odd.argmax()), elsewhere]:
         lo, hi = max(0, m - SIDE), min(len(words), m + SIDE + 1)
+        if unsure[lo:hi].any():
+            continue
         c = code[lo:hi].copy()
         if tags[m] == BEGIN and rng.random() < 0.5:
             c &= _MASK
         out.append((order, c.tolist(), tags[lo:hi].tolist(), f))
     lo, hi = max(0, elsewhere - SIDE), min(len(words), elsewhere + SIDE)
-    if not tags[lo:hi].any():
+    if not (tags[lo:hi].any() or unsure[lo:hi].any()):
         more, labels = planted(rng) if rng.random() < 0.5 else (harmless(rng), None)
         new = shapes_of([w.encode() for w in " ".join(more).split()])
         known = [float(bool((new & _HAS_KEY).any()) or f[0]), f[1]]
