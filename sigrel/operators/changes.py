@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import carried, numbered, ranked
+
 
 def clean_changes(changes: DataFrame, drop_redundant: bool = False, events: Sequence[str] = (), keys: tuple[str, ...] = ()) -> DataFrame:
     """The last value of each variable and time; with ``drop_redundant`` only where it differs from the one before.
@@ -28,15 +30,15 @@ def describe_changes(changes: DataFrame, keys: tuple[str, ...] = ()) -> DataFram
     w = Window.partitionBy(*keys, "var_id").orderBy("t", "seq")
     x = changes.withColumn("_new", ~F.col("raw").eqNullSafe(F.lag("raw").over(w)))
     d = x.groupBy(*keys, "var_id").agg(F.count("*").alias("changes"), F.sum(F.col("_new").cast("long")).alias("toggles"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
-    order = Window.partitionBy(*keys).orderBy(F.desc("changes")) if keys else Window.orderBy(F.desc("changes"))
-    return d.withColumn("rank", F.rank().over(order))
+    return ranked(d, "changes", keys)
 
 
 def describe_chunks(changes: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Of each time: how many variables change (the number of a chunk is its place in time order)."""
     c = changes.groupBy(*keys, "t").agg(F.count("*").alias("changes"))
-    w = Window.partitionBy(*keys).orderBy("t") if keys else Window.orderBy("t")
-    return c.withColumn("number", F.row_number().over(w) - 1)
+    if not keys:
+        return numbered(c, "t")
+    return c.withColumn("number", F.row_number().over(Window.partitionBy(*keys).orderBy("t")) - 1)
 
 
 # Words for states in wide tables.
@@ -114,7 +116,12 @@ def changes_to_wide(changes: DataFrame, variables: dict[str, tuple[str, int]], k
     digits = F.regexp_replace(F.lower(raw), "^b", "")
     cell = F.when(kind == "event", "*").when(kind == "string", F.substring(raw, 2, 1 << 20)).when(kind == "real", F.format_string("%.6f", F.regexp_replace(raw, "^[rR]", "").cast("double"))).when(width == 1, digits).when(digits.rlike("[xz]"), F.concat(F.lit("0b"), digits)).otherwise(_hex(digits, width))
     wide = changes.where(F.col("var_id").isin(list(variables))).select(*keys, "t", "var_id", cell.alias("cell")).groupBy(*keys, "t").pivot("var_id", list(variables)).agg(F.max("cell"))
-    w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    if not keys:
+        plain = {c: f"c{i}" for i, c in enumerate(variables)}
+        renamed = wide.select("t", *[F.col(f"`{c}`").alias(p) for c, p in plain.items()])
+        full = carried(renamed, [plain[c] for c, k in variables.items() if k[0] != "event"])
+        return full.select("t", *[F.coalesce(p, F.lit("-")).alias(c) for c, p in plain.items()])
+    w = Window.partitionBy(*keys).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     held = {c: F.coalesce(F.col(f"`{c}`") if k[0] == "event" else F.last(F.col(f"`{c}`"), ignorenulls=True).over(w), F.lit("-")) for c, k in variables.items()}
     return wide.select(*keys, "t", *[v.alias(c) for c, v in held.items()])
 

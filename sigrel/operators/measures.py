@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clip_norm
+from .ordered import neighbour
 from .samples import hold
 
 # The siblings of each type of measure, those that only lead to a normal one, and the keys of a measure.
@@ -48,8 +49,14 @@ def measure_event(changes: DataFrame, keys: tuple[str, ...] = ("signal",), level
     return changes.select(*keys, "t").distinct().select(*keys, F.col("t").alias("t0"), (F.col("t") + 1).alias("t1"), F.lit(1.0).alias("v"))
 
 
-def edges(levels: DataFrame, keys: tuple[str, ...] = ("signal",)) -> DataFrame:
-    """Level changes (keys, t, v in 0/1) with rise and fall against the value before, which is 0 at first."""
+def edges(levels: DataFrame, keys: tuple[str, ...] = ("signal",), block: int | None = None) -> DataFrame:
+    """Level changes (keys, t, v in 0/1) with rise and fall against the value before, which is 0 at first.
+
+    With ``block`` a signal is dealt into blocks of so many ticks."""
+    if block:
+        d = neighbour(levels, "v", "_b", "t", keys, block)
+        was = F.coalesce("_b", F.lit(0))
+        return d.withColumn("rise", ((F.col("v") == 1) & (was == 0)).cast("int")).withColumn("fall", ((F.col("v") == 0) & (was == 1)).cast("int")).drop("_b")
     w = Window.partitionBy(*keys).orderBy("t")
     before = F.lag("v", 1, 0).over(w)
     return levels.withColumn("rise", ((F.col("v") == 1) & (before == 0)).cast("int")).withColumn("fall", ((F.col("v") == 0) & (before == 1)).cast("int"))

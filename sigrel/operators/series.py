@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import ranked
+
 
 def series_transform(df: DataFrame, columns: Sequence[str], order: str, by: Sequence[str] = (), base: bool = False, add: float = 0.0, mul: float = 1.0, integer: bool = False, diff: bool = False, inverse: bool = False, product: str | None = None) -> DataFrame:
     """Transforms of columns in the order base, add, mul, int, diff, inverse, and a column with their product.
@@ -53,7 +55,7 @@ def top_by_count(df: DataFrame, key: str, k: int | None = None) -> DataFrame:
     n = df.groupBy(key).agg(F.count("*").alias("n"))
     if k is not None:
         n = n.orderBy(F.desc("n"), key).limit(k)
-    return n.withColumn("rank", F.rank().over(Window.orderBy(F.desc("n"))))
+    return ranked(n, "n")
 
 
 def chunk(df: DataFrame, n: int, value: str, order: Sequence[str], by: Sequence[str] = (), fill=None) -> DataFrame:

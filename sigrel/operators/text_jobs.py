@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import dedup_spaces, is_comment
 
+#: Patterns of a table that go to every task at once.
+PATTERNS = 10_000
+
 
 def expand_tabs(v: Column, width: int = 8) -> Column:
     """Tabs as blanks up to the next stop."""
@@ -50,11 +55,21 @@ def split_lines(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
 
 
 def filter_lines(lines: DataFrame, patterns: list[str] | DataFrame, invert: bool = False, value: str = "value") -> DataFrame:
-    """Lines that match none of the patterns, or with ``invert`` any; a table of patterns has a column ``pattern``."""
+    """Lines that match none of the patterns, or with ``invert`` any; a table of patterns has a column ``pattern``.
+
+    A table of more than ``PATTERNS`` patterns is taken in lots of about so many, one after the other.
+    """
     if isinstance(patterns, list):
         hit = F.col(value).rlike("|".join(f"(?:{p})" for p in patterns)) if patterns else F.lit(False)
         return lines.where(hit if invert else ~hit)
-    return lines.join(F.broadcast(patterns.select("pattern")), F.expr(f"{value} rlike pattern"), "left_semi" if invert else "left_anti")
+    lots = max(1, -(-patterns.count() // PATTERNS))
+    rest, hits = lines, []
+    for k in range(lots):
+        lot = F.broadcast(patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(lots)) == k).select("pattern"))
+        if invert:
+            hits.append(rest.join(lot, F.expr(f"{value} rlike pattern"), "left_semi"))
+        rest = rest.join(lot, F.expr(f"{value} rlike pattern"), "left_anti")
+    return reduce(DataFrame.unionByName, hits) if invert else rest
 
 
 def annotated_durations(lines: DataFrame, pattern: str, order: str, by: tuple[str, ...] = (), value: str = "value") -> DataFrame:

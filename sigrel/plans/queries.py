@@ -183,7 +183,7 @@ for _n, (_g, _l, _c) in {"threshold_inside": (20.0, 60.0, "v >= 20 AND v <= 60")
 
 @query(f"WITH {_TH % 'v >= 50'} SELECT signal, t, v, (v = 1 AND b = 0)::INT AS rise, (v = 0 AND b = 1)::INT AS fall FROM g")
 def edges(spark, d):
-    return me.edges(user_values(spark, d).withColumn("v", me.threshold(F.col("v"), geq=50.0)))
+    return me.edges(user_values(spark, d).withColumn("v", me.threshold(F.col("v"), geq=50.0)), block=1 << 16)
 
 
 _DAILY = "dy AS (SELECT l_returnflag AS signal, (epoch_us(l_shipdate) // 86400000000)::BIGINT AS t, sum(l_quantity) AS v FROM lineitem GROUP BY ALL)"
@@ -369,7 +369,7 @@ def asof_next(spark, d):
 @query(f"""WITH {_S}, i AS (SELECT signal, t AS t0, lead(t) OVER (PARTITION BY signal ORDER BY t) AS t1 FROM s)
 SELECT a.signal AS x, b.signal AS y, greatest(a.t0, b.t0) AS t0, coalesce(least(a.t1, b.t1), -1) AS t1 FROM i a JOIN i b ON a.signal < b.signal AND a.t0 < coalesce(b.t1, a.t0 + 1) AND b.t0 < coalesce(a.t1, b.t0 + 1)""")
 def interval_overlap(spark, d):
-    i = sa.hold(occurrences_of(spark, d))
+    i = sa.hold(occurrences_of(spark, d), block=1024)
     return sa.interval_overlap(i, i, 8).where("x < y").select("x", "y", "t0", "t1").na.fill(-1, ["t1"])
 
 

@@ -63,7 +63,7 @@ def read_changes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
     # header lines stand before $enddefinitions; its place is one row a file
     end = lines.where(F.col("value").startswith("$enddefinitions")).groupBy("src").agg(F.min(F.struct("block", "line")).alias("end"))
     at = F.struct("block", "line")
-    placed = lines.join(F.broadcast(end), "src", "left")
+    placed = lines.join(end, "src", "left")
     header = placed.where(F.col("end").isNull() | (at <= F.col("end"))).where(F.col("end").isNotNull() | F.col("value").startswith("$"))
     declared = header.select("src", "block", "line", "value").groupBy("src").applyInPandas(_header_rows, _HEADER)
     variables = declared.where("what = 'var'").select("src", "var_id", "name", "width", "kind", "bit_sel")
@@ -127,7 +127,7 @@ def write_changes(variables: DataFrame, changes: DataFrame, path: str, timescale
         out.append(" ".join(x for x in ("$var", r["kind"], str(r["width"]), r["new_id"], leaf, r["bit_sel"], "$end") if x))
     out += ["$upscope $end"] * len(scope) + ["$enddefinitions $end"]
     head = spark.createDataFrame([(-1, 0, i, x) for i, x in enumerate(out)], "t long, part int, seq long, value string")
-    c = changes.join(F.broadcast(ids.select("var_id", "new_id", "width", "kind")), "var_id")
+    c = changes.join(ids.select("var_id", "new_id", "width", "kind"), "var_id")
     digits = F.regexp_replace("raw", "^[bB]", "")
     fill = F.when(F.substring(digits, 1, 1).isin("x", "z"), F.substring(digits, 1, 1)).otherwise(F.lit("0"))
     wide = F.concat(F.lit("b"), F.repeat(fill, F.greatest(F.lit(0), F.col("width") - F.length(digits))), digits, F.lit(" "), F.col("new_id"))

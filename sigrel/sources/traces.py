@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordered import ranked
+
 
 def trace_to_changes(lines: DataFrame, symbols: DataFrame, factor: int = 1, groups: dict[str, tuple[int, int]] | None = None) -> DataFrame:
     """Trace lines ``time channel 0xaddress`` -> changes (t, signal, raw), and zeros at the first time for the others.
@@ -19,7 +21,7 @@ def trace_to_changes(lines: DataFrame, symbols: DataFrame, factor: int = 1, grou
     group = F.lit(None).cast("string")
     for name, (low, high) in (groups or {}).items():
         group = F.when((F.col("addr") >= low) & (F.col("addr") < high), name).otherwise(group)
-    j = x.join(F.broadcast(s), "addr", "left")
+    j = x.join(s, "addr", "left")
     signal = F.when(F.col("symbol").isNull(), F.concat(F.lit("unknown.0x"), F.col("text"))).otherwise(F.concat_ws(".", group, "symbol"))
     c = j.select("t", signal.alias("signal"), F.when(F.col("ch") == 0, "0").when(F.col("ch") == 1, "1").otherwise("x").alias("raw"))
     start = c.agg(F.min("t").alias("t"))
@@ -31,7 +33,8 @@ def trace_to_changes(lines: DataFrame, symbols: DataFrame, factor: int = 1, grou
 def rank_signals(changes: DataFrame) -> DataFrame:
     """Signals with their number of changes, most first: rank from 0."""
     n = changes.groupBy("signal").agg(F.count("*").alias("n"))
-    return n.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "signal")) - 1)
+    same = Window.partitionBy("n").orderBy("signal")
+    return ranked(n, "n").withColumn("rank", F.col("rank") + F.row_number().over(same) - 2)
 
 
 def union_runs(spark: SparkSession, path: str, name_pattern: str, attributes: list[str], schema: str) -> DataFrame:

@@ -99,3 +99,43 @@ def test_streams_last_and_counters(spark, tmp_path):
     x, y = (read().where(F.col("signal") == k).select("ts") for k in "ab")
     counts = {int(r["window"]["start"].timestamp()): (r["count_x"], r["count_y"], r["count_isect"], r["count_symdiff"]) for r in run("counters", st.stream_counters(x, y, "1 hour"))}
     assert counts == {0: (1, 1, 1, 0), 3600: (1, 0, 0, 1)}
+
+
+def test_two_steps_equal_one_window(spark):
+    import random
+
+    from pyspark.sql import Window
+
+    from sigrel.operators import ordered as od
+
+    rng = random.Random(4)
+    rows = [(s, t, rng.choice([0, 1, None])) for s in "ab" for t in sorted(rng.sample(range(500), 60))]
+    d = spark.createDataFrame(rows, "signal string, t long, v int")
+    w = Window.partitionBy("signal").orderBy("t")
+    for ahead in (False, True):
+        got = od.neighbour(d, "v", "n", block=7, ahead=ahead).collect()
+        want = d.withColumn("n", (F.lead if ahead else F.lag)("v").over(w)).collect()
+        assert sorted(map(str, got)) == sorted(map(str, want))
+    one = d.where("signal = 'a'").drop("signal")
+    full = {r["t"]: r["v"] for r in od.carried(one, ["v"], block=7).collect()}
+    last = None
+    for _, t, v in [r for r in rows if r[0] == "a"]:
+        last = v if v is not None else last
+        assert full[t] == last
+    assert [r["number"] for r in od.numbered(one, "t", blocks=9).orderBy("t").collect()] == list(range(60))
+    assert od.numbered(one.where("t < 0"), "t").count() == 0
+    x = spark.createDataFrame([("p", 3), ("q", 3), ("r", 9), ("s", 1)], "k string, n long")
+    assert {r["k"]: r["rank"] for r in od.ranked(x, "n").collect()} == {"r": 1, "p": 2, "q": 2, "s": 4}
+    held = sa.hold(d.where("v is not null"), 600).collect()
+    assert sorted(map(str, held)) == sorted(map(str, sa.hold(d.where("v is not null"), 600, block=16).collect()))
+
+
+def test_pattern_tables_in_lots(spark, monkeypatch):
+    from sigrel.operators import text_jobs as tj
+
+    lines = spark.createDataFrame([(i, f"w{i} x") for i in range(20)], "line int, value string")
+    p = spark.createDataFrame([(f"^w{i} ",) for i in range(0, 20, 3)], "pattern string")
+    for limit in (2, 100):
+        monkeypatch.setattr(tj, "PATTERNS", limit)
+        assert sorted(r["line"] for r in tj.filter_lines(lines, p).collect()) == [i for i in range(20) if i % 3]
+        assert sorted(r["line"] for r in tj.filter_lines(lines, p, invert=True).collect()) == [i for i in range(20) if i % 3 == 0]
