@@ -20,6 +20,8 @@ from ..operators import resample as rs
 from ..operators import samples as sa
 from ..operators import series as se
 from ..operators import text_jobs as tj
+from ..sources import change_files as cf
+from ..sources import traces as tr
 from ..sources.binary_files import byte_histogram
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -683,11 +685,11 @@ def comparison_report(spark, d):
     return me.comparison_report(table(spark, d, "lineitem"), {"small": ("l_quantity", "leq", 40.0), "taxed": ("l_tax", "gt", "l_discount")})
 
 
-# streams
+# files: what is written from the given tables is read back
 
 
-def _streamed(spark: SparkSession, d: str, name: str, build) -> DataFrame:
-    """Run a stream over a table's files to its end and read back what it wrote."""
+def _shared(spark: SparkSession, name: str) -> str:
+    """A new folder that the driver and all executors share."""
     sc_ = spark.sparkContext
     base = sc_.getCheckpointDir() or sc_.getConf().get("spark.checkpoint.dir", None)
     if base is None:
@@ -696,7 +698,79 @@ def _streamed(spark: SparkSession, d: str, name: str, build) -> DataFrame:
         import tempfile
 
         base = tempfile.mkdtemp(prefix="sigrel-stream-")
-    where = f"{base}/stream-{name}-{uuid.uuid4().hex}"
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+_LOG = "lg AS (SELECT 'top.u' || user_id AS name, (epoch_us(ts) // 60000000)::BIGINT AS t, max_by(floor(value)::BIGINT % 65536, event_id) AS v FROM events GROUP BY ALL)"
+
+
+def _user_log(spark, d):
+    """Each user's value as a vector of 16 bits, the last one of each minute."""
+    e = table(spark, d, "events").select(F.concat(F.lit("top.u"), F.col("user_id").cast("string")).alias("name"), F.floor(_seconds("ts") / 60).cast("long").alias("t"), "event_id", (F.floor("value").cast("long") % 65536).alias("v"))
+    return e.groupBy("name", "t").agg(F.max_by("v", "event_id").alias("v"))
+
+
+@query(f"WITH {_LOG} SELECT t, name, 'b' || lpad(bin(v), 16, '0') AS raw FROM lg")
+def change_files(spark, d):
+    c = _user_log(spark, d).select("t", F.col("name").alias("var_id"), F.concat(F.lit("b"), F.bin("v")).alias("raw"))
+    c = c.withColumn("seq", F.monotonically_increasing_id())
+    v = c.select("var_id").distinct().select("var_id", F.col("var_id").alias("name"), F.lit(16).alias("width"), F.lit("reg").alias("kind"), F.lit("").alias("bit_sel"))
+    where = _shared(spark, "log")
+    cf.write_changes(v, c, where)
+    _, variables, changes = cf.read_changes(spark, where, parts=True)
+    return changes.join(variables.select("src", "var_id", "name"), ["src", "var_id"]).select("t", "name", "raw")
+
+
+@query(f"WITH {_LOG}, r AS (SELECT *, lag(v, 1, 0) OVER (PARTITION BY name ORDER BY t) AS b FROM lg), c AS (SELECT name, t, v FROM r WHERE v <> b), m AS (SELECT min(t) + 1000 AS t0, min(t) + 9000 AS t1 FROM lg) SELECT name AS signal, c.t, v::DOUBLE AS v FROM c, m WHERE c.t > t0 AND c.t < t1 UNION ALL SELECT name, any_value(t0), max_by(v, c.t)::DOUBLE FROM c, m WHERE c.t <= t0 GROUP BY name HAVING max_by(v, c.t) <> 0")
+def store_measures(spark, d):
+    g = _user_log(spark, d).select(F.lit("normal").alias("mtype"), F.col("name").alias("signal"), "t", F.col("v").cast("double").alias("v"))
+    where = _shared(spark, "measures")
+    cf.store_measures(g, where)
+    first = g.agg(F.min("t")).first()[0] or 0
+    return cf.load_measures(spark, where, None, first + 1000, first + 9000).select("signal", "t", "v")
+
+
+@query("""WITH x AS (SELECT ((epoch_us(ts) // 1000000) // 600 * 600)::BIGINT AS t, event_id % 3 AS ch, user_id AS addr FROM events), s AS (SELECT c_custkey AS addr, regexp_replace(c_name, '[^A-Za-z0-9_]', '_', 'g') AS symbol FROM customer WHERE c_custkey % 3 <> 0),
+c AS (SELECT t, CASE WHEN symbol IS NULL THEN 'unknown.0x' || lower(to_base(x.addr, 16)) WHEN x.addr < 100 THEN 'low.' || symbol ELSE symbol END AS signal, CASE ch WHEN 0 THEN '0' WHEN 1 THEN '1' ELSE 'x' END AS raw FROM x LEFT JOIN s USING (addr)), m AS (SELECT min(t) AS t FROM c)
+SELECT * FROM c UNION ALL SELECT m.t, signal, '0' FROM (SELECT DISTINCT signal FROM c), m WHERE signal NOT IN (SELECT signal FROM c JOIN m USING (t))""")
+def trace_changes(spark, d):
+    e = table(spark, d, "events")
+    lines = e.select(F.concat_ws(" ", _seconds("ts").cast("string"), (F.col("event_id") % 3).cast("string"), F.concat(F.lit("0x"), F.lower(F.hex("user_id")))).alias("value"))
+    symbols = table(spark, d, "customer").where("c_custkey % 3 <> 0").select(F.concat(F.lit("0x"), F.hex("c_custkey")).alias("address"), F.lit("func").alias("type"), F.col("c_name").alias("name"))
+    return tr.trace_to_changes(lines, symbols, 600, {"low": (0, 100)})
+
+
+@query("SELECT l_returnflag AS mode, l_orderkey, l_linenumber::INT AS l_linenumber, l_quantity::DOUBLE AS l_quantity FROM lineitem")
+def union_runs(spark, d):
+    where = _shared(spark, "runs")
+    x = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", F.col("l_returnflag").alias("mode"))
+    x.write.option("header", True).partitionBy("mode").csv(where)
+    runs = tr.union_runs(spark, f"{where}/*/*.csv", r"mode=(\w+)/", ["mode"], "l_orderkey bigint, l_linenumber int, l_quantity double")
+    return runs.select("mode", "l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("""SELECT n_name AS name, CASE WHEN n_nationkey % 4 = 3 THEN 'unknown type' WHEN n_nationkey % 4 = 1 THEN 'threshold without bound' ELSE 'empty range' END AS rule FROM nation WHERE n_nationkey % 4 <> 0 UNION ALL SELECT n_name, 'no hook' FROM nation WHERE n_regionkey = 0""")
+def check_measures(spark, d):
+    n, k = table(spark, d, "nation"), F.col("n_nationkey") % 4
+    m = n.select(F.col("n_name").alias("name"), F.when(F.col("n_regionkey") != 0, F.lit("top.x")).alias("hook"), F.when(k == 0, "event").when(k == 1, "threshold").when(k == 2, "normal").otherwise("odd").alias("mtype"), F.when(k == 2, 5.0).alias("geq"), F.when(k == 2, 5.0).alias("leq"))
+    return me.check_measures(m)
+
+
+@query("""WITH m AS (SELECT n_name AS name, n_nationkey AS k FROM nation), v AS (SELECT 'top.' || r_name || '.part' AS path, r_regionkey AS id FROM region)
+SELECT name, CASE WHEN k < 5 THEN 'r' || k END AS var_id, CASE WHEN k % 2 = 0 THEN (k % 12)::INT END AS bit, CASE WHEN k >= 5 THEN 'no such variable' WHEN k % 2 = 0 AND k % 12 >= 3 THEN 'bit outside of width' END AS problem FROM m""")
+def bind_measures(spark, d):
+    n, k = table(spark, d, "nation"), F.col("n_nationkey")
+    m = n.select(F.col("n_name").alias("name"), F.concat(F.lit("n"), k.cast("string"), F.lit(".sig"), F.when(k % 2 == 0, F.concat(F.lit("["), (k % 12).cast("string"), F.lit("]"))).otherwise(F.lit(""))).alias("hook"))
+    v = table(spark, d, "region").select(F.concat(F.lit("top.n"), F.col("r_regionkey").cast("string"), F.lit(".sig[2:0]")).alias("name"), F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("var_id"), F.lit("reg").alias("kind"), F.lit(3).alias("width"))
+    return me.bind_measures(m, v, "top.").select("name", "var_id", "bit", "problem")
+
+
+# streams
+
+
+def _streamed(spark: SparkSession, d: str, name: str, build) -> DataFrame:
+    """Run a stream over a table's files to its end and read back what it wrote."""
+    where = _shared(spark, f"stream-{name}")
     src = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
     out = build(src)
     run = out.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").outputMode("append").trigger(availableNow=True).start()

@@ -15,10 +15,17 @@ COMMANDS = ("$comment", "$date", "$version", "$scope", "$upscope", "$timescale",
 _HEADER = "src string, what string, var_id string, name string, width int, kind string, bit_sel string, text string"
 
 
-def _located(spark: SparkSession, path: str) -> DataFrame:
+def _located(spark: SparkSession, path: str, parts: bool) -> DataFrame:
     m = F.col("_metadata")
     t = spark.read.text(path).select(m["file_path"].alias("src"), m["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("line"), F.trim("value").alias("value"))
-    return t.where("value <> ''")
+    t = t.where("value <> ''")
+    if not parts:
+        return t
+    # one row a block of a file: the blocks of all part files follow one another
+    order = Window.partitionBy("log").orderBy("src", "block")
+    blocks = t.select("src", "block").distinct().withColumn("log", F.regexp_replace("src", "/[^/]*$", ""))
+    blocks = blocks.withColumn("at", (F.row_number().over(order) - 1).cast("long") * (1 << 27))
+    return t.join(blocks, ["src", "block"]).select(F.col("log").alias("src"), F.col("at").alias("block"), "line", "value")
 
 
 def _header_rows(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -51,15 +58,16 @@ def _header_rows(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["src", "what", "var_id", "name", "width", "kind", "bit_sel", "text"]).astype({"width": "Int32"})
 
 
-def read_changes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def read_changes(spark: SparkSession, path: str, parts: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All VCD files under ``path``: (files, variables, changes).
 
     files(src, date, version, comment, timescale); variables(src, var_id, name, width, kind, bit_sel), several names
     may have one var_id; changes(src, t, seq, var_id, raw) with raw 0, 1, x, z, b<digits> or r<number>. Lines that are
     neither a time nor a change are ignored. The time in force comes in two steps: the last one within a block of the
-    file, else the last one of an earlier block, so no window holds a whole file. Times may be out of order.
+    file, else the last one of an earlier block, so no window holds a whole file. Times may be out of order. With
+    ``parts`` all files of a folder are one log, in the order of their names, as :func:`write_changes` leaves them.
     """
-    lines = _located(spark, path)
+    lines = _located(spark, path, parts)
     # header lines stand before $enddefinitions; its place is one row a file
     end = lines.where(F.col("value").startswith("$enddefinitions")).groupBy("src").agg(F.min(F.struct("block", "line")).alias("end"))
     at = F.struct("block", "line")

@@ -38,7 +38,7 @@ def rank_signals(changes: DataFrame) -> DataFrame:
 
 
 def union_runs(spark: SparkSession, path: str, name_pattern: str, attributes: list[str], schema: str) -> DataFrame:
-    """CSV runs with a header each as one table, with attributes taken from the groups of ``name_pattern`` in file names."""
+    """CSV runs with a header each as one table, with attributes taken from the groups of ``name_pattern`` in file paths."""
     df = spark.read.csv(path, header=True, schema=schema)
-    name = F.col("_metadata.file_name")
+    name = F.col("_metadata.file_path")
     return df.select("*", *[F.regexp_extract(name, name_pattern, i + 1).alias(a) for i, a in enumerate(attributes)])
