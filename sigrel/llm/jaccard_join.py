@@ -21,7 +21,8 @@ _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 LIST_COST = 4
 #: Pairs between groups that may be formed at once, for each list entry left; beyond it another round of hubs runs.
 PAIRS_PER_ENTRY = 16
-#: Members of a list that are compared with all others in a round.
+#: Members of a list that are compared with all others in the first round; twice as many in each later one, so that
+#: a list whose members don't link is through after few rounds.
 HUBS = 6
 #: Rarest shingles of a set that tell whether a pair has met in an earlier list already.
 EARLY = 48
@@ -201,8 +202,10 @@ def _heavy_links(docs: DataFrame, candidates: DataFrame, n: int, percent: int, t
     c = ceil(percent * (s + t) / (100 + percent)) at least, so where they first meet, at places i and j of their
     orders, i <= s - c and j <= t - c. Members of a list that meet this bound with no size in it are dropped. Then,
     round by round, a few members with the fewest rare shingles (the most central of each lot) are compared with all
-    others and leave the list, as their links are known; lists whose members are all connected already are done. When
-    few pairs between groups are left, they are compared outright, each in the first list in which it meets.
+    others and leave the list, as their links are known; lists whose members are all connected already are done.
+    After the first round these members are taken from outside the list's largest group, since a list is through when
+    all those are. When few pairs between groups are left, they are compared outright, each in the first list in which
+    it meets.
     """
     maybe = sifted(docs, F.col("doc_id"), sieve(candidates, "doc_id")).where("_may").drop("_may")
     text = maybe.join(candidates.hint("shuffle_hash"), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
@@ -215,12 +218,15 @@ def _heavy_links(docs: DataFrame, candidates: DataFrame, n: int, percent: int, t
     room = F.col("s") - common(F.col("s"), F.greatest(F.col("least"), F.ceil(F.col("s") * percent / 100)))
     while True:
         if labels is None:
-            e = entries.withColumn("component", F.col("doc_id"))
+            pick = e = entries.withColumn("component", F.col("doc_id"))
         else:
             e = entries.join(labels.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        e = e.withColumn("lot", F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.lit(HUBS)).cast("int"))
-        lots = e.groupBy("token", "lot").agg(F.min(F.struct("i", "doc_id", "s", "component")).alias("hub"), F.min("s").alias("least"), F.count("*").alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1"))
-        lists = lots.groupBy("token").agg(F.sort_array(F.collect_list("hub")).alias("hubs"), F.min("least").alias("least"), F.sum("n").alias("n"), F.min("c0").alias("c0"), F.max("c1").alias("c1")).where("n > 1 and c0 < c1")
+            largest = e.groupBy("token", "component").agg(F.count("*").alias("k")).groupBy("token").agg(F.max(F.struct("k", "component")).alias("largest"))
+            pick = e.join(largest, "token").where(F.col("component") != F.col("largest.component")).drop("largest")
+        pick = pick.withColumn("lot", F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.lit(HUBS << turn)).cast("int"))
+        lots = pick.groupBy("token", "lot").agg(F.min(F.struct("i", "doc_id", "s", "component")).alias("hub"))
+        hubs = lots.groupBy("token").agg(F.sort_array(F.collect_list("hub")).alias("hubs"))
+        lists = e.groupBy("token").agg(F.min("s").alias("least"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").join(hubs, "token").select("token", "least", "hubs")
         m = tables.put(e.join(lists, "token").where(F.col("i") <= room).select("token", "doc_id", "s", "i", "component", "hubs"))
         tables.drop(entries)
         sizes = m.groupBy("token", "component").agg(F.count("*").alias("k")).groupBy("token").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("same"))
@@ -277,7 +283,8 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     copied = tables.put(classes.where("n > 1 and rep is not null").select("set_hash", F.col("rep").alias("doc_id")))
     apart = sifted(some.where("doc_id is not null"), F.col("set_hash"), sieve(copied, "set_hash"))
     maybe = apart.where("_may").join(copied.select("set_hash", F.col("doc_id").alias("rep")).hint("shuffle_hash"), "set_hash", "left")
-    firsts = maybe.where("rep is null or rep = doc_id").drop("rep").dropDuplicates(["set_hash"])
+    # stored, so that the join has a stage of its own, in which Spark can split the rows of one set
+    firsts = tables.put(maybe.where("rep is null or rep = doc_id").drop("rep")).dropDuplicates(["set_hash"])
     reps = apart.where("not _may").unionByName(firsts).drop("_may")
     light = _light_links(reps, percent)
     candidates = _candidates(reps, tables)
