@@ -48,22 +48,23 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, dim: int =
     vectors holds back n-grams that would be learned by heart.
     """
     vocabulary: dict[bytes, int] = {}
-    rows, cols = [], []
+    rows, cols = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for i, text in enumerate(texts):
-        for w in text.lower().encode("utf-8", "surrogatepass").split():
-            rows.append(i)
-            cols.append(vocabulary.setdefault(w, len(vocabulary)))
+        words = text.lower().encode("utf-8", "surrogatepass").split()
+        cols.append(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words), np.int64, len(words)))
+        rows.append(np.full(len(words), i))
+    rows, cols = np.concatenate(rows), np.concatenate(cols)
     rng = np.random.default_rng(seed)
     w = rng.normal(0, 1, (dim, 2))
     w /= np.linalg.norm(w[:, 1] - w[:, 0])
     b = np.zeros(2)
-    if not rows or len(set(labels.tolist())) < 2:
+    if not len(rows) or len(set(labels.tolist())) < 2:
         b[1] = np.log((weights[labels == 1].sum() + 0.5) / (weights[labels == 0].sum() + 0.5))
         return ToxicityModel(np.zeros((buckets, dim), np.float32), w, b, sizes)
     grams, gstarts = ngram_buckets(list(vocabulary), sizes, buckets)
     per_word = np.diff(gstarts)
     word_of = np.repeat(np.arange(len(vocabulary)), per_word)
-    pair, count = np.unique(np.array(rows) * len(vocabulary) + np.array(cols), return_counts=True)
+    pair, count = np.unique(rows * len(vocabulary) + cols, return_counts=True)
     doc, word = pair // len(vocabulary), pair % len(vocabulary)
     share = count / np.bincount(rows, minlength=len(texts))[doc]
     wt = weights / weights.sum()
