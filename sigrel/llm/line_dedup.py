@@ -164,7 +164,8 @@ def dedup_lines(docs: DataFrame, min_words: int = 30) -> DataFrame:
     rows = all_lines.select("doc", "row").groupBy("row").agg(F.min("doc").alias("first_doc"), F.count("*").alias("times"))
     copied = tables.put(rows.where("times > 1").select("row", "first_doc"))
     apart = sifted(all_lines, F.col("row"), sieve(copied, "row"))
-    maybe = apart.where("_may").drop("_may").join(copied.hint("shuffle_hash"), "row", "left")
+    # stored, so that the join has a stage of its own, in which Spark can split the rows of one text
+    maybe = tables.put(apart.where("_may").drop("_may").join(copied.hint("shuffle_hash"), "row", "left"))
     firsts = maybe.where("first_doc is null or doc = first_doc").drop("first_doc").dropDuplicates(["doc", "row"])
     lines = apart.where("not _may").drop("_may").unionByName(firsts)
     total = F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)
