@@ -252,6 +252,10 @@ def common_subsequence(masks: dict[bytes, int], n: int, words: list[bytes]) -> i
     return n - v.bit_count()
 
 
+#: Items whose words and vectors go to a task at once.
+SHARD_ITEMS = 20_000
+
+
 def _masks(words: list[bytes]) -> dict[bytes, int]:
     out: dict[bytes, int] = {}
     for i, w in enumerate(words):
@@ -312,7 +316,7 @@ def search(texts: list[str | None], x: Index, masks: list, cosine: float, share:
     return [sorted(f) for f in found]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.4, share: float = 0.5, answer: float = 0.5, sure: float = 0.8, k: int = 64) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.4, share: float = 0.5, answer: float = 0.5, sure: float = 0.8, k: int = 64, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """The columns of ``docs`` with leaked_items: array of item ids whose text the row's whole text holds, maybe reworded.
 
     Passages are runs of 16-word blocks, of 2 to 6 blocks by the item's length, starting at every block. Those with a
@@ -321,18 +325,26 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.4, share
     than 80 words are searched piece by piece. Marks around words and case are ignored.
 
     Null and empty texts leak nothing; null or empty items are never found; each row is handled by itself, repeated
-    rows alike; extra columns pass through (leaked_items is replaced); empty tables give empty or unflagged results.
-    The benchmark's words and vectors go to every task: their size is that of the benchmark, whatever the documents.
+    rows alike, of any length; extra columns pass through under any name (leaked_items is replaced); empty tables give
+    empty or unflagged results. The words and vectors of ``shard_items`` items at most go to a task at once: a larger
+    benchmark is dealt by hash into shards, each with an index and a search of its own.
     """
-    index = build_index(docs, benchmark, k)
-    if index is None:
-        return docs.withColumn("leaked_items", F.array().cast("array<long>"))
-    shared = docs.sparkSession.sparkContext.broadcast(index)
-
-    @F.pandas_udf("array<long>", F.PandasUDFType.SCALAR_ITER)
+    shards = max(1, -(-benchmark.count() // shard_items))
+    given = [c for c in docs.columns if c != "leaked_items"]
+    out, found = docs.select(F.struct(*given).alias("it"), F.col("text").cast("string").alias("text")), []
+    for n in range(shards):
+        index = build_index(docs, benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == n) if shards > 1 else benchmark, k)
+        if index is not None:
+            out = out.withColumn(f"found{n}", _searcher(docs.sparkSession.sparkContext.broadcast(index), cosine, share, answer, sure)(F.col("text")))
+            found.append(f"found{n}")
+    leaked = F.array_sort(F.array_distinct(F.flatten(F.array(*found)))) if found else F.array()
+    return out.select(*[F.col("it").getField(c).alias(c) for c in given], leaked.cast("array<long>").alias("leaked_items"))
+
+
+def _searcher(shared, cosine: float, share: float, answer: float, sure: float):
     def leaks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         masks = shared.value.masks()
         for texts in batches:
             yield pd.Series(search(list(texts.array), shared.value, masks, cosine, share, answer, sure))
 
-    return docs.withColumn("leaked_items", leaks(F.col("text").cast("string")))
+    return F.pandas_udf(leaks, "array<long>", F.PandasUDFType.SCALAR_ITER)

@@ -42,3 +42,33 @@ def test_stages(spark, tmp_path):
     # the mix meets its targets
     m = kept["source_mix"].groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
     assert m and all(abs(r["taken"] - r["target"]) <= 1 for r in m)
+
+
+def test_odd_rows_and_empty_tables(spark, tmp_path):
+    import random
+
+    rng = random.Random(6)
+    words = [a + b for a in ("ka", "lo", "mi", "ru", "te", "sa") for b in ("r", "n", "st", "l", "mp", "k", "sh")]
+    make = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    spark.createDataFrame([(i, 0, i % 2) for i in range(1, 40)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(0, make(30))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    near = make(80)
+    rows = [(i, make(60) + (" blorg blorg blorg" if i % 2 else "")) for i in range(1, 40)]
+    rows += [(50, None), (51, ""), (None, make(40)), (None, None), (52, near), (53, near + " x"), (54, make(45)), (54, make(46)), (55, make(47)), (55, rows[-1][1])]
+    rows[-1] = (55, rows[-2][1])
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _rows string, _may int, it string, row int"
+    docs = spark.createDataFrame([(i, t, "en", None if i == 51 else "s", len(t or ""), "r", 1, "x", 2) for i, t in rows], schema)
+    sf = str(tmp_path)
+    got = {}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        assert stage(spark, docs.where("doc_id < 0"), sf).count() == 0
+        stage(spark, docs, sf).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        got[name] = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["text"]) for r in docs.select("doc_id", F.coalesce("text", F.lit("-")).alias("text")).collect()) if k < 4 else docs.count()
+        assert k == 4 or {"_rows", "_may", "it", "row"} <= set(docs.columns)
+    ids = lambda name: [i for i, _ in got[name]]
+    assert not [i for i in ids("toxicity") if 0 < i < 40 and i % 2] and len([i for i in ids("toxicity") if 0 < i < 40]) >= 17
+    odd = [-1, -1, 50, 51]
+    assert [i for i in ids("ngram_jaccard_join") if i in (-1, 50, 51)] == odd
+    assert [i for i in ids("ngram_jaccard_join") if i > 51] == [52, 54, 54, 55]
+    assert ids("benchmark_decontamination") == ids("ngram_jaccard_join") and got["source_mix"] > 0
