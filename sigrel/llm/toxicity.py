@@ -129,11 +129,21 @@ def fit(docs: DataFrame, labels: DataFrame, learn=None, sample_rows: int = SAMPL
         picked = part if picked is None else picked.union(part)
     # at most 2 * sample_rows ids: a bounded side
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").where(F.length("text") > 0)
-    got = rows.groupBy("doc_id", "toxic").agg(F.max("text").alias("text")).toPandas().sort_values("doc_id")
-    y = got["toxic"].to_numpy(np.int64)
-    seen = np.bincount(y, minlength=2)
-    weights = np.array([there.get(k, 0) / max(1, seen[k]) for k in (0, 1)])[y] if len(y) else np.empty(0)
-    return train(list(got["text"]), y, weights)
+    some = rows.groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
+
+    def work(sample: pd.DataFrame) -> pd.DataFrame:
+        sample = sample.sort_values("doc_id")
+        y = sample["toxic"].to_numpy(np.int64)
+        seen = np.bincount(y, minlength=2)
+        m = train(list(sample["text"]), y, np.array([there.get(k, 0) / max(1, seen[k]) for k in (0, 1)])[y])
+        return pd.DataFrame({"embedding": [m.embedding.astype(np.float32).tobytes()], "softmax": [m.softmax.astype(np.float64).tobytes()], "bias": [m.bias.astype(np.float64).tobytes()]})
+
+    # the sample is bounded, so one task can train on it; only the model comes to the driver
+    made = some.groupBy(F.lit(0).alias("sample")).applyInPandas(work, "embedding binary, softmax binary, bias binary").first()
+    if made is None:
+        return train([], np.empty(0, np.int64), np.empty(0))
+    softmax = np.frombuffer(made["softmax"], np.float64).reshape(-1, 2)
+    return ToxicityModel(np.frombuffer(made["embedding"], np.float32).reshape(-1, len(softmax)), softmax, np.frombuffer(made["bias"], np.float64), (3, 4, 5))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
