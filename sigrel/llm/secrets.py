@@ -320,17 +320,32 @@ def find_secrets(docs: DataFrame, crf: Crf | None = None) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         field, tables = shared.value
         vocabulary = Vocabulary(shapes_of)
-        # a word whose own and neighbours' scores can't lead to a secret, whatever stands around it, needs no decoding
-        least = np.zeros(4)
-        for k in (1, 2, 3):
-            least[k] = max(0.0, (tables[k][:, 1:].max(1) - tables[k][:, OUTSIDE]).max())
-        room = 2 * (np.ptp(field.moves) + np.ptp(field.first)) + least.sum() + np.abs(field.file).sum() * 2
-        lead = tables[0][:, OUTSIDE] - tables[0][:, 1:].max(1)
+        # A run of secret words beats OUTSIDE only if their leads, with a step's best move each, make up for what entering
+        # and leaving costs, so one word at least has to lead by itself: texts without such a word need no decoding.
+        leads = [[np.ascontiguousarray(tables[k][:, label] - tables[k][:, OUTSIDE]) for k in range(4)] for label in (BEGIN, INSIDE)]
+        stay, m = field.moves[OUTSIDE, OUTSIDE], field.moves
+        step = m[1:, 1:].max() - stay
+        enter = max((m[OUTSIDE, 1:] - stay).max(), (field.first[1:] - field.first[OUTSIDE]).max())
+        needed = min(0.0, step - enter - max(0.0, (m[1:, OUTSIDE] - stay).max())) - 1e-3
+        by_file = [np.maximum(0, field.file[:, label] - field.file[:, OUTSIDE]).sum() for label in (BEGIN, INSIDE)]
+
+        def leading(c: np.ndarray, starts: np.ndarray) -> np.ndarray:
+            owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+            next_, after = owner[1:] == owner[:-1], owner[2:] == owner[:-2]
+            out = np.zeros(len(c), bool)
+            for (own, before, two_before, behind), more in zip(leads, by_file):
+                x = own[c]
+                x[1:] += before[c[:-1]] * next_
+                x[2:] += two_before[c[:-2]] * after
+                x[:-1] += behind[c[1:]] * next_
+                out |= x + (more + step) > needed
+            return out
+
         for batch in batches:
             texts = list(batch["text"].array)
             code, starts = vocabulary.batch(texts)
             out = []
-            open_ = np.concatenate([[0], np.cumsum(lead[code & _ALL] <= room)])
+            open_ = np.concatenate([[0], np.cumsum(leading(code & _ALL, starts))])
             key, long = (np.concatenate([[0], np.cumsum(code & bit > 0)]) for bit in (_HAS_KEY, _LONG))
             for text, a, z in zip(texts, starts[:-1], starts[1:]):
                 spans = []
