@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, license_scan, line_dedup, secrets, toxicity
+from . import chat, decontaminate, language, license_scan, line_dedup, secrets, spelling, toxicity
 from .common import held_out, table
 from .jaccard_join import jaccard_groups
 from .mixing import mix_sources
@@ -71,12 +71,17 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id").alias("held_out"), F.col("language.nearest").alias("lang_pred"), F.col("language.score").alias("score"), F.col("language.rejected").alias("rejected"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling.spelling_variants(spelling.corpus_words(docs, min_chars=6, min_count=5, damaged=199), ratio=5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_toxicity, op2_source_mix, op3_chat_format, op4_jaccard_join, op5_secret_scan, op6_line_dedup, op7_decontaminate, op8_quality_rules, op9_license_scan, op10_language_id)
+    ops = (op1_toxicity, op2_source_mix, op3_chat_format, op4_jaccard_join, op5_secret_scan, op6_line_dedup, op7_decontaminate, op8_quality_rules, op9_license_scan, op10_language_id, op11_spelling_variants)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
     from . import sql
 
-    return {"op2_source_mix": sql.SOURCE_MIX, "op3_chat_format": sql.CHAT_FORMAT, "op4_jaccard_join": sql.JACCARD_JOIN, "op8_quality_rules": sql.QUALITY_RULES}
+    return {"op2_source_mix": sql.SOURCE_MIX, "op3_chat_format": sql.CHAT_FORMAT, "op4_jaccard_join": sql.JACCARD_JOIN, "op8_quality_rules": sql.QUALITY_RULES, "op11_spelling_variants": sql.SPELLING_VARIANTS}

@@ -67,3 +67,19 @@ f AS (SELECT doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS
   n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words AS base_failed FROM b LEFT JOIN dup USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN rm USING (doc_id))
 SELECT *, NOT base_failed AND words_left >= 0.5 * n_words AS kept FROM f
 """
+
+SPELLING_VARIANTS = r"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda k: list_reduce(range(8), lambda c, j: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k)) AS t),
+o AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+r AS (SELECT doc_id, run, count(*) AS times, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS code FROM o WHERE length(run) >= 6 GROUP BY ALL),
+h AS (SELECT run, times, xor(4294967295, list_reduce(list_transform(range(len(code) // 2), lambda k: ('0x' || substr(code, 2 * k + 1, 2))::BIGINT), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]), 4294967295::BIGINT)) AS h FROM r, crc),
+d AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, times FROM h),
+w AS (SELECT word, sum(times)::BIGINT AS n FROM d WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5),
+x AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+e AS (SELECT DISTINCT a.word AS a, b.word AS b, b.n FROM x a JOIN x b ON a.i = b.i AND a.less = b.less AND a.word <> b.word
+  UNION SELECT x.word, w.word, w.n FROM x JOIN w ON x.less = w.word UNION SELECT w.word, x.word, x.n FROM x JOIN w ON x.less = w.word),
+f AS (SELECT w.word, w.n, count(e.b) AS n_near, first(e.b ORDER BY e.n DESC, e.b) AS best, max(e.n) AS best_n FROM w LEFT JOIN e ON e.a = w.word GROUP BY w.word, w.n),
+g AS (SELECT word, n, n_near, CASE WHEN best_n >= 5 * n THEN best END AS form, CASE WHEN best_n >= 5 * n THEN best_n END AS form_n FROM f),
+up AS (SELECT word, word AS root, 0 AS step FROM g UNION ALL SELECT up.word, g.form, step + 1 FROM up JOIN g ON g.word = up.root WHERE g.form IS NOT NULL)
+SELECT g.word, g.form, u.root, g.n, g.n_near, g.form_n FROM g JOIN (SELECT word, arg_max(root, step) AS root FROM up GROUP BY word) u ON u.word = g.word
+"""
