@@ -7,28 +7,28 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import carried, numbered, ranked
+from .ordered import ROWS, carried, neighbour, numbered, ranked
 
 
-def clean_changes(changes: DataFrame, drop_redundant: bool = False, events: Sequence[str] = (), keys: tuple[str, ...] = ()) -> DataFrame:
+def clean_changes(changes: DataFrame, drop_redundant: bool = False, events: Sequence[str] = (), keys: tuple[str, ...] = (), rows: int | None = ROWS) -> DataFrame:
     """The last value of each variable and time; with ``drop_redundant`` only where it differs from the one before.
 
-    Variables in ``events`` are never redundant.
+    Variables in ``events`` are never redundant. Over ``rows`` rows, a variable is dealt into blocks of time, and the
+    last value of the blocks before is carried into each.
     """
     last = Window.partitionBy(*keys, "var_id", "t").orderBy(F.desc("seq"))
     out = changes.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
     if drop_redundant:
-        w = Window.partitionBy(*keys, "var_id").orderBy("t")
-        same = F.col("raw").eqNullSafe(F.lag("raw").over(w)) & (F.row_number().over(w) > 1)
+        had = neighbour(out.withColumn("_held", F.struct("raw")), "_held", "_had", "t", [*keys, "var_id"], rows=rows)
+        same = F.col("_had").isNotNull() & F.col("raw").eqNullSafe(F.col("_had.raw"))
         keep = ~same | F.col("var_id").isin(list(events)) if events else ~same
-        out = out.withColumn("_keep", keep).where("_keep").drop("_keep")
+        out = had.where(keep).drop("_held", "_had")
     return out
 
 
-def describe_changes(changes: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+def describe_changes(changes: DataFrame, keys: tuple[str, ...] = (), rows: int | None = ROWS) -> DataFrame:
     """Of each variable: changes, changes of value (the first counts), first and last time, rank by changes."""
-    w = Window.partitionBy(*keys, "var_id").orderBy("t", "seq")
-    x = changes.withColumn("_new", ~F.col("raw").eqNullSafe(F.lag("raw").over(w)))
+    x = neighbour(changes, "raw", "_had", ["t", "seq"], [*keys, "var_id"], rows=rows).withColumn("_new", ~F.col("raw").eqNullSafe(F.col("_had")))
     d = x.groupBy(*keys, "var_id").agg(F.count("*").alias("changes"), F.sum(F.col("_new").cast("long")).alias("toggles"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
     return ranked(d, "changes", keys)
 
@@ -36,9 +36,7 @@ def describe_changes(changes: DataFrame, keys: tuple[str, ...] = ()) -> DataFram
 def describe_chunks(changes: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Of each time: how many variables change (the number of a chunk is its place in time order)."""
     c = changes.groupBy(*keys, "t").agg(F.count("*").alias("changes"))
-    if not keys:
-        return numbered(c, "t")
-    return c.withColumn("number", F.row_number().over(Window.partitionBy(*keys).orderBy("t")) - 1)
+    return numbered(c, "t", keys=keys)
 
 
 # Words for states in wide tables.

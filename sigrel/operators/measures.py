@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clip_norm
-from .ordered import neighbour
+from .ordered import ROWS, blocked, neighbour, recent
 from .samples import hold
 
 # The siblings of each type of measure, those that only lead to a normal one, and the keys of a measure.
@@ -49,26 +49,24 @@ def measure_event(changes: DataFrame, keys: tuple[str, ...] = ("signal",), level
     return changes.select(*keys, "t").distinct().select(*keys, F.col("t").alias("t0"), (F.col("t") + 1).alias("t1"), F.lit(1.0).alias("v"))
 
 
-def edges(levels: DataFrame, keys: tuple[str, ...] = ("signal",), block: int | None = None) -> DataFrame:
+def edges(levels: DataFrame, keys: tuple[str, ...] = ("signal",), block: int | None = None, rows: int | None = None) -> DataFrame:
     """Level changes (keys, t, v in 0/1) with rise and fall against the value before, which is 0 at first.
 
-    With ``block`` a signal is dealt into blocks of so many ticks."""
-    if block:
-        d = neighbour(levels, "v", "_b", "t", keys, block)
-        was = F.coalesce("_b", F.lit(0))
-        return d.withColumn("rise", ((F.col("v") == 1) & (was == 0)).cast("int")).withColumn("fall", ((F.col("v") == 0) & (was == 1)).cast("int")).drop("_b")
-    w = Window.partitionBy(*keys).orderBy("t")
-    before = F.lag("v", 1, 0).over(w)
-    return levels.withColumn("rise", ((F.col("v") == 1) & (before == 0)).cast("int")).withColumn("fall", ((F.col("v") == 0) & (before == 1)).cast("int"))
+    With ``block`` a signal is dealt into blocks of so many ticks, with ``rows`` into blocks of about so many rows."""
+    d = neighbour(levels, "v", "_b", "t", keys, block, rows=rows)
+    was = F.coalesce("_b", F.lit(0))
+    return d.withColumn("rise", ((F.col("v") == 1) & (was == 0)).cast("int")).withColumn("fall", ((F.col("v") == 0) & (was == 1)).cast("int")).drop("_b")
 
 
-def siblings(levels: DataFrame, end: int | None = None, keys: tuple[str, ...] = ("signal",)) -> DataFrame:
+def siblings(levels: DataFrame, end: int | None = None, keys: tuple[str, ...] = ("signal",), rows: int | None = ROWS) -> DataFrame:
     """A level's sibling measures as intervals of ones: (keys, sibling, t0, t1); pulses are one tick long.
 
     ``refl`` is where the level is 0, from tick 0 on.
     """
-    w = Window.partitionBy(*keys).orderBy("t")
-    e = edges(levels, keys).withColumn("t1", F.coalesce(F.lead("t").over(w), F.lit(end).cast("long"))).withColumn("first", F.row_number().over(w) == 1)
+    dealt = blocked(levels, "t", keys, rows)
+    e = edges(levels if dealt is None else dealt, keys)
+    e = neighbour(neighbour(e, "t", "_before", "t", keys, rows=None), "t", "t1", "t", keys, ahead=True, rows=None)
+    e = e.withColumn("t1", F.coalesce("t1", F.lit(end).cast("long"))).withColumn("first", F.col("_before").isNull())
     span = lambda on, name, a, b: F.when(on, F.struct(F.lit(name).alias("sibling"), a.alias("t0"), b.alias("t1")))
     t = F.col("t")
     each = F.array(
@@ -94,32 +92,36 @@ def threshold(v: Column, geq: float | None = None, leq: float | None = None) ->
     return F.when(ok, 1).otherwise(0)
 
 
-def measure_threshold(values: DataFrame, geq: float | None = None, leq: float | None = None, end: int | None = None, keys: tuple[str, ...] = ("signal",)) -> DataFrame:
+def measure_threshold(values: DataFrame, geq: float | None = None, leq: float | None = None, end: int | None = None, keys: tuple[str, ...] = ("signal",), rows: int | None = ROWS) -> DataFrame:
     """Threshold a held value (keys, t, v) and give the siblings of the state."""
-    return siblings(values.withColumn("v", threshold(F.col("v"), geq, leq)), end, keys)
+    return siblings(values.withColumn("v", threshold(F.col("v"), geq, leq)), end, keys, rows)
 
 
-def fir(df: DataFrame, coeffs: Sequence[float], value: str = "v", keys: tuple[str, ...] = ("signal",), order: str = "t", name: str = "smooth") -> DataFrame:
-    """Finite impulse response over consecutive rows, the newest first; before the first row the values are 0."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    out = F.lit(0.0)
-    for i, c in enumerate(coeffs):
-        out = out + F.coalesce(F.lag(F.col(value), i).over(w) if i else F.col(value), F.lit(0.0)) * float(c)
-    return df.withColumn(name, out)
+def fir(df: DataFrame, coeffs: Sequence[float], value: str = "v", keys: tuple[str, ...] = ("signal",), order: str = "t", name: str = "smooth", rows: int | None = ROWS) -> DataFrame:
+    """Finite impulse response over consecutive rows, the newest first; before the first row the values are 0.
+
+    Over ``rows`` rows, blocks of the order get the last len(coeffs) - 1 values before them as a halo.
+    """
+    now = F.coalesce(F.col(value).cast("double"), F.lit(0.0))
+    d = recent(df, now, len(coeffs) - 1, "_back", [order], keys, rows)
+    out = now * float(coeffs[0])
+    for i, c in enumerate(coeffs[1:], 1):
+        out = out + F.coalesce(F.get("_back", F.size("_back") - i), F.lit(0.0)) * float(c)
+    return d.withColumn(name, out).drop("_back")
 
 
-def measure_normal(changes: DataFrame, geq: float = 0.0, leq: float = 1.0, coeffs: Sequence[float] = (1.0,), end: int | None = None, keys: tuple[str, ...] = ("signal",)) -> DataFrame:
+def measure_normal(changes: DataFrame, geq: float = 0.0, leq: float = 1.0, coeffs: Sequence[float] = (1.0,), end: int | None = None, keys: tuple[str, ...] = ("signal",), rows: int | None = ROWS) -> DataFrame:
     """A held value, smoothed tick by tick, then clipped and scaled to [0, 1]: intervals (keys, t0, t1, v).
 
     A held value is constant once all taps see it, so only the first len(coeffs) ticks of an interval are expanded;
-    the rest stays one interval. Taps that reach before the first change see 0.
+    the rest stays one interval. Taps that reach before the first change see 0. Over ``rows`` rows, blocks of time get
+    the intervals before them that their taps can see as a halo.
     """
     n = len(coeffs)
-    iv = hold(changes, end, keys)
-    w = Window.partitionBy(*keys).orderBy("t0")
+    iv = hold(changes, end, keys, rows=rows)
+    own = F.struct("t0", "t1", "v")
     # enough earlier changes to cover n - 1 ticks back: the taps read the intervals around the tick
-    back = F.collect_list(F.struct("t0", "t1", "v")).over(w.rowsBetween(-(n - 1), 0)) if n > 1 else F.array(F.struct("t0", "t1", "v"))
-    x = iv.withColumn("around", back)
+    x = recent(iv, own, n - 1, "around", ["t0"], keys, rows).withColumn("around", F.concat("around", F.array(own)))
     last = F.when(F.col("t1").isNull(), F.col("t0") + n - 1).otherwise(F.least(F.col("t1") - 1, F.col("t0") + n - 1))
     x = x.withColumn("at", F.explode(F.sequence("t0", last)))
 

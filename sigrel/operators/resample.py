@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ordered import neighbour
+
 
 def _drawn(seed: int, *parts) -> Column:
     """A number below 2**32 from the md5 of a seed and other columns: the same in every engine."""
@@ -81,5 +83,5 @@ def shift_set(spark: SparkSession, window: int, back: int, forward: int, zoom: i
 
 def non_negative_derivative(df: DataFrame, v: str = "v", keys: tuple[str, ...] = ("signal",), order: str = "t", name: str = "deriv") -> DataFrame:
     """max(0, x - previous - 1) of n-bit values; the first is compared with itself."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return df.withColumn(name, F.greatest(F.lit(0), F.col(v) - F.coalesce(F.lag(v).over(w), F.col(v)) - 1))
+    d = neighbour(df, v, "_had", order, keys)
+    return d.withColumn(name, F.greatest(F.lit(0), F.col(v) - F.coalesce("_had", F.col(v)) - 1)).drop("_had")

@@ -7,20 +7,17 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import neighbour
+from .ordered import ROWS, neighbour, running
 
 
-def hold(changes: DataFrame, end: int | None = None, keys: tuple[str, ...] = ("signal",), block: int | None = None) -> DataFrame:
+def hold(changes: DataFrame, end: int | None = None, keys: tuple[str, ...] = ("signal",), block: int | None = None, rows: int | None = None) -> DataFrame:
     """Changes (signal, t, v) -> intervals [t0, t1) on which the value is held; the last one ends at ``end`` or null.
 
     A signal is 0 before its first change, so intervals of 0 before it are left out. With ``block`` a signal is dealt
-    into blocks of so many ticks: for few signals with very many changes.
+    into blocks of so many ticks, with ``rows`` into blocks of about so many rows: for few signals with very many changes.
     """
-    if block:
-        c = neighbour(changes.select(*keys, "t", "v"), "t", "t1", "t", keys, block, ahead=True)
-        return c.select(*keys, F.col("t").alias("t0"), F.coalesce("t1", F.lit(end).cast("long")).alias("t1"), "v").where("t1 is null or t1 > t0")
-    w = Window.partitionBy(*keys).orderBy("t")
-    return changes.select(*keys, F.col("t").alias("t0"), F.coalesce(F.lead("t").over(w), F.lit(end).cast("long")).alias("t1"), "v").where("t1 is null or t1 > t0")
+    c = neighbour(changes.select(*keys, "t", "v"), "t", "t1", "t", keys, block, ahead=True, rows=rows)
+    return c.select(*keys, F.col("t").alias("t0"), F.coalesce("t1", F.lit(end).cast("long")).alias("t1"), "v").where("t1 is null or t1 > t0")
 
 
 def window_starts(t: Column, size: int, overlap: int = 0, first: int = 0) -> Column:
@@ -51,21 +48,19 @@ def weight_sum(n: int, alpha: float = 0.0) -> float:
     return math.fsum(max(0.0, math.sin(i * math.pi / (n - 1))) ** alpha for i in range(n))
 
 
-def asof(points: DataFrame, changes: DataFrame, keys: list[str], direction: str = "previous", t: str = "t") -> DataFrame:
+def asof(points: DataFrame, changes: DataFrame, keys: list[str], direction: str = "previous", t: str = "t", rows: int | None = ROWS) -> DataFrame:
     """Each point with the nearest change at or before it ("previous") or at or after it ("next"): change_t, change_v.
 
-    Both sides go into one ordered window a key, so there is no range join; nulls where there is no such change. Of
-    changes at one time, the largest value stands for ``previous`` and the least for ``next``.
+    Both sides are one ordered table, so there is no range join; over ``rows`` rows it is dealt into blocks of time, and
+    each block gets the nearest change outside of it. Nulls where there is no such change. Of changes at one time, the
+    largest value stands for ``previous`` and the least for ``next``.
     """
-    p = points.select(*keys, F.col(t).alias("t"), F.lit(None).cast(changes.schema["v"].dataType).alias("v"), F.lit(1).alias("side"))
-    c = changes.select(*keys, "t", "v", F.lit(0).alias("side"))
-    both = p.unionByName(c)
-    at = F.when(F.col("side") == 0, F.struct("t", "v"))
-    if direction == "previous":
-        w = Window.partitionBy(*keys).orderBy("t", "side", "v").rowsBetween(Window.unboundedPreceding, 0)
-    else:
-        w = Window.partitionBy(*keys).orderBy(F.desc("t"), "side", F.desc("v")).rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("near", F.last(at, ignorenulls=True).over(w)).where("side = 1")
+    back = direction == "previous"
+    p = points.select(*keys, F.col(t).alias("t"), F.lit(None).cast(changes.schema["v"].dataType).alias("v"), F.lit(False).alias("change"))
+    both = p.unionByName(changes.select(*keys, "t", "v", F.lit(True).alias("change"))).withColumn("later", F.col("change") != F.lit(back))
+    # at one time, changes come before points
+    best, of = (F.max, F.greatest) if back else (F.min, F.least)
+    found = running(both, {"near": F.when(F.col("change"), F.struct("t", "v"))}, ["t", "later"], keys, rows, best, of, descending=not back).where("not change")
     return found.select(*keys, F.col("t").alias(t), F.col("near.t").alias("change_t"), F.col("near.v").alias("change_v"))
 
 

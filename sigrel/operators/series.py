@@ -7,26 +7,31 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import ranked
+from .ordered import ROWS, blocked, neighbour, numbered, ranked, running
 
 
-def series_transform(df: DataFrame, columns: Sequence[str], order: str, by: Sequence[str] = (), base: bool = False, add: float = 0.0, mul: float = 1.0, integer: bool = False, diff: bool = False, inverse: bool = False, product: str | None = None) -> DataFrame:
+def series_transform(df: DataFrame, columns: Sequence[str], order: str, by: Sequence[str] = (), base: bool = False, add: float = 0.0, mul: float = 1.0, integer: bool = False, diff: bool = False, inverse: bool = False, product: str | None = None, rows: int | None = ROWS) -> DataFrame:
     """Transforms of columns in the order base, add, mul, int, diff, inverse, and a column with their product.
 
-    base: less the first row's value; diff: less the row's before, 0 at first; inverse: 1 / x, null for 0.
+    base: less the first row's value; diff: less the row's before, 0 at first; inverse: 1 / x, null for 0. Without
+    keys, and over ``rows`` rows, the table is dealt into blocks of the order.
     """
-    w = Window.partitionBy(*by).orderBy(order) if by else Window.orderBy(order)
     out = df
+    if base or diff:
+        dealt = blocked(df, order, by, rows)
+        out = df if dealt is None else dealt
     for c in columns:
         x = F.col(c).cast("double")
         if base:
-            x = x - F.first(F.col(c).cast("double")).over(w)
+            out = running(out, {"_base": F.struct(x.alias("v"))}, [order], by, None, F.first, F.coalesce)
+            x = x - F.col("_base.v")
         x = (x + float(add)) * float(mul)
         if integer:
             x = F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).cast("double")
         out = out.withColumn(c, x)
         if diff:
-            out = out.withColumn(c, F.col(c) - F.coalesce(F.lag(c).over(w), F.col(c)))
+            out = neighbour(out, c, "_had", order, by, rows=None)
+            out = out.withColumn(c, F.col(c) - F.coalesce("_had", F.col(c)))
         if inverse:
             out = out.withColumn(c, F.try_divide(F.lit(1.0), F.col(c)))
     if product:
@@ -34,12 +39,12 @@ def series_transform(df: DataFrame, columns: Sequence[str], order: str, by: Sequ
         for c in columns:
             p = p * F.col(c)
         out = out.withColumn(product, p)
-    return out
+    return out.select(*df.columns, *[product] * bool(product and product not in df.columns))
 
 
-def running_total(df: DataFrame, value: str, order: Sequence[str], by: Sequence[str] = (), name: str = "total") -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(name, F.sum(value).over(w))
+def running_total(df: DataFrame, value: str, order: Sequence[str], by: Sequence[str] = (), name: str = "total", rows: int | None = ROWS) -> DataFrame:
+    """The sum of ``value`` up to and with each row."""
+    return running(df, {name: F.col(value)}, order, by, rows)
 
 
 def dedupe(df: DataFrame, key: Sequence[str], order: str, keep: str = "first") -> DataFrame:
@@ -58,10 +63,9 @@ def top_by_count(df: DataFrame, key: str, k: int | None = None) -> DataFrame:
     return ranked(n, "n")
 
 
-def chunk(df: DataFrame, n: int, value: str, order: Sequence[str], by: Sequence[str] = (), fill=None) -> DataFrame:
+def chunk(df: DataFrame, n: int, value: str, order: Sequence[str], by: Sequence[str] = (), fill=None, rows: int | None = ROWS) -> DataFrame:
     """Groups of ``n`` values in order, the last one filled up: (by, chunk, items)."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    x = df.withColumn("_at", F.row_number().over(w) - 1).withColumn("chunk", F.floor(F.col("_at") / n).cast("long"))
+    x = numbered(df, order, "_at", by, rows).withColumn("chunk", F.floor(F.col("_at") / n).cast("long"))
     items = F.transform(F.array_sort(F.collect_list(F.struct("_at", F.col(value).alias("v")))), lambda s: s["v"])
     kind = df.schema[value].dataType.simpleString()
     return x.groupBy(*by, "chunk").agg(items.alias("items")).withColumn("items", F.concat("items", F.array_repeat(F.lit(fill).cast(kind), (F.lit(n) - F.size("items")).cast("int"))))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import dedup_spaces, is_comment
+from .ordered import ROWS, running
 
 #: Patterns of a table that go to every task at once.
 PATTERNS = 10_000
@@ -72,7 +73,7 @@ def filter_lines(lines: DataFrame, patterns: list[str] | DataFrame, invert: bool
     return reduce(DataFrame.unionByName, hits) if invert else rest
 
 
-def annotated_durations(lines: DataFrame, pattern: str, order: str, by: tuple[str, ...] = (), value: str = "value") -> DataFrame:
+def annotated_durations(lines: DataFrame, pattern: str, order: str, by: tuple[str, ...] = (), value: str = "value", rows: int | None = ROWS) -> DataFrame:
     """Titles with durations like 1m30s from lines that match ``pattern`` (title, duration), with the running finish.
 
     A duration that is no number counts as 0 seconds.
@@ -80,5 +81,4 @@ def annotated_durations(lines: DataFrame, pattern: str, order: str, by: tuple[st
     x = lines.where(F.col(value).rlike(pattern)).withColumns({"title": F.regexp_extract(value, pattern, 1), "_d": F.regexp_extract(value, pattern, 2)})
     part = lambda unit: F.coalesce(F.try_to_number(F.nullif(F.regexp_extract("_d", rf"(\d+)\s*{unit}", 1), F.lit("")), F.lit("999999999")).cast("long"), F.lit(0).cast("long"))
     x = x.withColumn("seconds", part("m") * 60 + part("s")).drop("_d")
-    w = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return x.withColumn("finish", F.sum("seconds").over(w))
+    return running(x, {"finish": F.col("seconds")}, [order], by, rows)

@@ -117,12 +117,12 @@ def test_two_steps_equal_one_window(spark):
         want = d.withColumn("n", (F.lead if ahead else F.lag)("v").over(w)).collect()
         assert sorted(map(str, got)) == sorted(map(str, want))
     one = d.where("signal = 'a'").drop("signal")
-    full = {r["t"]: r["v"] for r in od.carried(one, ["v"], block=7).collect()}
+    full = {r["t"]: r["v"] for r in od.carried(one, ["v"], rows=7).collect()}
     last = None
     for _, t, v in [r for r in rows if r[0] == "a"]:
         last = v if v is not None else last
         assert full[t] == last
-    assert [r["number"] for r in od.numbered(one, "t", blocks=9).orderBy("t").collect()] == list(range(60))
+    assert [r["number"] for r in od.numbered(one, "t", rows=9).orderBy("t").collect()] == list(range(60))
     assert od.numbered(one.where("t < 0"), "t").count() == 0
     x = spark.createDataFrame([("p", 3), ("q", 3), ("r", 9), ("s", 1)], "k string, n long")
     assert {r["k"]: r["rank"] for r in od.ranked(x, "n").collect()} == {"r": 1, "p": 2, "q": 2, "s": 4}
