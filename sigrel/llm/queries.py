@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, license_scan, line_dedup, prefix_trie, secrets, spelling, toxicity
+from . import byte_bpe, chat, decontaminate, language, license_scan, line_dedup, prefix_trie, secrets, spelling, toxicity
 from .common import Tables, held_out, table
 from .jaccard_join import jaccard_groups
 from .mixing import mix_sources
@@ -76,6 +77,13 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(spelling.corpus_words(docs, min_chars=6, min_count=5, damaged=199), ratio=5)
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = byte_bpe.read_vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    encoded = byte_bpe.encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary, public_tokenizers.PATTERN)
+    decoded = byte_bpe.decode_ids(encoded.drop("text"), vocabulary)
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations")
     turns = Tables(spark).put(prefix_trie.hashed_turns(conversations))
@@ -83,7 +91,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_toxicity, op2_source_mix, op3_chat_format, op4_jaccard_join, op5_secret_scan, op6_line_dedup, op7_decontaminate, op8_quality_rules, op9_license_scan, op10_language_id, op11_spelling_variants, op13_prefix_trie)
+    ops = (op1_toxicity, op2_source_mix, op3_chat_format, op4_jaccard_join, op5_secret_scan, op6_line_dedup, op7_decontaminate, op8_quality_rules, op9_license_scan, op10_language_id, op11_spelling_variants, op12_byte_bpe, op13_prefix_trie)
     return {f.__name__: f for f in ops}
 
 
