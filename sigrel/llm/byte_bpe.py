@@ -21,14 +21,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 #: Code points of the texts that are encoded at once, ids that are decoded at once; chunks and pieces that a worker keeps.
-CHARS, IDS, KEPT = 1 << 20, 1 << 18, 200_000
+CHARS, IDS, KEPT = 1 << 20, 1 << 18, 300_000
 #: Bytes of a piece whose intermediate states are kept during the recursion (they are about the square of that).
 SHORT = 64
 #: Pieces that go into one query.
 LOT = 20_000
-# The Unicode property White_Space, and text in front of it.
+# The Unicode property White_Space, letters, and ASCII characters that are no letters.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_CHUNK = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+_LETTERS, _OTHERS = "A-Za-zÀ-ÖØ-öø-ÿ", r"\x00-\x40\x5b-\x60\x7b-\x7f"
+#: White space with a word that ends surely, or with all up to white space: no match of the pattern goes over their ends.
+_CHUNK = re.compile(rf"[{_SPACE}]*(?:[{_LETTERS}]+(?=[{_OTHERS}]|\Z)|[^{_SPACE}]+)|[{_SPACE}]+")
 
 # Each row is a piece with its tokens; its pairs of neighbours are rows with a place that join the merge table.
 _PAIRS = "SELECT n.w, i, rank, calm FROM (SELECT w, unnest(toks[:-2]) AS l, unnest(toks[2:]) AS r, unnest(range(1, len(toks))) AS i FROM s) n JOIN merge m ON m.l = n.l AND m.r = n.r"
@@ -63,6 +65,27 @@ def read_vocabulary(path: str) -> bytes:
     return Path(path).read_bytes()
 
 
+class Known:
+    """What was met in this generation or the one before; a generation ends at ``KEPT`` entries."""
+
+    def __init__(self):
+        self.now: dict = {}
+        self.before: dict = {}
+
+    def missing(self, wanted: set) -> list:
+        """What of ``wanted`` isn't known; all else of it is in ``now`` until the next call."""
+        if len(self.now) > KEPT:
+            self.before, self.now = self.now, {}
+        new = []
+        for k in wanted:
+            if k not in self.now:
+                if (x := self.before.get(k)) is None:
+                    new.append(k)
+                else:
+                    self.now[k] = x
+        return new
+
+
 class Coder:
     """A vocabulary in DuckDB, and the pieces met before, of which a bounded number is kept."""
 
@@ -70,8 +93,7 @@ class Coder:
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
         self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
         self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[bytes, bytes] = {}
+        self.chunks, self.pieces = Known(), Known()
         rows = [(a, b, r) for token, r in self.ranks.items() for k in range(1, len(token)) if (a := self.ranks.get(token[:k])) is not None and (b := self.ranks.get(token[k:])) is not None]
         hasty = {x for a, b, r in rows for x in (a, b) if x > r}  # tokens in pairs of lesser rank than their own
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
@@ -91,14 +113,15 @@ class Coder:
         self.db.register("begun", pa.table({"w": pa.array(range(len(pieces)), pa.int32()), "toks": toks}))
         got = self.db.sql(query).to_arrow_table()
         self.db.unregister("begun")
-        for w, ids in zip(got["w"].to_pylist(), got["toks"].to_pylist()):
-            self.pieces[pieces[w]] = np.array(ids, "<u4").tobytes()
+        lists = got["toks"].combine_chunks()
+        ids, ends = lists.flatten().to_numpy().astype("<u4").tobytes(), ((lists.offsets.to_numpy() - lists.offsets[0].as_py()) * 4).tolist()
+        self.pieces.now.update((pieces[w], ids[i:j]) for w, i, j in zip(got["w"].to_pylist(), ends, ends[1:]))
 
-    def _learn(self, chunks: set[str]) -> None:
+    def _learn(self, chunks: list[str]) -> None:
         split = {c: [p.encode() for p in self.pattern.findall(c)] for c in chunks}
-        new = list({p for ps in split.values() for p in ps} - self.pieces.keys())
+        new = self.pieces.missing({p for ps in split.values() for p in ps})
         whole = [p for p in new if p in self.ranks]  # a piece that is a token is that token
-        self.pieces.update((p, self.ranks[p].to_bytes(4, "little")) for p in whole)
+        self.pieces.now.update((p, self.ranks[p].to_bytes(4, "little")) for p in whole)
         rest = sorted(p for p in new if p not in self.ranks)
         short, long = [p for p in rest if len(p) <= SHORT], [p for p in rest if len(p) > SHORT]
         for i in range(0, len(short), LOT):
@@ -106,17 +129,14 @@ class Coder:
         for p in long:
             self._merged([p], _ENCODE_LONG)
         for c, ps in split.items():
-            self.chunks[c] = b"".join([self.pieces[p] for p in ps])
+            self.chunks.now[c] = b"".join([self.pieces.now[p] for p in ps])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids. No match of the pattern goes over the start of white space, so a text is taken in
-        chunks of white space and what follows it."""
-        if len(self.chunks) > KEPT:
-            self.chunks.clear()
-            self.pieces.clear()
+        """Little-endian 32-bit ids. Texts are taken in chunks, as these come again and again."""
         split = [_CHUNK.findall(t) for t in texts]
-        self._learn({c for x in split for c in x} - self.chunks.keys())
-        return [b"".join([self.chunks[c] for c in x]) for x in split]
+        self._learn(self.chunks.missing({c for x in split for c in x}))
+        known = self.chunks.now
+        return [b"".join([known[c] for c in x]) for x in split]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """Bytes of texts from their ids: parts of bounded size, each put together in the order of its places."""
