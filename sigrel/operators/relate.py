@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .metrics import METRICS, metric, with_metrics
-from .samples import pairs, weight_sum, window_assign, window_weight
+from .resample import drawn_offset
+from .samples import cumulative_weight, interval_overlap, pairs, weight_sum, window_assign, window_starts, window_weight
+
 
 def _weighted(df: DataFrame, size: int, alpha: float) -> DataFrame:
     return df.withColumn("w", window_weight(F.col("t") - F.col("u"), size, alpha))
@@ -39,13 +41,18 @@ def pair_moments(samples: DataFrame, deltas: Sequence[int], size: int, overlap:
     ys = _weighted(window_assign(shifted, size, overlap), size, alpha).groupBy(F.col("signal").alias("y"), F.col("base").alias("base_y"), "delta", "u").agg(mean(F.col("v")).alias("ey"), mean(F.col("v") * F.col("v")).alias("eyy"))
     met = _weighted(window_assign(pairs(s, deltas, base="base"), size, overlap), size, alpha)
     joint = met.groupBy("x", "y", "delta", "u").agg(mean(F.col("vx") * F.col("vy")).alias("exy"), mean(F.least("vx", "vy")).alias("emin"))
+    return _assembled(s, xs, ys, joint, deltas, size - overlap, only, frame)
+
+
+def _assembled(s: DataFrame, xs: DataFrame, ys: DataFrame, joint: DataFrame, deltas: Sequence[int], stride: int, only: Sequence[int] | None, frame: bool) -> DataFrame:
+    """The moments of x, of y and of both put together, for the signals (signal, base) of ``s``."""
     if only is not None:
         xs, ys, joint = (d.where(F.col("u").isin([int(u) for u in only])) for d in (xs, ys, joint))
     if frame:
         windows = xs.select("u").union(ys.select("u")).distinct()
         # two numbers, where the windows begin and end
         first, last = windows.agg(F.min("u"), F.max("u")).first()
-        frame_of = lambda name: _every(s, windows, name, first or 0, last or 0, size - overlap)
+        frame_of = lambda name: _every(s, windows, name, first or 0, last or 0, stride)
         x_all = frame_of("x").join(xs.drop("base_x"), ["x", "u"], "left")
         shifts = F.explode(F.array(*[F.lit(d).cast("long") for d in deltas]))
         y_all = frame_of("y").withColumn("delta", shifts).join(ys.drop("base_y"), ["y", "delta", "u"], "left")
@@ -56,6 +63,38 @@ def pair_moments(samples: DataFrame, deltas: Sequence[int], size: int, overlap:
     return out.select("x", "y", "delta", "u", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("ex", "ey", "exy", "exx", "eyy", "emin")])
 
 
+def interval_moments(intervals: DataFrame, deltas: Sequence[int], size: int, overlap: int = 0, alpha: int = 0, base: str = "signal", end: int | None = None, only: Sequence[int] | None = None, frame: bool = True, bucket: int | None = None) -> DataFrame:
+    """What :func:`pair_moments` gives for held values, straight from their intervals (signal, t0, t1, v): no tick is expanded.
+
+    An interval or an overlap weighs cw(b) - cw(a) in a window, cw being the sum of the window's weights before a tick.
+    A row is made for each interval and window that it reaches into, and for each overlap of two of them, whatever their
+    length; so dense signals cost no more than sparse ones. Overlaps are found in buckets of ``bucket`` ticks (a window's
+    size, if not given). Intervals without t1 last until ``end``. Intervals of 0 may be there or not.
+    """
+    total, stride = weight_sum(size, alpha), size - overlap
+    close = F.coalesce("t1", F.lit(end).cast("long"))
+    s = intervals.select("signal", F.col(base).alias("base"), "t0", close.alias("t1"), "v")
+    signals, s = s.select("signal", "base").distinct(), s.where("v <> 0 and t0 < t1")
+    deltas = list(deltas)
+
+    def in_windows(d: DataFrame) -> DataFrame:
+        """A row for each window that an interval reaches into, with its share of the window's weight."""
+        first, last = F.greatest(F.lit(0).cast("long"), F.floor((F.col("t0") - size) / stride) + 1), F.floor((F.col("t1") - 1) / stride)
+        d = d.withColumn("u", F.explode(F.transform(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>")), lambda k: k * stride)))
+        at = lambda t: cumulative_weight(t - F.col("u"), size, alpha)
+        return d.withColumn("w", at(F.least(F.col("t1"), F.col("u") + size)) - at(F.greatest("t0", "u")))
+
+    mean = lambda c: F.sum(F.col("w") * c) / F.lit(total)
+    xs = in_windows(s).groupBy(F.col("signal").alias("x"), F.col("base").alias("base_x"), "u").agg(mean(F.col("v")).alias("ex"), mean(F.col("v") * F.col("v")).alias("exx"))
+    every = s.withColumn("delta", F.explode(F.array(*[F.lit(d).cast("long") for d in deltas])))
+    shifted = every.withColumns({"t0": F.greatest(F.lit(0).cast("long"), F.col("t0") - F.col("delta")), "t1": F.col("t1") - F.col("delta")}).where("t0 < t1")
+    ys = in_windows(shifted).groupBy(F.col("signal").alias("y"), F.col("base").alias("base_y"), "delta", "u").agg(mean(F.col("v")).alias("ey"), mean(F.col("v") * F.col("v")).alias("eyy"))
+    named = lambda d: d.withColumn("signal", F.struct("signal", "base"))
+    met = interval_overlap(named(every), named(shifted), bucket or size, ("delta",)).where("x.base <> y.base")
+    joint = in_windows(met).groupBy(F.col("x.signal").alias("x"), F.col("y.signal").alias("y"), "delta", "u").agg(mean(F.col("vx") * F.col("vy")).alias("exy"), mean(F.least("vx", "vy")).alias("emin"))
+    return _assembled(signals, xs, ys, joint, deltas, stride, only, frame)
+
+
 def _every(s: DataFrame, windows: DataFrame, name: str, first: int, last: int, stride: int) -> DataFrame:
     """Each signal in each window that has a sample: a signal's windows are listed from the first to the last."""
     signals = s.select(F.col("signal").alias(name), F.col("base").alias(f"base_{name}")).distinct()
@@ -124,3 +163,77 @@ def node_stats(samples: DataFrame, size: int, alpha: float = 0.0) -> DataFrame:
         F.when(refl != 0, (F.col("e_fall") - F.col("fall_orig")) / refl).alias("cex_fall_refl"),
         (4 * F.abs(F.col("orig2") - F.col("e_orig") * F.col("e_orig"))).alias("cov_orig"),
     )
+
+
+def _by_factor(factors: Sequence[int], of: Callable[[int], Column | float]) -> Column:
+    """A value for each sample factor."""
+    out = F.lit(None).cast("double")
+    for f in factors:
+        x = of(f)
+        out = F.when(F.col("factor") == f, x if isinstance(x, Column) else F.lit(x)).otherwise(out)
+    return out
+
+
+def ladder_moments(samples: DataFrame, ladder: DataFrame, size: int, back: int, forward: int, stride: int | None = None, alpha: float = 0.0, base: str = "signal", algorithm: str = "xor", seed: int = 0, frame: bool = True) -> DataFrame:
+    """Moments of pairs over a whole ladder of shifts (factor, delta), each at its own resolution: factor, delta, u, x, y
+    and the six means of :func:`pair_moments`.
+
+    Window u holds the ticks [u, u + size); around it, ``back`` and ``forward`` ticks are read. Blocks of ``factor`` ticks
+    are counted from u - back, and of each block one tick stands for all, drawn as in ``resample.subsample``. The window
+    begins at block back // factor, has size // factor blocks, and Y is read delta // factor blocks on (all cut down).
+    Shifts with u + delta < 0 are left out. An octave's samples are about 1 / factor of all, so the ladder as a whole
+    reads little more than its first octave: all octaves are one table and one equi-join on (u, factor, block). Windows
+    follow each other by ``stride`` (``size``, if not given). The ladder is a few numbers for each octave.
+    """
+    stride = stride or size
+    steps = sorted({(r["factor"], r["delta"]) for r in ladder.select("factor", "delta").collect()})
+    factors = sorted({f for f, _ in steps})
+    if not steps or factors[-1] > size:
+        raise ValueError("a ladder has steps, none coarser than a window")
+    span = back + size + forward + 1
+    s = samples.select("signal", F.col(base).alias("base"), "t", "v").withColumn("u", F.explode(window_starts(F.col("t") + back, span, span - stride)))
+    s = s.withColumn("factor", F.explode(F.array(*[F.lit(f).cast("long") for f in factors]))).withColumn("r", F.col("t") - F.col("u") + back)
+    s = s.withColumn("block", F.floor(F.col("r") / F.col("factor")))
+    # once, for the three uses below
+    s = s.where(F.col("r") % F.col("factor") == drawn_offset(F.col("factor"), F.col("block"), algorithm, seed, ("signal",))).select("signal", "base", "v", "u", "factor", "block").repartition("u", "factor", "block")
+
+    def within(d: DataFrame) -> DataFrame:
+        """Rows of the window, with the weight of their place."""
+        at = F.col("block") - F.floor(F.lit(back) / F.col("factor"))
+        d = d.withColumn("i", at).where((F.col("i") >= 0) & (F.col("i") < F.floor(F.lit(size) / F.col("factor"))))
+        return d.withColumn("w", _by_factor(factors, lambda f: window_weight(F.col("i"), size // f, alpha)) / _by_factor(factors, lambda f: weight_sum(size // f, alpha)))
+
+    mean = lambda c: F.sum(F.col("w") * c)
+    shifts = F.array(*[F.struct(F.lit(f).cast("long").alias("f"), F.lit(d).cast("long").alias("delta")) for f, d in steps])
+    shifted = s.withColumn("step", F.explode(F.filter(shifts, lambda x: x["f"] == F.col("factor")))).select("signal", "base", "v", "u", "factor", F.col("step.delta").alias("delta"), (F.col("block") - F.floor(F.col("step.delta") / F.col("factor"))).alias("block")).where("u + delta >= 0")
+    xs = within(s).groupBy("factor", "u", F.col("signal").alias("x")).agg(mean(F.col("v")).alias("ex"), mean(F.col("v") * F.col("v")).alias("exx"))
+    ys = within(shifted).groupBy("factor", "u", "delta", F.col("signal").alias("y")).agg(mean(F.col("v")).alias("ey"), mean(F.col("v") * F.col("v")).alias("eyy"))
+    left = within(s).select("u", "factor", "block", "w", F.col("signal").alias("x"), F.col("base").alias("base_x"), F.col("v").alias("vx"))
+    right = shifted.select("u", "factor", "block", "delta", F.col("signal").alias("y"), F.col("base").alias("base_y"), F.col("v").alias("vy"))
+    met = left.join(right, ["u", "factor", "block"]).where("base_x <> base_y")
+    joint = met.groupBy("factor", "u", "delta", "x", "y").agg(mean(F.col("vx") * F.col("vy")).alias("exy"), mean(F.least("vx", "vy")).alias("emin"))
+    if frame:
+        signals = samples.select("signal", F.col(base).alias("base")).distinct()
+        windows = xs.select("u").union(ys.select("u")).distinct()
+        first, last = windows.agg(F.min("u"), F.max("u")).first()  # two numbers
+        listed = signals.withColumn("u", F.explode(F.sequence(F.lit(first or 0), F.lit(last or 0), F.lit(stride)))).join(windows, "u", "left_semi")
+        x_all = listed.select("u", F.col("signal").alias("x"), F.col("base").alias("base_x"))
+        y_all = listed.select("u", F.col("signal").alias("y"), F.col("base").alias("base_y"), F.explode(shifts).alias("step")).select("u", "y", "base_y", F.col("step.f").alias("factor"), "step.delta").where("u + delta >= 0")
+        grid = x_all.join(y_all, "u").where("base_x <> base_y").join(joint, ["factor", "u", "delta", "x", "y"], "left")
+    else:
+        grid = joint
+    how = "left" if frame else "inner"
+    out = grid.join(xs, ["factor", "u", "x"], how).join(ys, ["factor", "u", "delta", "y"], how)
+    return out.select("factor", "delta", "u", "x", "y", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("ex", "ey", "exy", "exx", "eyy", "emin")])
+
+
+#: Metrics that can pass a threshold though a pair never meets.
+WITHOUT_MEETING = ("ham", "cls", "cov")
+
+
+def ladder_edges(samples: DataFrame, ladder: DataFrame, size: int, back: int, forward: int, a: str | Callable[[], Column], eps_a: float, b: str | Callable[[], Column] | None = None, eps_b: float = 0.0, **how) -> DataFrame:
+    """Edges over a whole ladder of shifts: pairs whose metric ``a`` is over eps_a and then ``b`` over eps_b, with all
+    metrics, both expectations, the shift and its factor (see :func:`ladder_moments` for the rest)."""
+    frame = all(m in WITHOUT_MEETING or not isinstance(m, str) for m in (a, b) if m is not None)
+    m = ladder_moments(samples, ladder, size, back, forward, frame=frame, **how).where(metric(a) > eps_a)
+    return with_metrics(m if b is None else m.where(metric(b) > eps_b))

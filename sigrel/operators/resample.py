@@ -13,6 +13,18 @@ def _drawn(seed: int, *parts) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts])), 1, 8), 16, 10).cast("long")
 
 
+def drawn_offset(factor: int | Column, block: Column, algorithm: str = "xor", seed: int = 0, keys: tuple[str, ...] = ("signal",)) -> Column:
+    """The tick of a block of ``factor`` ticks that stands for it, from 0: see :func:`subsample`."""
+    f = F.lit(factor) if isinstance(factor, int) else factor
+    if algorithm == "xor":
+        if isinstance(factor, int) and factor & (factor - 1):
+            raise ValueError("xor needs a factor that is a power of 2")
+        return block.bitwiseAND(f - 1).bitwiseXOR(_drawn(seed, *keys) % f)
+    if algorithm == "uniform":
+        return _drawn(seed, *keys, block) % f
+    raise ValueError("algorithm is xor or uniform")
+
+
 def subsample(df: DataFrame, factor: int, algorithm: str = "xor", seed: int = 0, keys: tuple[str, ...] = ("signal",), t: str = "t", v: str = "v", padding: str | None = None) -> DataFrame:
     """One row of each block of ``factor`` ticks, at an offset drawn by a seeded hash; t becomes the block's number.
 
@@ -24,15 +36,7 @@ def subsample(df: DataFrame, factor: int, algorithm: str = "xor", seed: int = 0,
     if padding:
         df = pad_tail(df, factor, padding, keys, t, v)
     block = F.floor(F.col(t) / factor).cast("long")
-    if algorithm == "xor":
-        if factor & (factor - 1):
-            raise ValueError("xor needs a factor that is a power of 2")
-        offset = block.bitwiseAND(F.lit(factor - 1)).bitwiseXOR(_drawn(seed, *keys) % factor)
-    elif algorithm == "uniform":
-        offset = _drawn(seed, *keys, block) % factor
-    else:
-        raise ValueError("algorithm is xor or uniform")
-    return df.where(F.pmod(F.col(t), F.lit(factor)) == offset).withColumn(t, block)
+    return df.where(F.pmod(F.col(t), F.lit(factor)) == drawn_offset(factor, block, algorithm, seed, keys)).withColumn(t, block)
 
 
 _MODES = {"mean": F.avg, "median": F.median, "min": F.min, "max": F.max}

@@ -48,6 +48,27 @@ def weight_sum(n: int, alpha: float = 0.0) -> float:
     return math.fsum(max(0.0, math.sin(i * math.pi / (n - 1))) ** alpha for i in range(n))
 
 
+def cumulative_weight(k: Column, n: int, alpha: int = 0) -> Column:
+    """Sum of the weights of the ticks 0 .. k - 1 of a window of n ticks, in closed form, for a whole alpha.
+
+    A power of a sine is a sum of sines or cosines of multiples of its angle, and the sum of sin(i a) or cos(i a) over
+    i < k is sin(k a / 2) / sin(a / 2) times the sine or cosine of (k - 1) a / 2.
+    """
+    if alpha == 0 or n == 1:
+        return k.cast("double")
+    if alpha != int(alpha) or alpha < 0:
+        raise ValueError("the power has to be a whole number")
+    odd, half, out = alpha % 2, alpha // 2, F.lit(0.0)
+    for j in range(half + odd):
+        a = (alpha - 2 * j) * math.pi / (n - 1)
+        sign = (-1) ** (half - j) * math.comb(alpha, j) * 2.0 ** (1 - alpha)
+        mid = (F.sin if odd else F.cos)((k - 1) * (a / 2))
+        ends = math.sin(a / 2)
+        # a whole number of turns a tick: every cosine is 1, every sine 0
+        out = out + (F.sin(k * (a / 2)) / ends * mid * sign if abs(ends) > 1e-12 else k.cast("double") * (0.0 if odd else sign))
+    return out if odd else out + k.cast("double") * (math.comb(alpha, half) * 2.0**-alpha)
+
+
 def asof(points: DataFrame, changes: DataFrame, keys: list[str], direction: str = "previous", t: str = "t", rows: int | None = ROWS) -> DataFrame:
     """Each point with the nearest change at or before it ("previous") or at or after it ("next"): change_t, change_v.
 

@@ -154,6 +154,54 @@ def dependence_edges(spark, d):
     return re_.relation_edges(occurrences_of(spark, d), DELTAS, SIZE, "dep", 0.1).select("x", "y", "delta", "u", r9("dep"))
 
 
+_LADDER = """ld(factor, delta) AS (VALUES (1, -2), (1, -1), (1, 0), (1, 1), (2, -6), (2, -4), (2, 2), (2, 4), (4, -14), (4, -10), (4, 6), (4, 10), (8, -16), (8, 14)),
+du AS (SELECT signal, v, t - u + 16 AS r, u, factor FROM (SELECT *, unnest(range(greatest(0, CAST(ceil((t - 80) / 64.0) AS BIGINT)), (t + 16) // 64 + 1)) * 64 AS u FROM s), (SELECT DISTINCT factor FROM ld)),
+cs AS (SELECT signal, v, u, factor, r // factor AS b FROM du WHERE r % factor = xor((r // factor) & (factor - 1), ('0x' || substr(md5('3|' || signal), 1, 8))::BIGINT % factor)),
+cx AS (SELECT * FROM cs WHERE b >= 16 // factor AND b < 16 // factor + 64 // factor), cy AS (SELECT cs.* EXCLUDE b, delta, b - floor(delta / factor)::BIGINT AS b FROM cs JOIN ld USING (factor) WHERE u + delta >= 0),
+xe AS (SELECT signal AS x, u, factor, sum(v) / any_value(64 // factor) AS ex, sum(v * v) / any_value(64 // factor) AS exx FROM cx GROUP BY ALL),
+ye AS (SELECT signal AS y, u, factor, delta, sum(v) / any_value(64 // factor) AS ey, sum(v * v) / any_value(64 // factor) AS eyy FROM cy WHERE b >= 16 // factor AND b < 16 // factor + 64 // factor GROUP BY ALL),
+je AS (SELECT cx.signal AS x, cy.signal AS y, cx.u, cx.factor, delta, sum(cx.v * cy.v) / any_value(64 // cx.factor) AS exy, sum(least(cx.v, cy.v)) / any_value(64 // cx.factor) AS emin FROM cx JOIN cy ON cx.u = cy.u AND cx.factor = cy.factor AND cx.b = cy.b AND cx.signal <> cy.signal GROUP BY ALL),
+us AS (SELECT u FROM xe UNION SELECT u FROM ye), sg AS (SELECT DISTINCT signal FROM s),
+m AS (SELECT a.signal AS x, b.signal AS y, ld.factor, ld.delta, us.u, coalesce(ex, 0) AS ex, coalesce(ey, 0) AS ey, coalesce(exy, 0) AS exy, coalesce(exx, 0) AS exx, coalesce(eyy, 0) AS eyy, coalesce(emin, 0) AS emin FROM us JOIN ld ON us.u + ld.delta >= 0 CROSS JOIN sg a JOIN sg b ON a.signal <> b.signal
+  LEFT JOIN xe ON xe.x = a.signal AND xe.u = us.u AND xe.factor = ld.factor LEFT JOIN ye ON ye.y = b.signal AND ye.u = us.u AND ye.factor = ld.factor AND ye.delta = ld.delta LEFT JOIN je ON je.x = a.signal AND je.y = b.signal AND je.u = us.u AND je.factor = ld.factor AND je.delta = ld.delta)"""
+_K = "k AS (" + _MOMENTS.split("k AS (")[1]
+
+
+def _ladder(spark: SparkSession) -> DataFrame:
+    return rs.shift_set(spark, SIZE, 16, 16, 2)
+
+
+@query(f"WITH {_S}, {_LADDER}, {_K} SELECT x, y, factor::BIGINT AS factor, delta::BIGINT AS delta, u, round(ex, 9) AS ex, round(ey, 9) AS ey, {_SHOW} FROM k WHERE dep > 0.05 AND cov > 0.02")
+def ladder_edges(spark, d):
+    e = re_.ladder_edges(occurrences_of(spark, d), _ladder(spark), SIZE, 16, 16, "dep", 0.05, "cov", 0.02, seed=3)
+    return e.select("x", "y", "factor", "delta", "u", r9("ex"), r9("ey"), *map(r9, mt.METRICS))
+
+
+@query(f"WITH {_S}, {_LADDER}, {_K} SELECT x, y, factor::BIGINT AS factor, delta::BIGINT AS delta, u, round(ham, 9) AS ham FROM k WHERE ham > 0.9")
+def ladder_edges_hamming(spark, d):
+    """A metric that pairs which never meet can pass."""
+    return re_.ladder_edges(occurrences_of(spark, d), _ladder(spark), SIZE, 16, 16, "ham", 0.9, seed=3).select("x", "y", "factor", "delta", "u", r9("ham"))
+
+
+
+# half-hour windows over seconds: each event type's value is held until the type's next event
+_HELD = f"""hv AS (SELECT event_type AS signal, (epoch_us(ts) // 1000000)::BIGINT AS t, floor(least(1, max(value) / 100) * 64) / 64 AS v FROM events GROUP BY ALL), ev AS (SELECT max(t) + 1 AS stop FROM hv),
+iv AS (SELECT signal, t AS t0, coalesce(lead(t) OVER (PARTITION BY signal ORDER BY t), stop) AS t1, v FROM hv, ev),
+sh AS (SELECT signal, delta, greatest(0, t0 - delta) AS t0, t1 - delta AS t1, v FROM iv, (SELECT unnest([0, 900]) AS delta) WHERE t1 - delta > 0),
+xw AS (SELECT *, unnest(range(t0 // 1800, (t1 - 1) // 1800 + 1)) * 1800 AS u FROM iv), yw AS (SELECT *, unnest(range(t0 // 1800, (t1 - 1) // 1800 + 1)) * 1800 AS u FROM sh),
+xs AS (SELECT signal AS x, u, sum((least(t1, u + 1800) - greatest(t0, u)) * v) / 1800 AS ex FROM xw GROUP BY ALL), ys AS (SELECT signal AS y, delta, u, sum((least(t1, u + 1800) - greatest(t0, u)) * v) / 1800 AS ey FROM yw GROUP BY ALL),
+jt AS (SELECT a.signal AS x, b.signal AS y, b.delta, a.u, sum(w * a.v * b.v) / 1800 AS exy, sum(w * least(a.v, b.v)) / 1800 AS emin
+  FROM (SELECT a.*, b.signal, b.delta, b.v, least(a.t1, b.t1, a.u + 1800) - greatest(a.t0, b.t0, a.u) AS w FROM xw a JOIN yw b ON a.u = b.u AND a.signal <> b.signal AND a.t0 < b.t1 AND b.t0 < a.t1) z(signal, t0, t1, v, u, signal_b, delta, v_b, w), LATERAL (SELECT z.signal, z.v, z.u) a, LATERAL (SELECT z.signal_b AS signal, z.delta, z.v_b AS v) b WHERE w > 0 GROUP BY ALL)"""
+
+
+@query(f"WITH {_HELD} SELECT x, y, delta::BIGINT AS delta, jt.u, round(ex, 9) AS ex, round(ey, 9) AS ey, round(exy, 9) AS exy, round(emin, 9) AS emin FROM jt JOIN xs USING (x, u) JOIN ys USING (y, delta, u)")
+def interval_moments(spark, d):
+    e = table(spark, d, "events").groupBy(F.col("event_type").alias("signal"), _seconds("ts").cast("long").alias("t")).agg((F.floor(F.least(F.lit(1.0), F.max("value") / 100) * 64) / 64).alias("v"))
+    stop = e.agg(F.max("t")).first()[0] or 0
+    m = re_.interval_moments(sa.hold(e, stop + 1), [0, 900], 1800, frame=False)
+    return m.select("x", "y", "delta", "u", *map(r9, ("ex", "ey", "exy", "emin")))
+
+
 _AP = """e AS (SELECT label AS system, vec_id AS idx, unnest(range(len(embedding))) AS t, unnest(embedding)::DOUBLE AS x FROM embeddings),
 s AS (SELECT system, idx, t, (least(greatest(x, -1), 1) + 1) / 2 AS v FROM e), n AS (SELECT max(t) + 1 AS n FROM e),
 o AS (SELECT system, idx, sum(v) / any_value(n) AS e1, sum(v * v) / any_value(n) AS e2 FROM s, n GROUP BY ALL),
