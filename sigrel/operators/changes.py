@@ -74,12 +74,19 @@ def _binary(c: Column) -> Column:
     return F.when(c.startswith("0x"), _bare(F.array_join(hexed, ""))).when(c.startswith("0b"), F.substring(c, 3, 1 << 20)).otherwise(decimal)
 
 
+def _within(c: Column, digits: Column, width: Column) -> Column:
+    """The digits of a negative number as two's complement of the variable's width; other numbers as they are."""
+    minus = F.lpad(F.right(digits, width), width, "1")
+    return F.when(c.startswith("-"), minus).otherwise(digits)
+
+
 def wide_to_changes(df: DataFrame, types: dict[str, tuple[str, int]], time_col: str | None = None, time_mul: float = 1.0, keys: tuple[str, ...] = ()) -> DataFrame:
     """A wide table -> (keys, t, var_id, raw) of cells that change; ``types`` gives (kind, width) of each column.
 
     A cell of ``-`` or nothing is no value. Events are ``*``; they are emitted whenever they occur. One-bit cells are
     words for states (another word is an error), real ones r<number>, strings s<text>, integers, parameters and wider
-    ones b<digits> from decimal, 0x or 0b text of any width. Without a time column
+    ones b<digits> from decimal, 0x or 0b text of any width; a negative number (of 18 digits at most) is the two's
+    complement of its variable's width. Without a time column
     rows are numbered by ``_row`` (a column the caller gives, as rows of a table have no order of their own).
     """
     t = F.floor(F.col(time_col).cast("double") * float(time_mul)).cast("long") if time_col else F.col("_row").cast("long")
@@ -89,7 +96,7 @@ def wide_to_changes(df: DataFrame, types: dict[str, tuple[str, int]], time_col:
     kind, width, c = of(0), of(1), F.lower("cell")
     long = long.withColumn("_number", F.when(~kind.isin("real", "string", "event") & ~c.rlike("^0[xb]"), c))
     one_bit = (width == 1) & ~kind.isin("integer", "parameter")
-    raw = F.when(kind == "event", F.when(F.col("cell") == "*", "1")).when(kind == "real", F.concat(F.lit("r"), c.cast("double").cast("string"))).when(kind == "string", F.concat(F.lit("s"), "cell")).when(one_bit, _state(F.col("cell"))).otherwise(F.concat(F.lit("b"), _binary(c)))
+    raw = F.when(kind == "event", F.when(F.col("cell") == "*", "1")).when(kind == "real", F.concat(F.lit("r"), c.cast("double").cast("string"))).when(kind == "string", F.concat(F.lit("s"), "cell")).when(one_bit, _state(F.col("cell"))).otherwise(F.concat(F.lit("b"), _within(c, _binary(c), width)))
     long = long.withColumn("raw", raw).withColumn("_event", kind == "event").where("raw is not null")
     w = Window.partitionBy(*keys, "var_id").orderBy("t")
     return long.withColumn("_before", F.lag("raw").over(w)).where(F.col("_event") | ~F.col("raw").eqNullSafe(F.col("_before"))).select(*keys, "t", "var_id", "raw")

@@ -35,10 +35,16 @@ def decode_state(raw: Column, bit: Column | int | None = None) -> Column:
 
 
 def decode_number(raw: Column) -> Column:
-    """A double of a real (r...) or an unsigned binary value of up to 63 bits; x as 0 and z as 1."""
-    digits = F.translate(F.regexp_replace(F.lower(raw), "^b", ""), "xz", "01")
+    """A double of a real (r...) or an unsigned binary value of any width; x as 0 and z as 1.
+
+    Digits are taken in lots of 32, the highest first; over 53 bits the value is that of the nearest doubles on the way.
+    """
+    digits = F.regexp_replace(F.translate(F.regexp_replace(F.lower(raw), "^b", ""), "xz", "01"), "^0+(?=.)", "")
     real = F.regexp_extract(raw, r"^[rR](.*)$", 1)
-    return F.when(real != "", real.cast("double")).otherwise(F.conv(digits, 2, 10).cast("double"))
+    lots = F.ceil(F.length(digits) / 32).cast("int")
+    padded = F.lpad(digits, lots * 32, "0")
+    long = F.aggregate(F.sequence(F.lit(0), lots - 1), F.lit(0.0), lambda a, i: a * float(1 << 32) + F.conv(F.substr(padded, i * 32 + 1, F.lit(32)), 2, 10).cast("double"))
+    return F.when(real != "", real.cast("double")).when(F.length(digits) <= 63, F.conv(digits, 2, 10).cast("double")).otherwise(long)
 
 
 def measure_event(changes: DataFrame, keys: tuple[str, ...] = ("signal",), level: bool = False, end: int | None = None) -> DataFrame:

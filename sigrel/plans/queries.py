@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -186,7 +187,7 @@ def ladder_edges_hamming(spark, d):
 
 # half-hour windows over seconds: each event type's value is held until the type's next event
 _HELD = f"""hv AS (SELECT event_type AS signal, (epoch_us(ts) // 1000000)::BIGINT AS t, floor(least(1, max(value) / 100) * 64) / 64 AS v FROM events GROUP BY ALL), ev AS (SELECT max(t) + 1 AS stop FROM hv),
-iv AS (SELECT signal, t AS t0, coalesce(lead(t) OVER (PARTITION BY signal ORDER BY t), stop) AS t1, v FROM hv, ev),
+iv AS (SELECT signal, t AS t0, coalesce(lead(t) OVER (PARTITION BY signal ORDER BY t), stop) AS t1, v FROM hv, ev QUALIFY v <> 0),
 sh AS (SELECT signal, delta, greatest(0, t0 - delta) AS t0, t1 - delta AS t1, v FROM iv, (SELECT unnest([0, 900]) AS delta) WHERE t1 - delta > 0),
 xw AS (SELECT *, unnest(range(t0 // 1800, (t1 - 1) // 1800 + 1)) * 1800 AS u FROM iv), yw AS (SELECT *, unnest(range(t0 // 1800, (t1 - 1) // 1800 + 1)) * 1800 AS u FROM sh),
 xs AS (SELECT signal AS x, u, sum((least(t1, u + 1800) - greatest(t0, u)) * v) / 1800 AS ex FROM xw GROUP BY ALL), ys AS (SELECT signal AS y, delta, u, sum((least(t1, u + 1800) - greatest(t0, u)) * v) / 1800 AS ey FROM yw GROUP BY ALL),
@@ -194,12 +195,13 @@ jt AS (SELECT a.signal AS x, b.signal AS y, b.delta, a.u, sum(w * a.v * b.v) / 1
   FROM (SELECT a.*, b.signal, b.delta, b.v, least(a.t1, b.t1, a.u + 1800) - greatest(a.t0, b.t0, a.u) AS w FROM xw a JOIN yw b ON a.u = b.u AND a.signal <> b.signal AND a.t0 < b.t1 AND b.t0 < a.t1) z(signal, t0, t1, v, u, signal_b, delta, v_b, w), LATERAL (SELECT z.signal, z.v, z.u) a, LATERAL (SELECT z.signal_b AS signal, z.delta, z.v_b AS v) b WHERE w > 0 GROUP BY ALL)"""
 
 
-@query(f"WITH {_HELD} SELECT x, y, delta::BIGINT AS delta, jt.u, round(ex, 9) AS ex, round(ey, 9) AS ey, round(exy, 9) AS exy, round(emin, 9) AS emin FROM jt JOIN xs USING (x, u) JOIN ys USING (y, delta, u)")
+@query(f"WITH {_HELD} SELECT x, y, delta::BIGINT AS delta, jt.u, round(ex * 115200)::BIGINT AS ex, round(ey * 115200)::BIGINT AS ey, round(exy * 7372800)::BIGINT AS exy, round(emin * 115200)::BIGINT AS emin FROM jt JOIN xs USING (x, u) JOIN ys USING (y, delta, u)")
 def interval_moments(spark, d):
+    """Values are 64ths, so that means over 1,800 ticks are whole numbers of the units shown."""
     e = table(spark, d, "events").groupBy(F.col("event_type").alias("signal"), _seconds("ts").cast("long").alias("t")).agg((F.floor(F.least(F.lit(1.0), F.max("value") / 100) * 64) / 64).alias("v"))
     stop = e.agg(F.max("t")).first()[0] or 0
     m = re_.interval_moments(sa.hold(e, stop + 1), [0, 900], 1800, frame=False)
-    return m.select("x", "y", "delta", "u", *map(r9, ("ex", "ey", "exy", "emin")))
+    return m.select("x", "y", "delta", "u", *[F.round(F.col(c) * n).cast("long").alias(c) for c, n in (("ex", 115200), ("ey", 115200), ("exy", 7372800), ("emin", 115200))])
 
 
 _AP = """e AS (SELECT label AS system, vec_id AS idx, unnest(range(len(embedding))) AS t, unnest(embedding)::DOUBLE AS x FROM embeddings),
@@ -769,11 +771,22 @@ def change_files(spark, d):
     return changes.join(variables.select("src", "var_id", "name"), ["src", "var_id"]).select("t", "name", "raw")
 
 
+@query(f"WITH {_LOG}, r AS (SELECT *, lag(v, 1, 0) OVER (PARTITION BY name ORDER BY t) AS b FROM lg), c AS (SELECT name, t, v FROM r WHERE v <> b), z AS (SELECT unnest(generate_series(min(t), max(t), 10000)) AS moment FROM lg) SELECT name AS signal, moment AS t, max_by(v, c.t)::DOUBLE AS v FROM c JOIN z ON c.t <= moment GROUP BY ALL HAVING max_by(v, c.t) <> 0")
+def values_at_times(spark, d):
+    """Each signal's value at some moments, read from the snapshots of a store: one segment a moment."""
+    g = _user_log(spark, d).select(F.lit("normal").alias("mtype"), F.col("name").alias("signal"), "t", F.col("v").cast("double").alias("v"))
+    where = _shared(spark, "measures")
+    cf.store_measures(g, where, every=4096)
+    first, last = g.agg(F.min("t"), F.max("t")).first()
+    moments = [cf.load_measures(spark, where, None, t, t + 1) for t in range(first or 0, (last or 0) + 1, 10000)]
+    return reduce(DataFrame.unionByName, moments).select("signal", "t", "v")
+
+
 @query(f"WITH {_LOG}, r AS (SELECT *, lag(v, 1, 0) OVER (PARTITION BY name ORDER BY t) AS b FROM lg), c AS (SELECT name, t, v FROM r WHERE v <> b), m AS (SELECT min(t) + 1000 AS t0, min(t) + 9000 AS t1 FROM lg) SELECT name AS signal, c.t, v::DOUBLE AS v FROM c, m WHERE c.t > t0 AND c.t < t1 UNION ALL SELECT name, any_value(t0), max_by(v, c.t)::DOUBLE FROM c, m WHERE c.t <= t0 GROUP BY name HAVING max_by(v, c.t) <> 0")
 def store_measures(spark, d):
     g = _user_log(spark, d).select(F.lit("normal").alias("mtype"), F.col("name").alias("signal"), "t", F.col("v").cast("double").alias("v"))
     where = _shared(spark, "measures")
-    cf.store_measures(g, where)
+    cf.store_measures(g, where, every=4096)
     first = g.agg(F.min("t")).first()[0] or 0
     return cf.load_measures(spark, where, None, first + 1000, first + 9000).select("signal", "t", "v")
 

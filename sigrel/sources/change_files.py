@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordered import neighbour
+
 # What the format allows.
 KINDS = ("event", "integer", "parameter", "real", "reg", "supply0", "supply1", "time", "tri", "triand", "trior", "trireg", "tri0", "tri1", "wand", "wire", "wor", "bit", "logic", "string")
 COMMANDS = ("$comment", "$date", "$version", "$scope", "$upscope", "$timescale", "$var", "$enddefinitions", "$dumpvars", "$dumpall", "$dumpon", "$dumpoff", "$end")
@@ -62,7 +65,7 @@ def read_changes(spark: SparkSession, path: str, parts: bool = False) -> tuple[D
     """All VCD files under ``path``: (files, variables, changes).
 
     files(src, date, version, comment, timescale); variables(src, var_id, name, width, kind, bit_sel), several names
-    may have one var_id; changes(src, t, seq, var_id, raw) with raw 0, 1, x, z, b<digits> or r<number>. Lines that are
+    may have one var_id; changes(src, t, seq, var_id, raw) with seq its place (block, line) and raw 0, 1, x, z, b<digits> or r<number>. Lines that are
     neither a time nor a change are ignored. The time in force comes in two steps: the last one within a block of the
     file, else the last one of an earlier block, so no window holds a whole file. Times may be out of order. With
     ``parts`` all files of a folder are one log, in the order of their names, as :func:`write_changes` leaves them.
@@ -90,7 +93,7 @@ def read_changes(spark: SparkSession, path: str, parts: bool = False) -> tuple[D
     is_vector = F.col("value").rlike(vector)
     raw = F.when(is_vector, F.regexp_extract("value", vector, 1)).when(F.col("value").rlike(scalar), F.lower(F.regexp_extract("value", scalar, 1)))
     var_id = F.when(is_vector, F.regexp_extract("value", vector, 2)).otherwise(F.regexp_extract("value", scalar, 2))
-    changes = body.select("src", "t", (F.col("block") * (1 << 20) + F.col("line") % (1 << 33)).alias("seq"), var_id.alias("var_id"), raw.alias("raw")).where("raw is not null and t is not null")
+    changes = body.select("src", "t", F.struct("block", (F.col("line") % (1 << 33)).alias("line")).alias("seq"), var_id.alias("var_id"), raw.alias("raw")).where("raw is not null and t is not null")
     return texts, variables, changes
 
 
@@ -134,33 +137,58 @@ def write_changes(variables: DataFrame, changes: DataFrame, path: str, timescale
         scope = parts
         out.append(" ".join(x for x in ("$var", r["kind"], str(r["width"]), r["new_id"], leaf, r["bit_sel"], "$end") if x))
     out += ["$upscope $end"] * len(scope) + ["$enddefinitions $end"]
-    head = spark.createDataFrame([(-1, 0, i, x) for i, x in enumerate(out)], "t long, part int, seq long, value string")
+    place = changes.schema["seq"].dataType
+    head = spark.createDataFrame([(-1, i - len(out), x) for i, x in enumerate(out)], "t long, part int, value string").select("t", "part", F.lit(None).cast(place).alias("seq"), "value")
     c = changes.join(ids.select("var_id", "new_id", "width", "kind"), "var_id")
     digits = F.regexp_replace("raw", "^[bB]", "")
     fill = F.when(F.substring(digits, 1, 1).isin("x", "z"), F.substring(digits, 1, 1)).otherwise(F.lit("0"))
     wide = F.concat(F.lit("b"), F.repeat(fill, F.greatest(F.lit(0), F.col("width") - F.length(digits))), digits, F.lit(" "), F.col("new_id"))
     text = F.when(F.col("kind") == "real", F.concat(F.format_string("r%.6f", F.regexp_replace("raw", "^[rR]", "").cast("double")), F.lit(" "), F.col("new_id"))).when(F.col("width") <= 1, F.concat(digits, F.col("new_id"))).otherwise(wide)
     rows = c.select("t", F.lit(2).alias("part"), "seq", text.alias("value"))
-    times = changes.select("t").distinct().select("t", F.lit(1).alias("part"), F.lit(0).cast("long").alias("seq"), F.concat(F.lit("\n#" if separate else "#"), F.col("t").cast("string")).alias("value"))
+    times = changes.select("t").distinct().select("t", F.lit(1).alias("part"), F.lit(None).cast(place).alias("seq"), F.concat(F.lit("\n#" if separate else "#"), F.col("t").cast("string")).alias("value"))
     n = max(1, changes.rdd.getNumPartitions())
     head.unionByName(times).unionByName(rows).repartitionByRange(n, "t").sortWithinPartitions("t", "part", "seq").select("value").write.mode("overwrite").text(path)
 
 
-def store_measures(intervals: DataFrame, path: str) -> None:
-    """Change points (mtype, signal, t, v) that really change, by type and sorted by (signal, t); values are 0 at first."""
-    w = Window.partitionBy("mtype", "signal").orderBy("t")
-    real = intervals.withColumn("_b", F.coalesce(F.lag("v").over(w), F.lit(0.0))).where("v <> _b").drop("_b")
-    real.repartition("mtype", "signal").sortWithinPartitions("signal", "t").write.mode("overwrite").partitionBy("mtype").parquet(path)
+#: Ticks of a segment of stored measures.
+SEGMENT = 1 << 20
+
+
+def store_measures(intervals: DataFrame, path: str, every: int = SEGMENT) -> None:
+    """Change points (mtype, signal, t, v) that really change, by type and segment of ``every`` ticks, sorted by (signal, t).
+
+    Values are 0 at first. Each segment also holds a snapshot: the value of each signal at its start, where that isn't 0;
+    so what is read for a range of time lies in the segments of that range. A snapshot has a row a signal.
+    """
+    keys = ["mtype", "signal"]
+    real = neighbour(intervals.withColumn("v", F.col("v").cast("double")), "v", "_b", "t", keys).where("v <> coalesce(_b, 0)").drop("_b")
+    of = F.floor(F.col("t") / every)
+    real = real.withColumn("segment", of)
+    last = intervals.agg(F.max(of)).first()[0] or 0  # one number: where the last segment ends
+    until = neighbour(real, "segment", "_s", "t", keys, ahead=True).withColumn("_s", F.coalesce("_s", F.lit(last)))
+    held = until.where("v <> 0 and _s > segment").select("mtype", "signal", "v", F.explode(F.sequence(F.col("segment") + 1, "_s")).alias("segment"))
+    held = held.select("mtype", "signal", (F.col("segment") * every).alias("t"), "v", "segment", F.lit(True).alias("snapshot"))
+    both = real.select("mtype", "signal", "t", "v", "segment", F.lit(False).alias("snapshot")).unionByName(held).withColumn("every", F.lit(every).cast("long"))
+    both.repartition("mtype", "segment", "signal").sortWithinPartitions("mtype", "segment", "signal", "t").write.mode("overwrite").partitionBy("mtype", "every", "segment").parquet(path)
 
 
 def load_measures(spark: SparkSession, path: str, names: list[str] | None = None, start: int | None = None, finish: int | None = None) -> DataFrame:
-    """Change points of some signals in [start, finish), with those before start carried to it: filters reach the scan."""
-    df = spark.read.parquet(path)
+    """Change points of some signals in [start, finish), with those before start carried to it: (signal, t, v, mtype).
+
+    Filters on segments and names reach the scan; with ``start`` nothing before its segment is read. After the last
+    change, values stay as they are.
+    """
+    df = spark.read.schema("signal string, t long, v double, snapshot boolean, mtype string, every long, segment long").parquet(path)
     if names is not None:
         df = df.where(F.col("signal").isin(names))
     if finish is not None:
-        df = df.where(F.col("t") < finish)
+        df = df.where((F.col("t") < finish) & (F.col("segment") <= F.floor(F.lit(finish - 1) / F.col("every"))))
+    columns = ["signal", "t", "v", "mtype"]
     if start is None:
-        return df
-    before = df.where(F.col("t") <= start).groupBy("mtype", "signal").agg(F.max_by("v", "t").alias("v")).select("signal", F.lit(start).cast("long").alias("t"), "v", "mtype").where("v <> 0")
-    return df.where(F.col("t") > start).select("signal", "t", "v", "mtype").unionByName(before)
+        return df.where("not snapshot").select(columns)
+    # the last segment there is, from the names of the files that Spark has listed
+    last = max((int(m[1]) for f in df.inputFiles() if (m := re.search(r"segment=(-?\d+)", f))), default=0)
+    first = F.least(F.floor(F.lit(start) / F.col("every")), F.lit(last))
+    before = df.where((F.col("segment") == first) & (F.col("t") <= start)).groupBy("mtype", "signal").agg(F.max_by("v", F.struct("t", ~F.col("snapshot"))).alias("v")).where("v <> 0")
+    after = df.where((F.col("segment") >= first) & (F.col("t") > start) & ~F.col("snapshot"))
+    return after.select(columns).unionByName(before.select("signal", F.lit(start).cast("long").alias("t"), "v", "mtype"))
