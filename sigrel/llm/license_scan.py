@@ -20,13 +20,13 @@ SENTENCES = {
     "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
     "isc-grant-old": "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted",
     "isc-notice": "provided that the above copyright notice and this permission notice appear in all copies",
-    "isc-as-is": "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "isc-as-is": "disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
     "bsd-redistribution": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     "bsd-advertising": "all advertising materials mentioning features or use of this software must display the following acknowledgement",
     "bsd-endorse": "may be used to endorse or promote products derived from this software without specific prior written permission",
-    "bsd-as-is": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "bsd-as-is": "as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
     "apache-header": "licensed under the apache license version 2 0 the license",
     "apache-comply": "you may not use this file except in compliance with the license",
     "apache-copy": "you may obtain a copy of the license at",
@@ -81,16 +81,16 @@ RULES = {
     "BSD-3-Clause": ("bsd-redistribution bsd-source bsd-binary bsd-endorse bsd-as-is | bsd-advertising",),
     "BSD-4-Clause": ("bsd-redistribution bsd-source bsd-binary bsd-advertising bsd-endorse",),
     "Apache-2.0": ("apache-header apache-comply apache-copy", "apache-header", "apache-title apache-terms"),
-    "GPL-2.0": ("gpl-free gnu-2-only", "gpl2-title"),
+    "GPL-2.0-only": ("gpl-free gnu-2-only", "gpl2-title"),
     "GPL-2.0-or-later": ("gpl-free gnu-2-or-later",),
-    "GPL-3.0": ("gpl-free gnu-3-only", "gpl3-title"),
+    "GPL-3.0-only": ("gpl-free gnu-3-only", "gpl3-title"),
     "GPL-3.0-or-later": ("gpl-free gnu-3-or-later",),
     "LGPL-2.0-or-later": ("lgpl-library gnu-2-or-later",),
-    "LGPL-2.1": ("lgpl-free gnu-21-only", "lgpl21-title"),
+    "LGPL-2.1-only": ("lgpl-free gnu-21-only", "lgpl21-title"),
     "LGPL-2.1-or-later": ("lgpl-free gnu-21-or-later",),
-    "LGPL-3.0": ("lgpl-free gnu-3-only", "lgpl3-title"),
+    "LGPL-3.0-only": ("lgpl-free gnu-3-only", "lgpl3-title"),
     "LGPL-3.0-or-later": ("lgpl-free gnu-3-or-later",),
-    "AGPL-3.0": ("agpl-free gnu-3-only", "agpl3-title"),
+    "AGPL-3.0-only": ("agpl-free gnu-3-only", "agpl3-title"),
     "AGPL-3.0-or-later": ("agpl-free gnu-3-or-later",),
     "MPL-1.1": ("mpl11-header",),
     "MPL-2.0": ("mpl2-header mpl2-copy", "mpl2-header"),
@@ -105,8 +105,12 @@ RULES = {
     "OFL-1.1": ("ofl-grant",),
     "PSF-2.0": ("psf-title",),
     "CC0-1.0": ("cc0-waiver",),
-    "Proprietary": ("all-rights", "confidential"),
+    "Proprietary": ("confidential",),
 }
+# Rules that count only where no other licence is recognised.
+ALONE = {"Proprietary": ("all-rights",)}
+# A notice right after one of these words says nothing.
+NEGATIONS = ("not", "never", "longer", "t")
 # What short notices call a licence, besides its identifier.
 NAMES = {
     "MIT": ("mit license", "mit licence", "mit"),
@@ -115,14 +119,14 @@ NAMES = {
     "BSD-2-Clause": ("simplified bsd license", "bsd 2 clause license", "2 clause bsd license"),
     "BSD-3-Clause": ("new bsd license", "bsd 3 clause license", "3 clause bsd license", "modified bsd license"),
     "Apache-2.0": ("apache license version 2 0", "apache license 2 0", "apache 2 0 license", "apache license v2 0"),
-    "GPL-2.0": ("gnu general public license version 2", "gnu gpl version 2", "gnu gplv2", "gplv2"),
+    "GPL-2.0-only": ("gnu general public license version 2", "gnu gpl version 2", "gnu gplv2", "gplv2"),
     "GPL-2.0-or-later": ("gnu general public license version 2 or later", "gplv2 or later"),
-    "GPL-3.0": ("gnu general public license version 3", "gnu gpl version 3", "gnu gplv3", "gplv3"),
+    "GPL-3.0-only": ("gnu general public license version 3", "gnu gpl version 3", "gnu gplv3", "gplv3"),
     "GPL-3.0-or-later": ("gnu general public license version 3 or later", "gplv3 or later"),
-    "LGPL-2.1": ("gnu lesser general public license version 2 1", "lgplv2 1"),
+    "LGPL-2.1-only": ("gnu lesser general public license version 2 1", "lgplv2 1"),
     "LGPL-2.1-or-later": ("gnu lesser general public license version 2 1 or later",),
-    "LGPL-3.0": ("gnu lesser general public license version 3", "lgplv3"),
-    "AGPL-3.0": ("gnu affero general public license version 3", "agplv3"),
+    "LGPL-3.0-only": ("gnu lesser general public license version 3", "lgplv3"),
+    "AGPL-3.0-only": ("gnu affero general public license version 3", "agplv3"),
     "MPL-2.0": ("mozilla public license version 2 0", "mozilla public license 2 0", "mozilla public license v 2 0"),
     "EPL-1.0": ("eclipse public license v1 0", "eclipse public license 1 0"),
     "EPL-2.0": ("eclipse public license v2 0", "eclipse public license 2 0"),
@@ -148,12 +152,34 @@ def normalise(sentence: str) -> str:
     return _OTHER.sub(" ", sentence.lower()).strip()
 
 
+# Families whose name and version alone, with "only" or "or later", are names too.
+GNU = {"GPL": ("gpl", "gnu gpl", "gnu general public license"), "LGPL": ("lgpl", "gnu lgpl", "gnu lesser general public license"), "AGPL": ("agpl", "gnu agpl", "gnu affero general public license")}
+_ID = r"(?:\(\s*)*[A-Za-z0-9][A-Za-z0-9.+-]*(?:\s*\))*"
+_EXPRESSION = re.compile(rf"(?i:SPDX-License-Identifier):\s*({_ID}(?:\s+(?:AND|OR|WITH)\s+{_ID})*)")
+_EXCEPTION = re.compile(r"\s+WITH\s+\S+")
+
+
+def expand_expressions(text: str) -> str:
+    """The text with each licence expression as one identifier after the other: AND and OR name their sides, WITH the side
+    before it, + is "or later"."""
+
+    def each(m: re.Match) -> str:
+        ids = re.findall(r"[A-Za-z0-9][A-Za-z0-9.+-]*", _EXCEPTION.sub(" ", m[1]))
+        return ". ".join("SPDX-License-Identifier: " + re.sub(r"\+$", "-or-later", x) for x in ids if x not in ("AND", "OR"))
+
+    return _EXPRESSION.sub(each, text)
+
+
 def notices() -> dict[str, tuple[str, str]]:
     """Short notices of every licence, as sentence -> (identifier, licence): notice words, "the" or "a" or nothing, name."""
     names = {k: {*v, normalise(k)} for k, v in NAMES.items()}
     for k in RULES:
         if k != "Proprietary":
             names.setdefault(k, {normalise(k)})
+    for k in list(names):
+        if m := re.fullmatch(r"(A?L?GPL)-(\d)\.(\d)-(only|or-later)", k):
+            versions = {f"{m[2]} {m[3]}", f"v{m[2]} {m[3]}", f"version {m[2]} {m[3]}"} | ({m[2], f"v{m[2]}", f"version {m[2]}"} if m[3] == "0" else set())
+            names[k] |= {f"{name} {v}{end}" for name in GNU[m[1]] for v in versions for end in ((" only", "") if m[4] == "only" else (" or later", " or any later version"))}
     for letters, words in CREATIVE.items():
         for version in CREATIVE_VERSIONS:
             v = normalise(version)
@@ -175,31 +201,36 @@ class Sentences:
         """Identifiers in text order; of matches that overlap the one that starts first stays, the longest of equal starts."""
         if not len(self.automaton):
             return []
-        found = sorted((end - size + 1, -size, name) for end, (size, name) in self.automaton.iter(f" {normalise(text)} "))
+        line = f" {normalise(text)} "
+        found = sorted((end - size + 1, -size, name) for end, (size, name) in self.automaton.iter(line))
         out, free = [], -1
         for start, size, name in found:
             if start >= free:
-                out.append(name)
+                if not name.startswith("notice-") or line[:start].rpartition(" ")[2] not in NEGATIONS:
+                    out.append(name)
                 free = start - size - 1  # the blank between two sentences belongs to both
         return out
 
 
-def matching(ids: list[str], rules: dict[str, tuple[str, ...]]) -> list[str]:
-    """Licences with a rule whose identifiers are a subsequence of ``ids`` and whose unwanted ones don't occur."""
+def matching(ids: list[str], rules: dict[str, tuple[str, ...]], alone: dict[str, tuple[str, ...]] | None = None) -> list[str]:
+    """Licences with a rule whose identifiers are a subsequence of ``ids`` and whose unwanted ones don't occur; if there
+    are none, those with a rule of ``alone``."""
 
     def inside(rule: str) -> bool:
         wanted, _, unwanted = rule.partition("|")
         rest = iter(ids)
         return all(any(x == y for y in rest) for x in wanted.split()) and not set(unwanted.split()) & set(ids)
 
-    return sorted(name for name, options in rules.items() if any(inside(rule) for rule in options))
+    found = sorted(name for name, options in rules.items() if any(inside(rule) for rule in options))
+    return found or (matching(ids, alone) if alone else [])
 
 
 def scan_licenses(docs: DataFrame, sentences: dict[str, str] | None = None, rules: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """The columns of ``docs`` with license_sentences and licenses (arrays), over whole texts.
 
     Texts are normalised, known sentences are mapped to their identifiers in text order, also where they stand inside
-    longer ones, and the identifiers are matched against ordered rules. ``sentences`` (identifier -> sentence) and
+    longer ones, and the identifiers are matched against ordered rules. Licence expressions name each of their licences;
+    a notice after "not" says nothing; "all rights reserved" counts only where no licence is recognised. ``sentences`` (identifier -> sentence) and
     ``rules`` replace the built-in ones. Null and empty texts and texts without a known sentence get empty arrays;
     each row is handled by itself, repeated rows alike, of any length; extra columns pass through under any name
     (license_sentences and licenses are replaced); an empty table gives an empty one.
@@ -213,13 +244,14 @@ def scan_licenses(docs: DataFrame, sentences: dict[str, str] | None = None, rule
                 ordered[licence] = (*ordered.get(licence, ()), name)
     else:
         known, ordered = {normalise(v): k for k, v in sentences.items()}, rules or RULES
+    alone = ALONE if rules is None else {}
 
     @F.pandas_udf("ids array<string>, names array<string>", F.PandasUDFType.SCALAR_ITER)
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         finder = Sentences(known)
         for texts in batches:
-            ids = [finder.find(t) if t else [] for t in texts.array]
-            yield pd.DataFrame({"ids": ids, "names": [matching(x, ordered) if x else [] for x in ids]})
+            ids = [finder.find(expand_expressions(t) if sentences is None else t) if t else [] for t in texts.array]
+            yield pd.DataFrame({"ids": ids, "names": [matching(x, ordered, alone) if x else [] for x in ids]})
 
     text = F.col("text").cast("string")
     hinted = text if sentences is not None else F.when(text.rlike(_HINT), text)
