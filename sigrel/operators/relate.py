@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -128,10 +130,50 @@ def relation_edges(samples: DataFrame, deltas: Sequence[int], size: int, a: str
     return with_metrics(m).withColumn("factor", F.lit(factor))
 
 
-def all_pairs(samples: DataFrame, n: int, keys: tuple[str, ...] = ("system",)) -> DataFrame:
+#: Vectors of a block, about, and ticks of a part of a vector.
+VECTORS, TICKS = 256, 4096
+
+
+def _met_in_tiles(samples: DataFrame, keys: Sequence[str], vectors: int, ticks: int) -> DataFrame:
+    """(keys, x, y, sxy, smin) of all pairs x < y that meet: sums of products and of minima.
+
+    Vectors are dealt into blocks by hash, and each goes to the tiles (block, block) that its block is part of; a tile
+    works on the parts of its vectors over some ticks as two matrices. So what is shuffled are vectors, as often as
+    there are blocks, and sums, not a row for each pair and tick; a tile holds about twice ``vectors`` parts.
+    """
+    many = samples.select(*keys, "idx").distinct().groupBy(*keys).agg(F.ceil(F.count("*") / vectors).cast("int").alias("n"))
+    part = samples.where("v <> 0").groupBy(*keys, "idx", F.floor(F.col("t") / ticks).alias("part")).agg(F.collect_list((F.col("t") % ticks).cast("int")).alias("ts"), F.collect_list(F.col("v").cast("double")).alias("vs"))
+    own, other = F.pmod(F.xxhash64("idx"), F.col("n")).cast("int"), F.col("other")
+    dealt = part.join(many, list(keys)).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    dealt = dealt.select(*keys, "part", F.least("own", other).alias("i"), F.greatest("own", other).alias("j"), "own", "idx", "ts", "vs")
+
+    def tile(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        *_, i, j = key
+        rows = rows.sort_values("idx")
+        m = np.zeros((len(rows), ticks))
+        for k, (t, v) in enumerate(zip(rows["ts"], rows["vs"])):
+            m[k, t] = v
+        idx, own = rows["idx"].to_numpy(), rows["own"].to_numpy()
+        out = []
+        for k in range(len(m) - 1):  # a row against all of larger idx; from another block, but in the tiles on the diagonal
+            to = np.arange(k + 1, len(m)) if i == j else k + 1 + np.flatnonzero(own[k + 1 :] != own[k])
+            used = np.flatnonzero(m[k])
+            y = m[np.ix_(to, used)]
+            out.append((np.full(len(to), idx[k]), idx[to], y @ m[k, used], np.minimum(y, m[k, used]).sum(axis=1)))
+        x, y, sxy, smin = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, idx.dtype), np.zeros(0, idx.dtype), np.zeros(0), np.zeros(0))
+        return pd.DataFrame({**{c: pd.Series([v] * len(x), dtype=object if isinstance(v, str) else None) for c, v in zip(keys, key)}, "x": x, "y": y, "sxy": sxy, "smin": smin})
+
+    kinds = {f.name: f.dataType.simpleString() for f in samples.schema}
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in keys), f"x {kinds['idx']}", f"y {kinds['idx']}", "sxy double", "smin double"])
+    sums = dealt.groupBy(*keys, "part", "i", "j").applyInPandas(tile, schema)
+    return sums.groupBy(*keys, "x", "y").agg(F.sum("sxy").alias("sxy"), F.sum("smin").alias("smin"))
+
+
+def all_pairs(samples: DataFrame, n: int, keys: tuple[str, ...] = ("system",), vectors: int = VECTORS, ticks: int = TICKS) -> DataFrame:
     """Every upper-triangle pair (x < y by idx) of every system over all n ticks: six symmetric metrics.
 
-    ``samples`` (keys, idx, t, v) holds non-zero rows; ``n`` is the number of ticks of each system. One key at least.
+    ``samples`` (keys, idx, t, v) holds non-zero rows, v being 0 or more; ``n`` is the number of ticks of each system. One
+    key at least. Sums over pairs are formed in tiles of blocks of vectors.
     """
     if not keys:
         raise ValueError("pairs are formed within a system")
@@ -139,10 +181,9 @@ def all_pairs(samples: DataFrame, n: int, keys: tuple[str, ...] = ("system",)) -
     one = samples.groupBy(*keys, "idx").agg((F.sum("v") / total).alias("e"), (F.sum(F.col("v") * F.col("v")) / total).alias("e2"))
     x, y = (one.select(*keys, F.col("idx").alias(k), F.col("e").alias(f"e{k}"), F.col("e2").alias(f"e{k}{k}")) for k in "xy")
     grid = x.join(y, list(keys)).where("x < y")
-    sx, sy = (samples.select(*keys, F.col("idx").alias(k), "t", F.col("v").alias(f"v{k}")) for k in "xy")
-    joint = sx.join(sy, [*keys, "t"]).where("x < y").groupBy(*keys, "x", "y").agg((F.sum(F.col("vx") * F.col("vy")) / total).alias("exy"), (F.sum(F.least("vx", "vy")) / total).alias("emin"))
+    joint = _met_in_tiles(samples, keys, vectors, min(n, ticks)).select(*keys, "x", "y", (F.col("sxy") / total).alias("exy"), (F.col("smin") / total).alias("emin"))
     m = grid.join(joint, [*keys, "x", "y"], "left").na.fill(0.0, ["exy", "emin"])
-    return with_metrics(m, [n for n in METRICS if n != "cex"])
+    return with_metrics(m, [k for k in METRICS if k != "cex"])
 
 
 def node_stats(samples: DataFrame, size: int, alpha: float = 0.0) -> DataFrame:

@@ -23,7 +23,7 @@ from ..operators import series as se
 from ..operators import text_jobs as tj
 from ..sources import change_files as cf
 from ..sources import traces as tr
-from ..sources.binary_files import byte_histogram
+from ..sources import binary_files as bf
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -627,7 +627,7 @@ def filter_lines(spark, d):
 
 @query("WITH b AS (SELECT unnest(regexp_extract_all(hex(encode(text)), '..')) AS h FROM documents) SELECT ('0x' || h)::INT AS byte, count(*) AS n FROM b GROUP BY h")
 def byte_histogram_text(spark, d):
-    return byte_histogram(table(spark, d, "documents"), "text")
+    return bf.byte_histogram(table(spark, d, "documents"), "text")
 
 
 @query("""WITH x AS (SELECT l_orderkey, l_linenumber, l_linenumber::BIGINT * 100000000000 + l_partkey * 10000 + l_suppkey AS o, 'Item ' || l_linenumber || ' (' || (l_partkey % 7) || 'm' || (l_suppkey % 60) || 's)' AS value FROM lineitem),
@@ -826,6 +826,46 @@ def bind_measures(spark, d):
     return me.bind_measures(m, v, "top.").select("name", "var_id", "bit", "problem")
 
 
+# binary files: text whose line ends are the last byte of a record
+
+_REC = "rc AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) - 1 AS i, l_orderkey % 127 + 1 AS a, l_linenumber % 128 AS b, l_quantity::BIGINT % 128 AS c, 10 AS z FROM lineitem)"
+
+
+def _records(spark: SparkSession, d: str, bytes_of: list[str]) -> str:
+    """Line items in order as records of a byte for each expression (1 to 127) and a line end, in a new folder."""
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"]
+    x = table(spark, d, "lineitem").select(*order, F.concat(*[F.char(F.expr(b)) for b in bytes_of]).alias("value"))
+    where = _shared(spark, "records")
+    x.repartitionByRange(4, *order).sortWithinPartitions(*order).select("value").write.text(where)
+    return where
+
+
+_BYTES = ["l_orderkey % 127 + 1", "l_linenumber % 128", "cast(l_quantity as bigint) % 128"]
+
+
+@query(f"WITH {_REC} SELECT i AS index, (a + 256 * b + 65536 * c + 16777216 * z)::BIGINT AS value, lower(printf('%02x%02x%02x%02x', z, c, b, a)) AS hex, lpad(bin(16777216 * z + 65536 * c + 256 * b + a), 32, '0') AS bits FROM rc")
+def decode_records(spark, d):
+    return bf.decode_records(spark, _records(spark, d, _BYTES), "u32").select("index", "value", "hex", "bits")
+
+
+@query(f"WITH {_REC} SELECT i AS index, (z + 256 * c + 65536 * b + 16777216 * a)::BIGINT AS value FROM rc")
+def decode_records_big_endian(spark, d):
+    return bf.decode_records(spark, _records(spark, d, _BYTES), "i32", little_endian=False).select("index", "value")
+
+
+@query(f"WITH {_REC} SELECT i AS index, a::INT AS win_num, b::INT AS count_x, c::INT AS count_y, 1 AS count_isect, z::INT AS count_symdiff, b / 128 AS ex, c / 128 AS ey, 1 / 128 AS exy, z / 128 AS ediff, i * 64.0::DOUBLE AS seconds FROM rc")
+def counter_packets(spark, d):
+    return bf.decode_counter_packets(spark, _records(spark, d, [*_BYTES, "1"]), 128, 0.5)
+
+
+@query(f"WITH {_LN}, x AS (SELECT md5(rtrim(ltrim(regexp_replace(lower(value), ' +', ' ', 'g')))) AS h FROM ln WHERE NOT starts_with(ltrim(value), '#')) SELECT h, count(*) AS n FROM x GROUP BY h")
+def lines_there_and_back(spark, d):
+    """Lines of documents, normalised as they are written to text files and as they are read again."""
+    where = _shared(spark, "lines")
+    tj.write_lines(tj.split_lines(table(spark, d, "documents")), where, ("doc_id", "line"), fold=True)
+    return tj.read_lines(spark, where, comments=True).groupBy(F.md5("value").alias("h")).agg(F.count("*").alias("n"))
+
+
 # streams
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import islice
+from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
@@ -21,8 +22,10 @@ LOT = 1 << 14
 def _lots(spark: SparkSession, path: str, width: int) -> DataFrame:
     """(first, records): many records of a partition as one binary, with the index of the first one.
 
-    Spark splits large files at record borders; the index follows partitions and rows.
+    Spark splits large files at record borders; the index follows the names of the files, then their records.
     """
+    files = sorted(unquote(f) for f in spark.read.format("binaryFile").load(path).inputFiles())
+    in_order = ",".join(f.replace("\\", "\\\\").replace(",", "\\,") for f in files) or path
 
     def lots(part: int, records: Iterator[bytes]) -> Iterator[tuple[int, int, bytearray]]:
         at = 0
@@ -30,7 +33,7 @@ def _lots(spark: SparkSession, path: str, width: int) -> DataFrame:
             yield part, at, bytearray(b"".join(lot))
             at += len(lot)
 
-    rdd = spark.sparkContext.binaryRecords(path, width).mapPartitionsWithIndex(lots)
+    rdd = spark.sparkContext.binaryRecords(in_order, width).mapPartitionsWithIndex(lots)
     d = spark.createDataFrame(rdd, "part int, at long, records binary")
     # one row a partition of the file
     sizes = d.groupBy("part").agg(F.sum(F.octet_length("records") / width).cast("long").alias("n"))

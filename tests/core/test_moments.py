@@ -95,3 +95,17 @@ def test_ladder_of_shifts(spark, size, stride, alpha, zoom):
         rows = mt.with_metrics(spark.createDataFrame([(*k, *v) for k, v in got.items()], "factor long, delta long, u long, x string, y string, " + ", ".join(f"{c} double" for c in MEANS)))
         want = rows.where(f"{a} > 0.1" + (f" and {b} > 0.05" if b else ""))
         assert edges == {(r["factor"], r["delta"], r["u"], r["x"], r["y"]) for r in want.collect()} and edges
+
+
+@pytest.mark.parametrize(("vectors", "ticks"), [(3, 7), (256, 4096)])
+def test_all_pairs_in_tiles(spark, vectors, ticks):
+    rng, n = random.Random(vectors), 40
+    v = {(s, i): np.array([rng.choice((0.0, 0.0, 0.5, 1.0)) for _ in range(n)]) for s, k in (("a", 11), ("b", 2), ("c", 1)) for i in rng.sample(range(-50, 1000), k)}
+    v["a", 5000] = np.zeros(n)  # without a sample, so no vector
+    rows = [(s, i, t, float(x)) for (s, i), z in v.items() for t, x in enumerate(z) if x]
+    got = {(r["system"], r["x"], r["y"]): r for r in re_.all_pairs(spark.createDataFrame(rows, "system string, idx long, t long, v double"), n, vectors=vectors, ticks=ticks).collect()}
+    have = sorted({(s, i) for s, i, *_ in rows})
+    assert set(got) == {(s, i, j) for s, i in have for z, j in have if s == z and i < j}
+    for (s, i, j), r in got.items():
+        x, y = v[s, i], v[s, j]
+        assert np.isclose(r["exy"], (x * y).mean()) and np.isclose(r["emin"], np.minimum(x, y).mean()) and np.isclose(r["ham"], 1 - np.abs(x - y).mean()) and np.isclose(r["cov"], 4 * abs((x * y).mean() - x.mean() * y.mean()))
