@@ -39,21 +39,27 @@ def answer_words(text: str | None) -> list[bytes]:
 
 
 @dataclass
-class Index:
-    """Benchmark items in the latent space. ``basis`` (words, k) holds right singular vectors of the passages' TF-IDF."""
+class Space:
+    """The latent space of the whole benchmark. ``basis`` (words, k) holds right singular vectors of the passages' TF-IDF."""
 
     words: dict[bytes, int]
     idf: np.ndarray
     basis: np.ndarray
     singular: np.ndarray
+
+
+@dataclass
+class Items:
+    """Benchmark items, or some of them, in the latent space."""
+
     pieces: list[tuple[int, list[bytes], list[bytes]]]  # item, words, answer
     vectors: dict[int, np.ndarray] = field(default_factory=dict)  # blocks of a passage -> (pieces, k)
     which: dict[int, np.ndarray] = field(default_factory=dict)
     lengths: dict[int, np.ndarray] = field(default_factory=dict)
 
-    def masks(self) -> list[tuple[dict, dict, set[int]]]:
+    def masks(self, words: dict[bytes, int]) -> list[tuple[dict, dict, set[int]]]:
         """Of each piece: places of its words and of its answer's as bit masks, and the numbers of its rarer words."""
-        return [(_masks(w), _masks(a), {self.words[v] for v in w if v in self.words}) for _, w, a in self.pieces]
+        return [(_masks(w), _masks(a), {words[v] for v in w if v in words}) for _, w, a in self.pieces]
 
 
 def _token_blocks(texts, words: dict[bytes, int], gap: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -197,12 +203,12 @@ def right_singular(g: np.ndarray, omega: np.ndarray) -> tuple[np.ndarray, np.nda
     return u, np.sqrt(np.maximum(s**2 - shift, 0))
 
 
-def build_index(docs: DataFrame, benchmark: DataFrame, k: int = 64, common: float = 0.001) -> Index | None:
+def build_space(docs: DataFrame, benchmark: DataFrame, k: int = 64, common: float = 0.001) -> tuple[Space, list[tuple[int, list[bytes], list[bytes]]]] | None:
     """Collect the benchmark (its size is the operator's bound), count its words over all texts and find the space.
 
     Words found in more than ``common`` of all blocks tell nothing and are left out of the space, but each piece's
     ``RAREST`` rarest words stay. Occurrences in an item's pairs are not counted. The space is fitted on texts and
-    pieces alike. Each remaining latent dimension is divided by its singular value, so that no topic that all texts
+    pieces alike, and is one for all items, however many shards search them. Each remaining latent dimension is divided by its singular value, so that no topic that all texts
     share outweighs the others.
     """
     rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null").distinct().orderBy("item_id", "text").collect()
@@ -229,16 +235,34 @@ def build_index(docs: DataFrame, benchmark: DataFrame, k: int = 64, common: floa
     u, s = right_singular(add_pieces(g, [[words[x] for x in w if x in words] for _, w, _ in pieces], idf, omega), omega)
     kept = s > 1e-6 * s.max(initial=0) if s.any() else np.ones(len(s), bool)
     basis = (u[:, kept] / np.maximum(s[kept], 1e-12)) * (np.median(s[kept]) if s.any() else 1)
-    index = Index(words, idf.astype(np.float32), (basis * idf[:, None]).astype(np.float32), s[kept], pieces)
-    vectors = np.array([sum((index.basis[words[x]] for x in w if x in words), np.zeros(index.basis.shape[1])) for _, w, _ in pieces])
+    return Space(words, idf.astype(np.float32), (basis * idf[:, None]).astype(np.float32), s[kept]), pieces
+
+
+def place_items(space: Space, pieces: list[tuple[int, list[bytes], list[bytes]]]) -> Items:
+    """Unit vectors of pieces in the space, by the length of the passages they are compared with."""
+    items, basis = Items(pieces), space.basis
+    vectors = np.array([sum((basis[space.words[x]] for x in w if x in space.words), np.zeros(basis.shape[1])) for _, w, _ in pieces])
     lengths = np.linalg.norm(vectors, axis=1)
     vectors = (vectors / np.maximum(lengths[:, None], 1e-9)).astype(np.float32)
     longest = 0
     for n, most in PASSAGES.items():
         at = np.array([i for i, (_, w, _) in enumerate(pieces) if longest < len(w) <= most], np.int64)
-        index.vectors[n], index.which[n], index.lengths[n] = vectors[at], at, lengths[at].astype(np.float32)
+        items.vectors[n], items.which[n], items.lengths[n] = vectors[at], at, lengths[at].astype(np.float32)
         longest = most
-    return index
+    return items
+
+
+def shards_of(pieces: list[tuple[int, list[bytes], list[bytes]]], most: int) -> Iterator[list[tuple[int, list[bytes], list[bytes]]]]:
+    """Runs of pieces with at most ``most`` words in all, or one piece."""
+    part, n = [], 0
+    for piece in pieces:
+        if part and n + len(piece[1]) > most:
+            yield part
+            part, n = [], 0
+        part.append(piece)
+        n += len(piece[1])
+    if part:
+        yield part
 
 
 def common_subsequence(masks: dict[bytes, int], n: int, words: list[bytes]) -> int:
@@ -252,8 +276,8 @@ def common_subsequence(masks: dict[bytes, int], n: int, words: list[bytes]) -> i
     return n - v.bit_count()
 
 
-#: Items whose words and vectors go to a task at once.
-SHARD_ITEMS = 20_000
+#: Words of the items that go to a task at once, and code points of the texts that are searched together.
+SHARD_WORDS, TEXT_POINTS = 1_000_000, 1_000_000
 
 
 def _masks(words: list[bytes]) -> dict[bytes, int]:
@@ -263,15 +287,15 @@ def _masks(words: list[bytes]) -> dict[bytes, int]:
     return out
 
 
-def search(texts: list[str | None], x: Index, masks: list, cosine: float, share: float, answer: float, sure: float) -> list[list[int]]:
+def search(texts: list[str | None], space: Space, x: Items, masks: list, cosine: float, share: float, answer: float, sure: float) -> list[list[int]]:
     """Items that each text holds."""
     gap = max(PASSAGES)
-    ids, block, first = _token_blocks(texts, x.words, gap)
-    n, k = int(first[-1]), x.basis.shape[1]
+    ids, block, first = _token_blocks(texts, space.words, gap)
+    n, k = int(first[-1]), space.basis.shape[1]
     vec = np.zeros((n + gap, k), np.float32)
     if len(ids):
         at = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-        vec[block[at]] = np.add.reduceat(x.basis[ids], at)
+        vec[block[at]] = np.add.reduceat(space.basis[ids], at)
     found: list[set[int]] = [set() for _ in texts]
     split: dict[int, list[bytes]] = {}
     numbers = ids.tolist()
@@ -316,7 +340,7 @@ def search(texts: list[str | None], x: Index, masks: list, cosine: float, share:
     return [sorted(f) for f in found]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.4, share: float = 0.5, answer: float = 0.5, sure: float = 0.8, k: int = 64, shard_items: int = SHARD_ITEMS) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.4, share: float = 0.5, answer: float = 0.5, sure: float = 0.8, k: int = 64, shard_words: int = SHARD_WORDS) -> DataFrame:
     """The columns of ``docs`` with leaked_items: array of item ids whose text the row's whole text holds, maybe reworded.
 
     Passages are runs of 16-word blocks, of 2 to 6 blocks by the item's length, starting at every block. Those with a
@@ -326,25 +350,40 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.4, share
 
     Null and empty texts leak nothing; null or empty items are never found; each row is handled by itself, repeated
     rows alike, of any length; extra columns pass through under any name (leaked_items is replaced); empty tables give
-    empty or unflagged results. The words and vectors of ``shard_items`` items at most go to a task at once: a larger
-    benchmark is dealt by hash into shards, each with an index and a search of its own.
+    empty or unflagged results. The space is one for the whole benchmark; of its pieces, those of
+    ``shard_words`` words go to a task at once, each lot searched by itself, which changes no result.
     """
-    shards = max(1, -(-benchmark.count() // shard_items))
     given = [c for c in docs.columns if c != "leaked_items"]
     out, found = docs.select(F.struct(*given).alias("it"), F.col("text").cast("string").alias("text")), []
-    for n in range(shards):
-        index = build_index(docs, benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == n) if shards > 1 else benchmark, k)
-        if index is not None:
-            out = out.withColumn(f"found{n}", _searcher(docs.sparkSession.sparkContext.broadcast(index), cosine, share, answer, sure)(F.col("text")))
+    made = build_space(docs, benchmark, k)
+    if made is not None:
+        context = docs.sparkSession.sparkContext
+        space = context.broadcast(made[0])
+        for n, pieces in enumerate(shards_of(made[1], shard_words)):
+            items = context.broadcast(place_items(made[0], pieces))
+            out = out.withColumn(f"found{n}", _searcher(space, items, cosine, share, answer, sure)(F.col("text")))
             found.append(f"found{n}")
     leaked = F.array_sort(F.array_distinct(F.flatten(F.array(*found)))) if found else F.array()
     return out.select(*[F.col("it").getField(c).alias(c) for c in given], leaked.cast("array<long>").alias("leaked_items"))
 
 
-def _searcher(shared, cosine: float, share: float, answer: float, sure: float):
+def _lots(texts: list[str | None], most: int) -> Iterator[list[str | None]]:
+    """The texts in runs of ``most`` code points about, so that what a search holds doesn't grow with a batch's texts."""
+    lot, n = [], 0
+    for t in texts:
+        if lot and n + len(t or "") > most:
+            yield lot
+            lot, n = [], 0
+        lot.append(t)
+        n += len(t or "")
+    if lot:
+        yield lot
+
+
+def _searcher(space, items, cosine: float, share: float, answer: float, sure: float):
     def leaks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        masks = shared.value.masks()
+        masks = items.value.masks(space.value.words)
         for texts in batches:
-            yield pd.Series(search(list(texts.array), shared.value, masks, cosine, share, answer, sure))
+            yield pd.Series([f for lot in _lots(list(texts.array), TEXT_POINTS) for f in search(lot, space.value, items.value, masks, cosine, share, answer, sure)])
 
     return F.pandas_udf(leaks, "array<long>", F.PandasUDFType.SCALAR_ITER)
