@@ -65,6 +65,14 @@ def _assembled(s: DataFrame, xs: DataFrame, ys: DataFrame, joint: DataFrame, del
     return out.select("x", "y", "delta", "u", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("ex", "ey", "exy", "exx", "eyy", "emin")])
 
 
+def _in_windows(d: DataFrame, size: int, stride: int, alpha: int) -> DataFrame:
+    """A row for each window that an interval reaches into, with its share of the window's weight."""
+    first, last = F.greatest(F.lit(0).cast("long"), F.floor((F.col("t0") - size) / stride) + 1), F.floor((F.col("t1") - 1) / stride)
+    d = d.withColumn("u", F.explode(F.transform(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>")), lambda k: k * stride)))
+    at = lambda t: cumulative_weight(t - F.col("u"), size, alpha)
+    return d.withColumn("w", at(F.least(F.col("t1"), F.col("u") + size)) - at(F.greatest("t0", "u")))
+
+
 def interval_moments(intervals: DataFrame, deltas: Sequence[int], size: int, overlap: int = 0, alpha: int = 0, base: str = "signal", end: int | None = None, only: Sequence[int] | None = None, frame: bool = True, bucket: int | None = None) -> DataFrame:
     """What :func:`pair_moments` gives for held values, straight from their intervals (signal, t0, t1, v): no tick is expanded.
 
@@ -79,13 +87,7 @@ def interval_moments(intervals: DataFrame, deltas: Sequence[int], size: int, ove
     signals, s = s.select("signal", "base").distinct(), s.where("v <> 0 and t0 < t1")
     deltas = list(deltas)
 
-    def in_windows(d: DataFrame) -> DataFrame:
-        """A row for each window that an interval reaches into, with its share of the window's weight."""
-        first, last = F.greatest(F.lit(0).cast("long"), F.floor((F.col("t0") - size) / stride) + 1), F.floor((F.col("t1") - 1) / stride)
-        d = d.withColumn("u", F.explode(F.transform(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>")), lambda k: k * stride)))
-        at = lambda t: cumulative_weight(t - F.col("u"), size, alpha)
-        return d.withColumn("w", at(F.least(F.col("t1"), F.col("u") + size)) - at(F.greatest("t0", "u")))
-
+    in_windows = lambda d: _in_windows(d, size, stride, alpha)
     mean = lambda c: F.sum(F.col("w") * c) / F.lit(total)
     xs = in_windows(s).groupBy(F.col("signal").alias("x"), F.col("base").alias("base_x"), "u").agg(mean(F.col("v")).alias("ex"), mean(F.col("v") * F.col("v")).alias("exx"))
     every = s.withColumn("delta", F.explode(F.array(*[F.lit(d).cast("long") for d in deltas])))
@@ -116,6 +118,47 @@ def relation_table(samples: DataFrame, deltas: Sequence[int], size: int, a: str
     return out
 
 
+#: Siblings that a level's expectations are given for.
+SIBLINGS = ("orig", "refl", "rise", "fall")
+
+
+def sibling_expectations(levels: DataFrame, size: int, end: int, overlap: int = 0, alpha: int = 0, key: str = "base") -> DataFrame:
+    """E[orig], E[refl], E[rise] and E[fall] of each level and window that has any of orig, rise or fall: (key, u, four means).
+
+    ``levels`` (key, sibling, t0, t1) are intervals of ones as ``measures.siblings`` gives them, in [0, end). All four
+    come from one aggregate over the intervals' shares of windows; refl, which lasts longest of all, is what a window
+    has before ``end`` without orig, so its rows are left out.
+    """
+    total, stride = weight_sum(size, alpha), size - overlap
+    w = levels.where(F.col("sibling").isin("orig", "rise", "fall")).select(key, "sibling", "t0", F.least(F.coalesce("t1", F.lit(end)), F.lit(end)).cast("long").alias("t1")).where("t0 < t1")
+    mean = lambda k: F.sum(F.when(F.col("sibling") == k, F.col("w")).otherwise(0.0)) / F.lit(total)
+    m = _in_windows(w, size, stride, alpha).groupBy(key, "u").agg(*[mean(k).alias(f"e_{k}") for k in ("orig", "rise", "fall")])
+    return m.select(key, "u", "e_orig", (_whole(size, end, alpha) - F.col("e_orig")).alias("e_refl"), "e_rise", "e_fall")
+
+
+def _whole(size: int, end: int, alpha: int) -> Column:
+    """The part of window u's weight that lies before ``end``."""
+    before = F.greatest(F.lit(0).cast("long"), F.least(F.lit(size).cast("long"), F.lit(end) - F.col("u")))
+    return cumulative_weight(before, size, alpha) / F.lit(weight_sum(size, alpha))
+
+
+def with_siblings(table: DataFrame, levels: DataFrame, size: int, end: int, overlap: int = 0, alpha: int = 0, sides: Sequence[str] = ("x", "y"), base_of: Callable[[Column], Column] | None = None) -> DataFrame:
+    """A relation table (any rows with u and the ``sides``) with the four sibling expectations of each side beside it.
+
+    Adds ex_orig, ex_refl, ex_rise, ex_fall for x and ey_... for y, taken at the row's own window whatever its shift. The
+    measures of a table may be siblings themselves: ``base_of`` turns their names into the levels' ``base``. The joins
+    are equi-joins on (base, u) with a row for each level and window; a level that is silent in a window is all refl there.
+    """
+    e = sibling_expectations(levels, size, end, overlap, alpha)
+    silent = {"orig": F.lit(0.0), "refl": _whole(size, end, alpha), "rise": F.lit(0.0), "fall": F.lit(0.0)}
+    out, given = table, table.columns
+    for side in sides:
+        named = e.select(F.col("base").alias("_base"), "u", *[F.col(f"e_{k}").alias(f"e{side}_{k}") for k in SIBLINGS])
+        out = out.withColumn("_base", base_of(F.col(side)) if base_of else F.col(side)).join(named, ["_base", "u"], "left").drop("_base")
+        out = out.withColumns({f"e{side}_{k}": F.coalesce(f"e{side}_{k}", silent[k]) for k in SIBLINGS})
+    return out.select(*given, *[f"e{side}_{k}" for side in sides for k in SIBLINGS])
+
+
 def relation_edges(samples: DataFrame, deltas: Sequence[int], size: int, a: str | Callable[[], Column], eps_a: float, b: str | Callable[[], Column] | None = None, eps_b: float = 0.0, overlap: int = 0, alpha: float = 0.0, u: int | None = None, base: str = "signal", factor: int = 1) -> DataFrame:
     """Pairs whose metric ``a`` is over eps_a and then ``b`` over eps_b, with all metrics, expectations and the shift.
 

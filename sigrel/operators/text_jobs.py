@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions.scalar import dedup_spaces, is_comment
 from .ordered import ROWS, running
 
-#: Patterns of a table that go to every task at once.
-PATTERNS = 10_000
+#: Patterns without a literal, and their bytes, that go to every task at once, about.
+PATTERNS, PATTERN_BYTES = 10_000, 4 << 20
+#: Code points of a literal by which patterns and lines meet.
+GRAM = 3
 
 
 def expand_tabs(v: Column, width: int = 8) -> Column:
@@ -55,18 +60,86 @@ def split_lines(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
     return df.select(key, F.posexplode(F.split(text, "\n")).alias("line", "value"))
 
 
+def required_literals(pattern: str) -> list[str]:
+    """Strings that every match of a (Java) regular expression holds; none where that isn't sure.
+
+    Only what stands outside groups and classes counts. Alternatives outside groups, flags, quoted parts and classes
+    inside classes are not looked into: such a pattern has no literals.
+    """
+    if re.search(r"\(\?[^:=!<>]|\\[QEuxcpPNk0-9]", pattern):
+        return []
+    runs, run, depth, i = [], "", 0, 0
+    while i < len(pattern):
+        c, i = pattern[i], i + 1
+        literal = None
+        if c == "\\" and i < len(pattern):
+            c, i = pattern[i], i + 1
+            literal = None if c.isalnum() else c
+        elif c == "[":
+            end = re.compile(r"\[(?!\^?\])(?:\\.|[^\[\]\\])*\]", re.DOTALL).match(pattern, i - 1)
+            if not end:
+                return []
+            i = end.end()
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "|" and depth == 0:
+            return []
+        elif c in "?*{":
+            run = run[:-1]
+            i = pattern.find("}", i) + 1 or len(pattern) if c == "{" else i
+        elif c not in "+.^$|":
+            literal = c
+        if literal is None or depth:
+            runs.append(run)
+            run = ""
+        else:
+            run += literal
+    return [r for r in [*runs, run] if r]
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _pattern_grams(patterns: pd.Series) -> pd.Series:
+    return patterns.map(lambda p: sorted({r[i : i + GRAM] for r in required_literals(p) for i in range(len(r) - GRAM + 1)}))
+
+
+def _grams(value: str) -> Column:
+    """All runs of GRAM code points, one starting at each place."""
+    return F.array_distinct(F.regexp_extract_all(value, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
+
+
+def lines_with(lines: DataFrame, patterns: DataFrame, value: str = "value") -> DataFrame:
+    """Distinct values of ``lines`` that match any of ``patterns`` (pattern, grams), which all have grams.
+
+    Of a pattern's grams the one that fewest lines hold is its key; lines and patterns meet in an equi-join on it, in
+    which a line goes by its hash, and the pattern is tried on what met. A hash of two lines adds tries, not results.
+    """
+    values = lines.select(F.col(value).alias("value")).where("value is not null").distinct().withColumn("h", F.xxhash64("value"))
+    held = values.select("h", F.explode(_grams("value")).alias("gram"))
+    asked = patterns.select("pattern", F.explode("grams").alias("gram"))
+    counts = held.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    key = asked.join(counts, "gram", "left").na.fill(0, ["n"]).groupBy("pattern").agg(F.min(F.struct("n", "gram")).alias("k"))
+    met = held.join(key.where("k.n > 0").select("pattern", F.col("k.gram").alias("gram")), "gram").select("h", "pattern")
+    return met.join(values, "h").where(F.expr("value rlike pattern")).select(F.col("value").alias(value)).distinct()
+
+
 def filter_lines(lines: DataFrame, patterns: list[str] | DataFrame, invert: bool = False, value: str = "value") -> DataFrame:
     """Lines that match none of the patterns, or with ``invert`` any; a table of patterns has a column ``pattern``.
 
-    A table of more than ``PATTERNS`` patterns is taken in lots of about so many, one after the other.
+    Patterns of a table with a literal of ``GRAM`` code points or more are looked up by it. The others are tried on every
+    line, in lots of about ``PATTERNS`` patterns and ``PATTERN_BYTES`` bytes, one after the other. A null line matches
+    nothing, and a null pattern has no matches.
     """
     if isinstance(patterns, list):
         hit = F.col(value).rlike("|".join(f"(?:{p})" for p in patterns)) if patterns else F.lit(False)
         return lines.where(hit if invert else ~hit)
-    lots = max(1, -(-patterns.count() // PATTERNS))
-    rest, hits = lines, []
+    table = patterns.select("pattern").where("pattern is not null").distinct().withColumn("grams", _pattern_grams("pattern"))
+    found = lines_with(lines, table.where(F.size("grams") > 0), value)
+    plain = table.where(F.size("grams") == 0).select("pattern")
+    n, size = plain.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("pattern")), F.lit(0))).first()
+    lots = max(-(-n // PATTERNS), -(-size // PATTERN_BYTES))
+    rest, hits = lines.join(found, value, "left_anti"), [lines.join(found, value, "left_semi")]
     for k in range(lots):
-        lot = F.broadcast(patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(lots)) == k).select("pattern"))
+        lot = F.broadcast(plain.where(F.pmod(F.xxhash64("pattern"), F.lit(lots)) == k))
         if invert:
             hits.append(rest.join(lot, F.expr(f"{value} rlike pattern"), "left_semi"))
         rest = rest.join(lot, F.expr(f"{value} rlike pattern"), "left_anti")

@@ -155,6 +155,32 @@ def dependence_edges(spark, d):
     return re_.relation_edges(occurrences_of(spark, d), DELTAS, SIZE, "dep", 0.1).select("x", "y", "delta", "u", r9("dep"))
 
 
+# whether each event type's latest value is 50 or more, by 10-minute ticks from the first event on, with siblings
+_LEVELS = """h0 AS (SELECT event_type AS base, ((epoch_us(ts) // 1000000) - (SELECT min(epoch_us(ts) // 1000000) FROM events)) // 600 AS t, max(value) AS v FROM events GROUP BY ALL), n0 AS (SELECT max(t) + 1 AS stop FROM h0),
+h1 AS (SELECT base, t AS t0, coalesce(lead(t) OVER (PARTITION BY base ORDER BY t), stop) AS t1, (v >= 50)::INT AS v FROM h0, n0),
+h2 AS (SELECT base, unnest(range(t0, t1)) AS t, v FROM h1 UNION ALL SELECT base, unnest(range(0, min(t0))), 0 FROM h1 GROUP BY base),
+h3 AS (SELECT base, t, v, lag(v, 1, 0) OVER (PARTITION BY base ORDER BY t) AS b FROM h2),
+lv AS (SELECT base, t, unnest([v, 1 - v, (v > b)::INT, (v < b)::INT])::DOUBLE AS v, unnest(['orig', 'refl', 'rise', 'fall']) AS sibling FROM h3),
+s AS (SELECT 'threshold.' || sibling || '.' || base AS signal, base, sibling, t, v FROM lv WHERE v <> 0),
+se AS (SELECT base, (t // 64) * 64 AS u, sum(v) FILTER (sibling = 'orig') / 64 AS orig, sum(v) FILTER (sibling = 'refl') / 64 AS refl, sum(v) FILTER (sibling = 'rise') / 64 AS rise, sum(v) FILTER (sibling = 'fall') / 64 AS fall FROM lv GROUP BY ALL)"""
+_BASED = ", dl" + _MOMENTS.split(", dl", 1)[1].replace("[-2, -1, 0, 1]", "[-1, 0]").replace("AND s.signal <> sh.y", "AND split_part(s.signal, '.', 3) <> split_part(sh.y, '.', 3)").replace("sg a JOIN sg b ON a.signal <> b.signal", "sg a JOIN sg b ON split_part(a.signal, '.', 3) <> split_part(b.signal, '.', 3)")
+
+
+@query(f"WITH {_LEVELS}{_BASED} SELECT x, y, delta::BIGINT AS delta, k.u, round(dep, 9) AS dep, round(cov, 9) AS cov, " + ", ".join(f"round({a}.{s}, 9) AS e{n}_{s}" for a, n in (("p", "x"), ("q", "y")) for s in re_.SIBLINGS) + " FROM k JOIN se p ON p.base = split_part(x, '.', 3) AND p.u = k.u JOIN se q ON q.base = split_part(y, '.', 3) AND q.u = k.u")
+def relation_table_siblings(spark, d):
+    """Every measure against every other of another base, with the expectations of both sides' siblings."""
+    e = table(spark, d, "events").select("event_type", _seconds("ts").alias("s"), "value")
+    first, last = e.agg(F.min("s"), F.max("s")).first()
+    stop = ((last or 0) - (first or 0)) // 600 + 1
+    held = e.groupBy(F.col("event_type").alias("base"), F.floor((F.col("s") - (first or 0)) / 600).cast("long").alias("t")).agg(F.max("value").alias("v"))
+    levels = me.measure_threshold(held, 50.0, None, stop, ("base",))
+    named = levels.select(F.concat_ws(".", F.lit("threshold"), "sibling", "base").alias("signal"), "base", "t0", "t1", F.lit(1.0).alias("v"))
+    m = re_.interval_moments(named, [-1, 0], SIZE, base="base", end=stop)
+    rows = mt.with_metrics(m).select("x", "y", "delta", "u", r9("dep"), r9("cov"))
+    out = re_.with_siblings(rows, levels, SIZE, stop, base_of=lambda c: me.split_measure_name(c)["base"])
+    return out.select("x", "y", "delta", F.col("u").cast("long").alias("u"), "dep", "cov", *[r9(f"e{a}_{k}") for a in ("x", "y") for k in re_.SIBLINGS])
+
+
 _LADDER = """ld(factor, delta) AS (VALUES (1, -2), (1, -1), (1, 0), (1, 1), (2, -6), (2, -4), (2, 2), (2, 4), (4, -14), (4, -10), (4, 6), (4, 10), (8, -16), (8, 14)),
 du AS (SELECT signal, v, t - u + 16 AS r, u, factor FROM (SELECT *, unnest(range(greatest(0, CAST(ceil((t - 80) / 64.0) AS BIGINT)), (t + 16) // 64 + 1)) * 64 AS u FROM s), (SELECT DISTINCT factor FROM ld)),
 cs AS (SELECT signal, v, u, factor, r // factor AS b FROM du WHERE r % factor = xor((r // factor) & (factor - 1), ('0x' || substr(md5('3|' || signal), 1, 8))::BIGINT % factor)),
@@ -625,6 +651,26 @@ def filter_lines(spark, d):
     return tj.filter_lines(tj.split_lines(table(spark, d, "documents")), ["^The ", "[0-9]{3}"]).select("doc_id", "line", F.md5("value").alias("h"))
 
 
+_PT = """bw AS (SELECT item_id, regexp_extract_all(text, '[A-Za-z]{3,}') AS w FROM benchmark), pt AS (SELECT DISTINCT w[i] AS a, w[i + 1] AS b FROM (SELECT w, unnest(range(1, len(w))) AS i FROM bw))"""
+
+
+def _word_pairs(spark, d):
+    """A pattern for each two words that follow each other in an item of the benchmark."""
+    w = table(spark, d, "benchmark").select(F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0)).alias("w")).where(F.size("w") > 1)
+    pairs = w.select(F.explode(F.arrays_zip(F.slice("w", F.lit(1), F.size("w") - 1).alias("a"), F.slice("w", F.lit(2), F.size("w") - 1).alias("b"))).alias("p"))
+    return pairs.select(F.concat("p.a", F.lit("[ .,]+"), "p.b").alias("pattern")).distinct()
+
+
+@query(f"WITH {_LN}, {_PT} SELECT doc_id, line::INT AS line, md5(value) AS h FROM ln WHERE NOT EXISTS (SELECT 1 FROM pt WHERE contains(ln.value, a) AND contains(ln.value, b) AND regexp_matches(ln.value, a || '[ .,]+' || b))")
+def filter_lines_table(spark, d):
+    return tj.filter_lines(tj.split_lines(table(spark, d, "documents")), _word_pairs(spark, d)).select("doc_id", "line", F.md5("value").alias("h"))
+
+
+@query(f"WITH {_LN}, {_PT} SELECT doc_id, line::INT AS line, md5(value) AS h FROM ln WHERE EXISTS (SELECT 1 FROM pt WHERE contains(ln.value, a) AND contains(ln.value, b) AND regexp_matches(ln.value, a || '[ .,]+' || b))")
+def matching_lines_table(spark, d):
+    return tj.filter_lines(tj.split_lines(table(spark, d, "documents")), _word_pairs(spark, d), invert=True).select("doc_id", "line", F.md5("value").alias("h"))
+
+
 @query("WITH b AS (SELECT unnest(regexp_extract_all(hex(encode(text)), '..')) AS h FROM documents) SELECT ('0x' || h)::INT AS byte, count(*) AS n FROM b GROUP BY h")
 def byte_histogram_text(spark, d):
     return bf.byte_histogram(table(spark, d, "documents"), "text")
