@@ -13,6 +13,7 @@ from ..functions import quantised as q
 from ..functions import scalar as sc
 from ..operators import changes as ch
 from ..operators import evaluate as ev
+from ..operators import learn as le
 from ..operators import measures as me
 from ..operators import metrics as mt
 from ..operators import params as pa
@@ -423,6 +424,35 @@ def fit_model(spark, d):
     return model.transform(x).select("system", "x", "y", "known", F.col("prediction").cast("int").alias("predicted"))
 
 
+_HELD_OUT = F.floor(F.col("system") / SIZE) % 4 == 3
+
+
+def shared_users(spark, d):
+    """Pairs of event types in each window, known where a fifth of the users of one type have the other in that window too."""
+    m = ev.with_features(re_.pair_moments(occurrences_of(spark, d), [0], SIZE)).where("x < y").withColumnRenamed("u", "system")
+    tick = F.floor(_seconds("ts") / TICK).cast("long")
+    uu = table(spark, d, "events").where("user_id is not null").select((tick - F.pmod(tick, F.lit(SIZE))).alias("system"), F.col("event_type").alias("e"), "user_id").distinct()
+    n = uu.groupBy("system", "e").agg(F.count("*").alias("n"))
+    both = uu.select("system", "user_id", F.col("e").alias("x")).join(uu.select("system", "user_id", F.col("e").alias("y")), ["system", "user_id"]).where("x < y").groupBy("system", "x", "y").agg(F.count("*").alias("both"))
+    known = both.join(n.select("system", F.col("e").alias("x"), F.col("n").alias("nx")), ["system", "x"]).join(n.select("system", F.col("e").alias("y"), F.col("n").alias("ny")), ["system", "y"])
+    return ev.label_pairs(m, known.where("5 * both >= least(nx, ny)"), ("system", "x", "y"))
+
+
+@query()
+def informedness_sweep(spark, d):
+    """Every set of inputs with every net of the sweep, trained by informedness; each fourth window is held out."""
+    return le.sweep_table(spark, le.train_nets(shared_users(spark, d), le.sweep(), held_out=_HELD_OUT, steps=40))
+
+
+@query()
+def learned_metric(spark, d):
+    """The best of three nets as one more metric of every pair."""
+    s = shared_users(spark, d)
+    trained = le.train_nets(s, le.sweep(("withAssist",), le.NETS[-4:-1]), held_out=_HELD_OUT, steps=40)
+    best = max(trained, key=lambda t: -2.0 if t["informedness"] is None else t["informedness"])
+    return best["net"].score(s, "learned").select("system", "x", "y", "known", "learned")
+
+
 # joins
 
 _AS = "o AS (SELECT o_custkey AS k, (epoch_us(o_orderdate) // 3600000000)::BIGINT AS t, max(o_totalprice) AS v FROM orders GROUP BY ALL), e AS (SELECT DISTINCT user_id AS k, (epoch_us(ts) // 3600000000)::BIGINT AS t FROM events)"
