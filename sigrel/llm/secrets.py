@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 import string
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,11 +24,23 @@ KINDS = ("assign", "access", "hex", "model")
 _KEYS = (b"passw", b"secret", b"token", b"api")
 # Words that announce a secret.
 _NAMES = rb"(?:password|passwd|passphrase|pwd|secret|token|bearer|api_?key|credential|auth|authorization|private_?key|access_?key|secret_?key)s?"
-_KEY_END = re.compile(_NAMES + rb"[\"']?$")
-_KEY_OPEN = re.compile(_NAMES + rb"[\"']?[:=]+[\"']?$")
-_KEY_VALUE = re.compile(_NAMES + rb"[\"']?[:=]+[\"']?.")
+_MORE = rb"(?:[_-](?:id|key|value|string|hash))?[\"']?"
+_KEY_END = re.compile(_NAMES + _MORE + rb"$")
+_KEY_OPEN = re.compile(_NAMES + _MORE + rb"[:=]+[\"']?$")
+_KEY_VALUE = re.compile(_NAMES + _MORE + rb"[:=]+[\"']?.")
+#: What says by its form what it is: an address without a password, mail, IP address, date, time, version, file, path of words.
+_NAMED = re.compile(
+    rb"[a-z][a-z0-9+.-]{1,9}://(?![^/\s]*:[^/@\s]*@).*|(?:www\.)?[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,6}(?:[:/?].*)?|(?:mailto:)?[\w.+%-]+@[\w-]+(?:\.[\w-]+)*"
+    rb"|\d{1,3}(?:\.\d{1,3}){3}(?::\d+)?(?:/\d+)?|(?:[0-9a-f]{0,4}:){3,7}[0-9a-f]{1,4}"
+    rb"|\d{4}-?\d\d-?\d\d(?:[t_-]?\d\d[:.-]?\d\d.{0,16})?|\d\d?:\d\d(?::\d\d)?(?:\.\d+)?|v?\d+(?:\.\d+)+(?:[-+_][a-z0-9.]{1,12})?"
+    rb"|[\w() ,@~#%+-]*(?:[./\\][\w() ,@~#%+-]+)*\.[a-z][a-z0-9]{0,4}|[./~\\]*(?:[a-z_-]{2,}[./\\])+[a-z_.-]*", re.IGNORECASE)
+_LOGIN = re.compile(rb"[A-Za-z][A-Za-z0-9+.-]{1,9}://[^/@:\s]*:([^/@\s]+)@")
+_RUN = re.compile(rb"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+#: Words whose letters and digits change kind more often than once in so many are like random strings.
+SHORT_RUN = 3.5
 _PREFIXED = re.compile(rb"[A-Za-z]{1,8}[_-](?:[A-Za-z]{2,8}[_-])?[A-Za-z0-9+/_-]{16,}")
 _CORE = re.compile(rb"[A-Za-z0-9+/_.=-]+")
+_MARKS = b"*#$%&"
 _STRIP = b"\"'`.,;:!?()[]{}<>"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -35,7 +48,7 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SAMPLE_DOCS, SAMPLE_PARTS, PLANTED, SIDE = 6000, 3000, 2500, 8
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 #: Bits of a word's shape, from the lowest.
-BITS = ("key", "key and operator", "key and value", "operator", "AKIA", "plain", "8+", "16+", "32+", "hex", "digit", "mixed case", "quoted", "many changes", "upper and digits", "prefixed", "letters and digits")
+BITS = ("key", "key and operator", "key and value", "operator", "AKIA", "plain", "8+", "16+", "32+", "hex", "digit", "mixed case", "quoted", "many changes", "upper and digits", "prefixed", "letters and digits", "short runs", "named")
 #: Bits that are no features: the word holds a key of the fixed patterns, or could hold a long hex run.
 _HAS_KEY, _LONG = 1 << len(BITS), 2 << len(BITS)
 _ALL = (1 << len(BITS)) - 1
@@ -62,11 +75,17 @@ def base_spans(text: str | None, key: bool = True, long: bool = True) -> list[tu
 
 def shape(word: bytes) -> int:
     """Bits of a word's shape."""
+    if word.isalpha() and word.islower():  # most words: what the rest would come to
+        n = len(word)
+        s = bool(_KEY_END.search(word)) | 32 | (n >= 8) << 6 | (n >= 16) << 7 | (n >= 32) << 8
+        return s | any(k in word for k in _KEYS) * _HAS_KEY | (n >= 32) * _LONG
     core = word.strip(_STRIP)
     low = word.lower()
     s = bool(_KEY_END.search(low)) | bool(_KEY_OPEN.search(low)) << 1 | bool(_KEY_VALUE.search(low)) << 2 | (word in (b"=", b":", b":=", b"=>", b"==")) << 3
     s |= core.startswith(b"AKIA") << 4 | bool(_CORE.fullmatch(core)) << 5
     value = core.rpartition(b"=")[2].rpartition(b":")[2].strip(_STRIP) if s & 4 else core
+    if login := _LOGIN.match(core):  # the address has a password before its host
+        s, value = s | 4, login[1]
     n = len(value)
     s |= (n >= 8) << 6 | (n >= 16) << 7 | (n >= 32) << 8
     if not value.isalpha():
@@ -77,6 +96,10 @@ def shape(word: bytes) -> int:
         s |= (digit and value.isupper()) << 14
         s |= bool(_PREFIXED.fullmatch(value)) << 15
         s |= (digit and n >= 8 and sum(kinds) * 5 < 4 * n and value.isalnum()) << 16
+        s |= bool(_NAMED.fullmatch(value if s & 4 else core.rstrip(_MARKS))) << 18
+    if n >= 8 and not (value.islower() and value.isalpha()):
+        runs = _RUN.findall(value)
+        s |= (len(runs) > 3 and sum(map(len, runs)) < SHORT_RUN * len(runs)) << 17
     s |= (value != value.lower() and value[1:] != value[1:].upper() and value[1:] != value[1:].lower()) << 11
     s |= (word[:1] in (b'"', b"'", b"`")) << 12
     return s | any(k in low for k in _KEYS) * _HAS_KEY | (len(word) >= 32) * _LONG
@@ -98,8 +121,9 @@ class Crf:
     def tables(self) -> np.ndarray:
         """Scores for every shape there can be: (4, 2 ** bits, 3)."""
         n = len(BITS)
-        bits = (np.arange(1 << n)[:, None] >> np.arange(n) & 1).astype(np.float64)
-        t = np.stack([bits @ self.weights[:n, k] for k in range(4)])
+        t = np.zeros((4, 1 << n, 3), np.float32)
+        for bit in range(n):  # the upper half of each power of two has its bit besides the lower half's
+            t[:, 1 << bit : 2 << bit] = t[:, : 1 << bit] + self.weights[bit][:, None]
         t[0] += self.weights[n, 0]
         return t
 
@@ -109,42 +133,56 @@ def file_features(shapes: np.ndarray) -> np.ndarray:
     return np.array([bool((shapes & _HAS_KEY).any()), len(shapes) > 0 and (shapes & 32 == 0).mean() > 0.3], np.float64)
 
 
-def _bits(shapes: np.ndarray) -> np.ndarray:
-    """(words, 4 neighbours, bits) of a stretch; -1 stands for no word."""
-    n = len(BITS)
-    pad = np.r_[[-1, -1], shapes, [-1]]
-    return np.stack([(np.where(pad[o : o + len(shapes)] < 0, 0, pad[o : o + len(shapes)])[:, None] >> np.arange(n) & 1) for o in (2, 1, 0, 3)], 1)
-
-
 def train(parts: list[tuple[list[int], list[int], list[float]]], steps: int = 120, rate: float = 0.2, decay: float = 1e-3) -> Crf:
-    """Penalised conditional likelihood of labelled stretches by Adam; forward-backward runs over all at once."""
-    n, most = len(BITS), max((len(s) for s, _, _ in parts), default=1)
-    k = max(1, len(parts))
-    x, y, on = np.zeros((k, most, 4, n)), np.zeros((k, most), np.int64), np.zeros((k, most), bool)
-    files = np.zeros((k, 2))
-    for i, (shapes, tags, f) in enumerate(parts):
-        x[i, : len(shapes)], y[i, : len(shapes)], on[i, : len(shapes)], files[i] = _bits(np.array(shapes)), tags, True, f
+    """Penalised conditional likelihood of labelled stretches by Adam; forward-backward runs over all at once.
+
+    Equal stretches are one with a weight, and the scores of equal windows (a word's bits and its neighbours') are worked
+    out once a step. Steps end early when ten of them have gained less than a ten-thousandth.
+    """
+    n = len(BITS)
+    times = Counter((tuple(s), tuple(t), tuple(f)) for s, t, f in parts)
+    k, most = max(1, len(times)), max((len(s) for s, _, _ in times), default=1)
+    shapes, y, on = np.full((k, most), -1, np.int64), np.zeros((k, most), np.int64), np.zeros((k, most), bool)
+    files, weight = np.zeros((k, 2)), np.ones(k)
+    for i, ((own, tags, f), count) in enumerate(sorted(times.items())):
+        shapes[i, : len(own)], y[i, : len(own)], on[i, : len(own)], files[i], weight[i] = own, tags, True, f, count
+    weight /= weight.sum()
+    pad = np.maximum(np.pad(shapes, ((0, 0), (2, 1)), constant_values=-1), 0)
+    near = np.stack([pad[:, o : o + most] for o in (2, 1, 0, 3)], 2).reshape(-1, 4)
+    windows, which = np.unique(near, axis=0, return_inverse=True)
+    which = which.reshape(-1)
+    x = (windows[:, :, None] >> np.arange(n) & 1).reshape(len(windows), 4 * n).astype(float)
     theta = [np.zeros((n, 4, 3)), np.zeros(3), np.zeros((2, 3)), np.zeros((3, 3)), np.zeros(3)]
-    flat = x.reshape(-1, 4 * n)
     m1, m2 = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
     gold = np.eye(3)[y] * on[..., None]
     pairs = on[:, 1:] & on[:, :-1]
-    gold_moves = np.einsum("kta,ktb,kt->ab", gold[:, :-1], gold[:, 1:], pairs.astype(float))
-    lse = lambda a, axis: np.log(np.exp(a - a.max(axis, keepdims=True)).sum(axis)) + a.max(axis)
+    gold_moves = np.einsum("kta,ktb,kt,k->ab", gold[:, :-1], gold[:, 1:], pairs.astype(float), weight)
+    gained: list[float] = []
     for step in range(1, (steps if parts else 0) + 1):
         w, bias, wf, moves, first = theta
-        u = (flat @ w.transpose(1, 0, 2).reshape(4 * n, 3)).reshape(k, most, 3) + bias + (files @ wf)[:, None]
-        a, b = np.zeros((k, most, 3)), np.zeros((k, most, 3))
-        a[:, 0] = u[:, 0] + first
-        for t in range(1, most):
-            a[:, t] = np.where(on[:, t, None], u[:, t] + lse(a[:, t - 1, :, None] + moves, 1), a[:, t - 1])
+        u = (x @ w.transpose(1, 0, 2).reshape(4 * n, 3))[which].reshape(k, most, 3) + bias + (files @ wf)[:, None]
+        # forward and backward in probabilities, each place scaled to a sum of one
+        top = u.max(2)
+        eu, e = np.exp(u - top[..., None]), np.exp(moves)
+        a, b, c = np.empty((k, most, 3)), np.ones((k, most, 3)), np.ones((k, most))
+        a[:, 0] = eu[:, 0] * np.exp(first)
+        for t in range(most):
+            if t:
+                a[:, t] = np.where(on[:, t, None], a[:, t - 1] @ e * eu[:, t], a[:, t - 1])
+            c[:, t] = a[:, t].sum(1)
+            a[:, t] /= c[:, t, None]
         for t in range(most - 2, -1, -1):
-            b[:, t] = np.where(on[:, t + 1, None], lse(moves + (u[:, t + 1] + b[:, t + 1])[:, None], 2), b[:, t + 1])
-        z = lse(a[:, -1], 1)
-        p = np.exp(a + b - z[:, None, None]) * on[..., None]
-        pm = np.exp(a[:, :-1, :, None] + moves + (u[:, 1:] + b[:, 1:])[:, :, None] - z[:, None, None, None]) * pairs[..., None, None]
-        d = (p - gold) / k
-        g = [(flat.T @ d.reshape(-1, 3)).reshape(4, n, 3).transpose(1, 0, 2), d.sum((0, 1)), files.T @ d.sum(1), (pm.sum((0, 1)) - gold_moves) / k, d[:, 0].sum(0)]
+            b[:, t] = np.where(on[:, t + 1, None], (eu[:, t + 1] * b[:, t + 1]) @ e.T / c[:, t + 1, None], b[:, t + 1])
+        z = np.log(c).sum(1) + (top * on).sum(1)
+        held = ((gold * u).sum((1, 2)) + (gold[:, 0] * first).sum(1) - z) @ weight + (gold_moves * moves).sum()
+        gained.append(float(held - decay / 2 * sum((t * t).sum() for t in theta)))
+        if step > 40 and gained[-1] - gained[-11] < 1e-4 * abs(gained[-1]):
+            break
+        ahead = (a[:, :-1] * (pairs * weight[:, None])[..., None]).reshape(-1, 3)
+        pm = e * (ahead.T @ (eu[:, 1:] * b[:, 1:] / c[:, 1:, None]).reshape(-1, 3))
+        d = (a * b * on[..., None] - gold) * weight[:, None, None]
+        by_window = np.stack([np.bincount(which, d[..., j].reshape(-1), len(windows)) for j in range(3)], 1)
+        g = [(x.T @ by_window).reshape(4, n, 3).transpose(1, 0, 2), d.sum((0, 1)), files.T @ d.sum(1), pm - gold_moves, d[:, 0].sum(0)]
         for t, gt, s, v in zip(theta, g, m1, m2):
             gt = gt + decay * t
             s += 0.1 * (gt - s)
@@ -214,10 +252,13 @@ def planted(rng: random.Random) -> tuple[list[str], list[int]]:
         value = rng.choice(("sk", "pk", "key", "xoxb", "tok", "app", "svc", "rk")) + rng.choice("_-") + rng.choice(("", "", "test_", "prod-")) + value
     if rng.random() < 0.2:
         value = ".".join((value, _token(rng, 24), _token(rng, 20)))
-    name = rng.choice(("pwd", "password", "Bearer", "auth", "credential", "passphrase", "private_key", "token", "secret"))
+    name = rng.choice(("pwd", "password", "Bearer", "auth", "credential", "passphrase", "private_key", "token", "secret", "app_secret_id", "auth_key"))
+    announced = rng.random() < 0.35
+    if announced:  # what only the words around it give away
+        value = rng.choice((_token(rng, rng.choice((8, 9, 10, 12, 14)), hard), _token(rng, rng.choice((8, 10, 12, 16)), hard + "!@#$%^&*_-"), "-".join(_token(rng, k, "0123456789abcdef") for k in (8, 4, 4, 4, 12))))
     quote = rng.choice(("", "", "", '"', "'", "`"))
     value = quote + value + quote
-    form = rng.randrange(7)
+    form = rng.randrange(4) if announced else rng.randrange(7)
     if form == 0:
         return [name + ":", value], [OUTSIDE, BEGIN]
     if form == 1:
@@ -225,6 +266,8 @@ def planted(rng: random.Random) -> tuple[list[str], list[int]]:
     if form == 2:
         return [f"{name}={value}"], [BEGIN]
     if form == 3:
+        if rng.random() < 0.3:
+            return [f"{rng.choice(('mysql', 'redis', 'amqp', 'https'))}://{rng.choice(('root', 'app', ''))}:{value.strip(quote)}@{rng.choice(('db1', 'cache.local', '10.0.0.7'))}/main"], [BEGIN]
         return ["Authorization:", name, value], [OUTSIDE, OUTSIDE, BEGIN]
     return [value + rng.choice(("", "", ",", "."))], [BEGIN]
 
@@ -233,10 +276,29 @@ def harmless(rng: random.Random) -> list[str]:
     """Words that look odd and are no secret: numbers, dates, addresses, names of things, versions."""
     n = lambda k: _token(rng, k, string.digits)
     w = lambda k=7: _token(rng, rng.randrange(3, k), string.ascii_lowercase)
+    cap = lambda: w(9).capitalize()
+    if rng.random() < 0.6:
+        day, clock = f"20{n(2)}{{0}}{rng.randrange(1, 13):02}{{0}}{rng.randrange(1, 29):02}", f"{rng.randrange(24):02}{{0}}{rng.randrange(60):02}{{0}}{rng.randrange(60):02}"
+        ending = rng.choice(("jpg", "png", "txt", "tar.gz", "csv", "py", "log", "JPG", "mp4", "html", "json", "java"))
+        return [rng.choice((
+            f"{rng.choice(('DSC', 'VID', 'scan', 'PXL', w(8)))}{rng.choice('_-')}{rng.choice((day.format(''), n(5)))}{rng.choice('_-')}{rng.choice((clock.format(''), n(6), w()))}.{ending}",
+            f"{w(9)}{rng.choice('_-')}{w(9)}{rng.choice(('', n(2), '_v' + n(1), '-' + n(3)))}.{ending}",
+            w(9) + cap() + cap() + rng.choice(("", cap(), n(1), n(2), "HTTP", "Id")) + rng.choice(("", "()", ",", ".")),
+            cap() + cap() + rng.choice(("", n(1) + cap(), n(2))) + rng.choice(("", "." + w(9) + cap(), "::" + w() + cap())),
+            f"{rng.choice(('http', 'https', 'ftp'))}://{rng.choice(('www.', '', w() + '.'))}{w(12)}.{rng.choice(('com', 'org', 'net', 'io', 'co.uk'))}/{w()}{rng.choice(('', '/' + w(), '/' + n(5)))}?{w(5)}={rng.choice((w(), n(6), _token(rng, 8)))}&{w(5)}={rng.choice((w(), n(3), _token(rng, 11)))}",
+            day.format("-") + rng.choice("T_") + clock.format(rng.choice(":-")) + rng.choice(("Z", "", "+02:00", "." + n(3) + "Z")),
+            day.format("") + "T" + clock.format("") + rng.choice(("", "Z")),
+            f"{w()}{rng.choice(('.', '_', ''))}{w()}{rng.choice(('', n(2)))}@{w(12)}.{rng.choice(('com', 'org', 'de', 'co.uk'))}",
+            f"{rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(256)}{rng.choice(('', ':8080', '/24'))}",
+            "-".join(_token(rng, k, "0123456789abcdef") for k in (8, 4, 4, 4, 12)),
+            f"{w().upper()}_{w().upper()}_{w().upper()}{rng.choice(('', '_' + n(2)))}",
+            f"{w().upper()}-{n(4)}-{n(rng.randrange(2, 7))}",
+            f"/{w()}/{w()}/{w()}{rng.choice(('', '/' + cap() + cap() + n(1)))}",
+        ))]
     return rng.choice(([n(rng.randrange(3, 18))], [f"20{n(2)}-0{n(1)[:1]}-1{n(1)}"], [f"+{n(2)}-{n(3)}-{n(4)}"], [f"{w()}.{w()}{n(2)}@{w()}.com"], [f"https://{w()}.{w()}.org/{w()}/{w()}?id={n(5)}"], [f"v{n(1)}.{n(2)}.{n(1)}"], [f"{w(12)}_{w(12)}_{w(12)}"], [w(12).capitalize() + w(12).capitalize() + w(9).capitalize()], [w(9) + "-" + w(9) + "-" + w(9)], [w(14) + rng.choice(("***", "###", "$$$", "%%%"))], ["the", "token", "is", "missing"], ["password", "is", "required"], [f"{n(4)} {n(4)} {n(4)} {n(4)}"], [f"{n(3)}.{n(2)}.{n(1)}.{n(3)}"], [w(8).upper() + n(2)], ["see", f"{w()}/{w()}/{w()}.{w(4)}"], [f"{w(20)}{w(20)}{w(20)}"]))
 
 
-def _labelled(text: str, order: int) -> list[tuple]:
+def _labelled(text: str, order: int, vocabulary: Vocabulary) -> list[tuple]:
     """Stretches of a text, with their labels: around what the fixed patterns hold secret (half of them with the
     announcing words and prefixes masked), around its oddest other word, and elsewhere; and such a stretch with a
     made-up secret or a harmless odd word put in."""
@@ -244,7 +306,7 @@ def _labelled(text: str, order: int) -> list[tuple]:
     if not words:
         return []
     rng = random.Random(order)
-    code = shapes_of([text[a:b].encode("utf-8", "surrogatepass") for a, b in words])
+    code = vocabulary.batch([text])[0]
     f = file_features(code).tolist()
     code &= _ALL
     tags = np.zeros(len(words), int)
@@ -256,9 +318,10 @@ def _labelled(text: str, order: int) -> list[tuple]:
         if not tags[i:j].any():
             tags[i:j] = INSIDE
             tags[i] = BEGIN
-    # long words of letters and digits mixed that no pattern names may be secrets: they are no examples of either kind
-    unsure = (tags == OUTSIDE) & (code & (32 | 128 | 1 << 10) == (32 | 128 | 1 << 10)) & (code & (1 << 11 | 1 << 14 | 1 << 15 | 1 << 16) > 0)
-    odd = np.where((tags == OUTSIDE) & ~unsure, [bin(c & ~64).count("1") for c in code.tolist()], -1)
+    # words like random strings that no pattern names may be secrets: they are no examples of either kind
+    mixed = (code & (32 | 128 | 1 << 10) == (32 | 128 | 1 << 10)) & (code & (1 << 11 | 1 << 14 | 1 << 15 | 1 << 16) > 0)
+    unsure = (tags == OUTSIDE) & (mixed | (code & (64 | 1 << 17) == (64 | 1 << 17))) & (code & 1 << 18 == 0)
+    odd = np.where((tags == OUTSIDE) & ~unsure, np.bitwise_count(code & ~64).astype(int), -1)
     out = []
     elsewhere = rng.randrange(len(words))
     for m in [*np.flatnonzero(tags == BEGIN)[:4].tolist(), int(odd.argmax()), elsewhere]:
@@ -285,14 +348,24 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_parts: int = SAM
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").where("text is not null")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        vocabulary = Vocabulary(shapes_of)
         for b in batches:
-            got = [x for i, t in zip(b["doc_id"], b["text"]) for x in _labelled(t, int(i) * 2654435761 % (1 << 31))]
+            got = [x for i, t in zip(b["doc_id"], b["text"]) for x in _labelled(t, int(i) * 2654435761 % (1 << 31), vocabulary)]
             yield pd.DataFrame(got, columns=["at", "shapes", "tags", "file"])
 
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = sorted((int(at), s.tolist(), t.tolist(), f.tolist()) for b in batches for at, s, t, f in zip(b["at"], b["shapes"], b["tags"], b["file"]))
+        made, given = [p[1:] for p in parts if p[0] < 0], [p[1:] for p in parts if p[0] >= 0]
+        crf = train(given[:sample_parts] + made[:sample_planted])
+        yield pd.DataFrame({"theta": [np.concatenate([crf.weights.ravel(), crf.file.ravel(), crf.moves.ravel(), crf.first])]})
+
+    # the sample is bounded (some eight stretches a document), so one task can learn from it; the driver gets the weights
     parts = rows.mapInPandas(run, "at long, shapes array<int>, tags array<int>, file array<double>")
-    given = parts.where("at >= 0").orderBy("at", "shapes", "tags").limit(sample_parts)
-    made = parts.where("at < 0").orderBy("at", "shapes", "tags").limit(sample_planted)
-    return train([(p["shapes"], p["tags"], p["file"]) for p in given.unionByName(made).collect()])
+    got = parts.repartition(1).mapInPandas(learn, "theta array<double>").first()
+    if got is None:
+        return train([])
+    w, n = np.array(got["theta"]), 12 * (len(BITS) + 1)
+    return Crf(w[:n].reshape(-1, 4, 3), w[n : n + 6].reshape(2, 3), w[n + 6 : n + 15].reshape(3, 3), w[n + 15 :])
 
 
 def find_secrets(docs: DataFrame, crf: Crf | None = None) -> DataFrame:
@@ -304,7 +377,7 @@ def find_secrets(docs: DataFrame, crf: Crf | None = None) -> DataFrame:
     get equal results; texts may have any length; other columns are ignored; an empty table gives an empty one.
     """
     crf = crf or fit(docs)
-    shared = docs.sparkSession.sparkContext.broadcast((crf, crf.tables().astype(np.float32)))
+    shared = docs.sparkSession.sparkContext.broadcast((crf, crf.tables()))
 
     def model_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
         at, out = [m.span() for m in _WORD.finditer(text)], []
