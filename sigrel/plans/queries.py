@@ -994,6 +994,22 @@ def stream_last(spark, d):
     return _streamed(spark, d, "last", build)
 
 
+@query("""WITH c AS (SELECT concat(event_type, ':', user_id) AS signal, epoch_us(ts)::BIGINT AS t, max((value > 20)::INT) AS v FROM events WHERE event_type IS NOT NULL AND user_id IS NOT NULL AND ts IS NOT NULL AND value IS NOT NULL GROUP BY ALL),
+l AS (SELECT *, lag(v, 1, 0) OVER (PARTITION BY signal ORDER BY t) AS before FROM c), x AS (SELECT signal, t, v, lag(t, 1, 0) OVER (PARTITION BY signal ORDER BY t) AS t0 FROM l WHERE v <> before)
+SELECT signal, CASE v WHEN 1 THEN 'rise' ELSE 'fall' END AS kind, t AS t0, t + 1 AS t1 FROM x UNION ALL SELECT signal, CASE v WHEN 1 THEN 'refl' ELSE 'orig' END AS kind, t0, t AS t1 FROM x WHERE t > t0""")
+def stream_measures(spark, d):
+    """Each user's events of a type as a signal that is on while their value is over 20: what the stream gives is what a batch gives."""
+    from ..streaming.streams import stream_measures as f
+
+    def build(src):
+        signal = F.concat_ws(":", "event_type", F.col("user_id").cast("string")).alias("signal")
+        t = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', cast(ts as timestamp_ntz))").alias("t")
+        whole = src.where("event_type is not null and user_id is not null and ts is not null and value is not null")
+        return f(whole.select(signal, t, (F.col("value") > 20).cast("int").alias("v")))
+
+    return _streamed(spark, d, "measures", build)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

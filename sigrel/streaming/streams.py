@@ -17,26 +17,25 @@ _STATE = "last_t long, last_v int"
 def stream_measures(changes: DataFrame) -> DataFrame:
     """(signal, t, v in 0/1) as a stream -> (signal, kind, t0, t1): rise and fall pulses, and orig and refl as they end.
 
-    State is the last time and value of a signal, which starts as 0 at 0. A pulse's end is its start + 1, so it is
-    emitted with the pulse. Rows of one signal are taken in time order within a batch; rows that are not later than
-    the state are late and are dropped.
+    State is the time of a signal's last change and its value, which starts as 0 at 0. A pulse's end is its start + 1, so
+    it is emitted with the pulse. Rows of one signal are taken in time order within a batch, of rows at one time the one
+    with the larger value; rows that are not later than the last change are late and are dropped. A micro-batch's rows of
+    one signal are sorted in memory, so bound micro-batches (maxFilesPerTrigger, maxOffsetsPerTrigger) where they can be large.
     """
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         t0, v0 = state.get if state.exists else (0, 0)
         started = state.exists
         out = []
-        for pdf in [pd.concat(list(batches)).drop_duplicates(["t"], keep="last").sort_values("t")]:
-            for t, v in zip(pdf["t"], pdf["v"]):
-                t, v = int(t), int(v)
-                if started and t <= t0:
-                    continue
-                if v != v0:
-                    out.append((key[0], "rise" if v else "fall", t, t + 1))
-                    if t > t0:
-                        out.append((key[0], "orig" if v0 else "refl", t0, t))
-                    t0, v0 = t, v
-                started = True
+        rows = pd.concat([b[["t", "v"]] for b in batches]).sort_values(["t", "v"]).drop_duplicates("t", keep="last")
+        rows = rows[rows["t"] > t0] if started else rows
+        # only rows that change the value matter: those that differ from the row before, or from the state
+        rows = rows[rows["v"] != rows["v"].shift(fill_value=v0)]
+        for t, v in zip(rows["t"].tolist(), rows["v"].tolist()):
+            out.append((key[0], "rise" if v else "fall", t, t + 1))
+            if t > t0:
+                out.append((key[0], "orig" if v0 else "refl", t0, t))
+            t0, v0 = t, v
         state.update((t0, v0))
         yield pd.DataFrame(out, columns=["signal", "kind", "t0", "t1"])
 
