@@ -424,7 +424,9 @@ def fit_model(spark, d):
     return model.transform(x).select("system", "x", "y", "known", F.col("prediction").cast("int").alias("predicted"))
 
 
-_HELD_OUT = F.floor(F.col("system") / SIZE) % 4 == 3
+def _held_out() -> F.Column:
+    """Each fourth window; a function, as columns can't be made before there is a session."""
+    return F.floor(F.col("system") / SIZE) % 4 == 3
 
 
 def shared_users(spark, d):
@@ -441,14 +443,14 @@ def shared_users(spark, d):
 @query()
 def informedness_sweep(spark, d):
     """Every set of inputs with every net of the sweep, trained by informedness; each fourth window is held out."""
-    return le.sweep_table(spark, le.train_nets(shared_users(spark, d), le.sweep(), held_out=_HELD_OUT, steps=40))
+    return le.sweep_table(spark, le.train_nets(shared_users(spark, d), le.sweep(), held_out=_held_out(), steps=40))
 
 
 @query()
 def learned_metric(spark, d):
     """The best of three nets as one more metric of every pair."""
     s = shared_users(spark, d)
-    trained = le.train_nets(s, le.sweep(("withAssist",), le.NETS[-4:-1]), held_out=_HELD_OUT, steps=40)
+    trained = le.train_nets(s, le.sweep(("withAssist",), le.NETS[-4:-1]), held_out=_held_out(), steps=40)
     best = max(trained, key=lambda t: -2.0 if t["informedness"] is None else t["informedness"])
     return best["net"].score(s, "learned").select("system", "x", "y", "known", "learned")
 
