@@ -74,7 +74,8 @@ def _place(key: Column, bits: int) -> Column:
 def sieve(members: DataFrame, key: str) -> tuple[DataFrame, int]:
     """A bitmap over the hashed keys of ``members`` (a stored table), in blocks of 4 KB: (block, bits), and its size.
 
-    It takes 16 bits a member, up to SIEVE_BITS; a fuller one passes more rows, never fewer.
+    It takes 16 bits a member, up to SIEVE_BITS; a fuller one passes more rows, never fewer. The bitmap is stored, so
+    that plans which use it several times read it instead of building it each time.
     """
     bits = _BLOCK
     many = members.count()
@@ -82,7 +83,7 @@ def sieve(members: DataFrame, key: str) -> tuple[DataFrame, int]:
         bits *= 2
     at = members.select(_place(F.col(key), bits).alias("at")).select((F.col("at") / _BLOCK).cast("int").alias("block"), (F.col("at") % _BLOCK).alias("at"))
     # dealt by block first: partial bitmaps would be as many as there are tasks
-    return at.distinct().repartition("block").groupBy("block").agg(F.bitmap_construct_agg("at").alias("bits")), bits
+    return cut(at.distinct().repartition("block").groupBy("block").agg(F.bitmap_construct_agg("at").alias("bits"))), bits
 
 
 def sifted(df: DataFrame, key: Column, made: tuple[DataFrame, int]) -> DataFrame:

@@ -15,8 +15,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     rounds grows with the logarithm of the longest path. Labels are checkpointed each round. Hubs with very many
     edges are pre-aggregated by the groupings and split by adaptive skew joins. An empty table gives an empty one.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = cut(both.where("a is not null and b is not null and a <> b").distinct())
+    there, back = F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))
+    # both directions from one row: a union would plan the edges twice
+    both = edges.where("a is not null and b is not null and a <> b").select(F.explode(F.array(there, back)).alias("e"))
+    both = cut(both.select("e.a", "e.b").distinct())
     labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.least("id", F.min("b")).alias("component")))
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))

@@ -159,7 +159,7 @@ def _light_links(sigs: DataFrame, percent: int) -> DataFrame:
     Within a subset's list only the smallest set needs linking to each other one: whoever links with any member
     links with it, as a pair links the more easily the smaller its sets are.
     """
-    s = sigs.where(F.size("subs") > 0).select("doc_id", "n_shingles", F.explode(F.arrays_zip("subs", "sub_sizes")).alias("x"))
+    s = sigs.select("doc_id", "n_shingles", F.explode(F.arrays_zip("subs", "sub_sizes")).alias("x"))
     s = s.select("doc_id", "n_shingles", F.col("x.subs").alias("key"), F.col("x.sub_sizes").cast("long").alias("c"))
     hub = s.groupBy("key", "c").agg(F.min(F.struct("n_shingles", "doc_id")).alias("hub"), F.count("*").alias("n")).where("n > 1")
     j = s.join(hub, ["key", "c"]).where(F.col("hub.doc_id") != F.col("doc_id"))
@@ -286,11 +286,14 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     # stored, so that the join has a stage of its own, in which Spark can split the rows of one set
     firsts = tables.put(maybe.where("rep is null or rep = doc_id").drop("rep")).dropDuplicates(["set_hash"])
     reps = apart.where("not _may").unionByName(firsts).drop("_may")
-    light = _light_links(reps, percent)
+    # stored, as its links are found by joining it with itself
+    small = tables.put(reps.where(F.size("subs") > 0).select("doc_id", "n_shingles", "subs", "sub_sizes"))
+    light = _light_links(small, percent)
     candidates = _candidates(reps, tables)
     heavy = _heavy_links(docs, candidates, n, percent, tables)
     links = light if heavy is None else light.union(heavy)
     groups = connected_components(links)
+    tables.drop(small)
     named = classes.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component_id"))
     out = sigs.select("doc_id", "text_key", "n_shingles", "set_hash").join(named, "set_hash", "left")
     return out.select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -71,7 +71,8 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
     slices = F.greatest(F.lit(1), F.ceil(F.col("source_rows") / SLICE_ROWS))
     d = d.withColumn("slice", F.least(F.floor(F.col("key") / F.lit(float(1 << 52)) * slices), slices - 1).cast("long"))
     d = d.withColumn("group", F.floor(F.col("slice") / FAN).cast("long")).withColumn("top", F.floor(F.col("group") / FAN).cast("long"))
-    by_slice = d.groupBy("source", "top", "group", "slice").agg(F.sum("size").alias("words"))
+    # the levels are summed from this table, and by themselves, so that no plan holds all of them and the documents too
+    by_slice = cut(d.groupBy("source", "top", "group", "slice").agg(F.sum("size").alias("words")))
     by_group = by_slice.groupBy("source", "top", "group").agg(F.sum("words").alias("words"))
     by_top = by_group.groupBy("source", "top").agg(F.sum("words").alias("words"))
     p_top = _prefix(by_top, ["source"], "top", "words", "p2").select("source", "top", "p2")
@@ -79,7 +80,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
     p_slice = _prefix(by_slice, ["source", "top", "group"], "slice", "words", "p0").select("source", "top", "group", "slice", "p0")
     same = lambda a, b, *cols: [a[c].eqNullSafe(b[c]) if c == "source" else a[c] == b[c] for c in cols]
     ps = p_slice.join(p_group, same(p_slice, p_group, "source", "top", "group")).select(p_slice["source"], p_slice["top"], p_slice["slice"], (F.col("p0") + F.col("p1")).alias("p"))
-    ps = ps.join(p_top, same(ps, p_top, "source", "top")).select(ps["source"].alias("of"), ps["slice"].alias("at"), (F.col("p") + F.col("p2")).alias("slice_before"))
+    ps = cut(ps.join(p_top, same(ps, p_top, "source", "top")).select(ps["source"].alias("of"), ps["slice"].alias("at"), (F.col("p") + F.col("p2")).alias("slice_before")))
     w = Window.partitionBy("source", "slice").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("inside", F.coalesce(F.sum("size").over(w), F.lit(0)))
     d = d.join(ps, d["source"].eqNullSafe(ps["of"]) & (d["slice"] == ps["at"]))
