@@ -69,7 +69,8 @@ def near_pairs(words: DataFrame, parts: int = 4) -> DataFrame:
 
     def met(left: DataFrame, right: DataFrame, more: str) -> DataFrame:
         a, b = (d.select("signature", F.col("word").alias(x), F.col("n").alias(f"n_{x}"), F.col("len").alias(f"len_{x}")) for d, x in ((left, "a"), (right, "b")))
-        return a.join(b, "signature").where(more).where(F.levenshtein("a", "b", 1) == 1).select("a", "n_a", "b", "n_b")
+        # Spark takes a table for no larger after an explode, so it might broadcast all rows of all signatures
+        return a.join(b.hint("merge"), "signature").where(more).where(F.levenshtein("a", "b", 1) == 1).select("a", "n_a", "b", "n_b")
 
     same = signed(2, F.col("len"))
     longer = met(signed(1, F.col("len")), signed(1, F.col("len") - 1), "len_b = len_a + 1")
@@ -82,6 +83,7 @@ def spelling_variants(words: DataFrame, ratio: int = 5, parts: int = 4) -> DataF
     ``form`` is the near word of largest n (ties: smallest in code-point order) where that is at least ``ratio`` times the
     word's own n, else null; ``root`` follows forms to the last. Along forms n grows by ``ratio``, so chains are no longer
     than the logarithm of the largest n, and doubling follows them in the logarithm of that. A null word is near nothing.
+    All joins are merge joins: these tables grow with the vocabulary, and as files they are far smaller than in memory.
     """
     tables = Tables(words.sparkSession)
     words = tables.put(words)
@@ -94,10 +96,10 @@ def spelling_variants(words: DataFrame, ratio: int = 5, parts: int = 4) -> DataF
     roots = tables.put(near.where("form is not null").select("word", F.col("form").alias("root")))
     while True:
         up = roots.select(F.col("word").alias("root"), F.col("root").alias("up"))
-        on = tables.put(roots.join(up, "root", "left").select("word", F.coalesce("up", "root").alias("root"), F.col("up").isNotNull().alias("moved")))
+        on = tables.put(roots.join(up.hint("merge"), "root", "left").select("word", F.coalesce("up", "root").alias("root"), F.col("up").isNotNull().alias("moved")))
         tables.drop(roots)
         roots = on
         if on.where("moved").isEmpty():
             break
-    out = words.join(near, "word", "left").join(roots.select("word", "root"), "word", "left")
+    out = words.join(near.hint("merge"), "word", "left").join(roots.select("word", "root").hint("merge"), "word", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "form_n")

@@ -85,3 +85,11 @@ def test_chains_ties_and_no_words(spark):
     assert spelling.spelling_variants(spark.createDataFrame([], "word string, n long")).count() == 0
     assert spelling.corpus_words(docs(spark, [])).count() == 0
     assert {r["word"]: r["n"] for r in spelling.corpus_words(odd(spark), 4, 1).collect()} == {"word": 20000, "three": 1, "four": 1, "five": 1}
+
+
+def test_no_table_of_words_is_broadcast(spark):
+    """A file of words is small enough for a broadcast long before its rows for each signature are."""
+    words = spark.createDataFrame([("banana", 50), ("bananas", 5), ("canana", 1)], "word string, n long")
+    for df in (spelling.near_pairs(words), spelling.spelling_variants(words)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
