@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -174,58 +175,135 @@ def relation_edges(samples: DataFrame, deltas: Sequence[int], size: int, a: str
 
 
 #: Vectors of a block, about, and ticks of a part of a vector.
-VECTORS, TICKS = 256, 4096
-
-
-def _met_in_tiles(samples: DataFrame, keys: Sequence[str], vectors: int, ticks: int) -> DataFrame:
-    """(keys, x, y, sxy, smin) of all pairs x < y that meet: sums of products and of minima.
+VECTORS, TICKS = 2048, 2048
+#: Tasks that the tiles of blocks are dealt to, and pairs that leave a tile at once, at most.
+TASKS, PAIRS = 1 << 12, 1 << 16
+
+
+class _Tile:
+    """Sums over the pairs of two blocks of vectors, or within one, from one part of the vectors after the other."""
+
+    def __init__(self, key: tuple, whole: bool):
+        self.key, self.whole = key, whole
+        self.slots: tuple[dict, dict] = ({}, {})
+        self.sums = np.zeros((2, 0, 0))
+        self.ones = (np.zeros((0, 3)), np.zeros((0, 3)))
+
+    def add(self, rows: list[tuple], ticks: int) -> None:
+        """``rows`` (idx, side, ts, vs, sum, sum of squares) of one part, in the order of idx; a sum may be null."""
+        at: tuple[list, list] = ([], [])
+        for place, (idx, side, *_) in enumerate(rows):
+            at[side].append(place)
+            self.slots[side].setdefault(idx, len(self.slots[side]))
+        sizes = len(self.slots[0]), len(self.slots[0 if self.whole else 1])
+        if self.sums.shape[1:] != sizes:
+            grown = np.zeros((2, *sizes))
+            grown[:, : self.sums.shape[1], : self.sums.shape[2]] = self.sums
+            self.sums = grown
+            self.ones = tuple(np.concatenate([o, np.zeros((len(s) - len(o), 3))]) for o, s in zip(self.ones, self.slots))
+        matrices, slots = [], []
+        for side, places in enumerate(at):
+            m = np.zeros((len(places), ticks))
+            for k, p in enumerate(places):
+                m[k, rows[p][2]] = rows[p][3]
+            own = np.array([self.slots[side][rows[p][0]] for p in places], int)
+            for k, p in zip(own, places):
+                if rows[p][4] is not None:
+                    self.ones[side][k] += (rows[p][4], rows[p][5], 1)
+            matrices.append(m)
+            slots.append(own)
+        for side, other in ((0, 0),) if self.whole else ((0, 1), (1, 0)):
+            to, after = matrices[other], np.searchsorted(at[other], at[side], "right")
+            for k, first in enumerate(after):  # a row against all of larger idx
+                used = np.flatnonzero(matrices[side][k])
+                if first == len(to) or not len(used):
+                    continue
+                v, y = matrices[side][k, used], to[first:] if len(used) == ticks else to[first:, used]
+                cells = (slots[other][first:], slots[side][k]) if side else (slots[side][k], slots[other][first:])
+                self.sums[0][cells] += y @ v
+                self.sums[1][cells] += np.minimum(y, v).sum(axis=1)
+
+    def batches(self, kinds: list[pa.DataType], names: list[str]) -> Iterator[pa.RecordBatch]:
+        """(keys, x, y, sx, sxx, sy, syy, sxy, smin) of each pair x < y, PAIRS of them at a time, about."""
+        rows, columns = self.sums.shape[1:]
+        idx = pa.array([*self.slots[0], *self.slots[1]], kinds[-1])
+        ones = np.concatenate(self.ones)
+        empty = ones[:, 2] == 0
+        sums = [pa.array(ones[:, k], mask=empty) for k in (0, 1)]
+        rank = np.empty(len(idx), int)
+        rank[pc.sort_indices(idx).to_numpy()] = np.arange(len(idx))
+        right = np.arange(columns) + (0 if self.whole else rows)
+        step = max(1, PAIRS // max(1, columns))
+        for k in range(0, rows, step):
+            left = np.arange(k, min(rows, k + step))
+            a, b = np.nonzero(rank[left][:, None] < rank[right][None]) if self.whole else (np.repeat(np.arange(len(left)), columns), np.tile(np.arange(columns), len(left)))
+            if not len(a):
+                continue
+            sxy, smin = self.sums[:, left[a], b]
+            a, b = left[a], right[b]
+            x, y = (np.where((rank[a] < rank[b]) == low, a, b) for low in (True, False))
+            pairs = [idx.take(pa.array(x)), idx.take(pa.array(y)), *(s.take(pa.array(side)) for side in (x, y) for s in sums), pa.array(sxy), pa.array(smin)]
+            yield pa.RecordBatch.from_arrays([*(pa.repeat(c, len(a)) for c in self.key), *pairs], names)
+
+
+def _sums_in_tiles(samples: DataFrame, keys: Sequence[str], vectors: int, ticks: int) -> DataFrame:
+    """(keys, x, y, sx, sxx, sy, syy, sxy, smin) of all pairs x < y: sums of each, of products and of minima.
 
     Vectors are dealt into blocks by hash, and each goes to the tiles (block, block) that its block is part of; a tile
-    works on the parts of its vectors over some ticks as two matrices. So what is shuffled are vectors, as often as
-    there are blocks, and sums, not a row for each pair and tick; a tile holds about twice ``vectors`` parts.
+    works on its vectors, part after part, as two matrices, and its pairs leave it whole. So what is shuffled are
+    vectors, as often as there are blocks, and no row for a pair. A task holds a part of the vectors of two blocks and
+    the sums over their pairs.
     """
+    samples = samples.where(" and ".join(f"`{c}` is not null" for c in (*keys, "idx")))
     many = samples.select(*keys, "idx").distinct().groupBy(*keys).agg(F.ceil(F.count("*") / vectors).cast("int").alias("n"))
-    part = samples.where("v <> 0").groupBy(*keys, "idx", F.floor(F.col("t") / ticks).alias("part")).agg(F.collect_list((F.col("t") % ticks).cast("int")).alias("ts"), F.collect_list(F.col("v").cast("double")).alias("vs"))
+    tiles = many.agg(F.sum(F.col("n").cast("long") * (F.col("n") + 1) / 2)).first()[0] or 1  # one number
+    used, v = F.col("v") != 0, F.col("v").cast("double")
+    part = samples.groupBy(*keys, "idx", F.floor(F.col("t") / ticks).alias("part")).agg(F.collect_list(F.when(used, (F.col("t") % ticks).cast("int"))).alias("ts"), F.collect_list(F.when(used, v)).alias("vs"), F.sum(v).alias("s"), F.sum(v * v).alias("ss"))
     own, other = F.pmod(F.xxhash64("idx"), F.col("n")).cast("int"), F.col("other")
     dealt = part.join(many, list(keys)).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    dealt = dealt.select(*keys, "part", F.least("own", other).alias("i"), F.greatest("own", other).alias("j"), "own", "idx", "ts", "vs")
-
-    def tile(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        *_, i, j = key
-        rows = rows.sort_values("idx")
-        m = np.zeros((len(rows), ticks))
-        for k, (t, v) in enumerate(zip(rows["ts"], rows["vs"])):
-            m[k, t] = v
-        idx, own = rows["idx"].to_numpy(), rows["own"].to_numpy()
-        out = []
-        for k in range(len(m) - 1):  # a row against all of larger idx; from another block, but in the tiles on the diagonal
-            to = np.arange(k + 1, len(m)) if i == j else k + 1 + np.flatnonzero(own[k + 1 :] != own[k])
-            used = np.flatnonzero(m[k])
-            y = m[np.ix_(to, used)]
-            out.append((np.full(len(to), idx[k]), idx[to], y @ m[k, used], np.minimum(y, m[k, used]).sum(axis=1)))
-        x, y, sxy, smin = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, idx.dtype), np.zeros(0, idx.dtype), np.zeros(0), np.zeros(0))
-        return pd.DataFrame({**{c: pd.Series([v] * len(x), dtype=object if isinstance(v, str) else None) for c, v in zip(keys, key)}, "x": x, "y": y, "sxy": sxy, "smin": smin})
-
-    kinds = {f.name: f.dataType.simpleString() for f in samples.schema}
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in keys), f"x {kinds['idx']}", f"y {kinds['idx']}", "sxy double", "smin double"])
-    sums = dealt.groupBy(*keys, "part", "i", "j").applyInPandas(tile, schema)
-    return sums.groupBy(*keys, "x", "y").agg(F.sum("sxy").alias("sxy"), F.sum("smin").alias("smin"))
+    dealt = dealt.withColumns({"i": F.least("own", other), "j": F.greatest("own", other)}).withColumn("side", F.when(F.col("own") == F.col("i"), 0).otherwise(1))
+    tile = [*keys, "i", "j", "part", "idx"]
+    dealt = dealt.select(*tile, "side", "ts", "vs", "s", "ss").repartition(int(min(tiles, TASKS)), *keys, "i", "j").sortWithinPartitions(*tile)
+    many_keys, names = len(keys), [*keys, "x", "y", "sx", "sxx", "sy", "syy", "sxy", "smin"]
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, at, where, rows, kinds = None, None, None, [], []
+        for batch in batches:
+            kinds = [batch.column(k).type for k in (*range(many_keys), many_keys + 3)]
+            *places, idx, side, ts, vs, s, ss = (batch.column(k) for k in range(batch.num_columns))
+            lists = [(c.offsets.to_numpy(), c.values.to_numpy(zero_copy_only=False)) for c in (ts, vs)]
+            listed = zip(*(c.to_pylist() for c in (idx, side, s, ss)))
+            for r, (place, (x, own, one, square)) in enumerate(zip(zip(*(c.to_pylist() for c in places)), listed)):
+                place = tuple(map(repr, place))
+                if place != where:
+                    if tile:
+                        tile.add(rows, ticks)
+                    rows, where = [], place
+                    if place[:-1] != at:
+                        if tile:
+                            yield from tile.batches(kinds, names)
+                        at, tile = place[:-1], _Tile(tuple(c[r] for c in places[:many_keys]), place[many_keys] == place[many_keys + 1])
+                rows.append((x, own, *(v[o[r] : o[r + 1]] for o, v in lists), one, square))
+        if tile:
+            tile.add(rows, ticks)
+            yield from tile.batches(kinds, names)
+
+    kind = {f.name: f.dataType.simpleString() for f in samples.schema}
+    schema = ", ".join([*(f"`{c}` {kind[c]}" for c in keys), f"x {kind['idx']}", f"y {kind['idx']}", *(f"{c} double" for c in names[-6:])])
+    return dealt.mapInArrow(summed, schema)
 
 
 def all_pairs(samples: DataFrame, n: int, keys: tuple[str, ...] = ("system",), vectors: int = VECTORS, ticks: int = TICKS) -> DataFrame:
     """Every upper-triangle pair (x < y by idx) of every system over all n ticks: six symmetric metrics.
 
     ``samples`` (keys, idx, t, v) holds non-zero rows, v being 0 or more; ``n`` is the number of ticks of each system. One
-    key at least. Sums over pairs are formed in tiles of blocks of vectors.
+    key at least. Sums over pairs are formed in tiles of blocks of vectors, and a pair's metrics where its sums are.
     """
     if not keys:
         raise ValueError("pairs are formed within a system")
     total = F.lit(float(n))
-    one = samples.groupBy(*keys, "idx").agg((F.sum("v") / total).alias("e"), (F.sum(F.col("v") * F.col("v")) / total).alias("e2"))
-    x, y = (one.select(*keys, F.col("idx").alias(k), F.col("e").alias(f"e{k}"), F.col("e2").alias(f"e{k}{k}")) for k in "xy")
-    grid = x.join(y, list(keys)).where("x < y")
-    joint = _met_in_tiles(samples, keys, vectors, min(n, ticks)).select(*keys, "x", "y", (F.col("sxy") / total).alias("exy"), (F.col("smin") / total).alias("emin"))
-    m = grid.join(joint, [*keys, "x", "y"], "left").na.fill(0.0, ["exy", "emin"])
+    sums = _sums_in_tiles(samples, keys, vectors, min(n, ticks))
+    m = sums.select(*keys, "x", "y", *[(F.col(f"s{c}") / total).alias(f"e{c}") for c in ("x", "xx", "y", "yy", "xy", "min")])
     return with_metrics(m, [k for k in METRICS if k != "cex"])
 
 

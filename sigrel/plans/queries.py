@@ -61,6 +61,13 @@ def r9(c: str | F.Column, name: str | None = None) -> F.Column:
     return x.alias(name or c) if name or isinstance(c, str) else x
 
 
+def r6(c: str) -> F.Column:
+    """What F.round(c, 6) gives, which goes through decimal text: only values near a tie take that way here."""
+    near = F.rint(F.col(c) * 1e6)
+    off = F.abs(F.col(c) * 1e6 - near)
+    return F.when((off < 0.499) & (F.abs(near) < 1e12), near / 1e6 + 0.0).otherwise(F.round(c, 6)).alias(c)
+
+
 TICK, SIZE, DELTAS = 600, 64, [-2, -1, 0, 1]
 
 
@@ -247,7 +254,7 @@ def _vectors(spark, d):
 def all_pairs_vectors(spark, d):
     v = _vectors(spark, d)
     n = v.agg(F.max("t")).first()[0] + 1
-    return re_.all_pairs(v, n).select("system", "x", "y", *[F.round(c, 6).alias(c) for c in ("ham", "tmt", "cls", "cos", "cov", "dep")])
+    return re_.all_pairs(v, n).select("system", "x", "y", *map(r6, ("ham", "tmt", "cls", "cos", "cov", "dep")))
 
 
 # measures

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,3 +110,41 @@ def test_all_pairs_in_tiles(spark, vectors, ticks):
     for (s, i, j), r in got.items():
         x, y = v[s, i], v[s, j]
         assert np.isclose(r["exy"], (x * y).mean()) and np.isclose(r["emin"], np.minimum(x, y).mean()) and np.isclose(r["ham"], 1 - np.abs(x - y).mean()) and np.isclose(r["cov"], 4 * abs((x * y).mean() - x.mean() * y.mean()))
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_pairs_leave_a_tile_in_batches(monkeypatch, whole):
+    rows = [(k, 0 if whole else k % 2, [k % 5, 5], [0.5, 1.0], 1.5, 1.25) for k in range(9)]
+    found = []
+    for many in (1 << 16, 10):
+        monkeypatch.setattr(re_, "PAIRS", many)
+        tile = re_._Tile((pa.scalar("a"),), whole)
+        tile.add(rows[::2], 6)  # in two parts: the sums go on
+        tile.add(rows, 6)
+        batches = list(tile.batches([pa.string(), pa.int64()], ["system", "x", "y", "sx", "sxx", "sy", "syy", "sxy", "smin"]))
+        assert len(batches) > 1 if many == 10 else len(batches) == 1
+        found.append(sorted(tuple(r.values()) for b in batches for r in b.to_pylist()))
+    assert found[0] == found[1] and len(found[0]) == (36 if whole else 20)
+    assert ("a", 0, 5, 3.0, 2.5, 1.5, 1.25, 1.25, 1.5) in found[0]
+
+
+def test_pairs_of_a_tile_are_not_shuffled(spark):
+    """Repeated samples, vectors of zeros and of nulls and null keys are taken as ever."""
+    rows = [("a", i, t, float((i * t) % 3) / 2) for i in range(9) for t in range(5)] + [("a", 3, 1, 0.5)] * 2 + [("a", 20, 0, 0.0), ("a", 21, 0, None), ("a", None, 0, 1.0), (None, 1, 0, 1.0), (None, 2, 0, 1.0)]
+    for vectors, ticks in ((2, 2), (100, 100)):
+        pairs = re_.all_pairs(spark.createDataFrame(rows, "system string, idx long, t long, v double"), 5, vectors=vectors, ticks=ticks)
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan[: plan.index("MapInArrow")] and "Join" not in plan[: plan.index("MapInArrow")]
+        got = {(r["system"], r["x"], r["y"]): r for r in pairs.collect()}
+        idx = [*range(9), 20, 21]
+        assert set(got) == {("a", x, y) for x in idx for y in idx if x < y} and pairs.count() == len(got)
+        assert got["a", 20, 21]["ey"] is None and got["a", 20, 21]["ex"] == got["a", 20, 21]["exy"] == 0
+        assert np.isclose(got["a", 2, 3]["ey"], (0 + 0 + 0 + 0 + 0 + 2 * 0.5) / 5) and np.isclose(got["a", 2, 3]["exy"], 0.5 * 1.0 / 5)
+
+
+def test_rounding_as_by_decimals(spark):
+    from sigrel.plans.queries import r6
+
+    values = [0.0, -0.0, -1e-9, 1 / 128, -1 / 128, 0.0000005, 2.5e-6, 0.1234565, 0.12345649999, 1e13 + 0.3, -3.7, float("nan"), float("inf"), None, *(random.Random(1).uniform(-2, 2) for _ in range(500))]
+    both = spark.createDataFrame([(v,) for v in values], "v double").select(r6("v").alias("a"), F.round("v", 6).alias("b"))
+    assert all(repr(r["a"]) == repr(r["b"]) for r in both.collect())
