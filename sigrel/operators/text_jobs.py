@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -15,8 +19,12 @@ from .ordered import ROWS, running
 
 #: Patterns without a literal, and their bytes, that go to every task at once, about.
 PATTERNS, PATTERN_BYTES = 10_000, 4 << 20
+#: Bytes that a pattern takes besides its own, where patterns are looked up in a task.
+PATTERN_ROW = 32
 #: Code points of a literal by which patterns and lines meet.
 GRAM = 3
+#: Bytes of a literal that are looked up, of lines that are looked at together, and of a table of lines and literals.
+RUN, LOOK, HELD = 8, 1 << 18, 1 << 24
 
 
 def expand_tabs(v: Column, width: int = 8) -> Column:
@@ -107,6 +115,101 @@ def _grams(value: str) -> Column:
     return F.array_distinct(F.regexp_extract_all(value, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
 
 
+def _runs_in(data: np.ndarray, keys: dict[int, np.ndarray], bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(size, places, key numbers) of what ``data`` holds of ``keys``: by size, the sorted integers of so many bytes."""
+    marked = {}
+    spread = lambda x: ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+    for size, own in keys.items():
+        marked[size] = np.zeros(1 << bits, bool)
+        marked[size][spread(own)] = True
+    for start in range(0, len(data), LOOK):
+        c = data[start : start + LOOK + RUN - 1].astype(np.uint64)
+        run = np.zeros(len(c), np.uint64)
+        for size in range(1, max(keys) + 1):
+            if len(c) < size:
+                break
+            run = run[: len(c) - size + 1] | (c[size - 1 :] << np.uint64(8 * (size - 1)))
+            if size in keys:
+                at = np.flatnonzero(marked[size][spread(run[:LOOK])])
+                number = np.minimum(np.searchsorted(keys[size], run[at]), len(keys[size]) - 1)
+                same = keys[size][number] == run[at]
+                yield size, at[same] + start, number[same]
+
+
+def _lookup(patterns: list[str]) -> Callable[[pa.Array], pa.Array]:
+    """Of each line the patterns all of whose literals of GRAM code points or more it may hold; each pattern has one.
+
+    A literal goes by its first RUN bytes. Patterns stand at the literal that fewest patterns have, and the rest of their
+    literals are tried where they are met.
+    """
+    cut = [sorted({r.encode()[:RUN] for r in required_literals(p) if len(r) >= GRAM}) for p in patterns]
+    many = Counter(r for own in cut for r in own)
+    keys: dict[int, np.ndarray] = {}
+    numbers: dict[bytes, int] = {}
+    first = {}
+    for size in sorted({len(r) for r in many}):
+        own = sorted((int.from_bytes(r, "little"), r) for r in many if len(r) == size)
+        keys[size], first[size] = np.array([x for x, _ in own], np.uint64), len(numbers)
+        numbers |= {r: len(numbers) + k for k, (_, r) in enumerate(own)}
+    bits = max(12, min(20, 4 + len(numbers).bit_length()))
+    by = sorted(range(len(patterns)), key=lambda k: numbers[min(cut[k], key=lambda r: (many[r], r))])
+    standing = np.array([numbers[min(cut[k], key=lambda r: (many[r], r))] for k in by])
+    begin, end = (np.searchsorted(standing, np.arange(len(numbers)), side) for side in ("left", "right"))
+    needs = np.full((len(patterns), max(map(len, cut))), len(numbers))  # beyond the last literal: held by each line
+    for k, p in enumerate(by):
+        needs[k, : len(cut[p])] = [numbers[r] for r in cut[p]]
+    names = pa.array([patterns[k] for k in by], pa.string())
+
+    def of(values: pa.Array) -> pa.Array:
+        values = values.cast(pa.large_string())
+        _, offsets, data = values.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[values.offset : values.offset + len(values) + 1] if len(values) else np.zeros(1, np.int64)
+        data = np.frombuffer(data or b"", np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        lines, literals = [], []
+        for size, at, number in _runs_in(data, keys, bits):
+            line = np.searchsorted(offsets, at, "right") - 1
+            inside = at + size <= offsets[line + 1]
+            lines.append(line[inside])
+            literals.append(number[inside] + first[size])
+        lines, literals = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (lines, literals))
+        order = np.argsort(lines, kind="stable")
+        lines, literals = lines[order], literals[order]
+        found_lines, found = [], []
+        step = max(1, HELD // (len(numbers) + 1))
+        for start in range(0, len(values), step):
+            part = slice(*np.searchsorted(lines, (start, start + step)))
+            held = np.zeros((min(step, len(values) - start), len(numbers) + 1), bool)
+            held[:, -1] = True
+            held[lines[part] - start, literals[part]] = True
+            line, literal = np.nonzero(held[:, :-1])
+            n = (end - begin)[literal]
+            line = np.repeat(line, n)
+            pattern = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[literal], n)
+            for k in range(needs.shape[1]):
+                may = held[line, needs[pattern, k]]
+                line, pattern = line[may], pattern[may]
+            found_lines.append(line + start)
+            found.append(pattern)
+        line, pattern = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found_lines, found))
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(line, np.arange(len(values) + 1)), pa.int32()), names.take(pa.array(pattern)))
+
+    return of
+
+
+def _matches_any(patterns: list[str], value: str) -> Column:
+    """Whether a line matches any of some patterns, which all have grams: never null."""
+    if not patterns:
+        return F.lit(False)
+    of = _lookup(patterns)
+
+    @F.arrow_udf(ArrayType(StringType()))
+    def tried(values: pa.Array) -> pa.Array:
+        return of(values)
+
+    return F.exists(tried(F.col(value)), lambda p: F.call_function("rlike", F.col(value), p))
+
+
 def lines_with(lines: DataFrame, patterns: DataFrame, value: str = "value") -> DataFrame:
     """Distinct values of ``lines`` that match any of ``patterns`` (pattern, grams), which all have grams.
 
@@ -125,19 +228,27 @@ def lines_with(lines: DataFrame, patterns: DataFrame, value: str = "value") -> D
 def filter_lines(lines: DataFrame, patterns: list[str] | DataFrame, invert: bool = False, value: str = "value") -> DataFrame:
     """Lines that match none of the patterns, or with ``invert`` any; a table of patterns has a column ``pattern``.
 
-    Patterns of a table with a literal of ``GRAM`` code points or more are looked up by it. The others are tried on every
-    line, in lots of about ``PATTERNS`` patterns and ``PATTERN_BYTES`` bytes, one after the other. A null line matches
-    nothing, and a null pattern has no matches.
+    Patterns of a table with a literal of ``GRAM`` code points or more are looked up by it: up to ``PATTERN_BYTES`` of them
+    go to every task, which tries on a line those whose literals it holds, so that no line is shuffled; larger tables
+    meet the lines in an equi-join. The others are tried on every line, in lots of about ``PATTERNS`` patterns and
+    ``PATTERN_BYTES`` bytes, one after the other. A null line matches nothing, and a null pattern has no matches.
     """
     if isinstance(patterns, list):
         hit = F.col(value).rlike("|".join(f"(?:{p})" for p in patterns)) if patterns else F.lit(False)
         return lines.where(hit if invert else ~hit)
     table = patterns.select("pattern").where("pattern is not null").distinct().withColumn("grams", _pattern_grams("pattern"))
-    found = lines_with(lines, table.where(F.size("grams") > 0), value)
+    looked_up = table.where(F.size("grams") > 0)
+    # collected up to a bound in bytes, so that it is made once
+    bytes_of = F.coalesce(F.sum(F.octet_length("pattern") + PATTERN_ROW), F.lit(0))
+    if looked_up.agg(bytes_of).first()[0] <= PATTERN_BYTES:
+        hit = _matches_any([r["pattern"] for r in looked_up.select("pattern").collect()], value)
+        rest, hits = lines.where(~hit), [lines.where(hit)]
+    else:
+        found = lines_with(lines, looked_up, value)
+        rest, hits = lines.join(found, value, "left_anti"), [lines.join(found, value, "left_semi")]
     plain = table.where(F.size("grams") == 0).select("pattern")
     n, size = plain.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("pattern")), F.lit(0))).first()
     lots = max(-(-n // PATTERNS), -(-size // PATTERN_BYTES))
-    rest, hits = lines.join(found, value, "left_anti"), [lines.join(found, value, "left_semi")]
     for k in range(lots):
         lot = F.broadcast(plain.where(F.pmod(F.xxhash64("pattern"), F.lit(lots)) == k))
         if invert:

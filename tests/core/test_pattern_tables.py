@@ -3,6 +3,8 @@
 import random
 import re
 
+import pyarrow as pa
+
 from sigrel.operators import text_jobs as tj
 
 CASES = {
@@ -50,3 +52,37 @@ def test_patterns_with_literals_need_no_loop(spark):
     table = spark.createDataFrame([("line 7.* of",), ("many$",)], "pattern string")
     plan = tj.filter_lines(lines, table)._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_lines_are_not_shuffled(spark):
+    lines = spark.range(1000).selectExpr("concat('line ', id, ' of many') as value")
+    table = spark.createDataFrame([("line 7.* of",), ("many[0-9]$",)], "pattern string")
+    for invert in (False, True):
+        out = tj.filter_lines(lines, table, invert)
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+        assert out.count() == (111 if invert else 889)
+
+
+def test_larger_tables_meet_lines_in_a_join(spark, monkeypatch):
+    lines = spark.createDataFrame([(i, v) for i, v in enumerate(["disk 7 ok", "disk ok", None, "", "ok 7", "disk 9 ok", "disk 7 ok"])], "n long, value string")
+    table = spark.createDataFrame([(r"disk \d ok$",), ("^ok",), (None,)], "pattern string")
+    for most in (4 << 20, 8):
+        monkeypatch.setattr(tj, "PATTERN_BYTES", most)
+        assert sorted(r["n"] for r in tj.filter_lines(lines, table, invert=True).collect()) == [0, 4, 5, 6]
+        assert sorted(r["n"] for r in tj.filter_lines(lines, table).collect()) == [1, 2, 3]
+
+
+def test_lookup_holds_what_a_search_finds(monkeypatch):
+    rng = random.Random(5)
+    lines = ["".join(rng.choice("abcé漢 ") for _ in range(rng.randrange(0, 30))) for _ in range(400)] + [None, "", "abc", "ab", "c"]
+    patterns = ["abc", "abcab.+é漢 ", "é漢a", "aaaaaaaaaa", "bca.*abc?b", "cab[0-9]?bca", "漢 漢 漢 漢"]
+    literals = {p: [r.encode()[: tj.RUN] for r in tj.required_literals(p) if len(r) >= tj.GRAM] for p in patterns}
+    want = [[p for p in sorted(patterns) if v is not None and all(r in v.encode() for r in literals[p])] for v in lines]
+    assert sum(map(len, want)) > 20
+    for look, held in ((tj.LOOK, tj.HELD), (5, 9)):
+        monkeypatch.setattr(tj, "LOOK", look)
+        monkeypatch.setattr(tj, "HELD", held)
+        of = tj._lookup(patterns)
+        for a in (pa.array(lines), pa.array(["abc", *lines, "abc"]).slice(1, len(lines))):
+            assert [sorted(x) for x in of(a).to_pylist()] == want
+    assert of(pa.array([], pa.string())).to_pylist() == [] and of(pa.array([None, ""], pa.string())).to_pylist() == [[], []]
