@@ -28,37 +28,64 @@ def _located(spark: SparkSession, path: str, parts: bool) -> DataFrame:
     order = Window.partitionBy("log").orderBy("src", "block")
     blocks = t.select("src", "block").distinct().withColumn("log", F.regexp_replace("src", "/[^/]*$", ""))
     blocks = blocks.withColumn("at", (F.row_number().over(order) - 1).cast("long") * (1 << 27))
-    return t.join(blocks, ["src", "block"]).select(F.col("log").alias("src"), F.col("at").alias("block"), "line", "value")
-
-
-def _header_rows(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Declarations of one file's header lines, whose number does not grow with the log's length."""
-    src, out, scope = pdf["src"].iloc[0], [], []
-    words = " ".join(pdf.sort_values(["block", "line"])["value"]).split()
-    i, ended = 0, False
-    while i < len(words):
-        command = words[i]
-        if command not in COMMANDS:
-            raise ValueError(f"{src}: {command} is not known in a header")
-        end = words.index("$end", i) if "$end" in words[i:] else len(words)
-        args = words[i + 1 : end]
-        if command == "$enddefinitions":
-            ended = True
-            break
-        if command == "$scope":
-            scope.append(f"{args[0]}:{args[1]}" if args[0] != "module" else args[1])
-        elif command == "$upscope":
-            scope.pop()
-        elif command == "$var":
-            if args[0] not in KINDS:
-                raise ValueError(f"{src}: no variable is of type {args[0]}")
-            out.append((src, "var", args[2], ".".join([*scope, args[3]]), int(args[1]), args[0], " ".join(args[4:]) or None, None))
-        elif command in ("$comment", "$date", "$version", "$timescale"):
-            out.append((src, command[1:], None, None, None, None, None, " ".join(args)))
-        i = end + 1
-    if not ended:
-        raise ValueError(f"{src}: the header doesn't end")
-    return pd.DataFrame(out, columns=["src", "what", "var_id", "name", "width", "kind", "bit_sel", "text"]).astype({"width": "Int32"})
+    return t.join(F.broadcast(blocks), ["src", "block"]).select(F.col("log").alias("src"), F.col("at").alias("block"), "line", "value")
+
+
+def _header_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Declarations of header lines sorted by (src, block, line). Of a header, a batch is held, and a command that goes on."""
+    src, out, scope, words, ended, seen = None, [], [], [], True, 0
+
+    def parse(whole: bool) -> None:
+        nonlocal words, ended, seen
+        i = 0
+        while i < len(words) and not ended:
+            command = words[i]
+            if command not in COMMANDS:
+                raise ValueError(f"{src}: {command} is not known in a header")
+            if command == "$enddefinitions":
+                ended = True
+                break
+            try:
+                end = words.index("$end", max(i, seen))
+            except ValueError:
+                if not whole:
+                    break
+                end = len(words)
+            args = words[i + 1 : end]
+            if command == "$scope":
+                scope.append(f"{args[0]}:{args[1]}" if args[0] != "module" else args[1])
+            elif command == "$upscope":
+                scope.pop()
+            elif command == "$var":
+                if args[0] not in KINDS:
+                    raise ValueError(f"{src}: no variable is of type {args[0]}")
+                out.append((src, "var", args[2], ".".join([*scope, args[3]]), int(args[1]), args[0], " ".join(args[4:]) or None, None))
+            elif command in ("$comment", "$date", "$version", "$timescale"):
+                out.append((src, command[1:], None, None, None, None, None, " ".join(args)))
+            i = end + 1
+        words = [] if ended else words[i:]
+        seen = len(words)
+
+    def close() -> None:
+        parse(True)
+        if not ended:
+            raise ValueError(f"{src}: the header doesn't end")
+
+    def rows() -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["src", "what", "var_id", "name", "width", "kind", "bit_sel", "text"]).astype({"width": "Int32"})
+
+    for pdf in batches:
+        out = []
+        for file, lines in pdf.groupby("src", sort=False)["value"]:
+            if file != src:
+                close()
+                src, scope, words, ended, seen = file, [], [], False, 0
+            words += " ".join(lines).split()
+            parse(False)
+        yield rows()
+    out = []
+    close()
+    yield rows()
 
 
 def read_changes(spark: SparkSession, path: str, parts: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -71,24 +98,24 @@ def read_changes(spark: SparkSession, path: str, parts: bool = False) -> tuple[D
     ``parts`` all files of a folder are one log, in the order of their names, as :func:`write_changes` leaves them.
     """
     lines = _located(spark, path, parts)
-    # header lines stand before $enddefinitions; its place is one row a file
+    # header lines stand before $enddefinitions; its place is one row a file, which the driver has listed
     end = lines.where(F.col("value").startswith("$enddefinitions")).groupBy("src").agg(F.min(F.struct("block", "line")).alias("end"))
     at = F.struct("block", "line")
-    placed = lines.join(end, "src", "left")
+    placed = lines.join(F.broadcast(end), "src", "left")
     header = placed.where(F.col("end").isNull() | (at <= F.col("end"))).where(F.col("end").isNotNull() | F.col("value").startswith("$"))
-    declared = header.select("src", "block", "line", "value").groupBy("src").applyInPandas(_header_rows, _HEADER)
+    declared = header.select("src", "block", "line", "value").repartition("src").sortWithinPartitions("src", "block", "line").mapInPandas(_header_rows, _HEADER)
     variables = declared.where("what = 'var'").select("src", "var_id", "name", "width", "kind", "bit_sel")
     texts = declared.where("what <> 'var'").groupBy("src").pivot("what", ["date", "version", "comment", "timescale"]).agg(F.last("text"))
     body = placed.where(at > F.col("end")).select("src", "block", "line", "value")
     t = F.regexp_extract("value", r"^#(\d+)$", 1)
     body = body.withColumn("t", F.when(t != "", t.cast("long")))
-    inside = Window.partitionBy("src", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    body = body.withColumn("here", F.last("t", ignorenulls=True).over(inside))
-    blocks = body.where("t is not null").groupBy("src", "block").agg(F.max_by("t", "line").alias("last_t"))
-    every = body.select("src", "block").distinct().join(blocks, ["src", "block"], "left")
+    # one row a block, which is a task's share of a file at least
+    every = body.groupBy("src", "block").agg(F.max_by("t", F.when(F.col("t").isNotNull(), F.col("line"))).alias("last_t"))
     earlier = Window.partitionBy("src").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carried = every.withColumn("carried", F.last("last_t", ignorenulls=True).over(earlier)).select("src", "block", "carried")
-    body = body.where("t is null").join(carried, ["src", "block"]).withColumn("t", F.coalesce("here", "carried"))
+    inside = Window.partitionBy("src", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    body = body.withColumn("here", F.last("t", ignorenulls=True).over(inside))
+    body = body.where("t is null").join(F.broadcast(carried), ["src", "block"]).withColumn("t", F.coalesce("here", "carried"))
     scalar, vector = r"^([01xXzZ])(\S+)$", r"^([bBrR]\S+)\s+(\S+)$"
     is_vector = F.col("value").rlike(vector)
     raw = F.when(is_vector, F.regexp_extract("value", vector, 1)).when(F.col("value").rlike(scalar), F.lower(F.regexp_extract("value", scalar, 1)))
@@ -118,36 +145,38 @@ def write_changes(variables: DataFrame, changes: DataFrame, path: str, timescale
     """
     spark = changes.sparkSession
     firsts = variables.groupBy("var_id").agg(F.min("name").alias("root"), F.max("width").alias("width"), F.min("kind").alias("kind"))
-    ids = firsts.withColumn("new_id", variable_id(F.row_number().over(Window.orderBy("root")) - 1))
-    named = variables.select("var_id", "name", "width", "kind", "bit_sel").join(ids.select("var_id", "new_id"), "var_id").orderBy("name").collect()
-    # the header's size is that of the variable list, whatever the log's length
-    out, scope = [], []
-    for word, text in (("comment", comment), ("date", date), ("version", version), ("timescale", timescale)):
-        if text:
-            out.append(f"${word} {text} $end")
-    for r in named:
-        *parts, leaf = r["name"].split(".")
-        same = 0
-        while same < min(len(parts), len(scope)) and parts[same] == scope[same]:
-            same += 1
-        out += ["$upscope $end"] * (len(scope) - same)
-        for p in parts[same:]:
-            kind, _, name = p.rpartition(":")
-            out.append(f"$scope {kind or 'module'} {name} $end")
-        scope = parts
-        out.append(" ".join(x for x in ("$var", r["kind"], str(r["width"]), r["new_id"], leaf, r["bit_sel"], "$end") if x))
-    out += ["$upscope $end"] * len(scope) + ["$enddefinitions $end"]
+    ids = firsts.withColumn("new_id", variable_id(F.row_number().over(Window.orderBy("root", "var_id")) - 1))
+    named = variables.join(ids.select("var_id", "new_id"), "var_id").withColumn("name", F.expr("coalesce(name, raise_error('a variable has no name'))"))
     place = changes.schema["seq"].dataType
-    head = spark.createDataFrame([(-1, i - len(out), x) for i, x in enumerate(out)], "t long, part int, value string").select("t", "part", F.lit(None).cast(place).alias("seq"), "value")
+    none = F.lit(None).cast(place).alias("seq")
+    head = [f"${word} {text} $end" for word, text in (("comment", comment), ("date", date), ("version", version), ("timescale", timescale)) if text]
+    head = spark.createDataFrame(list(enumerate(head)), "at int, value string").select(F.lit(-1).cast("long").alias("t"), F.lit(-3).alias("part"), F.lit(None).cast("string").alias("name"), "at", none, "value")
+    scope_of = lambda c: F.slice(F.split(c, r"\."), 1, F.size(F.split(c, r"\.")) - 1)
+    # of each name: what to leave and to enter after the name before; the last scopes are left before the header's end
+    steps = named.select("name").distinct().select("name", F.coalesce(scope_of(F.lag("name").over(Window.orderBy("name"))), F.array().cast("array<string>")).alias("was"), scope_of(F.col("name")).alias("scope"))
+    differs = F.array_position(F.zip_with("scope", "was", lambda a, b: a.eqNullSafe(b)), False)
+    steps = steps.withColumn("same", F.when(differs > 0, differs - 1).otherwise(F.size("scope")).cast("int"))
+    up = lambda n: F.array_repeat(F.lit("$upscope $end"), n.cast("int"))
+    last = lambda p: F.substring_index(p, ":", -1)
+    kind_of = lambda p: F.coalesce(F.nullif(F.left(p, F.greatest(F.lit(0), F.length(p) - F.length(last(p)) - 1)), F.lit("")), F.lit("module"))
+    enter = F.transform(F.slice("scope", F.col("same") + 1, F.size("scope")), lambda p: F.concat(F.lit("$scope "), kind_of(p), F.lit(" "), last(p), F.lit(" $end")))
+    filled = lambda c: F.nullif(c, F.lit(""))
+    declare = F.concat_ws(" ", F.lit("$var"), filled(F.col("kind")), F.coalesce(F.col("width").cast("string"), F.lit("None")), "new_id", filled(F.element_at(F.split("name", r"\."), -1)), filled(F.col("bit_sel")), F.lit("$end"))
+    # the header's size is that of the variable list, whatever the log's length
+    header = lambda df, part, name, lines: df.select(F.lit(-1).cast("long").alias("t"), F.lit(part).alias("part"), name.alias("name"), F.posexplode(lines).alias("at", "value")).select("t", "part", "name", "at", none, "value")
+    head = head.unionByName(header(steps, -2, F.col("name"), F.concat(up(F.size("was") - F.col("same")), enter)))
+    head = head.unionByName(named.select(F.lit(-1).cast("long").alias("t"), F.lit(-2).alias("part"), "name", F.lit((1 << 31) - 1).alias("at"), none, declare.alias("value")))
+    ending = F.concat(up(F.coalesce(F.size(scope_of(F.col("name"))), F.lit(0))), F.array(F.lit("$enddefinitions $end")))
+    head = head.unionByName(header(named.agg(F.max("name").alias("name")), -1, F.lit(None).cast("string"), ending))
     c = changes.join(ids.select("var_id", "new_id", "width", "kind"), "var_id")
     digits = F.regexp_replace("raw", "^[bB]", "")
     fill = F.when(F.substring(digits, 1, 1).isin("x", "z"), F.substring(digits, 1, 1)).otherwise(F.lit("0"))
     wide = F.concat(F.lit("b"), F.repeat(fill, F.greatest(F.lit(0), F.col("width") - F.length(digits))), digits, F.lit(" "), F.col("new_id"))
     text = F.when(F.col("kind") == "real", F.concat(F.format_string("r%.6f", F.regexp_replace("raw", "^[rR]", "").cast("double")), F.lit(" "), F.col("new_id"))).when(F.col("width") <= 1, F.concat(digits, F.col("new_id"))).otherwise(wide)
-    rows = c.select("t", F.lit(2).alias("part"), "seq", text.alias("value"))
-    times = changes.select("t").distinct().select("t", F.lit(1).alias("part"), F.lit(None).cast(place).alias("seq"), F.concat(F.lit("\n#" if separate else "#"), F.col("t").cast("string")).alias("value"))
-    n = max(1, changes.rdd.getNumPartitions())
-    head.unionByName(times).unionByName(rows).repartitionByRange(n, "t").sortWithinPartitions("t", "part", "seq").select("value").write.mode("overwrite").text(path)
+    unnamed = F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("at")
+    rows = c.select("t", F.lit(2).alias("part"), *unnamed, "seq", text.alias("value"))
+    times = changes.select("t").distinct().select("t", F.lit(1).alias("part"), *unnamed, none, F.concat(F.lit("\n#" if separate else "#"), F.col("t").cast("string")).alias("value"))
+    head.unionByName(times).unionByName(rows).repartitionByRange("t").sortWithinPartitions("t", "part", "name", "at", "seq").select("value").write.mode("overwrite").text(path)
 
 
 #: Ticks of a segment of stored measures.

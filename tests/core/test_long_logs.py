@@ -2,7 +2,9 @@
 
 import random
 import shutil
+import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,3 +79,55 @@ def test_ranges_read_their_segments_only(spark, tmp_path):
             shutil.rmtree(folder)
     assert {(r["mtype"], r["signal"], r["t"], r["v"]) for r in cf.load_measures(spark, path, None, 130, 200).collect()} == want(130, 200)
     cf.store_measures(spark.createDataFrame([], "mtype string, signal string, t long, v double"), str(tmp_path / "none"))
+
+
+def test_a_header_is_read_batch_by_batch_in_time_that_follows_its_length():
+    n = 100_000
+    lines = ["$comment", "two", "lines $end", "$scope module top $end", *(f"$var reg 16 i{k} u{k} $end" for k in range(n)), "$upscope $end", "$enddefinitions $end"]
+    pdf = pd.DataFrame({"src": "a", "block": 0, "line": range(len(lines)), "value": lines})
+    other = pd.DataFrame({"src": "b", "block": 0, "line": [0, 1], "value": ["$var wire 1 x y [3] $end", "$enddefinitions $end"]})
+    batches = [pdf[:2], pdf[2:3], pdf[3 : n // 2], pd.concat([pdf[n // 2 :], other])]
+    began = time.process_time()
+    got = list(cf._header_rows(iter(batches)))
+    assert time.process_time() - began < 10
+    rows = pd.concat(got)
+    assert len(got) == 5 and max(map(len, got)) < 0.6 * n and len(rows) == n + 2
+    assert list(rows[rows.what == "comment"].text) == ["two lines"]
+    assert list(rows[rows.src == "a"].name[1:]) == [f"top.u{k}" for k in range(n)]
+    assert rows.iloc[-1].tolist()[:7] == ["b", "var", "x", "y", 1, "wire", "[3]"]
+    for bad, what in ((["$var wire 1 x y $end"], "doesn't end"), (["$odd", "$enddefinitions"], "not known"), (["$var odd 1 x y $end"], "no variable")):
+        with pytest.raises(ValueError, match=what):
+            list(cf._header_rows(iter([pd.DataFrame({"src": "a", "block": 0, "line": range(len(bad)), "value": bad})])))
+
+
+def header_lines(named, texts):
+    """The header one variable after the other; named: (name, kind, width, id, bits) in order of names."""
+    out, scope = [f"${word} {text} $end" for word, text in texts], []
+    for name, kind, width, new_id, bits in named:
+        *parts, leaf = name.split(".")
+        same = 0
+        while same < min(len(parts), len(scope)) and parts[same] == scope[same]:
+            same += 1
+        out += ["$upscope $end"] * (len(scope) - same)
+        for p in parts[same:]:
+            of, _, own = p.rpartition(":")
+            out.append(f"$scope {of or 'module'} {own} $end")
+        scope = parts
+        out.append(" ".join(x for x in ("$var", kind, str(width), new_id, leaf, bits, "$end") if x))
+    return out + ["$upscope $end"] * len(scope) + ["$enddefinitions $end"]
+
+
+def test_a_written_header_is_not_collected(spark, tmp_path):
+    rng = random.Random(8)
+    names = sorted({".".join([*(rng.choice(("top", "b", "begin:x", ":y", "a:b:c", "é")) for _ in range(rng.randrange(4))), f"n{k % 9}"]) for k in range(60)})
+    rows = [(f"v{k}", x, 1 + k % 3, rng.choice(("reg", "wire")), rng.choice((None, "", "[2:0]"))) for k, x in enumerate(names)]
+    for some in (rows, rows[:1], []):
+        variables = spark.createDataFrame(some, "var_id string, name string, width int, kind string, bit_sel string")
+        changes = spark.createDataFrame([(t, t, r[0], "b1") for t, r in enumerate(some)], "t long, seq long, var_id string, raw string")
+        where = str(tmp_path / f"log{len(some)}")
+        cf.write_changes(variables, changes, where, timescale="1 ns", comment="hello", date="now")
+        got = "\n".join(p.read_text() for p in sorted((tmp_path / f"log{len(some)}").glob("part-*"))).split("\n")
+        got = [x for x in got if x]
+        ids = [r["i"] for r in spark.range(len(some)).orderBy("id").select(cf.variable_id("id").alias("i")).collect()]
+        want = header_lines([(name, kind, width, i, bits) for (_, name, width, kind, bits), i in zip(some, ids)], [("comment", "hello"), ("date", "now"), ("timescale", "1 ns")])
+        assert got[: len(want)] == want and len(got) == len(want) + 2 * len(some)
